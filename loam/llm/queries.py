@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loam.llm import common, exact_dedup, mixing, sharding
+from loam.llm import common, exact_dedup, mixing, sharding, simhash, url_filter, warc
 
 
 def op1_sharding(spark, sf_dir):
@@ -21,10 +21,34 @@ def op4_mixing(spark, sf_dir):
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_url_filter(spark, sf_dir):
+    return url_filter.judge(common.read(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark, sf_dir):
+    path = common.new_path(spark, "warc")
+    warc.write(common.read(spark, sf_dir, "pages"), path)
+    records = warc.read(spark, path, with_payload=False).where("kind = 'record'")
+    return records.select(
+        warc.page_of("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
+def op10_simhash(spark, sf_dir):
+    return simhash.near_groups(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_url_filter": op5_url_filter,
+    "op6_warc": op6_warc,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
@@ -81,4 +105,35 @@ SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0
                                         < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c""",
+    "op5_url_filter": r"""
+WITH a AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS raw, coalesce(rest, '') AS rest FROM a),
+p AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                                  ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+s AS (
+  SELECT page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
+  FROM p JOIN r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND prefix(p.path, r.path) GROUP BY page_id),
+m(name, pattern) AS (VALUES ('gambling', '^(.*[.])?casino-[a-z0-9]+[.]'), ('pharmacy', '^(.*[.])?[a-z0-9]+-pills[.]'),
+  ('spam farm', '[.]spam-farm[.]|^spam-farm[.]'), ('tracker', '^(.*[.])?ads-track\.example\.'), ('adult', '/adult/|-adult[.]')),
+b AS (SELECT page_id, max_by(name, length(pattern)) AS pattern_rule FROM p JOIN m ON regexp_matches(p.host || p.path, m.pattern) GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, s.rule,
+       coalesce(s.verdict, CASE WHEN b.pattern_rule IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+       CASE WHEN s.rule IS NULL THEN b.pattern_rule END AS pattern_rule
+FROM p LEFT JOIN s USING (page_id) LEFT JOIN b USING (page_id)""",
+    "op6_warc": """
+WITH h AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + (((('0x' || substr(hex, (1 + 5 * (i // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::BIGINT), 1)), 'string_agg', '') AS payload_digest
+  FROM h),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM k""",
 }
