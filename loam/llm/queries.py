@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loam.llm import common, exact_dedup, mixing, sharding, simhash, url_filter, warc
+from loam.llm import common, exact_dedup, media, mixing, pieces, sharding, simhash, toxicity, url_filter, warc
 
 
 def op1_sharding(spark, sf_dir):
@@ -38,6 +38,35 @@ def op6_warc(spark, sf_dir):
     )
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = common.read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, common.read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op8_media(spark, sf_dir):
+    shown = media.documents_with_media(common.read(spark, sf_dir, "documents"))
+    return shown.select(
+        "doc_id",
+        F.col("caption").cast("long").alias("n_bytes"),
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        "feature",
+    )
+
+
+def op9_pieces(spark, sf_dir):
+    return pieces.round_trips(common.read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_groups(common.read(spark, sf_dir, "documents"))
 
@@ -48,6 +77,9 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_warc": op6_warc,
+    "op7_toxicity": op7_toxicity,
+    "op8_media": op8_media,
+    "op9_pieces": op9_pieces,
     "op10_simhash": op10_simhash,
 }
 
