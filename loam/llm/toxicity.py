@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 8000
+SAMPLE = 20_000
 DIM = 1 << 22
 TERMS = 1024
 FACTORS = 8
@@ -141,22 +141,39 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     if share in (0.0, 1.0):
         return Model(-30.0 if share == 0 else 30.0, np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
     chosen = choose(rows, labels)
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for k, ids in enumerate(rows):
-        x[k, np.flatnonzero(np.isin(chosen, ids))] = 1
+    present = [np.searchsorted(chosen, np.intersect1d(chosen, ids, assume_unique=True)) for ids in rows]
+    term = np.concatenate(present)
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in present])
+    by_term = np.argsort(term, kind="stable")
+    row_of, at_term = row[by_term], np.searchsorted(term[by_term], np.arange(len(chosen)))
+    at_row = np.searchsorted(row, np.arange(len(rows)))
+    filled = np.bincount(row, minlength=len(rows)) > 0
+
+    def over_rows(values: np.ndarray) -> np.ndarray:
+        """Sums of the terms' values by row."""
+        out = np.zeros((len(rows), *values.shape[1:]))
+        out[filled] = np.add.reduceat(values[term], at_row[filled], axis=0)
+        return out
+
+    def over_terms(values: np.ndarray) -> np.ndarray:
+        """Sums of the rows' values by term; every chosen term is in some row."""
+        return np.add.reduceat(values[row_of], at_term, axis=0)
+
     rng = np.random.default_rng(seed)
     state = [np.array([np.log(share / (1 - share))]), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS))]
+    if not len(chosen):
+        return Model(float(state[0][0]), chosen, state[1], state[2])
     first, second = [np.zeros_like(p) for p in state], [np.zeros_like(p) for p in state]
     for step in range(1, STEPS + 1):
         base, w, v = state
-        sums = x @ v.astype(np.float32)
-        z = base[0] + x @ w.astype(np.float32) + 0.5 * ((sums**2).sum(axis=1) - x @ (v**2).sum(axis=1).astype(np.float32))
-        wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels).astype(np.float32) / len(labels)
-        back = x.T @ wrong
+        sums = over_rows(v)
+        z = base[0] + over_rows(w) + 0.5 * ((sums**2).sum(axis=1) - over_rows((v**2).sum(axis=1)))
+        wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
+        back = over_terms(wrong)
         slopes = [
             np.array([wrong.sum()]),
             back + 1e-5 * w,
-            x.T @ (wrong[:, None] * sums) - back[:, None] * v + 1e-5 * v,
+            over_terms(wrong[:, None] * sums) - back[:, None] * v + 1e-5 * v,
         ]
         for p, g, m, s in zip(state, slopes, first, second, strict=True):
             m += 0.1 * (g - m)
