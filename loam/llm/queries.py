@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loam.llm import common, exact_dedup, media, mixing, pieces, sharding, simhash, toxicity, url_filter, warc
+from loam.llm import common, exact_dedup, katz, media, mixing, pieces, sharding, simhash, toxicity, url_filter, warc
 
 
 def op1_sharding(spark, sf_dir):
@@ -12,6 +12,10 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard(docs, "doc_id", "text").withColumnRenamed("row_id", "doc_id")
 
 
+def op2_katz(spark, sf_dir):
+    return katz.score_documents(common.read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(common.read(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_katz": op2_katz,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
