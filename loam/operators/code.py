@@ -171,8 +171,8 @@ def names_of_code(code: str | None) -> dict:
 
 
 def _column(function, kind: str, column) -> Column:
-    def of_rows(rows: pd.Series):
-        return rows.map(function) if not kind.startswith("struct") else pd.DataFrame(list(rows.map(function)))
+    def of_rows(rows: pd.Series) -> pd.Series:
+        return rows.map(function)
 
     return F.pandas_udf(of_rows, kind)(column)
 
@@ -182,7 +182,10 @@ def cleaned(code) -> Column:
 
 
 def names(code) -> Column:
-    return _column(names_of_code, NAMES, code)
+    def of_rows(rows: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([names_of_code(x) for x in rows], columns=["identifiers", "assigned", "parameters", "loop_targets"])
+
+    return F.pandas_udf(of_rows, NAMES)(code)
 
 
 def import_rows(posts: DataFrame, key: str, blocks: str = "code_blocks") -> DataFrame:

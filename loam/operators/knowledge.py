@@ -23,7 +23,7 @@ def organise(snippets: DataFrame, linked: DataFrame, completions: DataFrame, key
     counted = counted.withColumn("red_at", F.coalesce(F.sum("reds").over(order), F.lit(0))).withColumn("blue_at", F.coalesce(F.sum("blues").over(order), F.lit(0)))
 
     def gathered(n: str, at: str, rows: DataFrame, index: str, value, name: str) -> DataFrame:
-        asked = counted.where(F.col(n) > 0).select(key, "snippet_idx", F.explode(F.sequence(F.col(at), F.col(at) + F.col(n) - 1)).cast("long").alias("k"))
+        asked = counted.where(F.col(n) > 0).select(key, "snippet_idx", F.explode(F.sequence(F.col(at).cast("long"), F.col(at) + F.col(n) - 1)).alias("k"))
         met = asked.join(rows.select(key, F.col(index).cast("long").alias("k"), value.alias("v")), [key, "k"])
         return met.groupBy(key, "snippet_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias(name))
 

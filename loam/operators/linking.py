@@ -16,8 +16,8 @@ BLOCK = 2000
 
 def gazetteer(names: DataFrame, name: str = "fqn") -> DataFrame:
     """fqn, parts and depth of each distinct name."""
-    parts = F.split(F.col(name), r"\.", -1)
-    return names.where(F.col(name).isNotNull()).select(F.col(name).alias("fqn")).distinct().select("fqn", parts.alias("parts"), F.size(parts).alias("depth")) if name == "fqn" else gazetteer(names.select(F.col(name).alias("fqn")))
+    parts = F.split("fqn", r"\.", -1)
+    return names.select(F.col(name).alias("fqn")).where("fqn IS NOT NULL").distinct().select("fqn", parts.alias("parts"), F.size(parts).alias("depth"))
 
 
 def terms(names: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def same_block(mentions: DataFrame, names: DataFrame) -> DataFrame:
 
 def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, block: int = BLOCK, known: dict | None = None) -> DataFrame:
     """mention, fqn, score: the names whose score is among a mention's `top` highest distinct
-    scores. The score of a name at least as deep as the mention is the mean similarity of
+    scores (to 12 places). The score of a name at least as deep as the mention is the mean similarity of
     its last components to the mention's.
 
     Distinct mentions are a query set held against the gazetteer block by block. A task
@@ -76,7 +76,7 @@ def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, block: int = BL
                 for name in names_:
                     last = name.split(".")[-k:]
                     if len(last) == k:
-                        scored.append((sum(map(alike, last, parts)) / k, name))
+                        scored.append((round(sum(map(alike, last, parts)) / k, 12), name))
                 levels = sorted({s for s, _ in scored}, reverse=True)[:top]
                 if levels:
                     rows += [(mention, name, s) for s, name in scored if s >= levels[-1]]

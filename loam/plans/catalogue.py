@@ -1,4 +1,563 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the given tables, and their SQL.
 
-QUERIES = {}
-ORACLES = {}
+Names and code that the tables lack are derived from their rows by Spark: qualified names
+from parts, code and replies from part names, spans from events, snippets from line items.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from loam.functions import similarity, text, tokenizer
+from loam.operators import aliases, code, entities, knowledge, linking, metrics, replies, segments, spans, tagging
+from loam.plans import views
+from loam.sources import tables
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+NAME_SQL = "lower(p_type) || '.' || replace(p_name, ' ', '.')"
+WORD_SQL = "regexp_split_to_array(trim(regexp_replace(text, '[ \\t\\n\\x0b\\x0c\\r]+', ' ', 'g')), ' ')"
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, folder) under its name, with SQL if there is any."""
+
+    def add(function: Callable) -> Callable:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def read(spark, folder: str, table: str) -> DataFrame:
+    return tables.read_table(spark, folder, table)
+
+
+# Segments and text
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)(<p>.*?</p>|<pre><code>.*?</code></pre>)', 1) AS b FROM pages),
+u AS (SELECT page_id, unnest(b) AS block, (generate_subscripts(b, 1) - 1)::INT AS seg_idx FROM p)
+SELECT page_id, seg_idx, 'Text' AS kind, regexp_replace(regexp_extract(block, '(?s)^<p>(.*)</p>$', 1), '^\s+|\s+$', '', 'g') AS content
+FROM u WHERE regexp_replace(regexp_extract(block, '(?s)^<p>(.*)</p>$', 1), '^\s+|\s+$', '', 'g') <> ''""")
+def t1_paragraphs(spark, folder):
+    return segments.segments(read(spark, folder, "pages"), "page_id", "html")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)(<p>.*?</p>|<pre><code>.*?</code></pre>)', 1) AS b FROM pages),
+u AS (SELECT page_id, unnest(b) AS block, generate_subscripts(b, 1) AS seg FROM p),
+c AS (SELECT page_id, seg, regexp_replace(regexp_extract(block, '(?s)^<p>(.*)</p>$', 1), '^\s+|\s+$', '', 'g') AS content FROM u),
+s AS (SELECT page_id, seg, string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM c WHERE content <> ''),
+e AS (SELECT page_id, seg, unnest(parts) AS content, generate_subscripts(parts, 1) AS part FROM s)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY seg, part) - 1)::INT AS sent_idx, 'Text' AS kind, content
+FROM e WHERE trim(content) <> ''""")
+def t3_sentences(spark, folder):
+    found = segments.segments(read(spark, folder, "pages"), "page_id", "html")
+    return segments.sentences(found, "page_id")
+
+
+@query()
+def t11_tokens(spark, folder):
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", F.explode(tokenizer.tokenized("text")).alias("t"))
+    return turns.select("conv_id", "turn", "t.*")
+
+
+@query(r"""
+SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS squeezed FROM documents""")
+def t13_squeeze(spark, folder):
+    return read(spark, folder, "documents").select("doc_id", F.md5(text.squeeze(F.col("text"))).alias("squeezed"))
+
+
+@query(r"""
+SELECT doc_id, md5(replace(regexp_replace(replace(replace(text, '. ', '('), ', ', ')'), '\([^)]*(\)|\z)', '', 'g'), ')', '')) AS outside
+FROM documents""")
+def t10_parentheses(spark, folder):
+    marked = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit("(")), F.lit(", "), F.lit(")"))
+    return read(spark, folder, "documents").select("doc_id", F.md5(text.without_parentheses(marked)).alias("outside"))
+
+
+@query(r"""
+SELECT conv_id, turn, list_aggregate(list_filter(string_split(replace('Text: ' || text, '. ', chr(10) || 'Code: '), chr(10)),
+       lambda line: NOT starts_with(line, 'Code:')), 'string_agg', chr(10)) AS kept
+FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)""")
+def t8_code_lines(spark, folder):
+    line = F.replace(F.concat(F.lit("Text: "), F.replace(F.col("text"), F.lit("\n"), F.lit(" "))), F.lit(". "), F.lit("\nCode: "))
+    return read(spark, folder, "conversations").select("conv_id", "turn", segments.without_code_lines(line).alias("kept"))
+
+
+@query("""
+SELECT p_partkey, p_name AS prose, '<pre><code>' || chr(10) || p_type || '(' || p_size || ')' || chr(10) || '</code></pre>' AS code
+FROM part""")
+def t7_code_tags(spark, folder):
+    post = F.concat(F.lit("Text: "), "p_name", F.lit(" Code: "), "p_type", F.lit("("), F.col("p_size").cast("string"), F.lit(")"))
+    lines = F.split(segments.with_code_tags(post), "\n", 2)
+    return read(spark, folder, "part").select("p_partkey", lines[0].alias("prose"), lines[1].alias("code"))
+
+
+@query("""
+SELECT p_partkey, p_name || ' of ' || p_brand AS plain, p_name AS first_red, [p_name] AS red, [p_brand] AS blue,
+       '<strong><span style="color:red">' || p_type || '</span></strong> of <strong><span style="color:blue">' || p_brand || '</span></strong>' AS replaced
+FROM part""")
+def t17_highlights(spark, folder):
+    coloured = lambda c, opening: F.concat(F.lit("<strong>" + opening), c, F.lit("</span></strong>"))
+    parts = read(spark, folder, "part").withColumn("html", F.concat(coloured("p_name", text.RED_OPEN), F.lit(" of "), coloured("p_brand", text.BLUE_OPEN)))
+    html = F.col("html")
+    return parts.select(
+        "p_partkey",
+        text.without_highlights(html).alias("plain"),
+        text.first_red(html).alias("first_red"),
+        text.red_mentions(html).alias("red"),
+        text.blue_mentions(html).alias("blue"),
+        text.replace_red(html, F.array("p_type")).alias("replaced"),
+    )
+
+
+@query(r"""
+SELECT conv_id, turn, CASE WHEN h AND s THEN 'BOTH_HS' WHEN h THEN 'HAPPY' WHEN s THEN 'SAD' ELSE 'NA' END AS mood
+FROM (SELECT conv_id, turn, regexp_matches(t, '\^_\^|[:=8](o|O|-)?[D)\]]') AS h, regexp_matches(t, '[:=8](o|O|-)?[(\[]') AS s
+      FROM (SELECT conv_id, turn, replace(replace(text, '. ', ':) '), ', ', ' :-( ') AS t FROM conversations))""")
+def t16_emoticons(spark, folder):
+    faces = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(":) ")), F.lit(", "), F.lit(" :-( "))
+    return read(spark, folder, "conversations").select("conv_id", "turn", text.emoticon_class(faces).alias("mood"))
+
+
+@query(r"""
+SELECT doc_id, regexp_matches(text, '\b(def|class|for|while|if|elif|else|try|except|finally|with|as|import|from|return|yield|lambda|and|or|not|is|in|pass|break|continue|global|nonlocal|assert|raise|del|print|input)\b') AS code_like
+FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z ]', ' ', 'g') AS text FROM documents)""")
+def c10_code_words(spark, folder):
+    plain = F.regexp_replace("text", "[^a-zA-Z ]", " ")
+    return read(spark, folder, "documents").select("doc_id", text.looks_like_code(plain).alias("code_like"))
+
+
+@query(r"""
+SELECT event_id, list_sort(list_filter(list_distinct(string_split(event_type || ' ' || value::VARCHAR || ' 2024-01-02 ' || event_type || ' ' || event_id::VARCHAR || ' ' || props, ' ')),
+       lambda t: NOT regexp_full_match(t, '\d+(\.\d+)?|\d{4}-\d{2}-\d{2}'))) AS terms,
+       list_filter([event_type, event_id::VARCHAR, props], lambda n: regexp_full_match(n, '[a-zA-Z0-9_]+') AND NOT regexp_full_match(n, '\d+')) AS names
+FROM events""")
+def c11_snippet_terms(spark, folder):
+    snippet = F.concat_ws(" ", "event_type", F.col("value").cast("string"), F.lit("2024-01-02"), "event_type", F.col("event_id").cast("string"), "props")
+    return read(spark, folder, "events").select(
+        "event_id",
+        F.array_sort(text.snippet_terms(snippet)).alias("terms"),
+        text.plain_names(F.array("event_type", F.col("event_id").cast("string"), "props")).alias("names"),
+    )
+
+
+@query(r"""
+SELECT conv_id, turn, list_has_any(string_split(lower(text), ' '), ['he','she','it','they','him','her','them','this','that','these','those','my','your','his','its','our','their','mine','yours','what','such','above','below']) AS depends
+FROM conversations""")
+def e1_demonstrative(spark, folder):
+    return read(spark, folder, "conversations").select("conv_id", "turn", text.has_demonstrative(F.split("text", " ")).alias("depends"))
+
+
+# Similarity
+
+
+@query("""
+SELECT p_partkey, round(1 - levenshtein(p_name, lower(p_type) || ' ' || p_brand)::DOUBLE / greatest(length(p_name), length(lower(p_type) || ' ' || p_brand)), 9) AS levenshtein,
+       round(jaccard(p_name, lower(p_type) || ' ' || p_brand), 9) AS jaccard
+FROM part""")
+def m2_m3_similarity(spark, folder):
+    other = F.concat_ws(" ", F.lower("p_type"), "p_brand")
+    return read(spark, folder, "part").select(
+        "p_partkey",
+        F.round(similarity.levenshtein_similarity(F.col("p_name"), other), 9).alias("levenshtein"),
+        F.round(similarity.character_jaccard(F.col("p_name"), other), 9).alias("jaccard"),
+    )
+
+
+@query("""
+WITH d AS (SELECT DISTINCT p_name AS a, lower(p_type) || ' ' || p_brand AS b FROM part),
+m AS (SELECT a, b, jaro_similarity(a, b) AS j,
+             len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) = substr(b, i, 1))) AS same FROM d)
+SELECT a, b, round(j + CASE WHEN j > 0 THEN 0.1 * least(4, same) * (1 - j) ELSE 0 END, 9) AS similarity FROM m""")
+def m1_jaro_winkler(spark, folder):
+    pairs = read(spark, folder, "part").select(F.col("p_name").alias("a"), F.concat_ws(" ", F.lower("p_type"), "p_brand").alias("b")).distinct()
+    return pairs.select("a", "b", F.round(similarity.jaro_winkler_similarity("a", "b"), 9).alias("similarity"))
+
+
+# Linking
+
+
+@query(f"""
+WITH g AS (SELECT DISTINCT {NAME_SQL} AS fqn FROM part WHERE p_size <= 25)
+SELECT p_partkey, {NAME_SQL} AS mention, ({NAME_SQL}) IN (SELECT fqn FROM g) AS exact FROM part""")
+def j1_exact_link(spark, folder):
+    parts = views.named_parts(spark, folder)
+    names = linking.gazetteer(parts.where("p_size <= 25"))
+    hit, missed = linking.exact(parts.select("p_partkey", F.col("fqn").alias("mention")), names)
+    return hit.withColumn("exact", F.lit(True)).unionByName(missed.withColumn("exact", F.lit(False)))
+
+
+_SAME = "len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, i, 1) = substr({b}, i, 1)))"
+_JW = "(jaro_similarity({a}, {b}) + CASE WHEN jaro_similarity({a}, {b}) > 0 THEN 0.1 * least(4, " + _SAME + ") * (1 - jaro_similarity({a}, {b})) ELSE 0 END)"
+
+
+@query(f"""
+WITH g AS (SELECT DISTINCT {NAME_SQL} AS fqn FROM part),
+m AS (SELECT DISTINCT replace(replace(p_name, 'i', 'e'), ' ', '.') AS mention FROM part),
+p AS (SELECT mention, fqn, split_part(mention, '.', 1) AS a1, split_part(mention, '.', 2) AS a2, split_part(fqn, '.', 2) AS b1, split_part(fqn, '.', 3) AS b2 FROM m, g),
+s AS (SELECT mention, fqn, round(({_JW.format(a="a1", b="b1")} + {_JW.format(a="a2", b="b2")}) / 2, 12) AS score FROM p),
+r AS (SELECT mention, fqn, round(score, 9) AS score, dense_rank() OVER (PARTITION BY mention ORDER BY score DESC) AS rank FROM s)
+SELECT mention, fqn, score, rank::INT AS rank FROM r WHERE rank <= 20""")
+def j2_topk_distinct(spark, folder):
+    parts = views.named_parts(spark, folder)
+    mentions = parts.select(F.translate(F.replace(F.col("p_name"), F.lit("i"), F.lit("e")), " ", ".").alias("mention"))
+    return linking.fuzzy(mentions, linking.gazetteer(parts)).withColumn("score", F.round("score", 9))
+
+
+@query(f"""
+WITH g AS (SELECT DISTINCT {NAME_SQL} AS fqn FROM part), m AS (SELECT DISTINCT 'x.' || split_part(p_name, ' ', 2) AS mention FROM part)
+SELECT mention, fqn FROM m, g WHERE lower(substr(split_part(mention, '.', 2), 1, 2)) = lower(substr(split_part(fqn, '.', 3), 1, 2))""")
+def j4_same_block(spark, folder):
+    parts = views.named_parts(spark, folder)
+    mentions = parts.select(F.concat(F.lit("x."), F.substring_index("p_name", " ", -1)).alias("mention")).distinct()
+    return linking.same_block(mentions, linking.gazetteer(parts))
+
+
+@query(f"SELECT DISTINCT unnest(string_split({NAME_SQL}, '.')) AS term FROM part")
+def j5_terms(spark, folder):
+    return linking.terms(linking.gazetteer(views.named_parts(spark, folder)))
+
+
+@query(f"""
+WITH w AS (SELECT conv_id * 100 + turn AS turn_id, {WORD_SQL} AS w FROM conversations),
+t AS (SELECT turn_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM w),
+c AS (SELECT a.turn_id, (a.pos - 1)::INT AS cand_ord, replace(a.token, '.', '') || '.' || replace(b.token, '.', '') AS fqn,
+             list_distinct([replace(a.token, '.', ''), replace(b.token, '.', '')]) AS parts
+      FROM t a JOIN t b ON a.turn_id = b.turn_id AND b.pos = a.pos + 1 WHERE a.pos BETWEEN 1 AND 5),
+e AS (SELECT turn_id, pos, unnest(string_split(token, '.')) AS entry FROM t),
+s AS (SELECT c.turn_id, c.cand_ord, sum(1.0 / e.pos) AS score
+      FROM (SELECT turn_id, cand_ord, unnest(parts) AS entry FROM c) c JOIN e ON c.turn_id = e.turn_id AND c.entry = e.entry WHERE e.pos <> 0 GROUP BY ALL)
+SELECT c.turn_id, c.cand_ord, c.fqn, round(coalesce(s.score, 0), 6) AS score
+FROM c LEFT JOIN s ON c.turn_id = s.turn_id AND c.cand_ord = s.cand_ord""")
+def r1_proximity(spark, folder):
+    tokens = views.turn_tokens(spark, folder)
+    plain = F.translate("token", ".", "")
+    after = F.lead(plain).over(Window.partitionBy("turn_id").orderBy("pos"))
+    cands = tokens.select("turn_id", "pos", F.concat(plain, F.lit("."), after).alias("fqn")).where("pos BETWEEN 1 AND 5 AND fqn IS NOT NULL")
+    cands = cands.select("turn_id", F.lit(0).alias("mention_idx"), (F.col("pos") - 1).alias("cand_ord"), "fqn")
+    mentions = tokens.where("pos = 0").select("turn_id", F.lit(0).alias("mention_idx"), "pos")
+    ranked = linking.nearness(tokens, mentions, cands, "turn_id")
+    return ranked.select("turn_id", "cand_ord", "fqn", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+WITH x AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS c3, split_part(p_name, ' ', 1) AS c2, lower(p_type) AS c1 FROM part),
+q AS (SELECT DISTINCT c2 || '.zz.' || c3 AS mention, c2, c3 FROM x)
+SELECT mention, c2 || '.' || c3 AS constraint FROM q""")
+def r2_suffix(spark, folder):
+    parts = views.named_parts(spark, folder)
+    mention = F.replace(F.col("p_name"), F.lit(" "), F.lit(".zz."))
+    return linking.longest_suffix(parts.select(mention.alias("mention")), linking.gazetteer(parts))
+
+
+# Aliases and code
+
+
+@query("""
+SELECT p_partkey, replace(p_name, ' ', '.') || '.sum' AS called, replace(p_name, ' ', '.') AS subscript FROM part""")
+def a1_mentions(spark, folder):
+    dotted = F.translate("p_name", " ", ".")
+    called = F.concat(dotted, F.lit(".sum(axis="), F.col("p_size").cast("string"), F.lit(").x"))
+    subscript = F.concat(dotted, F.lit("['"), "p_type", F.lit("']"))
+    return read(spark, folder, "part").select("p_partkey", text.normalised_mention(called).alias("called"), text.normalised_mention(subscript).alias("subscript"))
+
+
+@query("""
+SELECT p_partkey, 'm' || p_partkey AS alias, lower(p_type) || '.core' AS module, 0 AS ord FROM part
+UNION ALL
+SELECT p_partkey, split_part(p_name, ' ', 2), lower(p_type) || '.' || split_part(p_name, ' ', 1) || '.' || split_part(p_name, ' ', 2), 1 FROM part""")
+def c1_imports(spark, folder):
+    return code.import_rows(views.part_code(spark, folder), "p_partkey")
+
+
+@query("""
+SELECT p_partkey, 'x' AS variable, 'm' || p_partkey || '.load' AS source, 0 AS index, 0 AS ord FROM part
+UNION ALL SELECT p_partkey, 'y', split_part(p_name, ' ', 2), 0, 1 FROM part
+UNION ALL SELECT p_partkey, 'z', split_part(p_name, ' ', 2), 1, 2 FROM part""")
+def c4_assignments(spark, folder):
+    return code.assign_rows(views.part_code(spark, folder), "p_partkey")
+
+
+@query("""
+SELECT p_partkey, ['x', 'y', 'z'] AS assigned, ['a'] AS parameters FROM part""")
+def c13_names(spark, folder):
+    posts = views.part_code(spark, folder).select("p_partkey", code.names(F.element_at("code_blocks", 1)).alias("n"))
+    return posts.select("p_partkey", F.array_sort("n.assigned").alias("assigned"), F.col("n.parameters").alias("parameters"))
+
+
+@query("""
+SELECT p_partkey, lower(p_type) || '.core.load.head' AS x, lower(p_type) || '.' || replace(p_name, ' ', '.') || '.tail' AS y, 'm' || p_partkey AS name,
+       lower(p_type) || '.core' AS source FROM part""")
+def a4_variables(spark, folder):
+    posts = views.part_code(spark, folder)
+    chain = aliases.source_chain(code.import_rows(posts, "p_partkey"), code.assign_rows(posts, "p_partkey"), "p_partkey")
+    maps = chain.groupBy("p_partkey").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("source", "index")))).alias("chain"))
+    name = F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
+    return maps.select(
+        "p_partkey",
+        aliases.resolved(F.lit("x.head"), F.col("chain")).alias("x"),
+        aliases.resolved(F.lit("y.tail"), F.col("chain")).alias("y"),
+        name.alias("name"),
+        F.try_element_at("chain", name)["source"].alias("source"),
+    )
+
+
+@query(f"""
+WITH c AS (SELECT p_brand AS alias, {NAME_SQL} AS fqn, count(*) AS freq FROM part GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY freq DESC, fqn) AS k FROM c),
+b AS (SELECT alias, fqn FROM o WHERE k = 1 AND freq >= 10)
+SELECT p_partkey, coalesce(b.fqn, p_brand) || '.' || p_size AS mention FROM part LEFT JOIN b ON p_brand = b.alias""")
+def a5_aliases(spark, folder):
+    parts = views.named_parts(spark, folder)
+    counted = parts.groupBy(F.col("p_brand").alias("alias"), "fqn").agg(F.count("*").alias("freq"))
+    ordered = counted.withColumn("ord", F.row_number().over(Window.partitionBy("alias").orderBy(F.desc("freq"), "fqn")))
+    best = aliases.best_alias(ordered, linking.terms(linking.gazetteer(parts)))
+    mentions = parts.select("p_partkey", F.concat("p_brand", F.lit("."), F.col("p_size").cast("string")).alias("mention"))
+    return aliases.with_aliases(mentions, best)
+
+
+# Spans
+
+
+@query("""
+WITH s AS (SELECT DISTINCT user_id, floor(value)::INT AS a, floor(value)::INT + json_extract(props, '$.k')::INT AS b FROM events)
+SELECT user_id, a AS start, b AS "end" FROM s x
+WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.user_id = x.user_id AND y.a <= x.a AND x.b <= y.b AND (y.a <> x.a OR y.b <> x.b))""")
+def p1_outermost(spark, folder):
+    return spans.outermost_rows(views.event_spans(spark, folder), "user_id")
+
+
+@query("""
+SELECT doc_id, md5(substr(text, 1, 2) || '</BEGIN>' || substr(text, 3, 5) || '<END/>' || substr(text, 8)) AS marked,
+       md5('<strong><span style="color:red">' || substr(text, 1, 2) || '</span></strong>' || substr(text, 3, 3) || '<strong><span style="color:blue">' || substr(text, 6, 2) || '</span></strong>' || substr(text, 8)) AS coloured
+FROM documents WHERE length(text) >= 8""")
+def p2_marked(spark, folder):
+    span = lambda a, b, kind: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(kind).alias("type"))
+    docs = read(spark, folder, "documents").where(F.length("text") >= 8)
+    return docs.select(
+        "doc_id",
+        F.md5(spans.marked(F.col("text"), F.array(span(3, 5, "x"), span(2, 7, "x"), span(2, 7, "x")))).alias("marked"),
+        F.md5(spans.coloured(F.col("text"), F.array(span(5, 7, "CTX"), span(0, 2, "API")))).alias("coloured"),
+    )
+
+
+@query(f"""
+WITH w AS (SELECT conv_id * 100 + turn AS turn_id, {WORD_SQL} AS w FROM conversations),
+t AS (SELECT turn_id, unnest(w) AS token, (generate_subscripts(w, 1) - 1)::INT AS pos FROM w),
+o AS (SELECT *, (sum(length(token) + 1) OVER (PARTITION BY turn_id ORDER BY pos) - 1)::INT AS e FROM t)
+SELECT turn_id, pos, token, e - length(token)::INT AS start, e AS "end" FROM o""")
+def p6_offsets(spark, folder):
+    return spans.token_places(views.turn_tokens(spark, folder), "turn_id")
+
+
+# Replies
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 5 WHEN 4 THEN NULL ELSE [p_type, p_name] END AS items FROM part""")
+def l9_lists(spark, folder):
+    pair = F.concat_ws(", ", "p_type", "p_name")
+    form = F.col("p_size") % 5
+    reply = (
+        F.when(form == 0, F.concat(F.lit("```json\n[\""), "p_type", F.lit("\", \""), "p_name", F.lit("\"]\n```")))
+        .when(form == 1, F.concat(F.lit("["), pair, F.lit("]")))
+        .when(form == 2, F.concat(F.lit("1. "), "p_type", F.lit("\n2. "), "p_name"))
+        .when(form == 3, F.concat(F.lit("\\[ \\text{['"), "p_type", F.lit("', '"), "p_name", F.lit("']} \\]")))
+        .otherwise(F.col("p_type"))
+    )
+    return read(spark, folder, "part").select("p_partkey", replies.listed(reply)["items"].alias("items"))
+
+
+@query("""SELECT p_partkey, p_name AS np, p_type AS value, [p_name, p_brand] AS chain FROM part""")
+def l11_completions(spark, folder):
+    parts = read(spark, folder, "part")
+    pairs = F.concat(F.lit('Here: [{"NP": "'), "p_name", F.lit('", "Value": "'), "p_type", F.lit('"}] done'))
+    chains = F.concat(F.lit('```json\n{"c1": ["'), "p_name", F.lit('", "'), "p_brand", F.lit('"]}\n```'))
+    rows = parts.select("p_partkey", replies.completions(pairs).alias("c"), replies.chains(chains).alias("m"))
+    return rows.select("p_partkey", F.col("c")[0]["NP"].alias("np"), F.col("c")[0]["Value"].alias("value"), F.col("m")["c1"].alias("chain"))
+
+
+@query(f"""
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'count' WHEN 1 THEN 'none' WHEN 2 THEN 'unknown' WHEN 3 THEN 'suffix' ELSE 'pass' END AS verdict FROM part""")
+def l12_verdicts(spark, folder):
+    parts = views.named_parts(spark, folder)
+    form, name = F.col("p_size") % 5, F.col("fqn")
+    predicted = F.when(form == 0, F.array(name, name)).when(form == 1, F.array(F.lit("None"))).when(form == 2, F.array(F.lit("no.such.name"))).otherwise(F.array(name))
+    constraint = F.when(form == 3, F.lit("elsewhere")).otherwise(F.substring_index(name, ".", -1))
+    known = F.array(name)
+    return parts.select("p_partkey", replies.verdict(predicted, F.array("p_name"), F.array(constraint), known).alias("verdict"))
+
+
+@query(r"""
+WITH g AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, md5('Question:' || chr(10) || t[1] || chr(10) || chr(10) || 'Answer:' || chr(10) || coalesce(t[2], '') || chr(10) || chr(10) || 'Other Answers:' || chr(10)
+       || coalesce(list_aggregate(list_transform(range(3, len(t) + 1), lambda i: (i - 2)::VARCHAR || '. ' || t[i]), 'string_agg', chr(10)), '')
+       || chr(10) || chr(10) || 'Comments:' || chr(10)) AS context FROM g""")
+def l7_context(spark, folder):
+    turns = read(spark, folder, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t"))
+    t = F.col("t")
+    others = F.slice(t, F.lit(3), F.greatest(F.size(t) - 2, F.lit(0)))
+    return turns.select("conv_id", F.md5(replies.context(F.get(t, F.lit(0)), F.get(t, F.lit(1)), others, F.array().cast("array<string>"))).alias("context"))
+
+
+@query("""
+SELECT p_partkey, [-100, 1, 1, 0, -100] AS labels, [-100, 1, -100, 0, -100] AS first_labels, [-100, 1, 1, 0, -100, -100] AS padded FROM part""")
+def n1_piece_labels(spark, folder):
+    words = F.array(F.lit(None).cast("int"), F.lit(0), F.lit(0), F.lit(1), F.lit(None).cast("int"))
+    labels = F.array((F.col("p_partkey") >= 0).cast("int"), F.lit(0))
+    of_all = tagging.piece_labels(words, labels)
+    return read(spark, folder, "part").select("p_partkey", of_all.alias("labels"), tagging.piece_labels(words, labels, False).alias("first_labels"), tagging.padded(of_all, 6).alias("padded"))
+
+
+# Sources and knowledge
+
+
+@query(f"""
+SELECT p_partkey::VARCHAR AS id, ' ' || p_name || ' uses ' || p_type || '. ' AS post, [p_type] AS api FROM part""")
+def s2_annotated(spark, folder):
+    rows = views.annotated_parts(spark, folder)
+    return tables.annotated_posts(rows).select("id", "post", "api")
+
+
+@query("""
+SELECT a.conv_id, a.turn, q.text AS question FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND q.turn = 0 WHERE a.turn > 0""")
+def s9_questions(spark, folder):
+    turns = read(spark, folder, "conversations")
+    place = F.struct("conv_id", "turn")
+    posts = turns.select(
+        place.alias("id"), F.struct("conv_id", F.lit(0).cast("long").alias("turn")).alias("parent_id"), F.col("role").alias("title"), F.col("text").alias("body"), F.lit("").alias("tags")
+    )
+    found = tables.questions_of(turns.where("turn > 0").select(place.alias("id")), posts)
+    return found.select("id.conv_id", "id.turn", F.col("body").alias("question"))
+
+
+@query("""
+SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS snippet_idx, 'part.' || l_partkey AS api,
+       'Line part.' || l_partkey || ' of it' || chr(10) || '''it'' refers to order ' || l_orderkey AS snippet
+FROM lineitem""")
+def k2_organise(spark, folder):
+    lines = views.numbered_lines(spark, folder)
+    html = F.concat(F.lit("Line <strong>" + text.RED_OPEN), F.col("l_suppkey").cast("string"), F.lit("</span></strong> of <strong>" + text.BLUE_OPEN + "it</span></strong>"))
+    snippets = lines.select("l_orderkey", F.col("k").alias("snippet_idx"), html.alias("html"))
+    linked = lines.select("l_orderkey", F.col("k").alias("mention_idx"), F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("fqn"))
+    done = lines.select("l_orderkey", F.col("k").alias("completion_idx"), F.lit("it").alias("entity"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("context"))
+    return knowledge.organise(snippets, linked, done, "l_orderkey")
+
+
+@query("""
+SELECT n_name AS api, s_name AS knowledge FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_3' ORDER BY 1, 2 LIMIT 5""")
+def k3_by_api(spark, folder):
+    return knowledge.by_api(views.supplier_knowledge(spark, folder).select("api", "knowledge"), " NATION_3 ")
+
+
+@query("""
+SELECT source AS api, text AS knowledge FROM documents WHERE text LIKE '%License%' AND source IS NOT NULL ORDER BY 1, 2 LIMIT 5""")
+def k4_by_keyword(spark, folder):
+    return knowledge.by_keyword(read(spark, folder, "documents").where("source IS NOT NULL").select(F.col("source").alias("api"), F.col("text").alias("knowledge")), "License")
+
+
+@query("""
+SELECT n_name AS api, s_name || ' in stock' AS knowledge FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0""")
+def s12_storable(spark, folder):
+    rows = views.supplier_knowledge(spark, folder)
+    snippet = F.when(F.col("s_acctbal") > 0, F.concat(F.lit(" <strong>"), "knowledge", F.lit("</strong> in stock "))).otherwise(" ")
+    return knowledge.storable(rows.select("api", snippet.alias("snippet")))
+
+
+@query(r"""
+WITH w AS (SELECT conv_id * 100 + turn AS turn_id, string_split(lower(text), ' ') AS w FROM conversations)
+SELECT turn_id, len(list_filter(w, lambda x: x IN ('it', 'this'))) = 0 AS no_candidate,
+       NOT list_contains(w, 'this') OR list_contains(w, 'it') AS kept FROM w""")
+def e5_chain_filter(spark, folder):
+    words = F.split(F.lower("text"), " ")
+    rows = read(spark, folder, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), words.alias("w"))
+    has = lambda x: F.array_contains("w", x)
+    chain = F.create_map(F.lit("a"), F.when(has("this"), F.array(F.lit("this"), F.when(has("it"), "this").otherwise("that"))).otherwise(F.array(F.lit("x"))))
+    return rows.select(
+        "turn_id",
+        (F.size(F.filter("w", lambda x: x.isin("it", "this"))) == 0).alias("no_candidate"),
+        entities.kept_by_chains(F.lit("this"), chain, F.array(F.lit("this"), F.lit("it"))).alias("kept"),
+    )
+
+
+@query()
+def e2_candidates(spark, folder):
+    turns = read(spark, folder, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.explode(entities.chunked("text")).alias("c"))
+    chunks = turns.select("turn_id", F.lit(0).alias("sent_idx"), "c.*")
+    variables = views.turn_tokens(spark, folder).where("pos = 0").select("turn_id", F.col("token").alias("name"))
+    return entities.candidates(chunks, variables, "turn_id")
+
+
+# Evaluation
+
+_SCORES = """
+SELECT {by} tp, fp, fn, tn,
+  CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE round(tp::DOUBLE / (tp + fp), 9) END AS "precision",
+  CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE round(tp::DOUBLE / (tp + fn), 9) END AS recall,
+  CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE round(2.0 * tp / (2 * tp + fp + fn), 9) END AS f1,
+  CASE WHEN (tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0.0
+       ELSE round((tp * tn - fp * fn)::DOUBLE / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 9) END AS mcc
+FROM (SELECT {by} count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp,
+             count(*) FILTER (quality = 1 AND toxic = 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 0) AS tn FROM {rows} {group})"""
+
+
+def _rounded(counts: DataFrame) -> DataFrame:
+    found = metrics.scores(counts)
+    for name in ("precision", "recall", "f1", "mcc"):
+        found = found.withColumn(name, F.round(name, 9))
+    return found
+
+
+@query(_SCORES.format(by="", rows="labels", group=""))
+def g_confusion_prf_mcc(spark, folder):
+    return _rounded(metrics.confusion(read(spark, folder, "labels"), "quality", "toxic"))
+
+
+@query(_SCORES.format(by="lang, ", rows="labels JOIN documents USING (doc_id)", group="GROUP BY lang"))
+def g_scores_by_language(spark, folder):
+    rows = read(spark, folder, "labels").join(read(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
+    return _rounded(metrics.confusion(rows, "quality", "toxic", ("lang",)))
+
+
+# Flagship
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)(<p>.*?</p>|<pre><code>.*?</code></pre>)', 1) AS b FROM pages),
+u AS (SELECT page_id, unnest(b) AS block, generate_subscripts(b, 1) - 1 AS seg FROM p),
+c AS (SELECT page_id * 10000 + seg AS par_id, string_split(trim(regexp_replace(lower(regexp_extract(block, '(?s)^<p>(.*)</p>$', 1)), '[^\p{L}]+', ' ', 'g')), ' ') AS w FROM u),
+t AS (SELECT par_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM c),
+n AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS fqn FROM pages),
+k AS (SELECT DISTINCT fqn, unnest(string_split(fqn, '.')) AS term FROM n),
+m AS (SELECT par_id, fqn, min(pos) AS pos FROM t JOIN k ON t.token = k.term GROUP BY ALL),
+f AS (SELECT par_id, min(pos) AS mpos FROM m GROUP BY par_id),
+s AS (SELECT m.par_id, m.fqn, sum(1.0 / abs(t.pos - f.mpos)) AS score
+      FROM m JOIN f USING (par_id) JOIN k ON m.fqn = k.fqn JOIN t ON t.par_id = m.par_id AND t.token = k.term WHERE t.pos <> f.mpos GROUP BY ALL),
+r AS (SELECT m.par_id, m.fqn, round(coalesce(s.score, 0), 6) AS score,
+             row_number() OVER (PARTITION BY m.par_id ORDER BY round(coalesce(s.score, 0), 6) DESC, m.fqn) AS rank
+      FROM m LEFT JOIN s ON m.par_id = s.par_id AND m.fqn = s.fqn)
+SELECT par_id, fqn, score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def flagship_link_pages(spark, folder):
+    """Paragraphs' words against the gazetteer of hosts: candidates by shared components,
+    ranked by nearness to the first word that hits, the five best of each paragraph."""
+    pages = read(spark, folder, "pages")
+    paragraphs = segments.segments(pages, "page_id", "html").select((F.col("page_id") * 10000 + F.col("seg_idx")).alias("par_id"), "content")
+    words = F.split(F.trim(F.regexp_replace(F.lower("content"), r"[^\p{L}]+", " ")), " ")
+    tokens = paragraphs.select("par_id", F.posexplode(words).alias("pos", "token"))
+    names = linking.gazetteer(pages.select(F.regexp_extract("url", r"://([^/?#]*)", 1).alias("fqn")))
+    found = tokens.join(names.select("fqn", F.explode(F.array_distinct("parts")).alias("token")), "token").groupBy("par_id", "fqn").agg(F.min("pos").alias("pos"))
+    mentions = found.groupBy("par_id").agg(F.min("pos").alias("pos")).withColumn("mention_idx", F.lit(0))
+    candidates = found.select("par_id", F.lit(0).alias("mention_idx"), F.col("fqn").alias("cand_ord"), "fqn")
+    near = linking.nearness(tokens, mentions, candidates, "par_id").withColumn("score", F.round("score", 6))
+    order = Window.partitionBy("par_id").orderBy(F.desc("score"), "fqn")
+    return near.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("par_id", "fqn", "score", "rank")
