@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm import common
+
 SAMPLE = 20_000
 DIM = 1 << 22
 TERMS = 1024
@@ -121,29 +123,27 @@ class Scorer:
         return self.model.score(np.array(sorted(present), np.int64))
 
 
-def choose(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The hashed terms with the highest chi-square, of those in five rows and more."""
-    ids = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    toxic = np.repeat(labels, [len(x) for x in rows])
-    known, place = np.unique(ids, return_inverse=True)
-    n, hits = np.bincount(place, minlength=len(known)), np.bincount(place, toxic, minlength=len(known))
-    total, positive = len(labels), labels.sum()
-    expected = n * positive / total
-    spread = expected * (1 - positive / total) * (1 - n / total)
-    chi = np.where(n >= 5, (hits - expected) ** 2 / np.maximum(spread, 1e-9), 0)
-    best = np.lexsort((known, -chi))[:TERMS]
-    return np.sort(known[best[chi[best] > 4]])
+def choose(hashed: DataFrame, rows: int, toxic: int) -> np.ndarray:
+    """The hashed terms with the highest chi-square, of those in five rows and more; hashed
+    has doc_id, toxic and terms of `rows` rows."""
+    counted = hashed.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(
+        F.count("*").cast("double").alias("n"), F.sum("toxic").cast("double").alias("hits")
+    )
+    expected = F.col("n") * (toxic / rows)
+    spread = expected * (1 - toxic / rows) * (1 - F.col("n") / rows)
+    chi = (F.col("hits") - expected) ** 2 / F.greatest(spread, F.lit(1e-9))
+    best = counted.where("n >= 5").select("term", chi.alias("chi")).where("chi > 4").orderBy(F.desc("chi"), "term").limit(TERMS)
+    return np.sort(np.array([r["term"] for r in best.collect()], np.int64))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """The machine's weights by Adam on the logistic loss, all rows a step."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, seed: int = 7) -> Model:
+    """The machine's weights by Adam on the logistic loss, all rows a step. rows: the places
+    in `chosen` of each row's terms."""
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(-30.0 if share == 0 else 30.0, np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
-    chosen = choose(rows, labels)
-    present = [np.searchsorted(chosen, np.intersect1d(chosen, ids, assume_unique=True)) for ids in rows]
-    term = np.concatenate(present)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in present])
+    term = np.concatenate(rows).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     by_term = np.argsort(term, kind="stable")
     row_of, at_term = row[by_term], np.searchsorted(term[by_term], np.arange(len(chosen)))
     at_row = np.searchsorted(row, np.arange(len(rows)))
@@ -202,15 +202,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             found = [np.array(sorted(terms(t)), np.int32) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "terms": found})
 
-    rows = (
+    hashed = common.stored(
         docs.select("doc_id", "text")
-        .join(known, "doc_id")
+        .join(F.broadcast(known), "doc_id")  # `sample` rows at most
         .select("doc_id", "toxic", "text")
-        .mapInPandas(hashed, "doc_id long, toxic int, terms array<int>")
-        .toPandas()
-        .sort_values("doc_id", kind="stable")
+        .mapInPandas(hashed, "doc_id long, toxic int, terms array<int>"),
+        "sample-terms",
     )
-    return fit([np.asarray(x, np.int64) for x in rows["terms"]], rows["toxic"].to_numpy(np.float64))
+    rows, toxic = hashed.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < toxic < rows:
+        return fit([], np.full(1, float(toxic > 0)), np.empty(0, np.int64))
+    chosen = choose(hashed, rows, toxic)
+    held = F.array_intersect("terms", F.lit([int(x) for x in chosen]).cast("array<int>")) if len(chosen) else F.array().cast("array<int>")
+    known = hashed.select("doc_id", "toxic", held.alias("terms")).orderBy("doc_id", "toxic").collect()
+    places = [np.sort(np.searchsorted(chosen, np.array(r["terms"], np.int64))) for r in known]
+    return fit(places, np.array([r["toxic"] for r in known], np.float64), chosen)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
