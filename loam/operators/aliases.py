@@ -52,17 +52,13 @@ def source_chain(imports: DataFrame, assigns: DataFrame, key: str) -> DataFrame:
     return a.unionByName(b).groupBy(key, "name").agg(F.max_by(F.struct("source", "index"), "at").alias("s")).select(key, "name", "s.source", "s.index")
 
 
-def returned(function: str, index: int, returns: dict = RETURNS) -> str:
-    """The type a call gives at a place of its result; the call itself if that is unknown."""
-    kind = returns.get(function, function)
+def _at(kind: str | list, index: int) -> str:
     if isinstance(kind, str):
         return kind
     return kind[index] if 0 <= index < len(kind) else "Unknown"
 
 
-def type_of(name: str, chain: dict, returns: dict = RETURNS, seen: frozenset = frozenset()) -> str:
-    """A name by the post's chain {name: (source, index or None)}. A name that leads back to
-    itself, or a chain of more than DEEPEST steps, stays as it is."""
+def _kind(name: str, chain: dict, returns: dict, seen: frozenset) -> str | list:
     if name in seen or len(seen) > DEEPEST:
         return name
     seen = seen | {name}
@@ -70,14 +66,23 @@ def type_of(name: str, chain: dict, returns: dict = RETURNS, seen: frozenset = f
         source, index = chain[name]
         if index is None:
             return source
-        return returned(type_of(source, chain, returns, seen), index, returns)
+        kind = _kind(source, chain, returns, seen)
+        return _at(returns.get(kind, kind) if isinstance(kind, str) else kind, index)
     owner, dot, method = name.rpartition(".")
     if dot:
-        full = f"{type_of(owner, chain, returns, seen)}.{method}"
-        return full if full == name else returned(full, 0, returns)
+        full = f"{_at(_kind(owner, chain, returns, seen), 0)}.{method}"
+        return returns.get(full, full)
     return name
 
 
+def type_of(name: str, chain: dict, returns: dict = RETURNS) -> str:
+    """A name by the post's chain {name: (source, index or None)}: an import is its module,
+    a variable what its call returns at its index, a dotted name its owner's type with the
+    method behind it. A name that leads back to itself, or a chain of more than DEEPEST
+    steps, stays as it is; of a tuple without an index the first type counts."""
+    return _at(_kind(name, chain, returns, frozenset()), 0)
+
+
 def resolved(mention, chain, returns: dict = RETURNS) -> Column:
     """type_of() the first component of a mention, with the others behind it; chain is a
     map<string, struct<source, index>>."""

@@ -14,6 +14,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loam.operators.replies import parse_list
 
@@ -40,11 +41,11 @@ class Completer(Protocol):
 
 @dataclass(frozen=True)
 class FirstCandidate:
-    """Offline: the first candidate of each numbered list in the last message."""
+    """Offline: the first candidate of each numbered list in the user's first message."""
 
     def complete(self, messages: list[dict]) -> str:
         picked = []
-        for line in messages[-1]["content"].split("\n"):
+        for line in next(m["content"] for m in messages if m["role"] == "user").split("\n"):
             number, dot, rest = line.partition(". [")
             if dot and number.isdigit():
                 found = parse_list("[" + rest)[0] or [""]
@@ -88,7 +89,7 @@ def messages(template: str, **columns: Column) -> Column:
 def completed(prompts: DataFrame, completer: Completer, column: str = "messages", concurrency: int | None = None) -> DataFrame:
     """prompts with `reply`; a failed call is null and the others go on."""
     rows = prompts.repartition(concurrency) if concurrency else prompts
-    schema = rows.schema.add("reply", "string")
+    schema = T.StructType([*rows.schema, T.StructField("reply", T.StringType())])
 
     def called(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -107,7 +108,7 @@ def constrained(prompts: DataFrame, completer: Completer, known: set | frozenset
     """prompts (messages, mentions, constraints) with predicted and verdict: a reply that
     breaks a constraint is called again, with the reason, up to `retries` times. `known` is
     asked for membership only; pass a bounded set or a lookup object."""
-    schema = prompts.schema.add("predicted", "array<string>").add("verdict", "string")
+    schema = T.StructType([*prompts.schema, T.StructField("predicted", T.ArrayType(T.StringType())), T.StructField("verdict", T.StringType())])
 
     def judge(found: list | None, mentions, constraints) -> str:
         if found is None or len(found) != len(mentions):
