@@ -30,11 +30,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 13
 VARIANTS = 4
+SHORT = 96
+LAST = 1 << 30
 MARK = "▁"
 PART = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 
@@ -42,7 +45,7 @@ PART = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 @dataclass(frozen=True)
 class Vocabulary:
     ids: dict
-    scores: dict
+    ranks: dict
     byte_ids: tuple
     raw: tuple
 
@@ -64,13 +67,14 @@ def load(path: str = MODEL) -> Vocabulary:
         else:
             ids[piece], scores[piece] = k, model.get_score(k)
             raw.append(piece.replace(MARK, " ").encode())
-    return Vocabulary(ids, scores, tuple(byte_ids), tuple(raw))
+    order = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
+    return Vocabulary(ids, {piece: order[score] for piece, score in scores.items()}, tuple(byte_ids), tuple(raw))
 
 
 class Encoder:
     """Encodes and decodes with one vocabulary; keeps the pieces of parts met lately."""
 
-    KEEP = 150_000
+    KEEP = 400_000
 
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         import xxhash
@@ -78,16 +82,48 @@ class Encoder:
         self.v, self.seed = vocabulary, seed
         self.below = int(dropout * (1 << 32))
         self.hash32, self.hash64 = xxhash.xxh32_intdigest, xxhash.xxh64_intdigest
-        self.new: dict = {}
-        self.old: dict = {}
+        self.new: dict[int, dict] = {}
+        self.old: dict[int, dict] = {}
+        self.count = 0
 
     def variant(self, doc_id: int | None) -> int:
         return 0 if doc_id is None else self.hash64(str(doc_id), self.seed) % VARIANTS
 
     def merge(self, part: str, variant: int) -> tuple[int, ...]:
         """The pieces of a part, by the agenda."""
-        scores, below = self.v.scores, self.below
-        key = self.hash32(part, self.seed * 1000003 + variant) if below else 0
+        key = self.hash32(part, self.seed * 1000003 + variant) if self.below else 0
+        symbols = self._short(part, key) if len(part) <= SHORT else self._long(part, key)
+        ids = self.v.ids
+        try:
+            return tuple([ids[x] for x in symbols])
+        except KeyError:  # characters that no piece holds
+            return tuple(i for x in symbols for i in ([ids[x]] if x in ids else [self.v.byte_ids[b] for b in x.encode("utf-8", "surrogatepass")]))
+
+    def _short(self, part: str, key: int) -> list[str]:
+        """A list of ranks as agenda: its least entry, the leftmost of equals, is next."""
+        rank, below, hashed = self.v.ranks.get, self.below, self.hash32
+        symbols, places = list(part), list(range(len(part)))
+        agenda = [rank(a + b, LAST) for a, b in zip(part, part[1:], strict=False)]
+        while agenda:
+            least = min(agenda)
+            if least == LAST:
+                break
+            k = agenda.index(least)
+            piece = symbols[k] + symbols[k + 1]
+            if below and hashed(piece, key + places[k] & 0xFFFFFFFF) < below:
+                agenda[k] = LAST
+                continue
+            symbols[k] = piece
+            del symbols[k + 1], places[k + 1], agenda[k]
+            if k:
+                agenda[k - 1] = rank(symbols[k - 1] + piece, LAST)
+            if k < len(agenda):
+                agenda[k] = rank(piece + symbols[k + 1], LAST)
+        return symbols
+
+    def _long(self, part: str, key: int) -> list[str]:
+        """A heap as agenda, for parts where a scan for each merge would cost too much."""
+        rank, below = self.v.ranks.get, self.below
         symbols = list(part)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -95,9 +131,8 @@ class Encoder:
 
         def propose(a: int, b: int) -> None:
             piece = symbols[a] + symbols[b]
-            score = scores.get(piece)
-            if score is not None:
-                heapq.heappush(agenda, (-score, a, b, piece))
+            if (at := rank(piece, LAST)) != LAST:
+                heapq.heappush(agenda, (at, a, b, piece))
 
         for k in range(n - 1):
             propose(k, k + 1)
@@ -114,40 +149,35 @@ class Encoder:
                 propose(a, c)
             if before[a] >= 0:
                 propose(before[a], a)
-        ids, found = self.v.ids, []
-        for symbol in symbols:
-            if symbol:
-                known = ids.get(symbol)
-                if known is not None:
-                    found.append(known)
-                else:
-                    found.extend(self.v.byte_ids[x] for x in symbol.encode("utf-8", "surrogatepass"))
-        return tuple(found)
-
-    def pieces(self, part: str, variant: int) -> tuple[int, ...]:
-        known = (part, variant)
-        found = self.new.get(known)
+        return [x for x in symbols if x]
+
+    def _known(self, variant: int) -> dict:
+        """The variant's young memory of parts; the parts that fell out of it are in the old."""
+        if self.count >= self.KEEP:
+            self.old, self.new, self.count = self.new, {}, 0
+        return self.new.setdefault(variant, {})
+
+    def _pieces(self, part: str, variant: int, known: dict) -> tuple[int, ...]:
+        found = self.old.get(variant, known).get(part)
         if found is None:
-            found = self.old.get(known)
-            if found is None:
-                found = self.merge(part, variant)
-            if len(part) <= 64:
-                if len(self.new) >= self.KEEP:
-                    self.old, self.new = self.new, {}
-                self.new[known] = found
+            found = self.merge(part, variant)
+        if len(part) <= 64:
+            known[part] = found
+            self.count += 1
         return found
 
     def encode(self, text: str | None, variant: int = 0) -> array:
         out = array("i")
         if not text:
             return out
-        literal = tuple(self.v.byte_ids[x] for x in MARK.encode())
+        known = self._known(variant)
+        get, extend = known.get, out.extend
         for k, stretch in enumerate(text.split(MARK)):
             if k:
-                out.extend(literal)
+                extend(self.v.byte_ids[x] for x in MARK.encode())
             marked = stretch.replace(" ", MARK)
             for part in PART.findall(marked if k else MARK + marked):
-                out.extend(self.pieces(part, variant))
+                extend(get(part) or self._pieces(part, variant, known))
         return out
 
     def decode(self, ids) -> bytes:
@@ -171,7 +201,7 @@ def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: i
     """docs with `piece_ids` (array of int) and `variant` in place of the text."""
     sent = docs.sparkSession.sparkContext.broadcast(load(path))
     kept = [c for c in docs.columns if c not in ("text", "piece_ids", "variant")]
-    schema = docs.select(*kept).schema.add("variant", "int").add("piece_ids", "array<int>")
+    schema = docs.select(*kept).schema.add("variant", T.IntegerType()).add("piece_ids", T.ArrayType(T.IntegerType()))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent, dropout, seed)
@@ -195,7 +225,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """Rows of encode() with their text in place of the pieces."""
     sent = encoded.sparkSession.sparkContext.broadcast(load(path))
     kept = [c for c in encoded.columns if c not in ("text", "piece_ids")]
-    schema = encoded.select(*kept).schema.add("text", "string")
+    schema = encoded.select(*kept).schema.add("text", T.StringType())
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent, 0.0, 0)
