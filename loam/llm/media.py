@@ -65,7 +65,9 @@ def decode(media: bytes) -> np.ndarray:
         raise ValueError("not a PNG")
     at, shape, packed = len(PNG), None, []
     while at < len(media):
-        size, kind = struct.unpack(">I4s", media[at : at + 8])
+        size, kind = struct.unpack(">I4s", media[at : at + 8].ljust(8, b"\0"))
+        if at + 12 + size > len(media):
+            raise ValueError("cut short")
         body = media[at + 8 : at + 8 + size]
         if zlib.crc32(kind + body) != struct.unpack(">I", media[at + 8 + size : at + 12 + size])[0]:
             raise ValueError("damaged chunk")

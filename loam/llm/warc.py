@@ -150,12 +150,8 @@ def parse_at(data: bytes, at: int) -> tuple[dict, int]:
 
 def next_start(data: bytes, at: int) -> int:
     """Where the next version line or gzip member may start, else the end."""
-    found = [len(data)]
-    if (k := data.find(b"\n" + VERSION, at)) >= 0:
-        found.append(k + 1)
-    if (k := data.find(GZIP, at)) >= 0:
-        found.append(k)
-    return min(found)
+    found = [k for mark in (VERSION, GZIP) if (k := data.find(mark, at)) >= 0]
+    return min(found, default=len(data))
 
 
 def salvage(data: bytes) -> Iterator[dict]:
