@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import similarity, text, tokenizer
-from loam.operators import aliases, code, entities, knowledge, linking, metrics, replies, segments, spans, tagging
+from loam.operators import aliases, code, completer, entities, knowledge, linking, metrics, replies, segments, spans, tagging
 from loam.plans import views
 from loam.sources import tables
 
@@ -529,6 +529,125 @@ def g_scores_by_language(spark, folder):
     return _rounded(metrics.confusion(rows, "quality", "toxic", ("lang",)))
 
 
+# Posts about parts: blocks, sessions, stars, messages
+
+
+@query("""
+SELECT p_partkey, ['About ' || p_brand, p_name || ' ', ' end <pre><code>open'] AS text_blocks, [p_type || ' < 2'] AS code_blocks FROM part""")
+def t4_thread_blocks(spark, folder):
+    return segments.thread_blocks(views.part_posts(spark, folder), "p_partkey", "html", "title")
+
+
+@query("""
+SELECT p_partkey, [p_type || ' < 2'] AS codes, ['Text: ' || p_name || ' x', 'Code: ' || p_type || ' < 2'] AS blocks FROM part""")
+def t5_t6_html_blocks(spark, folder):
+    page = F.concat(F.lit("<p>"), "p_name", F.lit(" <code>x</code></p>\n<pre><code>"), "p_type", F.lit(" &lt; 2</code></pre>"))
+    return read(spark, folder, "part").select("p_partkey", segments.codes(page).alias("codes"), segments.blocks(page).alias("blocks"))
+
+
+@query("""
+SELECT p_partkey, p_type || ' = ' || p_size || chr(10) || 'for x in y:' || chr(10) || 'print(x)' AS session, 'x = ' || p_size AS plain FROM part""")
+def t9_prompts(spark, folder):
+    size = F.col("p_size").cast("string")
+    session = F.concat(F.lit("In [1]: "), "p_type", F.lit(" = "), size, F.lit("\nOut[1]: 5\nnoise\n>>> for x in y:\n...   print(x)\n\n1"))
+    plain = F.concat(F.lit("x = "), size, F.lit("  # note\n\n"))
+    return read(spark, folder, "part").select("p_partkey", code.cleaned(session).alias("session"), code.cleaned(plain).alias("plain"))
+
+
+@query("""
+SELECT p_partkey, split_part(p_name, ' ', 1) AS alias, lower(p_type) || '.all.' || split_part(p_name, ' ', 1) AS module FROM part
+UNION ALL SELECT p_partkey, 'known', 'kept.known' FROM part""")
+def c2_star_imports(spark, folder):
+    first = F.substring_index("p_name", " ", 1)
+    block = F.concat(F.lit("from kept import known\nfrom "), F.lower("p_type"), F.lit(".all import *\ndef own(): pass\n"), first, F.lit("(1)\nown()\nknown()\na.b()\n"))
+    posts = read(spark, folder, "part").select("p_partkey", F.array(block).alias("code_blocks"))
+    return code.alias_map(code.import_rows(posts, "p_partkey"), "p_partkey").select("p_partkey", "alias", F.element_at("modules", 1).alias("module"))
+
+
+@query("""
+SELECT p_partkey, lower(p_type) || '.core.head' AS prefix, lower(p_type) || '.core.tail' AS whole, p_name AS other FROM part""")
+def a2_imported(spark, folder):
+    module = F.concat(F.lower("p_type"), F.lit(".core"))
+    known = F.create_map(F.lit("m"), F.array(module), F.lit("tail"), F.array(F.concat(module, F.lit(".tail"))))
+    return read(spark, folder, "part").select(
+        "p_partkey",
+        aliases.with_imports(F.lit("m.head"), known).alias("prefix"),
+        aliases.with_imports(F.lit("q.tail"), known).alias("whole"),
+        aliases.with_imports(F.col("p_name"), known).alias("other"),
+    )
+
+
+@query("""
+SELECT p_partkey, p_type AS surface, length('Use ' || p_name || ' with ')::INT AS start, (2 + len(string_split(p_name, ' ')))::INT AS pos FROM part""")
+def p4_p5_mentions(spark, folder):
+    head = F.concat(F.lit("Use "), "p_name", F.lit(" with "))
+    posts = read(spark, folder, "part").select("p_partkey", F.concat(head, "p_type", F.lit(" now")).alias("post"), F.length(head).alias("start"), (F.length(head) + F.length("p_type")).alias("end"))
+    label = F.array(F.struct("start", "end", F.lit("Mention").alias("type")), F.struct(F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("API").alias("type")))
+    mentions = posts.select("p_partkey", F.posexplode(spans.mentions(F.col("post"), label)).alias("mention_idx", "m")).select("p_partkey", "mention_idx", "m.*")
+    tokens = spans.token_places(posts.select("p_partkey", F.posexplode(F.split("post", " ")).alias("pos", "token")), "p_partkey")
+    return spans.mention_tokens(tokens, mentions, "p_partkey").join(mentions, ["p_partkey", "mention_idx"]).select("p_partkey", "surface", "start", "pos")
+
+
+@query("""
+SELECT c AS character, (row_number() OVER (ORDER BY c) + 1)::INT AS id
+FROM (SELECT DISTINCT unnest(string_split(p_name, '')) AS c FROM part) WHERE c <> ''""")
+def n3_alphabet(spark, folder):
+    return tagging.alphabet(read(spark, folder, "part"), "p_name")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [0, 2] ELSE [2] END AS words, [0, 1, 1] AS tags FROM part""")
+def n6_tagged_words(spark, folder):
+    parts = read(spark, folder, "part")
+    even = (F.col("p_size") % 2 == 0).cast("int")
+    tokens = F.array(F.lit("the"), F.concat(F.substring_index("p_name", " ", 1), F.lit("()")), F.lit("np.load"))
+    return parts.select(
+        "p_partkey",
+        tagging.tagged_words(F.array(F.lit(1), F.lit(1), even, F.lit(1)), F.array(F.lit(2), F.lit(2), F.lit(0), F.lit(None).cast("int"))).alias("words"),
+        tagging.tagged(tokens, tagging.RuleTagger()).alias("tags"),
+    )
+
+
+@query("""
+SELECT p_partkey, '1. [''' || p_name || ''', ''' || p_type || ''']' || chr(10) || '2. [''' || p_brand || ''']' || chr(10) AS candidates,
+       [p_name, p_brand] AS predicted, 'pass' AS verdict FROM part""")
+def l8_l13_linking_calls(spark, folder):
+    """Prompts from candidate lists, called with the offline completer and checked."""
+    lists = text.numbered_lists(F.array(F.array("p_name", "p_type"), F.array("p_brand")))
+    mentions = F.array(F.lit("a"), F.lit("b"))
+    prompts = read(spark, folder, "part").select(
+        "p_partkey",
+        lists.alias("candidates"),
+        completer.messages("link_candidates", post=F.col("p_name"), mentions=F.array_join(mentions, ", "), candidates=lists).alias("messages"),
+        mentions.alias("mentions"),
+        F.array(F.lit(""), F.lit("")).alias("constraints"),
+    )
+    return completer.constrained(prompts, completer.FirstCandidate(), views.AnyName()).select("p_partkey", "candidates", "predicted", "verdict")
+
+
+@query("""
+SELECT p_partkey, round(-pow(1 - (p_size + 1) / 60.0, 2) * ln((p_size + 1) / 60.0), 9) AS loss FROM part""")
+def m5_focal_loss(spark, folder):
+    chance = (F.col("p_size") + 1) / F.lit(60.0)
+    return read(spark, folder, "part").select("p_partkey", F.round(metrics.focal_loss(chance), 9).alias("loss"))
+
+
+@query("""
+SELECT count(*) FILTER (p_size % 3 = 0 AND p_size % 2 = 0) AS tp, count(*) FILTER (p_size % 3 = 0 AND p_size % 2 <> 0) AS fp,
+       count(*) FILTER (p_size % 3 <> 0 AND p_size % 2 = 0) AS fn, count(*) FILTER (p_size % 3 <> 0 AND p_size % 2 = 1) AS tn FROM part""")
+def g1_tag_counts(spark, folder):
+    tag = lambda k: F.when(F.col("p_size") % k == 0, "B-API").otherwise("0")
+    return metrics.confusion_of_tags(read(spark, folder, "part").select(tag(2).alias("label"), tag(3).alias("predicted")), "label", "predicted")
+
+
+@query("""
+WITH e AS (SELECT p_size AS epoch, count(*)::DOUBLE AS f1 FROM part GROUP BY p_size)
+SELECT max_by(epoch, f1 * 1000 + epoch) AS epoch, max(f1) AS f1 FROM e""")
+def g6_best_epoch(spark, folder):
+    epochs = read(spark, folder, "part").groupBy(F.col("p_size").alias("epoch")).agg(F.count("*").cast("double").alias("f1"))
+    return metrics.best_epoch(epochs)
+
+
 # Flagship
 
 

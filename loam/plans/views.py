@@ -61,3 +61,16 @@ def numbered_lines(spark, folder: str) -> DataFrame:
 def supplier_knowledge(spark, folder: str) -> DataFrame:
     nation = tables.read_table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("api"))
     return tables.read_table(spark, folder, "supplier").join(nation, "s_nationkey").select("api", F.col("s_name").alias("knowledge"), "s_acctbal")
+
+
+def part_posts(spark, folder: str) -> DataFrame:
+    """Posts about parts: a title, text, one code block, and one that stays open."""
+    html = F.concat("p_name", F.lit(" <pre><code>"), "p_type", F.lit(" < 2</code></pre> end <pre><code>open"))
+    return tables.read_table(spark, folder, "part").select("p_partkey", F.concat(F.lit("About "), "p_brand").alias("title"), html.alias("html"))
+
+
+class AnyName:
+    """A gazetteer that knows every name."""
+
+    def __contains__(self, name: str) -> bool:
+        return True
