@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,8 +63,19 @@ def release_shuffles(spark: SparkSession) -> None:
     The cleaner follows the driver's garbage collection, which a long job with a large
     heap seldom starts by itself; the disks would hold every earlier shuffle meanwhile.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees holds what the second finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of stored() that nothing will read again."""
+    jvm = table.sparkSession.sparkContext._jvm
+    conf = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/part-", 1)[0].split("/level=", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def partitions_for(rows: int, each: int, least: int = 1) -> int:
