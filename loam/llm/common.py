@@ -32,12 +32,18 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one of the session's own only where
+    that is unset, as in tests on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="loam-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_FOLDERS:
+            _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="loam-")
+        folder = _OWN_FOLDERS[application]
     return folder.rstrip("/")
 
 
