@@ -6,6 +6,7 @@ partitions: their number is the concurrency.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -53,6 +54,21 @@ class FirstCandidate:
         return "[" + ", ".join(picked) + "]"
 
 
+@dataclass(frozen=True)
+class FirstQuote:
+    """Offline: quotes the first line of a context, and completes every phrase with the
+    quotes it is given."""
+
+    def complete(self, messages: list[dict]) -> str:
+        content = next(m["content"] for m in messages if m["role"] == "user")
+        kind, _, rest = content.partition(":\n")
+        first, _, rest = rest.partition("\n")
+        if kind != "Quotes":
+            return first
+        phrases = rest.rpartition("Phrases: ")[2].split("\n")[0]
+        return json.dumps([{"NP": p, "Value": first} for p in phrases.split(", ") if p])
+
+
 @dataclass(frozen=True)
 class Retrying:
     """Calls again after an error that passes, waiting as long as `wait` says for it (None:

@@ -7,10 +7,14 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.tokenizer import API
+from loam.operators.metrics import confusion, scores
 
 IGNORED = -100
 OPTIONAL_COLUMNS = ("full_names", "mention_morphological", "mention_common", "api_common")
@@ -75,3 +79,32 @@ def character_ids(token: Column, ids: Column) -> Column:
 
 def required_columns(samples: DataFrame) -> DataFrame:
     return samples.drop(*OPTIONAL_COLUMNS)
+
+
+def train(tokens: DataFrame, dimension: int = 1 << 14, iterations: tuple[int, ...] = (5, 15), seed: int = 7) -> PipelineModel:
+    """A tagger of single tokens (token, label) from their character pairs: a logistic model,
+    of the tried numbers of iterations the one with the best F1 on held-out tokens, the
+    later of equals. It is saved and loaded as any pipeline of Spark's."""
+    rows = tokens.where("token IS NOT NULL AND label >= 0").select(F.concat(F.lit("^"), "token", F.lit("$")).alias("token"), F.col("label").cast("double").alias("label"))
+    fitted, held = rows.randomSplit([0.8, 0.2], seed)
+    best = None
+    for n in iterations:
+        stages = [
+            RegexTokenizer(inputCol="token", outputCol="letters", pattern="", toLowercase=False),
+            NGram(n=2, inputCol="letters", outputCol="pairs"),
+            HashingTF(numFeatures=dimension, inputCol="pairs", outputCol="features"),
+            LogisticRegression(maxIter=n, regParam=1e-4),
+        ]
+        model = Pipeline(stages=stages).fit(fitted)
+        counts = confusion(model.transform(held), "label", "prediction")
+        f1 = scores(counts).select("f1").first()[0]
+        if best is None or f1 >= best[0]:
+            best = f1, model
+    return best[1]
+
+
+def predict(tokens: DataFrame, model: PipelineModel) -> DataFrame:
+    """tokens with `tag`."""
+    marked = tokens.withColumn("word", F.col("token")).withColumn("token", F.concat(F.lit("^"), F.coalesce("token", F.lit("")), F.lit("$")))
+    found = model.transform(marked)
+    return found.select(*(F.col("word").alias(c) if c == "token" else c for c in tokens.columns), F.col("prediction").cast("int").alias("tag"))

@@ -648,6 +648,28 @@ def g6_best_epoch(spark, folder):
     return metrics.best_epoch(epochs)
 
 
+@query("""
+SELECT c.conv_id, c.turn, split_part(replace(c.text, chr(10), ' '), ' ', 1) AS np, string_split(q.text, chr(10))[1] AS value
+FROM conversations c JOIN conversations q ON c.conv_id = q.conv_id AND q.turn = 0 WHERE c.turn > 0""")
+def e6_completions(spark, folder):
+    """Context and phrases through both completion steps with the offline completer."""
+    turns = read(spark, folder, "conversations")
+    questions = turns.where("turn = 0").select("conv_id", F.col("text").alias("context"))
+    rows = turns.where("turn > 0").join(questions, "conv_id")
+    phrase = F.translate(F.substring_index(F.translate("text", "\n", " "), " ", 1), ",", ";")
+    done = entities.complete(rows.select("conv_id", "turn", "context", F.col("text").alias("sentence"), phrase.alias("phrases")), completer.FirstQuote())
+    return done.select("conv_id", "turn", F.replace(F.col("completions")[0]["NP"], F.lit(";"), F.lit(",")).alias("np"), F.col("completions")[0]["Value"].alias("value"))
+
+
+@query()
+def n5_trained_tagger(spark, folder):
+    """A tagger that learns which tokens are names, on tokens of parts and their types."""
+    parts = read(spark, folder, "part")
+    tokens = parts.select(F.explode(F.array(F.struct(F.col("p_brand").alias("token"), F.lit(1).alias("label")), F.struct(F.col("p_type").alias("token"), F.lit(0).alias("label")))).alias("t")).select("t.*")
+    model = tagging.train(tokens)
+    return _rounded(metrics.confusion(tagging.predict(tokens, model), "label", "tag"))
+
+
 # Flagship
 
 
