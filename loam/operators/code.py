@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions.text import CODE_WORDS
+
 PROMPT = re.compile(r"In\s*\[\d*\]:(.*)|(Out\s*\[\d*\]:)|\s*>>>(.*)|\s*\.\.\.(.*)", re.S)
 IMPORTS = "array<struct<alias:string,module:string,ord:int>>"
 ASSIGNS = "array<struct<variable:string,source:string,index:int,ord:int>>"
@@ -132,10 +134,7 @@ def _snippet_terms(code: str) -> list[str]:
     return list(dict.fromkeys(t for t in code.split() if not number.fullmatch(t)))
 
 
-CODE_WORD = re.compile(
-    r"\b(?:" + "|".join(sorted({"def", "class", "for", "while", "if", "elif", "else", "try", "except", "finally", "with", "as", "import", "from", "return",
-    "yield", "lambda", "and", "or", "not", "is", "in", "pass", "break", "continue", "global", "nonlocal", "assert", "raise", "del", "print", "input"})) + r")\b|\w(?:=|==|!=)\w"
-)
+CODE_WORD = re.compile(r"\b(?:" + "|".join(map(re.escape, CODE_WORDS)) + r")\b")
 
 
 def names_of_code(code: str | None) -> dict:
