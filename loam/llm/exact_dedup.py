@@ -254,6 +254,6 @@ def exact_groups(docs: DataFrame, digests_per_bucket: int = DIGESTS_PER_BUCKET)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows of which an equal text stays."""
+    """docs without the rows of which an equal text stays. Rows without an id always stay."""
     dropped = common.stored(exact_groups(docs).where("NOT kept").select("doc_id").distinct(), "copies")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

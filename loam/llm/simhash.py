@@ -255,6 +255,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id."""
+    """docs with one row of each component, that of the smallest doc_id. Rows without an id
+    always stay."""
     dropped = near_groups(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(common.stored(dropped, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
