@@ -37,6 +37,8 @@ DROPOUT = 0.1
 SEED = 13
 VARIANTS = 4
 SHORT = 96
+#: Parts remembered by a task, and by a worker that does nothing but round trips.
+KEEP, KEEP_LONG = 100_000, 700_000
 LAST = 1 << 30
 MARK = "▁"
 PART = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
@@ -72,14 +74,13 @@ def load(path: str = MODEL) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes and decodes with one vocabulary; keeps the pieces of parts met lately."""
+    """Encodes and decodes with one vocabulary; keeps the pieces of the last `keep` to
+    2 `keep` parts that it met."""
 
-    KEEP = 400_000
-
-    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
+    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, keep: int = KEEP):
         import xxhash
 
-        self.v, self.seed = vocabulary, seed
+        self.v, self.seed, self.keep = vocabulary, seed, keep
         self.below = int(dropout * (1 << 32))
         self.hash32, self.hash64 = xxhash.xxh32_intdigest, xxhash.xxh64_intdigest
         self.new: dict[int, dict] = {}
@@ -153,7 +154,7 @@ class Encoder:
 
     def _known(self, variant: int) -> dict:
         """The variant's young memory of parts; the parts that fell out of it are in the old."""
-        if self.count >= self.KEEP:
+        if self.count >= self.keep:
             self.old, self.new, self.count = self.new, {}, 0
         return self.new.setdefault(variant, {})
 
@@ -185,18 +186,18 @@ class Encoder:
         return b"".join(map(self.v.raw.__getitem__, ids))[1:]
 
 
-def _encoder(sent, dropout: float, seed: int) -> Encoder:
-    """The worker's encoder: one for the vocabulary, kept between tasks."""
-    key = (sent.id if hasattr(sent, "id") else id(sent), dropout, seed)
+_ENCODERS: dict = {}
+
+
+def _lasting(sent, dropout: float, seed: int) -> Encoder:
+    """The worker's encoder, kept between tasks of the same vocabulary and key."""
+    key = (sent.id, dropout, seed) if hasattr(sent, "id") else (id(sent), dropout, seed)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(sent.value, dropout, seed)
+        _ENCODERS[key] = Encoder(sent.value, dropout, seed, KEEP_LONG)
     return _ENCODERS[key]
 
 
-_ENCODERS: dict = {}
-
-
 def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """docs with `piece_ids` (array of int) and `variant` in place of the text."""
     sent = docs.sparkSession.sparkContext.broadcast(load(path))
@@ -204,7 +205,7 @@ def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: i
     schema = docs.select(*kept).schema.add("variant", T.IntegerType()).add("piece_ids", T.ArrayType(T.IntegerType()))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(sent, dropout, seed)
+        encoder = Encoder(sent.value, dropout, seed)
         for batch in batches:
             for k in range(0, max(1, batch.num_rows), 500):
                 part = batch.slice(k, 500)
@@ -228,7 +229,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     schema = encoded.select(*kept).schema.add("text", T.StringType())
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(sent, 0.0, 0)
+        encoder = Encoder(sent.value)
         for batch in batches:
             texts = pa.array([encoder.decode(x.as_py()) for x in batch.column("piece_ids")], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts], names=[*kept, "text"])
@@ -242,7 +243,7 @@ def round_trips(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, se
     sent = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(sent, dropout, seed)
+        encoder = _lasting(sent, dropout, seed)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id"), pc.fill_null(batch.column("text"), ""), strict=True):
