@@ -192,8 +192,11 @@ def descriptions(media: DataFrame) -> DataFrame:
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, met = [], set()
             for digest, stored in zip(batch.column("digest"), batch.column("media"), strict=True):
+                if digest in met:
+                    continue
+                met.add(digest)
                 stored = stored.as_py()
                 samples = decode(stored)
                 payload = samples.tobytes()
@@ -217,4 +220,6 @@ def documents_with_media(docs: DataFrame) -> DataFrame:
         F.lit("<article><p>document</p><figure><img src='"), "digest", F.lit("'><figcaption>"), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure></article>")
     )
     pages = sequences(media.select("doc_id", html.alias("html")))
-    return resolve(pages, "doc_id", descriptions(media)).where("kind = 'media'")
+    # Written out first: the join then meets two plain sides, whose hot digests Spark can split.
+    about = common.stored(descriptions(media), "media-descriptions")
+    return resolve(pages, "doc_id", about).where("kind = 'media'")
