@@ -463,7 +463,7 @@ def test_pipeline_stages(spark, rows, docs, tmp_path):
             assert {r.doc_id for r in held.collect()} == {best_of(g) for g in groups.values()}
         if name == "SimHash near-dedup":
             left = {r.doc_id for r in held.collect()}
-            for group in components([fingerprint_by_hand(r.text) for r in before]):
+            for group in components([fingerprint_by_hand(r.text, corpus_pipeline.SHINGLE) for r in before]):
                 ids = [before[x].doc_id for x in group if before[x].doc_id is not None]
                 assert len(left & set(ids)) == (1 if ids else 0)
     last = corpus_pipeline.run(spark, folder)
