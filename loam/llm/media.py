@@ -41,6 +41,13 @@ ITEMS = "array<struct<pos:int,kind:string,text:string,digest:string,caption:stri
 ABOUT = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, as a task holds a batch in several forms at once."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+
+
 def padded(payload: bytes) -> bytes:
     rows = max(1, -(-len(payload) // WIDTH))
     return payload.ljust(rows * WIDTH, b" ")
@@ -93,7 +100,7 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, digest (of the padded payload) and media, written and read back."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x.as_py() for x in pc.fill_null(batch.column("text"), "").cast(pa.binary())]
             payloads = list(map(padded, texts))
             yield pa.RecordBatch.from_arrays(
@@ -191,7 +198,7 @@ def descriptions(media: DataFrame) -> DataFrame:
     """What the stored bytes say, once for each digest."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, met = [], set()
             for digest, stored in zip(batch.column("digest"), batch.column("media"), strict=True):
                 if digest in met:
