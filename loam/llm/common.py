@@ -90,3 +90,22 @@ def partitions_for(rows: int, each: int, least: int = 1) -> int:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all of a row: rows of one key are alike in every column."""
+    return F.xxhash64(*(F.col(c) for c in sorted(docs.columns)))
+
+
+def one_row_each(docs: DataFrame, keyed: DataFrame, kept: DataFrame, name: str) -> DataFrame:
+    """The rows of docs whose row_key() is in kept, one of each key. keyed has the keys (row)
+    of all rows; only rows of a kept key that occurs again are grouped, and summed up before
+    the shuffle."""
+    times = keyed.groupBy("row").agg(F.count("*").alias("times")).join(kept.select("row", F.lit(True).alias("kept")), "row", "left")
+    out = stored(times.where("kept IS NULL OR times > 1").select("row", F.col("kept").isNotNull().alias("again")), f"{name}-copies")
+    rows = docs.withColumn("__row", row_key(docs))
+    once = rows.join(out.select(F.col("row").alias("__row")), "__row", "left_anti").select(*docs.columns)
+    again = out.where("again").select(F.col("row").alias("__row"))
+    if again.isEmpty():
+        return once
+    return once.unionByName(rows.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns))

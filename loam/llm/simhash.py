@@ -54,13 +54,14 @@ CHAINS = [
 ]
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_marks(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles, in their order; a short text is one shingle."""
     import xxhash
 
     hashed = xxhash.xxh64_intdigest
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -68,7 +69,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         starts, ends = starts[: 1 - shingle], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    marks = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], "<u8")
+    return np.array([hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], "<u8")
+
+
+def folded(marks: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for k in range(0, len(marks), CHUNK):
         bits = np.unpackbits(marks[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -76,6 +80,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(marks), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return folded(shingle_marks(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed number) of every row."""
 
@@ -252,10 +260,3 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id. Rows without an id
-    always stay."""
-    dropped = near_groups(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(common.stored(dropped, "near-copies"), "doc_id", "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loam.llm import common, exact_dedup, katz, media, mixing, pieces, sharding, simhash, toxicity, url_filter, warc
+from loam.llm import common, exact_dedup, katz, media, mixing, near, pieces, sharding, simhash, toxicity, url_filter, warc
 
 DOCS = "doc_id long, text string, source string, digest string, bucket int, h long, size long, n long, score double, __copy int"
 
@@ -395,6 +395,43 @@ def test_near_groups(rows, docs):
     assert Counter(tuple(r) for r in simhash.near_groups(docs).collect()) == wanted
 
 
+def test_pipeline_near_stage_links_all_of_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    line = [f"line{k}" for k in range(12)]
+    texts = ["", " ", "one", "one two", "x"]
+    for k in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 20, 60, 150, 400]))]
+        base += line if k % 2 else []
+        for _ in range(rng.randint(1, 6)):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                copy[rng.randrange(len(copy))] = f"new{rng.random()}"
+            texts.append(" ".join(copy))
+    sets = [near.shingle_set(t.encode(), corpus_pipeline.SHINGLE) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            shared, union = len(set(sets[a]) & set(sets[b])), len(set(sets[a]) | set(sets[b]))
+            if 5 * shared >= 4 * union:
+                parent[root(a)] = root(b)
+                far += (simhash.fingerprint(texts[a].encode(), 5) ^ simhash.fingerprint(texts[b].encode(), 5)).bit_count() > 4
+    groups = defaultdict(list)
+    for x in range(len(texts)):
+        groups[root(x)].append(x)
+    kept = corpus_pipeline.near(spark, frame(spark, [(k, t, "a") for k, t in enumerate(texts)]), "")
+    assert far > 20
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(map(min, groups.values()))
+
+
 @pytest.mark.parametrize("run", [1 << 15, 3])
 def test_links_join_all_that_is_linked(spark, run):
     rng = random.Random(3)
