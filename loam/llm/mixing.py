@@ -74,8 +74,9 @@ def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The rows of docs, each as often as the plan says.
+def mix(docs: DataFrame, seed: str = SEED, copy: str | None = None) -> DataFrame:
+    """The rows of docs, each as often as the plan says; numbered from 0 in a column `copy`,
+    if that is named.
 
     Rates by source are joined to the texts, not rates by document: that table is small.
     """
@@ -91,6 +92,6 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     times = (F.floor("__rate") + extra).cast("int")
     return (
         docs.join(goal, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times)))
-        .select(*docs.columns)
+        .select("*", F.posexplode(F.array_repeat(F.lit(1), times)).alias("__number", "__one"))
+        .select(*docs.columns, *([F.col("__number").alias(copy)] if copy else []))
     )

@@ -6,14 +6,20 @@ with a mark for each blank and one in front; as no piece has a mark behind anoth
 character, no merge crosses from a character to a mark, and the text is split there (and
 at line feeds, which no piece holds). In each part an agenda holds the candidate merges
 by score, then place. A candidate that comes up is skipped for good if its keyed hash is
-under the dropout; the key is made of the seed and the document's variant, and the hash
-takes in the part, the place and the piece. So reruns agree, documents of other variants
-get other segmentations, and decoding is lossless for each of them. Characters that no
-piece holds, and blanks' marks that a text holds itself, go out as bytes.
-
-Defined results: a null text is an empty one and has no pieces; null ids have variant 0;
-repeated rows get equal pieces; an empty table gives no rows; other columns are kept by
-encode(), whose new columns are `piece_ids` and `variant`.
+under the dropout; the key is made of the seed, the document's variant (a hash of its id
+and, where rows have one, of their copy number) and the part's place in the text, and the
+hash takes in the place inside the part and the piece. So reruns agree, each occurrence of
+a word and each copy of a text is cut anew, and decoding is lossless for each of them.
+Characters that no piece holds, and blanks' marks that a text holds itself, go out as bytes.
+
+What is remembered of a part does not depend on the key: the candidates that come up while
+none is skipped, their pieces, and the same again for each candidate that was skipped. The
+keyed hashes decide for each occurrence which of these paths it takes.
+
+Defined results: a null text is an empty one and has no pieces; null ids have variant 0 if
+they are no later copy; repeated rows without a copy number get equal pieces; an empty
+table gives no rows; other columns are kept by encode(), whose new columns are `piece_ids`
+and `variant`.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +42,17 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 13
-VARIANTS = 4
 SHORT = 96
-#: Parts remembered by a task, and by a worker that does nothing but round trips.
-KEEP, KEEP_LONG = 100_000, 700_000
+#: Paths remembered by a task, and by a worker that does nothing but round trips.
+KEEP, KEEP_LONG = 60_000, 250_000
+KNOWN = 64
+#: Parts that are decided at a time.
+STRETCH = 1 << 14
+ALL = (1 << 64) - 1
+PLACE, PIECE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 LAST = 1 << 30
 MARK = "▁"
+COPY = "copy_number"
 PART = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 
 
@@ -73,36 +85,99 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(ids, {piece: order[score] for piece, score in scores.items()}, tuple(byte_ids), tuple(raw))
 
 
+def mixed(x: int) -> int:
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & ALL
+    return x ^ x >> 31
+
+
+def mixed_all(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+class Path:
+    """What comes of a part if the candidates `skipped` (by their turn) are skipped and no
+    other: the codes of its candidates in turn, its pieces, and the paths that leave it."""
+
+    __slots__ = ("skipped", "codes", "pieces", "after", "first")
+
+    def __init__(self, skipped: tuple, codes: list, pieces: tuple):
+        self.skipped, self.codes, self.pieces, self.after, self.first = skipped, codes, pieces, {}, 0
+
+
 class Encoder:
-    """Encodes and decodes with one vocabulary; keeps the pieces of the last `keep` to
-    2 `keep` parts that it met."""
+    """Encodes and decodes with one vocabulary; forgets its paths when it holds `keep`."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, keep: int = KEEP):
         import xxhash
 
         self.v, self.seed, self.keep = vocabulary, seed, keep
         self.below = int(dropout * (1 << 32))
-        self.hash32, self.hash64 = xxhash.xxh32_intdigest, xxhash.xxh64_intdigest
-        self.new: dict[int, dict] = {}
-        self.old: dict[int, dict] = {}
+        self.hash64 = xxhash.xxh64_intdigest
+        self._forget()
+
+    def _forget(self) -> None:
+        self.paths: dict[str, Path] = {}
+        self.codes = array("Q")  # of the paths without skips, one after the other
         self.count = 0
 
-    def variant(self, doc_id: int | None) -> int:
-        return 0 if doc_id is None else self.hash64(str(doc_id), self.seed) % VARIANTS
+    def variant(self, doc_id: int | None, copy: int = 0) -> int:
+        if doc_id is None and not copy:
+            return 0
+        return self.hash64(f"{doc_id}:{copy}" if copy else str(doc_id), self.seed) & 0x7FFFFFFF
 
-    def merge(self, part: str, variant: int) -> tuple[int, ...]:
-        """The pieces of a part, by the agenda."""
-        key = self.hash32(part, self.seed * 1000003 + variant) if self.below else 0
-        symbols = self._short(part, key) if len(part) <= SHORT else self._long(part, key)
+    def code(self, piece: str, place: int) -> int:
+        return place * PLACE + self.v.ids[piece] * PIECE & ALL
+
+    def skips(self, piece: str, place: int, key: int) -> bool:
+        return mixed(key + self.code(piece, place) & ALL) >> 32 < self.below
+
+    def _ids(self, symbols: list[str]) -> tuple[int, ...]:
         ids = self.v.ids
         try:
             return tuple([ids[x] for x in symbols])
         except KeyError:  # characters that no piece holds
             return tuple(i for x in symbols for i in ([ids[x]] if x in ids else [self.v.byte_ids[b] for b in x.encode("utf-8", "surrogatepass")]))
 
-    def _short(self, part: str, key: int) -> list[str]:
+    def merge(self, part: str, key: int) -> tuple[int, ...]:
+        """The pieces of a part, by the agenda."""
+        return self._ids(self._short(part, key) if len(part) <= SHORT else self._long(part, key))
+
+    def path(self, part: str, skipped: tuple = ()) -> Path:
+        codes: list = []
+
+        def skips(piece: str, place: int, _) -> bool:
+            codes.append(self.code(piece, place))
+            return len(codes) - 1 in skipped
+
+        self.count += 1
+        return Path(skipped, codes, self._ids(self._short(part, 0, skips)))
+
+    def _root(self, part: str) -> Path:
+        found = self.paths[part] = self.path(part)
+        found.first = len(self.codes)
+        self.codes.extend(found.codes)
+        return found
+
+    def _leave(self, part: str, path: Path, turn: int, key: int) -> tuple[int, ...]:
+        """The pieces if the candidate of that turn is the first that leaves the path."""
+        below = self.below
+        while True:
+            after = path.after.get(turn)
+            if after is None:
+                after = path.after[turn] = self.path(part, (*path.skipped, turn))
+            path = after
+            for turn in range(turn + 1, len(path.codes)):
+                if mixed(key + path.codes[turn] & ALL) >> 32 < below:
+                    break
+            else:
+                return path.pieces
+
+    def _short(self, part: str, key: int, skips=None) -> list[str]:
         """A list of ranks as agenda: its least entry, the leftmost of equals, is next."""
-        rank, below, hashed = self.v.ranks.get, self.below, self.hash32
+        rank, skips = self.v.ranks.get, skips or (self.skips if self.below else None)
         symbols, places = list(part), list(range(len(part)))
         agenda = [rank(a + b, LAST) for a, b in zip(part, part[1:], strict=False)]
         while agenda:
@@ -111,7 +186,7 @@ class Encoder:
                 break
             k = agenda.index(least)
             piece = symbols[k] + symbols[k + 1]
-            if below and hashed(piece, key + places[k] & 0xFFFFFFFF) < below:
+            if skips and skips(piece, places[k], key):
                 agenda[k] = LAST
                 continue
             symbols[k] = piece
@@ -141,7 +216,7 @@ class Encoder:
             _, a, b, piece = heapq.heappop(agenda)
             if not symbols[a] or not symbols[b] or after[a] != b or symbols[a] + symbols[b] != piece:
                 continue
-            if below and self.hash32(piece, key + a & 0xFFFFFFFF) < below:
+            if below and self.skips(piece, a, key):
                 continue
             symbols[a], symbols[b] = piece, ""
             c = after[a] = after[b]
@@ -152,35 +227,54 @@ class Encoder:
                 propose(before[a], a)
         return [x for x in symbols if x]
 
-    def _known(self, variant: int) -> dict:
-        """The variant's young memory of parts; the parts that fell out of it are in the old."""
-        if self.count >= self.keep:
-            self.old, self.new, self.count = self.new, {}, 0
-        return self.new.setdefault(variant, {})
-
-    def _pieces(self, part: str, variant: int, known: dict) -> tuple[int, ...]:
-        found = self.old.get(variant, known).get(part)
-        if found is None:
-            found = self.merge(part, variant)
-        if len(part) <= 64:
-            known[part] = found
-            self.count += 1
-        return found
-
     def encode(self, text: str | None, variant: int = 0) -> array:
         out = array("i")
         if not text:
             return out
-        known = self._known(variant)
-        get, extend = known.get, out.extend
+        if self.count >= self.keep:
+            self._forget()
+        parts: list = []
         for k, stretch in enumerate(text.split(MARK)):
             if k:
-                extend(self.v.byte_ids[x] for x in MARK.encode())
+                parts.append(None)
             marked = stretch.replace(" ", MARK)
-            for part in PART.findall(marked if k else MARK + marked):
-                extend(get(part) or self._pieces(part, variant, known))
+            parts += PART.findall(marked if k else MARK + marked)
+        mark = tuple(self.v.byte_ids[x] for x in MARK.encode())
+        start = mixed(variant * PIECE + self.seed & ALL)
+        for k in range(0, len(parts), STRETCH):
+            if k and self.count >= self.keep:
+                self._forget()
+            self._encode(parts[k : k + STRETCH], k, start, mark, out)
         return out
 
+    def _encode(self, parts: list, place: int, start: int, mark: tuple, out: array) -> None:
+        """Appends the pieces of parts, the first of which is at that place in the text."""
+        known, pieces, paths = self.paths.get, [], []
+        keys = mixed_all(np.uint64(start) + np.arange(place, place + len(parts), dtype=np.uint64) * np.uint64(PLACE))
+        for k, part in enumerate(parts):
+            path = None
+            if part is None:
+                pieces.append(mark)
+            elif len(part) > KNOWN:
+                pieces.append(self.merge(part, int(keys[k])))
+            else:
+                path = known(part) or self._root(part)
+                pieces.append(path.pieces)
+            paths.append(path)
+        if self.below:
+            sizes = np.fromiter([len(x.codes) if x else 0 for x in paths], np.int64, len(paths))
+            firsts = np.fromiter([x.first if x else 0 for x in paths], np.int64, len(paths))
+            of = np.repeat(np.arange(len(paths)), sizes)
+            turns = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            codes = np.frombuffer(self.codes, np.uint64)[firsts[of] + turns] if len(of) else np.zeros(0, np.uint64)
+            left = np.flatnonzero(mixed_all(keys[of] + codes) >> np.uint64(32) < np.uint64(self.below))
+            if len(left):
+                hit, at = np.unique(of[left], return_index=True)
+                for k, turn in zip(hit.tolist(), turns[left[at]].tolist(), strict=True):
+                    pieces[k] = self._leave(parts[k], paths[k], turn, int(keys[k]))
+        for x in pieces:
+            out.extend(x)
+
     def decode(self, ids) -> bytes:
         """The UTF-8 bytes of the text that the pieces came from."""
         return b"".join(map(self.v.raw.__getitem__, ids))[1:]
@@ -199,9 +293,11 @@ def _lasting(sent, dropout: float, seed: int) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """docs with `piece_ids` (array of int) and `variant` in place of the text."""
+    """docs with `piece_ids` (array of int) and `variant` in place of the text; the copy
+    number, if docs have a column COPY, is part of the key."""
     sent = docs.sparkSession.sparkContext.broadcast(load(path))
     kept = [c for c in docs.columns if c not in ("text", "piece_ids", "variant")]
+    copied = COPY in kept
     schema = docs.select(*kept).schema.add("variant", T.IntegerType()).add("piece_ids", T.ArrayType(T.IntegerType()))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +305,8 @@ def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: i
         for batch in batches:
             for k in range(0, max(1, batch.num_rows), 500):
                 part = batch.slice(k, 500)
-                variants = [encoder.variant(x.as_py()) for x in part.column("doc_id")]
+                copies = part.column(COPY).to_pylist() if copied else [0] * part.num_rows
+                variants = [encoder.variant(x.as_py(), n) for x, n in zip(part.column("doc_id"), copies, strict=True)]
                 ids = [encoder.encode(t.as_py(), v) for t, v in zip(part.column("text"), variants, strict=True)]
                 offsets = [0]
                 flat = array("i")

@@ -344,6 +344,19 @@ def test_pieces_without_dropout_are_the_library_s(rows):
             assert list(encoder.encode(t)) == library.encode(t)
 
 
+def test_dropout_varies_by_place_document_and_copy(spark):
+    encoder = pieces.Encoder(pieces.load(), 0.1)
+    text = " ".join(["internationalisation"] * 400)
+    cuts = [encoder.merge("▁internationalisation", int(k)) for k in pieces.mixed_all(np.uint64(pieces.mixed(5 * pieces.PIECE + pieces.SEED & pieces.ALL)) + np.arange(400, dtype=np.uint64) * np.uint64(pieces.PLACE))]
+    assert list(encoder.encode(text, 5)) == [x for c in cuts for x in c]
+    assert len(set(cuts)) > 8
+    assert len({tuple(encoder.encode(text, encoder.variant(k))) for k in range(40)}) == 40
+    copies = spark.createDataFrame([(1, text, n) for n in range(6)], f"doc_id long, text string, {pieces.COPY} int")
+    assert len({tuple(r.piece_ids) for r in pieces.encode(copies).collect()}) == 6
+    small = pieces.Encoder(pieces.load(), 0.1, keep=3)
+    assert [small.encode(text, v) for v in range(3)] == [encoder.encode(text, v) for v in range(3)]
+
+
 def test_both_agendas_agree():
     encoder = pieces.Encoder(pieces.load(), 0.2)
     for k, part in enumerate(["▁international", "▁▁▁▁▁▁▁", "aaaaaaaaaaaa", "▁Donaudampfschifffahrt", "x"]):
