@@ -159,8 +159,8 @@ def better(points: int, doc_id: int | None, than_points: int, than_id: int | Non
     return doc_id is not None and (than_id is None or doc_id < than_id)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, n_points of every row."""
+def digests(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, digest, n_points of every row, and its columns `more` of type long."""
     blanks = common.SPACES.encode()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +168,12 @@ def digests(docs: DataFrame) -> DataFrame:
             texts = pc.fill_null(batch.column("text"), "")
             marks = [hashlib.sha256(x.translate(None, blanks)).digest() for x in texts.cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(marks, pa.binary()), pc.utf8_length(texts).cast(pa.int64())],
-                names=["doc_id", "digest", "n_points"],
+                [batch.column("doc_id"), pa.array(marks, pa.binary()), pc.utf8_length(texts).cast(pa.int64()), *map(batch.column, more)],
+                names=["doc_id", "digest", "n_points", *more],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(hashed, DIGESTS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return rows.mapInArrow(hashed, ", ".join([DIGESTS, *(f"{c} long" for c in more)]))
 
 
 def entries(hashed: DataFrame, buckets: int) -> DataFrame:
@@ -238,12 +239,17 @@ def members(index: DataFrame) -> DataFrame:
     )
 
 
+def live_digests(hashed: DataFrame, digests_per_bucket: int = DIGESTS_PER_BUCKET) -> DataFrame:
+    """members() of the index of a stored table of digests()."""
+    buckets = common.partitions_for(hashed.count(), digests_per_bucket, least=64)
+    summed = entries(hashed.select("doc_id", "digest", "n_points"), buckets)
+    return common.stored(members(update(empty_index(hashed.sparkSession), summed)), "live-digests")
+
+
 def exact_groups(docs: DataFrame, digests_per_bucket: int = DIGESTS_PER_BUCKET) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     hashed = common.stored(digests(docs), "digests")
-    buckets = common.partitions_for(hashed.count(), digests_per_bucket, least=64)
-    index = update(empty_index(docs.sparkSession), entries(hashed, buckets))
-    live = common.stored(members(index), "live-digests")
+    live = live_digests(hashed, digests_per_bucket)
     return hashed.join(live, "digest").select(
         "doc_id",
         "keep_id",
@@ -254,6 +260,11 @@ def exact_groups(docs: DataFrame, digests_per_bucket: int = DIGESTS_PER_BUCKET)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows of which an equal text stays. Rows without an id always stay."""
-    dropped = common.stored(exact_groups(docs).where("NOT kept").select("doc_id").distinct(), "copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group of equal texts. Of the rows that have the group's
+    keep_id, the longest text stays, then the least row key; a row without an id stays only
+    if its whole group has none."""
+    rows = docs.withColumn("__row", common.row_key(docs))
+    hashed = common.stored(digests(rows.select("doc_id", "text", F.col("__row").alias("row")), "row"), "digests")
+    named = hashed.join(live_digests(hashed), "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    best = named.groupBy("digest").agg(F.min(F.struct((-F.col("n_points")).alias("shorter"), "row")).alias("best"))
+    return common.one_row_each(docs, hashed, best.select("best.row"), "exact")

@@ -408,6 +408,19 @@ def test_near_groups(rows, docs):
     assert Counter(tuple(r) for r in simhash.near_groups(docs).collect()) == wanted
 
 
+@pytest.mark.parametrize("name", ["exact", "near"])
+def test_pipeline_dedup_decides_by_row(spark, name):
+    import corpus_pipeline
+
+    other, lone = "one of its kind " * 9, "without an id " * 7
+    rows = [(1, "same text here now " * 5, "a")] * 3 + [(None, "same text here now " * 5, "a")] * 2 + [(2, "same text here now " * 5, "b"), (2, other, "a")]
+    rows += [(None, lone, "a"), (None, lone, "b"), (7, "x y z", "a"), (7, "x y z", "b")]
+    kept = getattr(corpus_pipeline, name)(spark, frame(spark, rows), "")
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(1, rows[0][1]), (2, other), (None, lone), (7, "x y z")])
+    assert kept.columns == frame(spark, rows).columns
+
+
 def test_pipeline_near_stage_links_all_of_jaccard(spark):
     import corpus_pipeline
 
