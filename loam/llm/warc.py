@@ -6,8 +6,11 @@ plain WARC/1.1 text, each one ended by a blank line pair, and go out through Spa
 writer with the last line feed as the line separator: files in any file system Spark
 writes to, of at most RECORDS_PER_FILE records.
 
-read() parses whole archives, plain or with one gzip member a record. Where a record fails
-its checks (header, length, end marks, payload digest) the reader searches for the next
+read() parses whole archives, plain or in gzip members of a record or more. Of a member's
+rows the first has its length in the archive and the others 0. Blocks are taken apart as
+HTTP where their content type says so, or where none is given and they begin so. Payload
+digests are checked where a record has one of a known algorithm. Where a record fails its
+checks (header, length, end marks, payload digest) the reader searches for the next
 member or version line from which a record passes, recovers what follows, and logs the
 bytes between as a gap.
 
@@ -97,10 +100,20 @@ class Bad(ValueError):
     """A record that fails a check."""
 
 
+def digest_fits(field: str, payload: bytes) -> bool:
+    """Whether a labelled digest, in base 32 or 16, is the payload's; unknown ones pass."""
+    algorithm, _, value = field.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    found = hashlib.new(algorithm, payload).digest()
+    return value.strip().upper().rstrip("=") in (base64.b32encode(found).decode().rstrip("="), found.hex().upper())
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record whose version line is at `at`, and where it ends."""
-    head_end = data.find(END, at, at + 65536)
-    if not data.startswith(VERSION, at) or head_end < 0:
+    head_end = data.find(END, at) if data.startswith(VERSION, at) else -1
+    if head_end < 0:
         raise Bad("header")
     fields = {}
     for row in data[at:head_end].split(b"\r\n")[1:]:
@@ -116,28 +129,34 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         raise Bad("length")
     if data[end : end + len(END)] != END:
         raise Bad("end marks")
-    http, found, payload = data[body:end].partition(END)
-    if not found:
-        raise Bad("http header")
-    sizes = [x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    digest = fields.get(b"warc-payload-digest", "").removeprefix("sha1:")
-    if fields[b"warc-type"] == "response" and digest != base32_sha1(payload):
+    kind, block = fields.get(b"content-type", "").split(";")[0].strip().lower(), data[body:end]
+    sizes: list = []
+    payload = block
+    if kind == "application/http" or not kind and block.startswith(b"HTTP/"):
+        http, found, payload = block.partition(END)
+        if not found:
+            raise Bad("http header")
+        sizes = [x.split(b":")[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    digest = fields.get(b"warc-payload-digest")
+    if fields[b"warc-type"] != "revisit" and digest and not digest_fits(digest, payload):
         raise Bad("payload digest")
     record = {
         "type": fields[b"warc-type"],
         "record_id": fields.get(b"warc-record-id"),
         "refers_to": fields.get(b"warc-refers-to"),
         "uri": fields.get(b"warc-target-uri"),
-        "payload_digest": digest,
-        "payload_bytes": int(sizes[0]) if sizes else len(payload),
+        "payload_digest": digest and digest.removeprefix("sha1:"),
+        "payload_bytes": int(sizes[0]) if sizes and sizes[0].isdigit() else len(payload),
         "payload": payload,
     }
     return record, end + len(END)
 
 
-def parse_at(data: bytes, at: int) -> tuple[dict, int]:
+def parse_at(data: bytes, at: int) -> tuple[list[dict], int]:
+    """The rows of the record or gzip member at `at`, and where it ends."""
     if not data.startswith(GZIP, at):
-        return parse_record(data, at)
+        record, end = parse_record(data, at)
+        return [{"kind": "record", "offset": at, "length": end - at} | record], end
     member = zlib.decompressobj(31)
     try:
         inner = member.decompress(memoryview(data)[at:])
@@ -145,7 +164,11 @@ def parse_at(data: bytes, at: int) -> tuple[dict, int]:
         raise Bad("gzip") from e
     if not member.eof:
         raise Bad("gzip")
-    return parse_record(inner, 0)[0], len(data) - len(member.unused_data)
+    rows = list(salvage(inner))
+    if not any(x["kind"] == "record" for x in rows):
+        raise Bad(rows[0]["reason"] if rows else "header")
+    end = len(data) - len(member.unused_data)
+    return [x | {"offset": at, "length": 0 if k else end - at} for k, x in enumerate(rows)], end
 
 
 def next_start(data: bytes, at: int) -> int:
@@ -159,7 +182,7 @@ def salvage(data: bytes) -> Iterator[dict]:
     at, gap, reason = 0, None, ""
     while at < len(data):
         try:
-            record, end = parse_at(data, at)
+            rows, end = parse_at(data, at)
         except Bad as e:
             if gap is None:
                 gap, reason = at, str(e)
@@ -168,7 +191,7 @@ def salvage(data: bytes) -> Iterator[dict]:
         if gap is not None:
             yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": reason}
             gap = None
-        yield {"kind": "record", "offset": at, "length": end - at} | record
+        yield from rows
         at = end
     if gap is not None:
         yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": reason}

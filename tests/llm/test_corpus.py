@@ -208,6 +208,30 @@ def test_damage_is_skipped_and_logged(packed):
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_reads_long_headers_members_and_other_types(spark, tmp_path):
+    def raw(kind, block, *more):
+        return "\r\n".join(["WARC/1.1", f"WARC-Type: {kind}", f"Content-Length: {len(block)}", *more, "", ""]).encode() + block + b"\r\n\r\n"
+
+    http, page = b"HTTP/1.1 200 OK\r\n\r\n", b"<p>a</p>"
+    parts = [
+        raw("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        raw("response", http + page, "Content-Type: application/http; msgtype=response"),
+        raw("response", http + page, "WARC-Payload-Digest: sha256:" + hashlib.sha256(page).hexdigest()),
+        raw("response", http + page, "WARC-Payload-Digest: other:1"),
+        raw("resource", b"plain", "Content-Type: text/plain"),
+    ]
+    wanted = [b"software: x\r\n", page, page, page, b"plain"]
+    bad = raw("response", http + page, "WARC-Payload-Digest: sha256:" + "0" * 64)
+    for data in (b"".join(parts), gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))):
+        found = list(warc.salvage(data))
+        assert [x.get("payload") for x in found] == wanted and sum(x["length"] for x in found) == len(data)
+    found = list(warc.salvage(gzip.compress(parts[0] + bad + parts[4])))
+    assert [(x["kind"], x.get("reason")) for x in found] == [("record", None), ("gap", "payload digest"), ("record", None)]
+    path = str(tmp_path / "long")
+    warc.write(spark.createDataFrame([(1, "u" * 200000, "x")], "page_id long, url string, html string"), path)
+    assert [r.kind for r in warc.read(spark, path).collect()] == ["record"]
+
+
 def test_katz_matches_the_recursion(rows, docs):
     got = defaultdict(list)
     for r in katz.score_documents(docs).collect():
