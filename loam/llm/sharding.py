@@ -117,7 +117,18 @@ def directory(assigned: DataFrame) -> DataFrame:
     )
 
 
-def write(df: DataFrame, assigned: DataFrame, key: str, path: str) -> None:
+def placed(df: DataFrame, assigned: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """df with the shard of each row. Every code is a leaf's prefix and more bits, so rows
+    find their leaf by code, whatever their key; texts are joined to distinct codes."""
+    rows = df.withColumn("__h", code(F.col(key), F.col(text)))
+    depths = assigned.agg(F.array_sort(F.collect_set("depth")).alias("depths"))  # 61 at most
+    leaves = assigned.select(F.col("shard").alias("__shard"), F.col("depth").alias("__depth")).distinct()
+    codes = rows.select("__h").distinct().join(F.broadcast(depths)).select("__h", F.explode("depths").alias("__depth"))
+    bits = F.lpad(F.bin("__h"), CODE_BITS, F.lit("0"))
+    found = codes.withColumn("__shard", F.substring(bits, F.lit(1), F.col("__depth"))).join(leaves, ["__depth", "__shard"])
+    return rows.join(found.select("__h", F.col("__shard").alias("shard")), "__h").select(*df.columns, "shard")
+
+
+def write(df: DataFrame, assigned: DataFrame, key: str, path: str, text: str = "text") -> None:
     """df written in folders by shard; a shard's rows go to one task, which its limit bounds."""
-    placed = df.join(assigned.select(F.col("row_id").alias(key), "shard"), key)
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    placed(df, assigned, key, text).repartition("shard").write.partitionBy("shard").parquet(path)

@@ -77,6 +77,19 @@ def test_one_key_is_split_by_its_rows(spark):
     assert max(r.shard_bytes for r in got) <= 40 and len({r.shard for r in got}) > 8
 
 
+def test_shards_are_written_once_by_row(spark, docs, rows, tmp_path):
+    same = frame(spark, [(None, f"null {k}", "a") for k in range(20)] + [(1, f"text {k}", "a") for k in range(40)] + [(2, "twice", "a")] * 2)
+    assigned = sharding.shard(same, "doc_id", "text", 60)
+    path = str(tmp_path / "shards")
+    sharding.write(same, assigned, "doc_id", path)
+    got = spark.read.schema(same.schema.add("shard", "string")).parquet(path).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in same.collect())
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += len(r.text)
+    assert sizes == {r.shard: r.shard_bytes for r in assigned.collect()}
+
+
 def test_directory_covers_every_slot_once(spark, docs):
     slots = sharding.directory(sharding.shard(docs, "doc_id", "text", 20000)).collect()
     assert sum(r.slots for r in slots) <= 1 << slots[0].global_depth
