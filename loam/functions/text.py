@@ -16,8 +16,9 @@ CODE_WORDS = (
     "yield", "lambda", "and", "or", "not", "is", "in", "=", "==", "!=", "pass", "break", "continue", "global", "nonlocal",
     "assert", "raise", "del", "print", "input",
 )
-HAPPY = r"\^_\^|[:=8](?:|o|O|-)[D\)\]]"
-SAD = r"[:=8](?:|o|O|-)[\(\[]"
+NOSE = r"(?:|o|O|-)"
+HAPPY = rf"\^_\^|[:=8]{NOSE}[D\)\]]"
+SAD = rf"[:=8]{NOSE}[\(\[]"
 
 
 def squeeze(text: Column) -> Column:

@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loam.functions.text import NOSE
+
 # What is kept as one token, tried in this order.
-EYES, NOSE, SAD, HAPPY = r"[:=8;]", r"(?:o|O|-)?", r"[(\[]", r"[D)\]]"
+EYES, SAD, HAPPY = r"[:=8;]", r"[(\[]", r"[D)\]]"
 FACE = rf"{EYES}{NOSE}(?:[pPb]|[|doO/\\]|{SAD}+|{HAPPY}+)|(?:{SAD}+|{HAPPY}+){NOSE}{EYES}"
 EMOTICON = rf"<+/?3+|{FACE}|<*[-=]*>+|<+[-=]*>*"
 ENTITY = r"&(?:amp|lt|gt|quot);"

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_FREQUENCY = 10
-DEEPEST = 20
 # What calls return; a list gives the types of a tuple.
 RETURNS = {
     "matplotlib.pyplot.subplots": ["matplotlib.figure.Figure", "matplotlib.axes.Axes"],
@@ -58,47 +57,75 @@ def _at(kind: str | list, index: int) -> str:
     return kind[index] if 0 <= index < len(kind) else "Unknown"
 
 
-def _kind(name: str, chain: dict, returns: dict, seen: frozenset) -> str | list:
-    if name in seen or len(seen) > DEEPEST:
-        return name
-    seen = seen | {name}
-    if name in chain:
-        source, index = chain[name]
-        if index is None:
-            return source
-        kind = _kind(source, chain, returns, seen)
-        return _at(returns.get(kind, kind) if isinstance(kind, str) else kind, index)
-    owner, dot, method = name.rpartition(".")
-    if dot:
-        full = f"{_at(_kind(owner, chain, returns, seen), 0)}.{method}"
-        return returns.get(full, full)
-    return name
-
-
-def type_of(name: str, chain: dict, returns: dict = RETURNS) -> str:
+def _kind(name: str, chain: dict, returns: dict, known: dict) -> str | list:
+    """What a name stands for: followed to its source, then back through calls and methods."""
+    seen: set[str] = set()
+    steps: list[int | str] = []
+    while name not in seen:
+        seen.add(name)
+        if name in chain:
+            source, index = chain[name]
+            if index is None:
+                name = source
+                break
+            steps.append(index)
+            name = source
+        elif "." in name:
+            name, _, method = name.rpartition(".")
+            steps.append(method)
+        else:
+            name = known.get(name, name)
+            break
+    kind: str | list = name
+    for step in reversed(steps):
+        if isinstance(step, int):
+            kind = _at(returns.get(kind, kind) if isinstance(kind, str) else kind, step)
+        else:
+            full = f"{_at(kind, 0)}.{step}"
+            kind = returns.get(full, full)
+    return kind
+
+
+def type_of(name: str, chain: dict, returns: dict = RETURNS, known: dict | None = None) -> str:
     """A name by the post's chain {name: (source, index or None)}: an import is its module,
     a variable what its call returns at its index, a dotted name its owner's type with the
-    method behind it. A name that leads back to itself, or a chain of more than DEEPEST
-    steps, stays as it is; of a tuple without an index the first type counts."""
-    return _at(_kind(name, chain, returns, frozenset()), 0)
+    method behind it, and any other name what `known` (global aliases) has for it. A name
+    that leads back to itself stays as it is, however long the way; of a tuple without an
+    index the first type counts."""
+    return _at(_kind(name, chain, returns, known or {}), 0)
 
 
-def resolved(mention, chain, returns: dict = RETURNS) -> Column:
+def resolved(mention, chain, returns: dict = RETURNS, known=None) -> Column:
     """type_of() the first component of a mention, with the others behind it; chain is a
-    map<string, struct<source, index>>."""
+    map<string, struct<source, index>>, known a map<string, string>."""
 
-    def of_rows(mentions: pd.Series, chains: pd.Series) -> pd.Series:
+    def of_rows(mentions: pd.Series, chains: pd.Series, aliases: pd.Series) -> pd.Series:
         out = []
-        for m, c in zip(mentions, chains, strict=True):
+        for m, c, k in zip(mentions, chains, aliases, strict=True):
             if m is None:
                 out.append(None)
                 continue
-            known = {k: (v["source"], None if v["index"] is None or v["index"] != v["index"] else int(v["index"])) for k, v in dict(c if c is not None else {}).items()}
+            sources = {k: (v["source"], None if v["index"] is None or v["index"] != v["index"] else int(v["index"])) for k, v in dict(c if c is not None else {}).items()}
             first, dot, rest = m.partition(".")
-            out.append(type_of(first, known, returns) + dot + rest)
+            out.append(type_of(first, sources, returns, dict(k if k is not None else {})) + dot + rest)
         return pd.Series(out, dtype="object")
 
-    return F.pandas_udf(of_rows, "string")(mention, chain)
+    known = F.lit(None).cast("map<string,string>") if known is None else known
+    return F.pandas_udf(of_rows, "string")(mention, chain, known)
+
+
+def with_assigns(mentions: DataFrame, best: DataFrame, keys: list[str], returns: dict = RETURNS) -> DataFrame:
+    """mentions (keys, mention, chain) with each mention in full: its first component by the
+    post's code, where a name that leads nowhere is a global alias's name if there is one,
+    then the global alias of what comes of it. Names that may be asked for meet best
+    (alias, fqn) in a join; keys tell the rows apart."""
+    first = lambda c: F.substring_index(c, ".", 1)
+    sources = F.transform(F.map_values("chain"), lambda v: first(v["source"]))
+    names = F.concat(F.array(first(F.col("mention"))), F.coalesce(sources, F.array().cast("array<string>")))
+    asked = mentions.select(*keys, F.explode(F.array_distinct(names)).alias("alias"))
+    met = asked.join(best, "alias").groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("alias", "fqn"))).alias("known"))
+    rows = mentions.join(met, keys, "left").withColumn("mention", resolved("mention", "chain", returns, "known")).drop("known")
+    return with_aliases(rows, best)
 
 
 def best_alias(aliases: DataFrame, terms: DataFrame) -> DataFrame:

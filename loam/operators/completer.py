@@ -42,15 +42,16 @@ class Completer(Protocol):
 
 @dataclass(frozen=True)
 class FirstCandidate:
-    """Offline: the first candidate of each numbered list in the user's first message."""
+    """Offline: the first candidate of each numbered list in the user's first message, and
+    the next one of each after every answer that was sent back."""
 
     def complete(self, messages: list[dict]) -> str:
-        picked = []
+        picked, again = [], sum(m["role"] == "assistant" for m in messages)
         for line in next(m["content"] for m in messages if m["role"] == "user").split("\n"):
             number, dot, rest = line.partition(". [")
             if dot and number.isdigit():
                 found = parse_list("[" + rest)[0] or [""]
-                picked.append(found[0] or "None")
+                picked.append(found[again % len(found)] or "None")
         return "[" + ", ".join(picked) + "]"
 
 
@@ -120,30 +121,32 @@ def completed(prompts: DataFrame, completer: Completer, column: str = "messages"
     return rows.mapInPandas(called, schema)
 
 
-def constrained(prompts: DataFrame, completer: Completer, known: set | frozenset, retries: int = RETRIES) -> DataFrame:
-    """prompts (messages, mentions, constraints) with predicted and verdict: a reply that
-    breaks a constraint is called again, with the reason, up to `retries` times. `known` is
-    asked for membership only; pass a bounded set or a lookup object."""
+def constrained(prompts: DataFrame, completer: Completer, known: str = "known", retries: int = RETRIES) -> DataFrame:
+    """prompts (messages, mentions, constraints, known) with predicted and verdict: a reply
+    that breaks a constraint is called again, with the reason, up to `retries` times. known:
+    a column with the names that a reply may hold, such as the prompt's candidates that are
+    in the gazetteer (known_candidates())."""
     schema = T.StructType([*prompts.schema, T.StructField("predicted", T.ArrayType(T.StringType())), T.StructField("verdict", T.StringType())])
 
-    def judge(found: list | None, mentions, constraints) -> str:
+    def judge(found: list | None, mentions, constraints, names: set) -> str:
         if found is None or len(found) != len(mentions):
             return "count"
         if "None" in found:
             return "none"
-        if any(f not in known for f in found):
+        if any(f not in names for f in found):
             return "unknown"
         return "pass" if all(not c or f == c or f.endswith("." + c) for f, c in zip(found, constraints, strict=True)) else "suffix"
 
     def called(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for sent, mentions, constraints in zip(frame["messages"], frame["mentions"], frame["constraints"], strict=True):
+            for sent, mentions, constraints, names in zip(frame["messages"], frame["mentions"], frame["constraints"], frame[known], strict=True):
+                names = set(names if names is not None else ())
                 talk = [dict(m.asDict() if hasattr(m, "asDict") else m) for m in sent]
                 for _ in range(1 + retries):
                     reply = completer.complete(talk)
                     found = parse_list(reply)[0]
-                    if (why := judge(found, mentions, constraints)) == "pass":
+                    if (why := judge(found, mentions, constraints, names)) == "pass":
                         break
                     talk += [{"role": "assistant", "content": reply or ""}, {"role": "user", "content": f"That breaks a constraint ({why}). Answer again."}]
                 out.append((found, why))
@@ -152,6 +155,14 @@ def constrained(prompts: DataFrame, completer: Completer, known: set | frozenset
     return prompts.mapInPandas(called, schema)
 
 
+def known_candidates(lists: DataFrame, names: DataFrame, keys: list[str], candidates: str = "candidates") -> DataFrame:
+    """lists with `known`, the distinct candidates (array of arrays of names) that are in the
+    gazetteer, met in a join; keys tell the rows apart."""
+    held = lists.select(*keys, F.explode(F.array_distinct(F.flatten(candidates))).alias("fqn")).join(names.select("fqn"), "fqn", "left_semi")
+    found = held.groupBy(*keys).agg(F.array_sort(F.collect_set("fqn")).alias("known"))
+    return lists.join(found, keys, "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+
+
 def not_done(prompts: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """The prompts that have no result yet."""
     return prompts.join(results.select(key), key, "left_anti")

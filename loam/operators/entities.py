@@ -49,19 +49,23 @@ def chunked(sentence) -> Column:
     return F.pandas_udf(of_rows, CHUNKS)(sentence)
 
 
-def own_variables(assigned: DataFrame, api_elements: DataFrame, key: str) -> DataFrame:
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def own_variables(assigned: DataFrame, api_elements: DataFrame, key: str | list[str]) -> DataFrame:
     """A thread's assigned variables that are no API elements."""
-    return assigned.select(key, "name").distinct().join(api_elements.select("name"), "name", "left_anti")
+    return assigned.select(*_keys(key), "name").distinct().join(api_elements.select("name"), "name", "left_anti")
 
 
-def candidates(chunks: DataFrame, variables: DataFrame, key: str) -> DataFrame:
+def candidates(chunks: DataFrame, variables: DataFrame, key: str | list[str]) -> DataFrame:
     """chunks (key, sent_idx, start, end, text) with a demonstrative, or whose last word, cut
     at = or [, is one of the thread's own variables; once each."""
     words = F.split(F.lower("text"), r"\s+")
     root = F.regexp_extract(F.element_at(F.split("text", r"\s+"), -1), r"^([^=\[]*)", 1)
     rows = chunks.withColumn("demonstrative", F.arrays_overlap(words, F.array(*map(F.lit, DEMONSTRATIVES)))).withColumn("name", root)
-    marks = variables.select(key, "name").distinct().withColumn("own", F.lit(True))
-    return rows.join(marks, [key, "name"], "left").where("demonstrative OR own").drop("name", "own", "demonstrative")
+    marks = variables.select(*_keys(key), "name").distinct().withColumn("own", F.lit(True))
+    return rows.join(marks, [*_keys(key), "name"], "left").where("demonstrative OR own").drop("name", "own", "demonstrative")
 
 
 def kept_by_chains(entity: Column, chains: Column, entities: Column) -> Column:

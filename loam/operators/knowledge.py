@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
@@ -15,25 +15,28 @@ def organise(snippets: DataFrame, linked: DataFrame, completions: DataFrame, key
 
     snippets: key, snippet_idx, html with red and blue mentions. linked: key, mention_idx,
     fqn. completions: key, completion_idx, entity, context. Mentions and completions are
-    met by their order over the thread, which running counts of the snippets give.
+    met by their order over the thread, which running counts of the snippets give. All three
+    are dealt by key once, and a thread's snippets take their slices of its names and notes;
+    rows without a key have no thread and go.
     """
-    order = Window.partitionBy(key).orderBy("snippet_idx").rowsBetween(Window.unboundedPreceding, -1)
-    red, blue = F.size(T.red_mentions(F.col("html"))), F.size(T.blue_mentions(F.col("html")))
-    counted = snippets.withColumn("reds", red).withColumn("blues", blue)
-    counted = counted.withColumn("red_at", F.coalesce(F.sum("reds").over(order), F.lit(0))).withColumn("blue_at", F.coalesce(F.sum("blues").over(order), F.lit(0)))
-
-    def gathered(n: str, at: str, rows: DataFrame, index: str, value, name: str) -> DataFrame:
-        asked = counted.where(F.col(n) > 0).select(key, "snippet_idx", F.explode(F.sequence(F.col(at).cast("long"), F.col(at) + F.col(n) - 1)).alias("k"))
-        met = asked.join(rows.select(key, F.col(index).cast("long").alias("k"), value.alias("v")), [key, "k"])
-        return met.groupBy(key, "snippet_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias(name))
-
-    names = gathered("reds", "red_at", linked, "mention_idx", F.col("fqn"), "names")
+    row = lambda rows, kind, at, value: rows.where(F.col(key).isNotNull()).select(key, F.lit(kind).alias("kind"), F.col(at).cast("long").alias("at"), value.alias("value"))
     note = F.concat(F.lit("\n'"), "entity", F.lit("' refers to "), "context")
-    notes = gathered("blues", "blue_at", completions, "completion_idx", note, "notes")
-    rows = counted.join(names, [key, "snippet_idx"]).join(notes, [key, "snippet_idx"], "left")
+    rows = row(snippets, 0, "snippet_idx", F.col("html")).unionByName(row(linked, 1, "mention_idx", F.col("fqn"))).unionByName(row(completions, 2, "completion_idx", note))
+    held = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "value"))))
+    threads = rows.groupBy(key).agg(held(0).alias("snippets"), held(1).alias("names"), held(2).alias("notes"))
+    count = lambda found: F.transform("snippets", lambda s: F.coalesce(F.size(found(s["value"])), F.lit(0)))
+    threads = threads.withColumn("reds", count(T.red_mentions)).withColumn("blues", count(T.blue_mentions))
+
+    def own(values: str, counts: str, k) -> Column:
+        before = F.aggregate(F.slice(counts, F.lit(1), k), F.lit(0), lambda a, n: a + n)
+        return F.transform(F.slice(values, before + 1, F.get(counts, k)), lambda v: v["value"])
+
+    taken = F.transform("snippets", lambda s, k: F.struct(s["at"].alias("at"), s["value"].alias("html"), own("names", "reds", k).alias("names"), own("notes", "blues", k).alias("notes")))
+    each = threads.select(key, F.explode(taken).alias("s")).select(key, "s.*")
     shown = T.without_highlights(T.replace_red(F.col("html"), F.col("names")))
-    shown = F.concat(shown, F.coalesce(F.array_join("notes", ""), F.lit("")))
-    return rows.select(key, "snippet_idx", F.explode("names").alias("api"), shown.alias("snippet"))
+    shown = F.concat(shown, F.array_join("notes", ""))
+    index = F.col("at").cast(snippets.schema["snippet_idx"].dataType).alias("snippet_idx")
+    return each.select(key, index, F.explode("names").alias("api"), shown.alias("snippet"))
 
 
 def storable(rows: DataFrame) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.similarity import jaro_winkler
+from loam.functions.similarity import PREFIX_MOST, PREFIX_WEIGHT, jaro_winkler
 
 TOP = 20
-BLOCK = 2000
+#: Names of the gazetteer, and mentions, that a task holds against each other.
+BLOCK, DEAL = 2000, 500
+LETTERS = 64
 
 
 def gazetteer(names: DataFrame, name: str = "fqn") -> DataFrame:
@@ -40,94 +41,169 @@ def same_block(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return mentions.withColumn("block", block("mention")).join(names.select("fqn", block("fqn").alias("block")), "block").drop("block")
 
 
-def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, block: int = BLOCK, known: dict | None = None) -> DataFrame:
+class Terms:
+    """The components of a block of names: what each may at most score against a mention's
+    component, and what it does score."""
+
+    def __init__(self, names: list[list[str]], cached: dict[tuple[str, str], float]):
+        self.number: dict[str, int] = {}
+        self.depth = np.array([len(p) for p in names])
+        # By place from the end: the number of each name's component, -1 beyond its first.
+        self.places = [np.array([self.number.setdefault(p[-k], len(self.number)) if len(p) >= k else -1 for p in names]) for k in range(1, int(self.depth.max()) + 1)]
+        self.terms, self.cached = list(self.number), cached
+        self.letters = np.stack([self._letters(t) for t in self.terms])
+        self.sizes = np.array([max(1, len(t)) for t in self.terms])
+        self.bounds: dict[str, np.ndarray] = {}
+        self.scores: dict[tuple[str, int], float] = {}
+
+    @staticmethod
+    def _letters(term: str) -> np.ndarray:
+        return np.bincount([ord(c) % LETTERS for c in term], minlength=LETTERS).astype(np.int32)
+
+    def bound(self, part: str) -> np.ndarray:
+        """No similarity exceeds what all shared letters in their places would give."""
+        if part not in self.bounds:
+            shared = np.minimum(self.letters, self._letters(part)).sum(axis=1)
+            jaro = np.where(shared > 0, (shared / self.sizes + shared / max(1, len(part)) + 1) / 3, 0.0)
+            most = jaro + np.where(shared > 0, PREFIX_WEIGHT * PREFIX_MOST * np.maximum(0, 1 - jaro), 0.0)
+            for k, term in enumerate(self.terms):
+                if (term, part) in self.cached:
+                    most[k] = self.cached[term, part]
+            self.bounds[part] = most
+        return self.bounds[part]
+
+    def score(self, part: str, k: int) -> float:
+        if (part, k) not in self.scores:
+            pair = self.terms[k], part
+            self.scores[part, k] = self.cached[pair] if pair in self.cached else jaro_winkler(*pair)
+        return self.scores[part, k]
+
+    def best(self, parts: list[str], top: int) -> list[tuple[int, float]]:
+        """(name, score) of the `top` highest distinct scores: names in order of their bound,
+        until that is below the last of these."""
+        k = len(parts)
+        if k > len(self.places):
+            return []
+        fit = np.flatnonzero(self.depth >= k)
+        bound = sum(self.bound(parts[-j - 1])[self.places[j][fit]] for j in range(k)) / k
+        levels, found, least = set(), [], -1.0
+        for at in np.argsort(-bound, kind="stable").tolist():
+            if len(levels) >= top and bound[at] < least - 1e-9:
+                break
+            name = int(fit[at])
+            score = round(sum(self.score(parts[j], int(self.places[k - j - 1][name])) for j in range(k)) / k, 12)
+            found.append((name, score))
+            levels.add(score)
+            if len(levels) > top:
+                levels.discard(min(levels))
+            least = min(levels)
+        return [(name, score) for name, score in found if score >= least]
+
+
+def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """mention, fqn, score: the names whose score is among a mention's `top` highest distinct
     scores (to 12 places). The score of a name at least as deep as the mention is the mean similarity of
     its last components to the mention's.
 
-    Distinct mentions are a query set held against the gazetteer block by block. A task
-    compares a mention with one block, each pair of components once, and emits only the
-    block's top scores; the blocks of a mention are then merged by dense rank. Both sides
-    of the join are dealt by block number, so neither needs to fit one machine, and Spark
-    broadcasts the blocks where their size allows it. known: similarities of component
-    pairs that come before the measure.
+    Distinct mentions are a query set held against the gazetteer: a task meets a deal of
+    mentions with a block of names, scores each pair of components once, leaves names alone
+    whose bound is below the top so far, and emits only the block's top scores; the blocks
+    of a mention are then merged by dense rank. known (a, b, sim): similarities of a
+    name's component to a mention's that come before the measure, met by joins.
     """
-    known = known or {}
-    n = max(1, -(-names.count() // block))
-    blocks = names.withColumn("block", F.pmod(F.xxhash64("fqn"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list("fqn").alias("names"))
-    queries = mentions.select("mention").where("mention IS NOT NULL").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
-
-        def alike(a: str, b: str) -> float:
-            if (a, b) not in seen:
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen[a, b] = known[a, b] if (a, b) in known else jaro_winkler(a, b)
-            return seen[a, b]
-
-        for frame in frames:
-            rows = []
-            for mention, names_ in zip(frame["mention"], frame["names"], strict=True):
-                parts = mention.split(".")
-                k = len(parts)
-                scored = []
-                for name in names_:
-                    last = name.split(".")[-k:]
-                    if len(last) == k:
-                        scored.append((round(sum(map(alike, last, parts)) / k, 12), name))
-                levels = sorted({s for s, _ in scored}, reverse=True)[:top]
-                if levels:
-                    rows += [(mention, name, s) for s, name in scored if s >= levels[-1]]
-            yield pd.DataFrame(rows, columns=["mention", "fqn", "score"])
-
-    best = queries.join(blocks, "block").select("mention", "names").mapInPandas(compared, "mention string, fqn string, score double")
+    asked = mentions.select("mention").where("mention IS NOT NULL").distinct()
+    n, deals = max(1, -(-names.count() // block)), max(1, -(-asked.count() // DEAL))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asked = asked.withColumn("deal", F.pmod(F.xxhash64("mention"), F.lit(deals)).cast("int"))
+    held = names.select("fqn", F.pmod(F.xxhash64("fqn"), F.lit(n)).cast("int").alias("block"))
+    queries = asked.select("mention", "deal", every(n).alias("block"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("sim"))
+    if known is not None:
+        wanted = asked.select("deal", F.explode(F.split("mention", r"\.", -1)).alias("b")).distinct()
+        terms_ = held.select("block", F.explode(F.split("fqn", r"\.", -1)).alias("a")).distinct()
+        met = known.select("a", "b", F.col("sim").cast("double").alias("sim")).join(wanted, "b").join(terms_, "a")
+        queries = queries.unionByName(met.select(F.col("b").alias("mention"), "deal", "block", F.col("a").alias("term"), "sim"))
+
+    def compared(asked_: pd.DataFrame, held_: pd.DataFrame) -> pd.DataFrame:
+        fqns = sorted(held_["fqn"])
+        cached = asked_["term"].notna()
+        rows = []
+        if len(fqns):
+            pairs = asked_[cached]
+            block_ = Terms([x.split(".") for x in fqns], dict(zip(zip(pairs["term"], pairs["mention"], strict=True), pairs["sim"], strict=True)))
+            for mention in asked_["mention"][~cached]:
+                rows += [(mention, fqns[k], score) for k, score in block_.best(mention.split("."), top)]
+        return pd.DataFrame(rows, columns=["mention", "fqn", "score"])
+
+    dealt = held.select("fqn", "block", every(deals).alias("deal"))
+    best = queries.groupBy("block", "deal").cogroup(dealt.groupBy("block", "deal")).applyInPandas(compared, "mention string, fqn string, score double")
     rank = F.dense_rank().over(Window.partitionBy("mention").orderBy(F.desc("score")))
     return best.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def nearness(tokens: DataFrame, mentions: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+def nearness(tokens: DataFrame, mentions: DataFrame, candidates: DataFrame, key: str | list[str]) -> DataFrame:
     """candidates (key, mention_idx, cand_ord, fqn) with score and rank: each other token's
     dotted entry that is a component of the candidate adds 1 / distance; ties keep their
-    candidate order. tokens: key, pos, token (normalised). mentions: key, mention_idx, pos."""
-    entries = tokens.select(key, F.col("pos").alias("at"), F.explode(F.split("token", r"\.")).alias("entry"))
-    components = candidates.select(key, "mention_idx", "cand_ord", F.explode(F.array_distinct(F.split("fqn", r"\."))).alias("entry"))
-    placed = components.join(mentions.select(key, "mention_idx", "pos"), [key, "mention_idx"])
-    near = placed.join(entries, [key, "entry"]).where("at <> pos")
-    sums = near.groupBy(key, "mention_idx", "cand_ord").agg(F.sum(1 / F.abs(F.col("at") - F.col("pos"))).alias("score"))
-    scored = candidates.join(sums, [key, "mention_idx", "cand_ord"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    order = Window.partitionBy(key, "mention_idx").orderBy(F.desc("score"), "cand_ord")
+    candidate order. tokens: key, pos, token (normalised). mentions: key, mention_idx, pos.
+    key: the column, or columns, of the text."""
+    keys = [key] if isinstance(key, str) else list(key)
+    entries = tokens.select(*keys, F.col("pos").alias("at"), F.explode(F.split("token", r"\.")).alias("entry"))
+    components = candidates.select(*keys, "mention_idx", "cand_ord", F.explode(F.array_distinct(F.split("fqn", r"\."))).alias("entry"))
+    placed = components.join(mentions.select(*keys, "mention_idx", "pos"), [*keys, "mention_idx"])
+    near = placed.join(entries, [*keys, "entry"]).where("at <> pos")
+    sums = near.groupBy(*keys, "mention_idx", "cand_ord").agg(F.sum(1 / F.abs(F.col("at") - F.col("pos"))).alias("score"))
+    scored = candidates.join(sums, [*keys, "mention_idx", "cand_ord"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    order = Window.partitionBy(*keys, "mention_idx").orderBy(F.desc("score"), "cand_ord")
     return scored.withColumn("rank", F.row_number().over(order))
 
 
+def by_rarest_part(tokens: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, fqn, pos: the names whose rarest component (that of the fewest names, then the
+    least) is a token of the text, and where it first is. A component that many names share
+    fetches none of them."""
+    parts = names.select("fqn", F.explode(F.array_distinct("parts")).alias("term"))
+    shared = parts.groupBy("term").agg(F.count("*").alias("names"))
+    rarest = parts.join(shared, "term").groupBy("fqn").agg(F.min(F.struct("names", "term")).alias("least")).select("fqn", F.col("least.term").alias("token"))
+    return tokens.join(rarest, "token").groupBy(*keys, "fqn").agg(F.min("pos").alias("pos"))
+
+
 def suffixes(names: DataFrame) -> DataFrame:
     """Every dotted suffix of every name, once."""
     ends = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice(F.col("parts"), -k, k), "."))
     return names.select(F.explode(ends).alias("suffix")).distinct()
 
 
-def longest_suffix(mentions: DataFrame, names: DataFrame, deepest: int = 8) -> DataFrame:
+def longest_suffix(mentions: DataFrame, names: DataFrame) -> DataFrame:
     """mention and the suffix that its components reach from right to left: a component is
     taken if it and what is taken already end some name, else it is passed over.
 
-    One equi-join with the suffixes for each component, on distinct mentions.
+    What can be taken at all begins and ends with components of the mention and holds no
+    others: one equi-join fetches these suffixes for distinct mentions, and a fold over the
+    components picks from them, to any depth.
     """
-    known = suffixes(names)
-    state = mentions.select("mention").distinct().select("mention", F.reverse(F.split("mention", r"\.", -1)).alias("parts"), F.lit("").alias("taken"))
-    for k in range(deepest):
-        part = F.get("parts", F.lit(k))
-        tried = F.when(F.col("taken") == "", part).otherwise(F.concat(part, F.lit("."), "taken"))
-        state = state.withColumn("suffix", tried).join(known.withColumn("hit", F.lit(True)), "suffix", "left")
-        state = state.select("mention", "parts", F.when(F.col("hit"), F.col("suffix")).otherwise(F.col("taken")).alias("taken"))
-    return state.select("mention", F.col("taken").alias("constraint"))
-
-
-def link(mentions: DataFrame, names: DataFrame, typo: bool = True, top: int = TOP) -> DataFrame:
-    """Candidates of distinct mentions: the name itself if there is one, else fuzzy ones."""
+    parts, size = F.split("mention", r"\.", -1), F.size("parts")
+    wanted = mentions.select("mention").distinct().withColumn("parts", parts)
+    behind = lambda i: F.transform(F.sequence(i, size), lambda k: F.struct(F.get("parts", i - 1).alias("first"), F.get("parts", k - 1).alias("last")))
+    ends = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), behind)))
+    asked = wanted.where("mention IS NOT NULL").select("mention", "parts", F.explode(ends).alias("e")).select("mention", "parts", "e.*")
+    known = suffixes(names).withColumn("own", F.split("suffix", r"\.", -1))
+    known = known.select("suffix", "own", F.element_at("own", 1).alias("first"), F.element_at("own", -1).alias("last"))
+    met = asked.join(known, ["first", "last"]).where(F.size(F.array_except("own", "parts")) == 0)
+    held = met.groupBy("mention").agg(F.collect_set("suffix").alias("held"))
+
+    def step(taken, part):
+        tried = F.when(taken == "", part).otherwise(F.concat(part, F.lit("."), taken))
+        return F.when(F.array_contains("held", tried), tried).otherwise(taken)
+
+    reached = F.when(F.col("held").isNotNull(), F.aggregate(F.reverse("parts"), F.lit(""), step))
+    return wanted.join(held, "mention", "left").select("mention", F.coalesce(reached, F.lit("")).alias("constraint"))
+
+
+def link(mentions: DataFrame, names: DataFrame, typo: bool = True, top: int = TOP, known: DataFrame | None = None) -> DataFrame:
+    """Candidates of distinct mentions: the name itself if there is one, else fuzzy ones
+    (unless typo is off)."""
     hit, missed = exact(mentions.select("mention").distinct(), names)
     found = hit.select("mention", F.col("mention").alias("fqn"), F.lit(1.0).alias("score"))
     if typo:
-        found = found.unionByName(fuzzy(missed, names, top).drop("rank"))
+        found = found.unionByName(fuzzy(missed, names, top, known=known).drop("rank"))
     order = Window.partitionBy("mention").orderBy(F.desc("score"), "fqn")
     return found.withColumn("cand_ord", F.row_number().over(order))

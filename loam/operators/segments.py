@@ -59,13 +59,8 @@ def with_code_tags(text: Column) -> Column:
 
 def without_code_lines(text: Column) -> Column:
     """Lines from one that starts with "Code:" up to the next that starts with "Text:" go."""
-    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("kept"))
-
-    def step(state: Column, line: Column) -> Column:
-        skip = F.when(line.startswith("Code:"), True).when(line.startswith("Text:"), False).otherwise(state["skip"])
-        return F.struct(skip.alias("skip"), F.when(skip, state["kept"]).otherwise(F.concat(state["kept"], F.array(line))).alias("kept"))
-
-    return F.array_join(F.aggregate(F.split(text, "\n", -1), start, step)["kept"], "\n")
+    stretches = F.split(text, r"\n(?=Text:|Code:)", -1)
+    return F.array_join(F.filter(stretches, lambda x: ~x.startswith("Code:")), "\n")
 
 
 class _Tree(HTMLParser):

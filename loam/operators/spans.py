@@ -24,23 +24,31 @@ def outermost(spans: Column, duplicates: str = "one") -> Column:
 
 
 def outermost_rows(spans: DataFrame, key: str) -> DataFrame:
-    """outermost() for spans in rows (key, start, end), as a containment anti-join."""
+    """outermost() for spans in rows (key, start, end): in order of start, the longer first,
+    a span lies in another if one before it ends no earlier."""
+    before = Window.partitionBy(key).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select(key, "start", "end").distinct()
-    a, b = spans.alias("a"), spans.alias("b")
-    held = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("b.start") <= F.col("a.start")) & (F.col("a.end") <= F.col("b.end"))
-    other = (F.col("b.start") != F.col("a.start")) | (F.col("b.end") != F.col("a.end"))
-    return a.join(b, held & other, "left_anti")
+    reached = F.max(F.when(F.col("start").isNotNull(), F.col("end"))).over(before)
+    return spans.withColumn("reached", reached).where("coalesce(reached < end, true)").drop("reached")
 
 
 def _spliced(text: Column, spans: Column, wrap) -> Column:
-    """text with each span wrapped, from the last to the first so that places hold."""
-    back = F.reverse(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("span")))))
+    """text with each span wrapped: in order of start, what lies before each span and the
+    span. Where spans overlap without lying in each other, from the last to the first, so
+    that marks go in at the places that the text then has."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("span"))))
+    before = lambda k: F.coalesce(F.get(ordered, k - 1)["end"], F.lit(0))
+    inner = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    pieces = F.transform(ordered, lambda s, k: F.concat(F.substring(text, before(k) + 1, s["start"] - before(k)), wrap(inner(s), s["span"])))
+    rest = F.substring(text, before(F.size(ordered)) + 1, F.length(text))
+    apart = F.concat(F.array_join(pieces, ""), rest)
 
     def step(done: Column, s: Column) -> Column:
-        inner = F.substring(done, s["start"] + 1, s["end"] - s["start"])
-        return F.concat(F.substring(done, F.lit(1), s["start"]), wrap(inner, s["span"]), F.substring(done, s["end"] + 1, F.length(done)))
+        inside = F.substring(done, s["start"] + 1, s["end"] - s["start"])
+        return F.concat(F.substring(done, F.lit(1), s["start"]), wrap(inside, s["span"]), F.substring(done, s["end"] + 1, F.length(done)))
 
-    return F.aggregate(back, text, step)
+    crossed = F.exists(F.transform(ordered, lambda s, k: s["start"] < before(k)), lambda x: x)
+    return F.when(crossed, F.aggregate(F.reverse(ordered), text, step)).otherwise(apart)
 
 
 def marked(text: Column, spans: Column, opening: str = "</BEGIN>", closing: str = "<END/>") -> Column:
@@ -62,9 +70,9 @@ def mentions(text: Column, labels: Column, kind: str = "Mention") -> Column:
     )
 
 
-def token_places(tokens: DataFrame, key: str, order: str = "pos") -> DataFrame:
+def token_places(tokens: DataFrame, key: str | list[str], order: str = "pos") -> DataFrame:
     """start and end of each token in the text that joins a key's tokens by one character."""
-    running = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.length("token") + 1).over(running) - 1
     return tokens.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.length("token"))
 

@@ -81,19 +81,33 @@ def required_columns(samples: DataFrame) -> DataFrame:
     return samples.drop(*OPTIONAL_COLUMNS)
 
 
-def train(tokens: DataFrame, dimension: int = 1 << 14, iterations: tuple[int, ...] = (5, 15), seed: int = 7) -> PipelineModel:
+@dataclass(frozen=True)
+class Options:
+    """Settings of train(): size of the feature space, tried numbers of iterations, strength
+    of the penalty, share of the tokens held out, and the seed of that choice."""
+
+    dimension: int = 1 << 14
+    iterations: tuple[int, ...] = (5, 15)
+    penalty: float = 1e-4
+    held_out: float = 0.2
+    seed: int = 7
+
+
+def train(tokens: DataFrame, options: Options = Options()) -> PipelineModel:  # noqa: B008  frozen
     """A tagger of single tokens (token, label) from their character pairs: a logistic model,
     of the tried numbers of iterations the one with the best F1 on held-out tokens, the
-    later of equals. It is saved and loaded as any pipeline of Spark's."""
+    later of equals. Equal tokens are held out together, by hash. It is saved and loaded as
+    any pipeline of Spark's."""
     rows = tokens.where("token IS NOT NULL AND label >= 0").select(F.concat(F.lit("^"), "token", F.lit("$")).alias("token"), F.col("label").cast("double").alias("label"))
-    fitted, held = rows.randomSplit([0.8, 0.2], seed)
+    part = F.pmod(F.xxhash64("token", F.lit(options.seed)), F.lit(1000)) < options.held_out * 1000
+    fitted, held = rows.where(~part), rows.where(part)
     best = None
-    for n in iterations:
+    for n in options.iterations:
         stages = [
             RegexTokenizer(inputCol="token", outputCol="letters", pattern="", toLowercase=False),
             NGram(n=2, inputCol="letters", outputCol="pairs"),
-            HashingTF(numFeatures=dimension, inputCol="pairs", outputCol="features"),
-            LogisticRegression(maxIter=n, regParam=1e-4),
+            HashingTF(numFeatures=options.dimension, inputCol="pairs", outputCol="features"),
+            LogisticRegression(maxIter=n, regParam=options.penalty),
         ]
         model = Pipeline(stages=stages).fit(fitted)
         counts = confusion(model.transform(held), "label", "prediction")

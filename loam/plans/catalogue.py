@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import similarity, text, tokenizer
 from loam.operators import aliases, code, completer, entities, knowledge, linking, metrics, replies, segments, spans, tagging
-from loam.plans import views
+from loam.plans import extraction, views
 from loam.sources import tables
 
 QUERIES: dict[str, Callable] = {}
@@ -70,6 +70,17 @@ def t11_tokens(spark, folder):
     return turns.select("conv_id", "turn", "t.*")
 
 
+@query("""
+SELECT p_partkey, [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), ',', 'np.' || lower(split_part(p_type, ' ', 1)) || '()', '<=', p_size || '.5', 'and', '(', 'more', ')', ':)', 'http://x.com/' || p_partkey, '!'] AS tokens
+FROM part""")
+def t11_part_tokens(spark, folder):
+    """Tokens of a text about each part: words, a call, an entity, a number, edges, a face, a URL."""
+    text_ = F.concat(
+        F.col("p_name"), F.lit(", np."), F.lower(F.substring_index("p_type", " ", 1)), F.lit("() &lt;= "), F.col("p_size").cast("string"), F.lit(".5  and (more) :) http://x.com/"), F.col("p_partkey").cast("string"), F.lit(" !"),
+    )
+    return read(spark, folder, "part").select("p_partkey", F.transform(tokenizer.tokenized(text_), lambda t: t["token"]).alias("tokens"))
+
+
 @query(r"""
 SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS squeezed FROM documents""")
 def t13_squeeze(spark, folder):
@@ -229,25 +240,28 @@ def j5_terms(spark, folder):
 
 
 @query(f"""
-WITH w AS (SELECT conv_id * 100 + turn AS turn_id, {WORD_SQL} AS w FROM conversations),
-t AS (SELECT turn_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM w),
-c AS (SELECT a.turn_id, (a.pos - 1)::INT AS cand_ord, replace(a.token, '.', '') || '.' || replace(b.token, '.', '') AS fqn,
-             list_distinct([replace(a.token, '.', ''), replace(b.token, '.', '')]) AS parts
-      FROM t a JOIN t b ON a.turn_id = b.turn_id AND b.pos = a.pos + 1 WHERE a.pos BETWEEN 1 AND 5),
-e AS (SELECT turn_id, pos, unnest(string_split(token, '.')) AS entry FROM t),
-s AS (SELECT c.turn_id, c.cand_ord, sum(1.0 / e.pos) AS score
-      FROM (SELECT turn_id, cand_ord, unnest(parts) AS entry FROM c) c JOIN e ON c.turn_id = e.turn_id AND c.entry = e.entry WHERE e.pos <> 0 GROUP BY ALL)
-SELECT c.turn_id, c.cand_ord, c.fqn, round(coalesce(s.score, 0), 6) AS score
-FROM c LEFT JOIN s ON c.turn_id = s.turn_id AND c.cand_ord = s.cand_ord""")
+WITH w AS (SELECT conv_id, turn, {WORD_SQL} AS w FROM conversations),
+t AS (SELECT conv_id, turn, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM w),
+p AS (SELECT a.conv_id, a.turn, replace(a.token, '.', '') || '.' || replace(b.token, '.', '') AS fqn, min(a.pos)::INT AS cand_ord,
+             list_distinct(string_split(replace(a.token, '.', '') || '.' || replace(b.token, '.', ''), '.')) AS parts
+      FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.pos = a.pos + 1 GROUP BY ALL),
+e AS (SELECT conv_id, turn, pos, unnest(string_split(token, '.')) AS entry FROM t),
+s AS (SELECT c.conv_id, c.turn, c.cand_ord, sum(1.0 / e.pos) AS score
+      FROM (SELECT conv_id, turn, cand_ord, unnest(parts) AS entry FROM p) c JOIN e ON c.conv_id = e.conv_id AND c.turn = e.turn AND c.entry = e.entry
+      WHERE e.pos <> 0 GROUP BY ALL)
+SELECT p.conv_id, p.turn, p.cand_ord, p.fqn, round(coalesce(s.score, 0), 6) AS score
+FROM p LEFT JOIN s ON p.conv_id = s.conv_id AND p.turn = s.turn AND p.cand_ord = s.cand_ord""")
 def r1_proximity(spark, folder):
+    """A turn's first token against all pairs of neighbouring tokens as candidates."""
+    turn = ["conv_id", "turn"]
     tokens = views.turn_tokens(spark, folder)
     plain = F.translate("token", ".", "")
-    after = F.lead(plain).over(Window.partitionBy("turn_id").orderBy("pos"))
-    cands = tokens.select("turn_id", "pos", F.concat(plain, F.lit("."), after).alias("fqn")).where("pos BETWEEN 1 AND 5 AND fqn IS NOT NULL")
-    cands = cands.select("turn_id", F.lit(0).alias("mention_idx"), (F.col("pos") - 1).alias("cand_ord"), "fqn")
-    mentions = tokens.where("pos = 0").select("turn_id", F.lit(0).alias("mention_idx"), "pos")
-    ranked = linking.nearness(tokens, mentions, cands, "turn_id")
-    return ranked.select("turn_id", "cand_ord", "fqn", F.round("score", 6).alias("score"))
+    after = F.lead(plain).over(Window.partitionBy(*turn).orderBy("pos"))
+    pairs = tokens.select(*turn, "pos", F.concat(plain, F.lit("."), after).alias("fqn")).where("fqn IS NOT NULL")
+    cands = pairs.groupBy(*turn, "fqn").agg(F.min("pos").alias("cand_ord")).withColumn("mention_idx", F.lit(0))
+    mentions = tokens.where("pos = 0").select(*turn, F.lit(0).alias("mention_idx"), "pos")
+    ranked = linking.nearness(tokens, mentions, cands, turn)
+    return ranked.select(*turn, "cand_ord", "fqn", F.round("score", 6).alias("score"))
 
 
 @query(f"""
@@ -289,10 +303,18 @@ def c4_assignments(spark, folder):
 
 
 @query("""
-SELECT p_partkey, ['x', 'y', 'z'] AS assigned, ['a'] AS parameters FROM part""")
+WITH w AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, 'v' || p_partkey AS v FROM part)
+SELECT p_partkey, list_sort(list_distinct([v, a || '_t', 'helper', 'q', 'items', 'total', b])) AS identifiers, list_sort([v, a || '_t', 'total']) AS assigned,
+       ['q'] AS parameters, [v || 'i', v || 'j'] AS loop_targets FROM w""")
 def c13_names(spark, folder):
-    posts = views.part_code(spark, folder).select("p_partkey", code.names(F.element_at("code_blocks", 1)).alias("n"))
-    return posts.select("p_partkey", F.array_sort("n.assigned").alias("assigned"), F.col("n.parameters").alias("parameters"))
+    first, second = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    own = F.concat(F.lit("v"), F.col("p_partkey").cast("string"))
+    block = F.concat(
+        own, F.lit(" = len("), second, F.lit(")\n"), first, F.lit("_t['x'] = "), own, F.lit("\ndef helper(q, r=1):\n  for "), own, F.lit("i, "), own, F.lit("j in items:\n    total = "), own, F.lit("i\n"),
+    )
+    posts = read(spark, folder, "part").select("p_partkey", code.names(block).alias("n"))
+    sorted_ = lambda c: F.array_sort(F.array_distinct(f"n.{c}")).alias(c)
+    return posts.select("p_partkey", sorted_("identifiers"), sorted_("assigned"), F.col("n.parameters").alias("parameters"), F.col("n.loop_targets").alias("loop_targets"))
 
 
 @query("""
@@ -338,26 +360,28 @@ def p1_outermost(spark, folder):
 
 
 @query("""
-SELECT doc_id, md5(substr(text, 1, 2) || '</BEGIN>' || substr(text, 3, 5) || '<END/>' || substr(text, 8)) AS marked,
-       md5('<strong><span style="color:red">' || substr(text, 1, 2) || '</span></strong>' || substr(text, 3, 3) || '<strong><span style="color:blue">' || substr(text, 6, 2) || '</span></strong>' || substr(text, 8)) AS coloured
-FROM documents WHERE length(text) >= 8""")
+WITH d AS (SELECT doc_id, text, (doc_id % 50)::INT AS k FROM documents)
+SELECT doc_id, md5(substr(text, 1, k) || '</BEGIN>' || substr(text, k + 1, 5) || '<END/>' || substr(text, k + 6)) AS marked,
+       md5(substr(text, 1, k) || '<strong><span style="color:red">' || substr(text, k + 1, 2) || '</span></strong>' || substr(text, k + 3, 3) || '<strong><span style="color:blue">'
+           || substr(text, k + 6, 2) || '</span></strong>' || substr(text, k + 8)) AS coloured
+FROM d""")
 def p2_marked(spark, folder):
-    span = lambda a, b, kind: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(kind).alias("type"))
-    docs = read(spark, folder, "documents").where(F.length("text") >= 8)
+    docs = read(spark, folder, "documents").withColumn("k", (F.col("doc_id") % 50).cast("int"))
+    span = lambda a, b, kind: F.struct((F.col("k") + a).alias("start"), (F.col("k") + b).alias("end"), F.lit(kind).alias("type"))
     return docs.select(
         "doc_id",
-        F.md5(spans.marked(F.col("text"), F.array(span(3, 5, "x"), span(2, 7, "x"), span(2, 7, "x")))).alias("marked"),
+        F.md5(spans.marked(F.col("text"), F.array(span(1, 3, "x"), span(0, 5, "x"), span(0, 5, "x")))).alias("marked"),
         F.md5(spans.coloured(F.col("text"), F.array(span(5, 7, "CTX"), span(0, 2, "API")))).alias("coloured"),
     )
 
 
 @query(f"""
-WITH w AS (SELECT conv_id * 100 + turn AS turn_id, {WORD_SQL} AS w FROM conversations),
-t AS (SELECT turn_id, unnest(w) AS token, (generate_subscripts(w, 1) - 1)::INT AS pos FROM w),
-o AS (SELECT *, (sum(length(token) + 1) OVER (PARTITION BY turn_id ORDER BY pos) - 1)::INT AS e FROM t)
-SELECT turn_id, pos, token, e - length(token)::INT AS start, e AS "end" FROM o""")
+WITH w AS (SELECT conv_id, turn, {WORD_SQL} AS w FROM conversations),
+t AS (SELECT conv_id, turn, unnest(w) AS token, (generate_subscripts(w, 1) - 1)::INT AS pos FROM w),
+o AS (SELECT *, (sum(length(token) + 1) OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1)::INT AS e FROM t)
+SELECT conv_id, turn, pos, token, e - length(token)::INT AS start, e AS "end" FROM o""")
 def p6_offsets(spark, folder):
-    return spans.token_places(views.turn_tokens(spark, folder), "turn_id")
+    return spans.token_places(views.turn_tokens(spark, folder), ["conv_id", "turn"])
 
 
 # Replies
@@ -399,24 +423,36 @@ def l12_verdicts(spark, folder):
 
 
 @query(r"""
-WITH g AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+WITH g AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
+o AS (SELECT conv_id, t, list_filter(range(3, len(t) + 1), lambda i: i % 2 = 1) AS others, list_filter(range(3, len(t) + 1), lambda i: i % 2 = 0) AS comments FROM g)
 SELECT conv_id, md5('Question:' || chr(10) || t[1] || chr(10) || chr(10) || 'Answer:' || chr(10) || coalesce(t[2], '') || chr(10) || chr(10) || 'Other Answers:' || chr(10)
-       || coalesce(list_aggregate(list_transform(range(3, len(t) + 1), lambda i: (i - 2)::VARCHAR || '. ' || t[i]), 'string_agg', chr(10)), '')
-       || chr(10) || chr(10) || 'Comments:' || chr(10)) AS context FROM g""")
+       || coalesce(list_aggregate(list_transform(others, lambda i: ((i - 1) // 2)::VARCHAR || '. ' || t[i]), 'string_agg', chr(10)), '') || chr(10) || chr(10) || 'Comments:' || chr(10)
+       || coalesce(list_aggregate(list_transform(comments, lambda i: ((i - 2) // 2)::VARCHAR || '. ' || t[i]), 'string_agg', chr(10)), '')) AS context FROM o""")
 def l7_context(spark, folder):
+    """A conversation's first turns as question and answer, the others as answers and comments in turn."""
     turns = read(spark, folder, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t"))
     t = F.col("t")
-    others = F.slice(t, F.lit(3), F.greatest(F.size(t) - 2, F.lit(0)))
-    return turns.select("conv_id", F.md5(replies.context(F.get(t, F.lit(0)), F.get(t, F.lit(1)), others, F.array().cast("array<string>"))).alias("context"))
+    rest = F.slice(t, F.lit(3), F.greatest(F.size(t) - 2, F.lit(0)))
+    others, comments = F.filter(rest, lambda x, k: k % 2 == 0), F.filter(rest, lambda x, k: k % 2 == 1)
+    return turns.select("conv_id", F.md5(replies.context(F.get(t, F.lit(0)), F.get(t, F.lit(1)), others, comments)).alias("context"))
 
 
 @query("""
-SELECT p_partkey, [-100, 1, 1, 0, -100] AS labels, [-100, 1, -100, 0, -100] AS first_labels, [-100, 1, 1, 0, -100, -100] AS padded FROM part""")
+WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS w FROM part),
+l AS (SELECT p_partkey, w, list_transform(w, lambda x: CASE WHEN length(x) % 2 = 0 THEN 1 ELSE 0 END) AS l FROM w)
+SELECT p_partkey, [-100] || flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(0, 1 + length(w[i]) // 4), lambda k: l[i]))) || [-100] AS labels,
+       [-100] || flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(0, 1 + length(w[i]) // 4), lambda k: CASE WHEN k = 0 THEN l[i] ELSE -100 END))) || [-100] AS first_labels,
+       list_resize([-100] || flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(0, 1 + length(w[i]) // 4), lambda k: l[i]))) || [-100], 8, -100) AS padded
+FROM l""")
 def n1_piece_labels(spark, folder):
-    words = F.array(F.lit(None).cast("int"), F.lit(0), F.lit(0), F.lit(1), F.lit(None).cast("int"))
-    labels = F.array((F.col("p_partkey") >= 0).cast("int"), F.lit(0))
-    of_all = tagging.piece_labels(words, labels)
-    return read(spark, folder, "part").select("p_partkey", of_all.alias("labels"), tagging.piece_labels(words, labels, False).alias("first_labels"), tagging.padded(of_all, 6).alias("padded"))
+    """Words in pieces of four letters, with a special piece at each end."""
+    parts = read(spark, folder, "part").withColumn("w", F.split(F.concat_ws(" ", "p_name", "p_type"), " "))
+    pieces = F.flatten(F.transform("w", lambda x, k: F.array_repeat(k, F.floor(F.length(x) / 4).cast("int") + 1)))
+    ends = F.array(F.lit(None).cast("int"))
+    ids = F.concat(ends, pieces, ends)
+    labels = F.transform("w", lambda x: F.when(F.length(x) % 2 == 0, 1).otherwise(0))
+    of_all = tagging.piece_labels(ids, labels)
+    return parts.select("p_partkey", of_all.alias("labels"), tagging.piece_labels(ids, labels, False).alias("first_labels"), tagging.padded(of_all, 8).alias("padded"))
 
 
 # Sources and knowledge
@@ -461,9 +497,9 @@ def k3_by_api(spark, folder):
 
 
 @query("""
-SELECT source AS api, text AS knowledge FROM documents WHERE text LIKE '%License%' AND source IS NOT NULL ORDER BY 1, 2 LIMIT 5""")
+SELECT source AS api, text AS knowledge FROM documents WHERE text LIKE '%License%' ORDER BY 1 NULLS FIRST, 2 LIMIT 5""")
 def k4_by_keyword(spark, folder):
-    return knowledge.by_keyword(read(spark, folder, "documents").where("source IS NOT NULL").select(F.col("source").alias("api"), F.col("text").alias("knowledge")), "License")
+    return knowledge.by_keyword(read(spark, folder, "documents").select(F.col("source").alias("api"), F.col("text").alias("knowledge")), "License")
 
 
 @query("""
@@ -475,27 +511,45 @@ def s12_storable(spark, folder):
 
 
 @query(r"""
-WITH w AS (SELECT conv_id * 100 + turn AS turn_id, string_split(lower(text), ' ') AS w FROM conversations)
-SELECT turn_id, len(list_filter(w, lambda x: x IN ('it', 'this'))) = 0 AS no_candidate,
+WITH w AS (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM conversations)
+SELECT conv_id, turn, len(list_filter(w, lambda x: x IN ('it', 'this'))) = 0 AS no_candidate,
        NOT list_contains(w, 'this') OR list_contains(w, 'it') AS kept FROM w""")
 def e5_chain_filter(spark, folder):
     words = F.split(F.lower("text"), " ")
-    rows = read(spark, folder, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), words.alias("w"))
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", words.alias("w"))
     has = lambda x: F.array_contains("w", x)
     chain = F.create_map(F.lit("a"), F.when(has("this"), F.array(F.lit("this"), F.when(has("it"), "this").otherwise("that"))).otherwise(F.array(F.lit("x"))))
     return rows.select(
-        "turn_id",
+        "conv_id",
+        "turn",
         (F.size(F.filter("w", lambda x: x.isin("it", "this"))) == 0).alias("no_candidate"),
         entities.kept_by_chains(F.lit("this"), chain, F.array(F.lit("this"), F.lit("it"))).alias("kept"),
     )
 
 
-@query()
+@query("""
+SELECT p_partkey, t.start, t."end", t.entity AS text FROM part,
+  LATERAL (SELECT unnest([
+    {start: 0, "end": length('those ' || split_part(p_name, ' ', 1)), entity: 'those ' || split_part(p_name, ' ', 1)},
+    {start: length('those ' || split_part(p_name, ' ', 1) || ' were fine; '), "end": length('those ' || split_part(p_name, ' ', 1) || ' were fine; v' || p_partkey || '[0]'), entity: 'v' || p_partkey || '[0]'}]) AS t)""")
 def e2_candidates(spark, folder):
-    turns = read(spark, folder, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.explode(entities.chunked("text")).alias("c"))
-    chunks = turns.select("turn_id", F.lit(0).alias("sent_idx"), "c.*")
-    variables = views.turn_tokens(spark, folder).where("pos = 0").select("turn_id", F.col("token").alias("name"))
-    return entities.candidates(chunks, variables, "turn_id")
+    """Chunks of sentences about parts: one with a demonstrative, one that is the post's own
+    variable, one that is no candidate."""
+    parts = read(spark, folder, "part")
+    own = F.concat(F.lit("v"), F.col("p_partkey").cast("string"))
+    sentence = F.concat(F.lit("those "), F.substring_index("p_name", " ", 1), F.lit(" were fine; "), own, F.lit("[0] is new to "), F.substring_index("p_name", " ", -1), F.lit("."))
+    chunks = parts.select("p_partkey", F.lit(0).alias("sent_idx"), F.explode(entities.chunked(sentence)).alias("c")).select("p_partkey", "sent_idx", "c.*")
+    # Assigned in the post are its variable and the name of the part, which is an API element.
+    assigned = parts.select("p_partkey", F.explode(F.array(own, F.substring_index("p_name", " ", -1))).alias("name"))
+    elements = linking.terms(linking.gazetteer(views.named_parts(spark, folder))).select(F.col("term").alias("name"))
+    found = entities.candidates(chunks, entities.own_variables(assigned, elements, "p_partkey"), "p_partkey")
+    return found.select("p_partkey", "start", "end", "text")
+
+
+@query()
+def e3_chunks(spark, folder):
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", F.explode(entities.chunked("text")).alias("c"))
+    return turns.select("conv_id", "turn", "c.*")
 
 
 # Evaluation
@@ -608,21 +662,29 @@ def n6_tagged_words(spark, folder):
     )
 
 
-@query("""
-SELECT p_partkey, '1. [''' || p_name || ''', ''' || p_type || ''']' || chr(10) || '2. [''' || p_brand || ''']' || chr(10) AS candidates,
-       [p_name, p_brand] AS predicted, 'pass' AS verdict FROM part""")
+@query(f"""
+WITH g AS (SELECT DISTINCT {NAME_SQL} AS fqn FROM part WHERE p_size > 10),
+c AS (SELECT p_partkey, {NAME_SQL} AS fqn, p_brand || '.' || split_part(p_name, ' ', 2) AS wrong FROM part)
+SELECT p_partkey, '1. [' || chr(39) || wrong || chr(39) || ', ' || chr(39) || fqn || chr(39) || ']' || chr(10) AS candidates, [fqn] AS predicted,
+       CASE WHEN fqn IN (SELECT fqn FROM g) THEN 'pass' ELSE 'unknown' END AS verdict FROM c""")
 def l8_l13_linking_calls(spark, folder):
-    """Prompts from candidate lists, called with the offline completer and checked."""
-    lists = text.numbered_lists(F.array(F.array("p_name", "p_type"), F.array("p_brand")))
-    mentions = F.array(F.lit("a"), F.lit("b"))
-    prompts = read(spark, folder, "part").select(
+    """Prompts from candidate lists whose first name is not in the gazetteer: the completer
+    is sent back until its name is one; of parts that the gazetteer lacks none passes."""
+    parts = views.named_parts(spark, folder)
+    names = linking.gazetteer(parts.where("p_size > 10"))
+    last = F.substring_index("p_name", " ", -1)
+    lists = parts.select("p_partkey", "p_name", last.alias("last"), F.array(F.array(F.concat("p_brand", F.lit("."), last), "fqn")).alias("lists"))
+    known = completer.known_candidates(lists, names, ["p_partkey"], "lists")
+    shown = text.numbered_lists(F.col("lists"))
+    prompts = known.select(
         "p_partkey",
-        lists.alias("candidates"),
-        completer.messages("link_candidates", post=F.col("p_name"), mentions=F.array_join(mentions, ", "), candidates=lists).alias("messages"),
-        mentions.alias("mentions"),
-        F.array(F.lit(""), F.lit("")).alias("constraints"),
+        "known",
+        shown.alias("candidates"),
+        completer.messages("link_candidates", post=F.col("p_name"), mentions=F.col("last"), candidates=shown).alias("messages"),
+        F.array("last").alias("mentions"),
+        F.array("last").alias("constraints"),
     )
-    return completer.constrained(prompts, completer.FirstCandidate(), views.AnyName()).select("p_partkey", "candidates", "predicted", "verdict")
+    return completer.constrained(prompts, completer.FirstCandidate()).select("p_partkey", "candidates", "predicted", "verdict")
 
 
 @query("""
@@ -649,16 +711,19 @@ def g6_best_epoch(spark, folder):
 
 
 @query("""
-SELECT c.conv_id, c.turn, split_part(replace(c.text, chr(10), ' '), ' ', 1) AS np, string_split(q.text, chr(10))[1] AS value
-FROM conversations c JOIN conversations q ON c.conv_id = q.conv_id AND q.turn = 0 WHERE c.turn > 0""")
+WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w IN (DEMONSTRATIVES))) AS phrases FROM conversations WHERE turn > 0)
+SELECT t.conv_id, t.turn, p.np, md5(replace(q.text, chr(10), ' ')) AS value
+FROM t JOIN conversations q ON t.conv_id = q.conv_id AND q.turn = 0, LATERAL (SELECT unnest(t.phrases) AS np) p""".replace("DEMONSTRATIVES", ", ".join(f"'{w}'" for w in text.DEMONSTRATIVES)))
 def e6_completions(spark, folder):
-    """Context and phrases through both completion steps with the offline completer."""
+    """The demonstratives of each turn, with the first turn as context, through both
+    completion steps with the offline completer."""
     turns = read(spark, folder, "conversations")
-    questions = turns.where("turn = 0").select("conv_id", F.col("text").alias("context"))
-    rows = turns.where("turn > 0").join(questions, "conv_id")
-    phrase = F.translate(F.substring_index(F.translate("text", "\n", " "), " ", 1), ",", ";")
-    done = entities.complete(rows.select("conv_id", "turn", "context", F.col("text").alias("sentence"), phrase.alias("phrases")), completer.FirstQuote())
-    return done.select("conv_id", "turn", F.replace(F.col("completions")[0]["NP"], F.lit(";"), F.lit(",")).alias("np"), F.col("completions")[0]["Value"].alias("value"))
+    questions = turns.where("turn = 0").select("conv_id", F.translate("text", "\n", " ").alias("context"))
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: w.isin(*text.DEMONSTRATIVES))
+    rows = turns.where("turn > 0").join(questions, "conv_id").withColumn("phrases", F.array_join(F.array_distinct(words), ", ")).where("phrases <> ''")
+    done = entities.complete(rows.select("conv_id", "turn", "context", F.col("text").alias("sentence"), "phrases"), completer.FirstQuote())
+    pairs = done.select("conv_id", "turn", F.explode("completions").alias("c"))
+    return pairs.select("conv_id", "turn", F.col("c.NP").alias("np"), F.md5("c.Value").alias("value"))
 
 
 @query()
@@ -670,35 +735,186 @@ def n5_trained_tagger(spark, folder):
     return _rounded(metrics.confusion(tagging.predict(tokens, model), "label", "tag"))
 
 
+# Names in full, caches, switches, failing mentions, ignored labels
+
+
+@query(f"""
+WITH b AS (SELECT replace(p_brand, '#', '_') AS alias, {NAME_SQL} AS fqn, count(*) AS freq FROM part GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY freq DESC, fqn) AS k FROM b),
+u AS (SELECT alias, fqn FROM o WHERE k = 1 AND freq >= 10)
+SELECT p_partkey, coalesce(u.fqn, replace(p_brand, '#', '_')) || '.read.head' AS variable, coalesce(u.fqn, replace(p_brand, '#', '_')) || '.plot' AS direct
+FROM part LEFT JOIN u ON replace(p_brand, '#', '_') = u.alias""")
+def a6_in_full(spark, folder):
+    """Mentions by variables whose source is a global alias, and by the alias itself."""
+    parts = views.named_parts(spark, folder).withColumn("p_brand", F.translate("p_brand", "#", "_"))
+    counted = parts.groupBy(F.col("p_brand").alias("alias"), "fqn").agg(F.count("*").alias("freq"))
+    ordered = counted.withColumn("ord", F.row_number().over(Window.partitionBy("alias").orderBy(F.desc("freq"), "fqn")))
+    best = aliases.best_alias(ordered, linking.terms(linking.gazetteer(parts)))
+    block = F.concat(F.lit("x = "), "p_brand", F.lit(".read(1)"))
+    assigned = code.assign_rows(parts.select("p_partkey", F.array(block).alias("code_blocks")), "p_partkey")
+    chain = assigned.select("p_partkey", F.create_map("variable", F.struct("source", "index")).alias("chain"))
+    rows = parts.select("p_partkey", "p_brand").join(chain, "p_partkey")
+    names = F.array(F.struct(F.lit("variable").alias("form"), F.lit("x.head").alias("mention")), F.struct(F.lit("direct").alias("form"), F.concat("p_brand", F.lit(".plot")).alias("mention")))
+    found = aliases.with_assigns(rows.select("p_partkey", "chain", F.explode(names).alias("n")).select("p_partkey", "chain", "n.*"), best, ["p_partkey", "form"])
+    of = lambda form: F.max(F.when(F.col("form") == form, F.col("mention"))).alias(form)
+    return found.groupBy("p_partkey").agg(of("variable"), of("direct"))
+
+
+@query(f"""
+WITH g AS (SELECT DISTINCT {NAME_SQL} AS fqn FROM part),
+m AS (SELECT DISTINCT replace(p_name, ' ', '.') AS mention FROM part),
+s AS (SELECT mention, fqn, round((CASE WHEN split_part(fqn, '.', 2) = split_part(mention, '.', 1) THEN 1.0 ELSE 0 END + CASE WHEN split_part(fqn, '.', 3) = split_part(mention, '.', 2) THEN 1.0 ELSE 0 END) / 2, 12) AS score FROM m, g),
+r AS (SELECT mention, fqn, score, dense_rank() OVER (PARTITION BY mention ORDER BY score DESC) AS rank FROM s)
+SELECT mention, fqn, score, rank::INT AS rank FROM r WHERE rank <= 2""")
+def j3_cached_similarity(spark, folder):
+    """Fuzzy candidates whose components' similarities all come from a table: 1 if equal, else 0."""
+    parts = views.named_parts(spark, folder)
+    names = linking.gazetteer(parts)
+    mentions = parts.select(F.translate("p_name", " ", ".").alias("mention")).distinct()
+    terms = linking.terms(names)
+    asked = mentions.select(F.explode(F.split("mention", r"\.")).alias("b")).distinct()
+    known = terms.select(F.col("term").alias("a")).join(asked).select("a", "b", (F.col("a") == F.col("b")).cast("double").alias("sim"))
+    return linking.fuzzy(mentions, names, top=2, known=known)
+
+
+@query(f"""
+WITH g AS (SELECT DISTINCT {NAME_SQL} AS fqn FROM part WHERE p_size <= 25)
+SELECT DISTINCT {NAME_SQL} AS mention, {NAME_SQL} AS fqn, 1.0::DOUBLE AS score, 1 AS cand_ord FROM part WHERE ({NAME_SQL}) IN (SELECT fqn FROM g)""")
+def r3_exact_only(spark, folder):
+    """Linking with the fuzzy candidates switched off."""
+    parts = views.named_parts(spark, folder)
+    found = linking.link(parts.select(F.col("fqn").alias("mention")), linking.gazetteer(parts.where("p_size <= 25")), typo=False)
+    return found.select("mention", "fqn", "score", "cand_ord")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [p_brand] ELSE [] END AS failing FROM part""")
+def l12_failing_mentions(spark, folder):
+    parts = views.named_parts(spark, folder)
+    wrong = F.when(F.col("p_size") % 2 == 0, F.lit("elsewhere")).otherwise(F.substring_index("fqn", ".", -1))
+    return parts.select("p_partkey", replies.failing_mentions(F.array("fqn", "fqn"), F.array("p_brand", "p_type"), F.array(wrong, F.lit(""))).alias("failing"))
+
+
+@query("""
+WITH l AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN -100 WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS tag FROM lineitem)
+SELECT count(*) FILTER (label = 1 AND tag = 1) AS tp, count(*) FILTER (label = 0 AND tag = 1) AS fp,
+       count(*) FILTER (label = 1 AND tag = 0) AS fn, count(*) FILTER (label = 0 AND tag = 0) AS tn FROM l""")
+def g5_ignored_labels(spark, folder):
+    lines = read(spark, folder, "lineitem")
+    label = F.when(F.col("l_linenumber") % 3 == 0, metrics.IGNORED).otherwise((F.col("l_returnflag") == "R").cast("int"))
+    return metrics.confusion(lines.select(label.alias("label"), (F.col("l_linestatus") == "O").cast("int").alias("tag")), "label", "tag")
+
+
+# Files written and read again
+
+
+@query("""SELECT o_orderkey::VARCHAR AS text, [['0', o_custkey::VARCHAR, o_orderstatus], ['1', '2', 'API']] AS label FROM orders""")
+def s1_json_lines(spark, folder):
+    """Annotated rows through JSON lines."""
+    mark = F.array(F.array(F.lit("0"), F.col("o_custkey").cast("string"), "o_orderstatus"), F.array(F.lit("1"), F.lit("2"), F.lit("API")))
+    path = tables.new_path(spark, "annotated")
+    read(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("text"), mark.alias("label")).write.json(path)
+    return tables.json_lines(spark, path, tables.ANNOTATED)
+
+
+@query("""
+SELECT p_brand AS alias, p_type AS fqn, count(*)::INT AS freq, (row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1)::INT AS ord FROM part GROUP BY p_brand, p_type""")
+def s5_dictionary(spark, folder):
+    """The alias dictionary of brands and types, written as one JSON object and read as rows."""
+    counted = read(spark, folder, "part").groupBy("p_brand", "p_type").agg(F.count("*").cast("int").alias("n"))
+    inner = counted.groupBy("p_brand").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p_type", "n")))).alias("types"))
+    whole = inner.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", "types")))).alias("value"))
+    path = tables.new_path(spark, "dictionary")
+    whole.write.text(path)
+    return tables.alias_rows(spark, path)
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'stored' WHEN o_orderstatus = 'O' THEN 'called' ELSE 'replaced' END AS result FROM orders""")
+def s8_resumed(spark, folder):
+    """Results that are stored already are not called for again, and new ones replace old ones of their key."""
+    orders = read(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    path = tables.new_path(spark, "results")
+    tables.replace_results(orders.where("o_orderstatus <> 'O'").select("o_orderkey", F.lit("stored").alias("result")), path)
+    stored = spark.read.parquet(path)
+    called = completer.not_done(orders, stored, "o_orderkey").select("o_orderkey", F.lit("called").alias("result"))
+    again = orders.where("o_orderstatus NOT IN ('F', 'O')").select("o_orderkey", F.lit("replaced").alias("result"))
+    return tables.upserted(stored, called.unionByName(again), "o_orderkey")
+
+
+@query("""
+SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY c_name) AS id, c_name AS feedback FROM customer""")
+def s13_feedback(spark, folder):
+    stored = read(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("feedback"))
+    return knowledge.feedback_rows(stored, read(spark, folder, "customer").select(F.col("c_name").alias("feedback"))).select("id", "feedback")
+
+
+@query("""
+SELECT p_size AS epoch, round(avg(CASE WHEN p_retailprice > 1000 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS f1 FROM part GROUP BY p_size
+UNION ALL SELECT -1, 0.5""")
+def s14_appended(spark, folder):
+    """Results appended to those of an earlier run."""
+    path = tables.new_path(spark, "scores")
+    parts = read(spark, folder, "part")
+    tables.append(parts.select(F.lit(-1).alias("epoch"), F.lit(0.5).alias("f1")).distinct(), path)
+    share = F.round(F.avg(F.when(F.col("p_retailprice") > 1000, 1.0).otherwise(0.0)), 9)
+    tables.append(parts.groupBy(F.col("p_size").alias("epoch")).agg(share.alias("f1")), path)
+    return spark.read.parquet(path)
+
+
+# End to end
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {NAME_SQL} AS fqn, 'Call tool' || p_partkey || '.' || split_part(p_name, ' ', 2) || '() on it. Nothing here. Then ' || {NAME_SQL} || '() again.' AS post FROM part)
+SELECT p_partkey, 0 AS snippet_idx, fqn AS api, 'Call ' || fqn || ' on it.' || chr(10) || chr(39) || 'it' || chr(39) || ' refers to ' || post AS snippet FROM p
+UNION ALL SELECT p_partkey, 3, fqn, 'Then ' || fqn || ' again.' FROM p""")
+def s16_extracted(spark, folder):
+    """Posts about parts to knowledge rows, with aliases, constraints, both offline completers
+    and context entities."""
+    parts = views.named_parts(spark, folder)
+    tool = F.concat(F.lit("tool"), F.col("p_partkey").cast("string"))
+    owner, last = F.substring_index("fqn", ".", 2), F.substring_index("fqn", ".", -1)
+    html = F.concat(
+        F.lit("<p>Call "), tool, F.lit("."), last, F.lit("() on it. Nothing here.</p><pre><code>import "), owner, F.lit(" as "), tool, F.lit("</code></pre><p>Then "), F.col("fqn"), F.lit("() again.</p>"),
+    )
+    counted = parts.groupBy(F.col("p_brand").alias("alias"), "fqn").agg(F.count("*").alias("freq")).withColumn("ord", F.lit(0))
+    names = linking.gazetteer(parts)
+    best = aliases.best_alias(counted, linking.terms(names))
+    return extraction.extract(parts.select("p_partkey", html.alias("html")), names, "p_partkey", best=best, linker=completer.FirstCandidate(), explainer=completer.FirstQuote())
+
+
 # Flagship
 
 
 @query(r"""
 WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)(<p>.*?</p>|<pre><code>.*?</code></pre>)', 1) AS b FROM pages),
 u AS (SELECT page_id, unnest(b) AS block, generate_subscripts(b, 1) - 1 AS seg FROM p),
-c AS (SELECT page_id * 10000 + seg AS par_id, string_split(trim(regexp_replace(lower(regexp_extract(block, '(?s)^<p>(.*)</p>$', 1)), '[^\p{L}]+', ' ', 'g')), ' ') AS w FROM u),
-t AS (SELECT par_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM c),
+c AS (SELECT page_id, seg, string_split(trim(regexp_replace(lower(regexp_extract(block, '(?s)^<p>(.*)</p>$', 1)), '[^\p{L}]+', ' ', 'g')), ' ') AS w FROM u),
+t AS (SELECT page_id, seg, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM c),
 n AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS fqn FROM pages),
 k AS (SELECT DISTINCT fqn, unnest(string_split(fqn, '.')) AS term FROM n),
-m AS (SELECT par_id, fqn, min(pos) AS pos FROM t JOIN k ON t.token = k.term GROUP BY ALL),
-f AS (SELECT par_id, min(pos) AS mpos FROM m GROUP BY par_id),
-s AS (SELECT m.par_id, m.fqn, sum(1.0 / abs(t.pos - f.mpos)) AS score
-      FROM m JOIN f USING (par_id) JOIN k ON m.fqn = k.fqn JOIN t ON t.par_id = m.par_id AND t.token = k.term WHERE t.pos <> f.mpos GROUP BY ALL),
-r AS (SELECT m.par_id, m.fqn, round(coalesce(s.score, 0), 6) AS score,
-             row_number() OVER (PARTITION BY m.par_id ORDER BY round(coalesce(s.score, 0), 6) DESC, m.fqn) AS rank
-      FROM m LEFT JOIN s ON m.par_id = s.par_id AND m.fqn = s.fqn)
-SELECT par_id, fqn, score, rank::INT AS rank FROM r WHERE rank <= 5""")
+h AS (SELECT *, count(*) OVER (PARTITION BY term) AS names FROM k),
+x AS (SELECT fqn, term FROM (SELECT *, row_number() OVER (PARTITION BY fqn ORDER BY names, term) AS place FROM h) WHERE place = 1),
+m AS (SELECT page_id, seg, fqn, min(pos) AS pos FROM t JOIN x ON t.token = x.term GROUP BY ALL),
+f AS (SELECT page_id, seg, min(pos) AS mpos FROM m GROUP BY page_id, seg),
+s AS (SELECT m.page_id, m.seg, m.fqn, sum(1.0 / abs(t.pos - f.mpos)) AS score
+      FROM m JOIN f USING (page_id, seg) JOIN k ON m.fqn = k.fqn JOIN t ON t.page_id = m.page_id AND t.seg = m.seg AND t.token = k.term WHERE t.pos <> f.mpos GROUP BY ALL),
+r AS (SELECT m.page_id, m.seg, m.fqn, round(coalesce(s.score, 0), 6) AS score,
+             row_number() OVER (PARTITION BY m.page_id, m.seg ORDER BY round(coalesce(s.score, 0), 6) DESC, m.fqn) AS rank
+      FROM m LEFT JOIN s ON m.page_id = s.page_id AND m.seg = s.seg AND m.fqn = s.fqn)
+SELECT page_id, seg::INT AS seg_idx, fqn, score, rank::INT AS rank FROM r WHERE rank <= 5""")
 def flagship_link_pages(spark, folder):
-    """Paragraphs' words against the gazetteer of hosts: candidates by shared components,
+    """Paragraphs' words against the gazetteer of hosts: candidates by their rarest component,
     ranked by nearness to the first word that hits, the five best of each paragraph."""
+    paragraph = ["page_id", "seg_idx"]
     pages = read(spark, folder, "pages")
-    paragraphs = segments.segments(pages, "page_id", "html").select((F.col("page_id") * 10000 + F.col("seg_idx")).alias("par_id"), "content")
     words = F.split(F.trim(F.regexp_replace(F.lower("content"), r"[^\p{L}]+", " ")), " ")
-    tokens = paragraphs.select("par_id", F.posexplode(words).alias("pos", "token"))
+    tokens = segments.segments(pages, "page_id", "html").select(*paragraph, F.posexplode(words).alias("pos", "token"))
     names = linking.gazetteer(pages.select(F.regexp_extract("url", r"://([^/?#]*)", 1).alias("fqn")))
-    found = tokens.join(names.select("fqn", F.explode(F.array_distinct("parts")).alias("token")), "token").groupBy("par_id", "fqn").agg(F.min("pos").alias("pos"))
-    mentions = found.groupBy("par_id").agg(F.min("pos").alias("pos")).withColumn("mention_idx", F.lit(0))
-    candidates = found.select("par_id", F.lit(0).alias("mention_idx"), F.col("fqn").alias("cand_ord"), "fqn")
-    near = linking.nearness(tokens, mentions, candidates, "par_id").withColumn("score", F.round("score", 6))
-    order = Window.partitionBy("par_id").orderBy(F.desc("score"), "fqn")
-    return near.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("par_id", "fqn", "score", "rank")
+    found = linking.by_rarest_part(tokens, names, paragraph)
+    mentions = found.groupBy(*paragraph).agg(F.min("pos").alias("pos")).withColumn("mention_idx", F.lit(0))
+    candidates = found.select(*paragraph, F.lit(0).alias("mention_idx"), F.col("fqn").alias("cand_ord"), "fqn")
+    near = linking.nearness(tokens, mentions, candidates, paragraph).withColumn("score", F.round("score", 6))
+    order = Window.partitionBy(*paragraph).orderBy(F.desc("score"), "fqn")
+    return near.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select(*paragraph, "fqn", "score", "rank")

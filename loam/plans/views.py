@@ -40,10 +40,9 @@ def annotated_parts(spark, folder: str) -> DataFrame:
 
 
 def turn_tokens(spark, folder: str) -> DataFrame:
-    """White-space tokens of each turn."""
-    turn = (F.col("conv_id") * 100 + F.col("turn")).alias("turn_id")
+    """White-space tokens of each turn (conv_id, turn)."""
     words = F.split(F.trim(F.regexp_replace("text", r"[ \t\n\x0b\x0c\r]+", " ")), " ")
-    return tables.read_table(spark, folder, "conversations").select(turn, F.posexplode(words).alias("pos", "token"))
+    return tables.read_table(spark, folder, "conversations").select("conv_id", "turn", F.posexplode(words).alias("pos", "token"))
 
 
 def event_spans(spark, folder: str) -> DataFrame:
@@ -67,10 +66,3 @@ def part_posts(spark, folder: str) -> DataFrame:
     """Posts about parts: a title, text, one code block, and one that stays open."""
     html = F.concat("p_name", F.lit(" <pre><code>"), "p_type", F.lit(" < 2</code></pre> end <pre><code>open"))
     return tables.read_table(spark, folder, "part").select("p_partkey", F.concat(F.lit("About "), "p_brand").alias("title"), html.alias("html"))
-
-
-class AnyName:
-    """A gazetteer that knows every name."""
-
-    def __contains__(self, name: str) -> bool:
-        return True

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,36 @@ ANNOTATED = "text string, label array<array<string>>"
 SAMPLES = "tokens array<string>, ner_tags array<int>, full_names array<string>, mention_morphological array<string>, mention_common array<string>, api_common array<string>"
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where that is
+    unset, a temporary folder of the session's own, on one machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_FOLDERS:
+            _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="loam-")
+        folder = _OWN_FOLDERS[application]
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what follows rereads it, and neither
+    several uses nor a lost executor do the work, or the calls, before it once more."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

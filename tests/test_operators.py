@@ -161,12 +161,20 @@ def test_verdicts_in_order(spark):
 
 
 def test_completers(spark):
-    schema = "messages array<struct<role:string,content:string>>, mentions array<string>, constraints array<string>"
-    prompts = spark.createDataFrame([([("user", "1. ['a.b', 'c']\n2. ['d']\n")], ["x", "y"], ["b", ""])], schema)
-    assert completer.completed(prompts, completer.FirstCandidate()).first().reply == "[a.b, d]"
-    row = completer.constrained(prompts, completer.FirstCandidate(), frozenset({"a.b", "d"})).first()
+    schema = "messages array<struct<role:string,content:string>>, mentions array<string>, constraints array<string>, known array<string>"
+    prompt = ([("user", "1. ['a.b', 'c']\n2. ['d']\n")], ["x", "y"], ["b", ""])
+    prompts = spark.createDataFrame([(*prompt, ["a.b", "d"])], schema)
+    assert completer.completed(prompts, completer.FirstCandidate(), concurrency=2).first().reply == "[a.b, d]"
+    row = completer.constrained(prompts, completer.FirstCandidate()).first()
     assert (row.predicted, row.verdict) == (["a.b", "d"], "pass")
-    assert completer.constrained(prompts, completer.FirstCandidate(), frozenset({"d"})).first().verdict == "unknown"
+    for known in (["d"], [], None):
+        assert completer.constrained(spark.createDataFrame([(*prompt, known)], schema), completer.FirstCandidate()).first().verdict == "unknown"
+    # Sent back once, the completer gives its next candidates.
+    again = completer.constrained(spark.createDataFrame([(*prompt[:2], ["c", ""], ["c", "d"])], schema), completer.FirstCandidate()).first()
+    assert (again.predicted, again.verdict) == (["c", "d"], "pass")
+    lists = spark.createDataFrame([(1, [["a.b", "x"], ["d"]]), (2, [["y"]]), (3, None)], "k int, candidates array<array<string>>")
+    names = spark.createDataFrame([("a.b",), ("d",)], "fqn string")
+    assert {r.k: r.known for r in completer.known_candidates(lists, names, ["k"]).collect()} == {1: ["a.b", "d"], 2: [], 3: []}
 
 
 def test_retries_stop():
