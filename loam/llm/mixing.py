@@ -80,18 +80,20 @@ def mix(docs: DataFrame, seed: str = SEED, copy: str | None = None) -> DataFrame
 
     Rates by source are joined to the texts, not rates by document: that table is small.
     """
+    source, rate, number, one = common.unused(docs, "__source", "__rate", "__number", "__one")
     sizes = common.stored(docs.select("source", n_words(F.col("text")).alias("size")), "mix-sizes")
     goal = common.stored(
         targets(sizes).select(
-            F.col("source").alias("__source"),
-            F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"),
+            F.col("source").alias(source),
+            F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate),
         ),
         "mix-rates",
     )
-    extra = F.when(chance(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    times = (F.floor("__rate") + extra).cast("int")
+    extra = F.when(chance(F.col("doc_id"), seed) < F.col(rate) - F.floor(rate), 1).otherwise(0)
+    times = (F.floor(rate) + extra).cast("int")
+    kept = [c for c in docs.columns if c != copy]
     return (
-        docs.join(goal, F.col("source").eqNullSafe(F.col("__source")))
-        .select("*", F.posexplode(F.array_repeat(F.lit(1), times)).alias("__number", "__one"))
-        .select(*docs.columns, *([F.col("__number").alias(copy)] if copy else []))
+        docs.join(goal, F.col("source").eqNullSafe(F.col(source)))
+        .select("*", F.posexplode(F.array_repeat(F.lit(1), times)).alias(number, one))
+        .select(*kept, *([F.col(number).alias(copy)] if copy else []))
     )

@@ -4,14 +4,16 @@ The 64 bits stand in a ring of five segments. If two fingerprints differ in at m
 bits, then for some segment the chain that starts there keeps within its share at every
 length: at most floor(4 l / 5) differences in its first l segments. So the first segment
 agrees and the second differs in one bit at most: an equality of keys once one bit of the
-second segment is blanked, for each bit in turn. Each fingerprint gives 65 such keys of 25
-free bits. Rows of a key meet in one sorted run, where the longer chains (two differences
+second segment is blanked, for each bit in turn. Each fingerprint gives 64 such keys of 24
+or 25 free bits. Rows of a key meet in one sorted run, where the longer chains (two differences
 in three segments, three in four) prune pairs before the full Hamming check.
 
 A run emits a spanning forest of its links, never its pairs: a breadth-first search in
 which each fingerprint is held against those not reached yet. Equal fingerprints are one
-from the start. Runs above RUN fingerprints are dealt out anew as pairs of blocks. The
-forests are joined to components by alternating large and small stars.
+from the start. Runs above RUN fingerprints are dealt out anew: of two that link there, one
+of the ring's three other segments differs in one bit at most, so that segment, once more
+with each bit blanked, is a second key. Runs that are still above RUN, of fingerprints that
+crowd together, are held against each other as pairs of blocks. The forests are joined to components by alternating large and small stars.
 
 Defined results: a null text is an empty one, and texts without words have fingerprint 0
 and link with any other of four bits or fewer; null ids belong to groups but never name
@@ -108,6 +110,20 @@ def chain_keys(fps: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1).view(np.int64)
 
 
+def longer_keys(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """A row of keys for each fingerprint of a run: the run's key with each of the other three
+    segments, each bit of it blanked in turn; the start stays readable."""
+    start, columns = keys.view(np.uint64) & np.uint64(7), []
+    for k in range(2, len(WIDTHS)):
+        for bit in range(max(WIDTHS)):
+            mask = np.array([int(_segment(s + k)) & ~(1 << (STARTS[(s + k) % len(WIDTHS)] + bit)) for s in range(len(WIDTHS))], np.uint64)
+            # Blanking a bit beyond a narrow segment's end blanks none, which is a key as well.
+            x = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (fps & mask[start])) + np.uint64(k << 8 | bit)
+            x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+            columns.append((x ^ x >> np.uint64(29)) & ~np.uint64(7) | start)
+    return np.stack(columns, axis=1).view(np.int64)
+
+
 def _near(fp: np.uint64, others: np.ndarray, start: int) -> np.ndarray:
     """Which of the others pass every chain from start; the last chain is the whole ring."""
     differ = others ^ fp
@@ -209,6 +225,14 @@ def links(nodes: DataFrame, run: int = RUN) -> DataFrame:
             keys = chain_keys(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fps, keys.shape[1]))], names=["key", "fp"])
 
+    def dealt_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                fps = part.column("fp").to_numpy(zero_copy_only=False)
+                keys = longer_keys(part.column("key").to_numpy(zero_copy_only=False), fps.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fps, keys.shape[1]))], names=["key", "fp"])
+
     def linked(rows: DataFrame, most: int | None) -> DataFrame:
         return (
             rows.repartition("key")
@@ -218,6 +242,10 @@ def links(nodes: DataFrame, run: int = RUN) -> DataFrame:
 
     found = common.stored(linked(nodes.select("fp").mapInArrow(keyed, "key long, fp long"), run), "links")
     over = found.where("key IS NOT NULL").select("key", F.col("a").alias("fp"))
+    if not over.isEmpty():
+        again = common.stored(linked(over.mapInArrow(dealt_anew, "key long, fp long"), run), "longer-links")
+        found = found.where("key IS NULL").unionByName(again)
+        over = again.where("key IS NOT NULL").select("key", F.col("a").alias("fp"))
     if not over.isEmpty():
         counts = over.groupBy("key").agg(F.ceil(F.count("*") / (run // 2)).cast("int").alias("blocks"))
         mine = over.join(counts, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
