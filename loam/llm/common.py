@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.sources.tables import new_path
+
 # The white space that separates words, and what lower-casing touches.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,7 +19,20 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 TO_WORDS = str.maketrans(UPPER + SPACES, LOWER + " " * len(SPACES))
 
 
+#: Rows of texts that a task hands to Python at a time. Spark's own 10,000 are made for short
+#: rows: of texts, JVM and Python would each hold tens of megabytes a task, several times.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session to ARROW_ROWS rows a batch at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -32,25 +45,6 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-_OWN_FOLDERS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of the session's own only where
-    that is unset, as in tests on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        application = spark.sparkContext.applicationId
-        if application not in _OWN_FOLDERS:
-            _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="loam-")
-        folder = _OWN_FOLDERS[application]
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written as a table in the shared folder and read again.
 
@@ -68,6 +62,7 @@ def release_shuffles(spark: SparkSession) -> None:
 
     The cleaner follows the driver's garbage collection, which a long job with a large
     heap seldom starts by itself; the disks would hold every earlier shuffle meanwhile.
+    This matters where disks are small against the corpus, and is there for that.
     """
     for _ in range(2):  # what the first round frees holds what the second finds
         gc.collect()
@@ -92,6 +87,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as no column of docs has."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def row_key(docs: DataFrame) -> Column:
     """A hash of all of a row: rows of one key are alike in every column."""
     return F.xxhash64(*(F.col(c) for c in sorted(docs.columns)))
@@ -101,11 +107,12 @@ def one_row_each(docs: DataFrame, keyed: DataFrame, kept: DataFrame, name: str)
     """The rows of docs whose row_key() is in kept, one of each key. keyed has the keys (row)
     of all rows; only rows of a kept key that occurs again are grouped, and summed up before
     the shuffle."""
+    (key,) = unused(docs, "__row")
     times = keyed.groupBy("row").agg(F.count("*").alias("times")).join(kept.select("row", F.lit(True).alias("kept")), "row", "left")
-    out = stored(times.where("kept IS NULL OR times > 1").select("row", F.col("kept").isNotNull().alias("again")), f"{name}-copies")
-    rows = docs.withColumn("__row", row_key(docs))
-    once = rows.join(out.select(F.col("row").alias("__row")), "__row", "left_anti").select(*docs.columns)
-    again = out.where("again").select(F.col("row").alias("__row"))
+    out = stored(times.where("kept IS NULL OR times > 1").select(F.col("row").alias(key), F.col("kept").isNotNull().alias("again")), f"{name}-copies")
+    rows = docs.withColumn(key, row_key(docs))
+    once = rows.join(out.select(key), key, "left_anti").select(*docs.columns)
+    again = out.where("again").select(key)
     if again.isEmpty():
         return once
-    return once.unionByName(rows.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns))
+    return once.unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]).select(*docs.columns))
