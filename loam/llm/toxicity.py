@@ -6,10 +6,13 @@ stem occurring twice or four times. Terms are hashed to DIM numbers. The machine
 over the terms present, so it learns what terms mean together (an insult next to a group's
 name, two stems harmless alone) beside what each means by itself.
 
-It is fitted on at most SAMPLE labelled rows of the training fold, those with the lowest
-keyed hashes: a documented bound that keeps the driver's part fixed. Terms are chosen by
-their chi-square on that sample. Everything else covers every row: scoring runs where the
-texts are, with a model of at most TERMS terms sent along.
+It is fitted on at most SAMPLE labelled rows of the training fold with SAMPLE_TERMS terms
+in all, those with the lowest hashes (rows alike count once): a documented bound that keeps
+the driver's part fixed. Of that sample's terms the machine takes all that are significant
+by chi-square (ALONE), and both terms of all pairs whose joint presence is (TOGETHER) beyond
+what either says alone: such terms may say nothing by themselves. Pairs are tried among
+terms of at least a COMMON share of the sample, on PAIR_ROWS of its rows. Everything else covers every row: scoring
+runs where the texts are, with the model sent along.
 
 Only texts are inputs of a score. Defined results: a null text is an empty one and gets
 the score of no terms; labels without a value are left out, several labels of one doc_id
@@ -29,14 +32,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import common
 
 SAMPLE = 20_000
 DIM = 1 << 22
-TERMS = 1024
+#: Terms of the sampled rows together.
+SAMPLE_TERMS = 1 << 23
+#: Rows that a term or pair needs, and chi-squares above which it counts (by chance 1 in
+#: 10**4 for a term, 1 in 10**7 for a pair, as there are many of these).
+LEAST, ALONE, TOGETHER, COMMON = 3, 15.1, 28.0, 0.1
+#: Rows of the sample on which pairs are counted.
+PAIR_ROWS = 1 << 12
 FACTORS = 8
 STEPS = 120
 THRESHOLD = 0.3
@@ -123,17 +132,41 @@ class Scorer:
         return self.model.score(np.array(sorted(present), np.int64))
 
 
-def choose(hashed: DataFrame, rows: int, toxic: int) -> np.ndarray:
-    """The hashed terms with the highest chi-square, of those in five rows and more; hashed
-    has doc_id, toxic and terms of `rows` rows."""
+def chi_square(hits, n, rows: int, toxic: int):
+    """Of n rows that have something, with toxic ones among them as `hits` says; columns or
+    arrays."""
+    expected = n * (toxic / rows)
+    spread = expected * (1 - toxic / rows) * (1 - n / rows)
+    return (hits - expected) ** 2 / (spread + 1e-9)
+
+
+def choose(hashed: DataFrame, rows: int, toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """(significant terms, common terms), hashed and sorted; hashed has toxic and terms of
+    `rows` rows."""
     counted = hashed.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(
         F.count("*").cast("double").alias("n"), F.sum("toxic").cast("double").alias("hits")
     )
-    expected = F.col("n") * (toxic / rows)
-    spread = expected * (1 - toxic / rows) * (1 - F.col("n") / rows)
-    chi = (F.col("hits") - expected) ** 2 / F.greatest(spread, F.lit(1e-9))
-    best = counted.where("n >= 5").select("term", chi.alias("chi")).where("chi > 4").orderBy(F.desc("chi"), "term").limit(TERMS)
-    return np.sort(np.array([r["term"] for r in best.collect()], np.int64))
+    found = counted.where(F.col("n") >= LEAST).withColumn("alone", chi_square(F.col("hits"), F.col("n"), rows, toxic) > ALONE).withColumn("common", F.col("n") >= COMMON * rows)
+    found = found.where("alone OR common").toPandas()
+    of = lambda name: np.sort(found["term"][found[name]].to_numpy(np.int64))
+    return of("alone"), of("common")
+
+
+def paired(rows: list[np.ndarray], labels: np.ndarray, common: np.ndarray, step: int = 2048) -> np.ndarray:
+    """The common terms (places in `common`) of pairs that say more together than either
+    does alone. rows: the places of each row's common terms."""
+    both, hits = (np.zeros((len(common), len(common)), np.float32) for _ in range(2))
+    for k in range(0, len(rows), step):
+        present = np.zeros((len(rows[k : k + step]), len(common)), np.float32)
+        for j, held in enumerate(rows[k : k + step]):
+            present[j, held] = 1
+        both += present.T @ present
+        present = present[labels[k : k + step] > 0]
+        hits += present.T @ present
+    chi = chi_square(hits, both, len(rows), float((labels > 0).sum()))
+    own = np.diag(chi)
+    more = (chi - np.maximum(own[:, None], own[None, :]) > TOGETHER) & (both >= LEAST)
+    return np.flatnonzero(more.any(axis=1))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, seed: int = 7) -> Model:
@@ -182,11 +215,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, seed: in
     return Model(float(state[0][0]), chosen, state[1], state[2])
 
 
-def held_out(doc_id) -> object:
-    return F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT
+def held_out(doc_id) -> Column:
+    """Whether a row is in the held-out fold; rows without an id are not."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
+
 
+def sampled(hashed: DataFrame, sample: int, sample_terms: int) -> DataFrame:
+    """The rows of lowest hashes, `sample` at most, with sample_terms terms at most."""
+    keyed = hashed.withColumn("h", F.xxhash64("doc_id", "toxic", "terms")).dropDuplicates(["h"])
+    first = keyed.select("h", F.size("terms").alias("n")).orderBy("h").limit(sample).toPandas()
+    kept = first["h"][first["n"].cumsum() <= sample_terms]
+    return keyed.where(F.col("h") <= F.lit(int(kept.max()))) if len(kept) else keyed.limit(0)
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_terms: int = SAMPLE_TERMS) -> Model:
     """A model from at most `sample` labelled rows of the training fold."""
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -203,20 +245,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "terms": found})
 
     hashed = common.stored(
-        docs.select("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(known), "doc_id")  # `sample` rows at most
         .select("doc_id", "toxic", "text")
         .mapInPandas(hashed, "doc_id long, toxic int, terms array<int>"),
         "sample-terms",
     )
+    hashed = common.stored(sampled(hashed, sample, sample_terms), "sample")
     rows, toxic = hashed.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < rows:
         return fit([], np.full(1, float(toxic > 0)), np.empty(0, np.int64))
-    chosen = choose(hashed, rows, toxic)
-    held = F.array_intersect("terms", F.lit([int(x) for x in chosen]).cast("array<int>")) if len(chosen) else F.array().cast("array<int>")
-    known = hashed.select("doc_id", "toxic", held.alias("terms")).orderBy("doc_id", "toxic").collect()
-    places = [np.sort(np.searchsorted(chosen, np.array(r["terms"], np.int64))) for r in known]
-    return fit(places, np.array([r["toxic"] for r in known], np.float64), chosen)
+    alone, often = choose(hashed, rows, toxic)
+    wanted = np.union1d(alone, often)
+    held = F.array_intersect("terms", F.lit([int(x) for x in wanted]).cast("array<int>")) if len(wanted) else F.array().cast("array<int>")
+    known = hashed.select("h", "toxic", held.alias("terms")).orderBy("h").collect()
+    found, truth = [np.array(r["terms"], np.int64) for r in known], np.array([r["toxic"] for r in known], np.float64)
+
+    def places(of: np.ndarray) -> list[np.ndarray]:
+        return [np.sort(np.searchsorted(of, x[np.isin(x, of)])) for x in found]
+
+    chosen = np.union1d(alone, often[paired(places(often)[:PAIR_ROWS], truth[:PAIR_ROWS], often)]) if len(often) else alone
+    return fit(places(chosen), truth, chosen)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
