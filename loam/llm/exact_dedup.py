@@ -1,29 +1,27 @@
 """Exact deduplication over a cuckoo-filter index.
 
 Texts are equal when they are after deleting white space; the digest is the SHA-256 of
-what is left. Every map batch sums up its digests first (rows, best row), so a group with
-a third of all rows reaches the index as one entry a batch. Entries are dealt to index
+what is left. Every map task sums up its digests first (rows, best row), so a group with
+a third of all rows reaches the index as few entries a task. Entries are dealt to index
 buckets by digest. Each bucket owns a cuckoo filter and the bucketed content behind it: a
-miss is a new live digest, a hit is verified against the content of the two filter
-buckets, and a false hit is stored as a digest of its own. When an insertion overflows,
+miss is a new live digest, a hit is verified against the content that lies at the
+digest's first place, and a false hit is stored as a digest of its own. When an insertion overflows,
 the filter doubles and is filled again from the stored digests. Deletion takes the
 fingerprint out of the filter and the digest out of the content.
 
 Of equal texts, the row with the most code points stays, then the smallest doc_id.
 Defined results: a null text is an empty one; null ids come last in ties; rows that repeat
-a doc_id count in group_size and share its verdict; an empty table gives no rows; other
-columns are passed by.
+a doc_id count in group_size, and exact_groups(), whose rows are told apart by doc_id and
+text, calls all of them kept if one is (drop_copies() keeps one row); an empty table gives
+no rows; other columns are passed by.
 """
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +30,7 @@ from loam.llm import common
 SLOTS = 4
 KICKS = 200
 DIGESTS_PER_BUCKET = 1024
-DIGESTS = "doc_id long, digest binary, n_points long"
+HELD = 20_000
 ENTRIES = "bucket int, digest binary, n long, points long, id long"
 INDEX = "bucket int, width int, filter binary, digests array<binary>, n array<long>, points array<long>, id array<long>"
 
@@ -113,7 +111,8 @@ class Bucket:
             yield from stored
 
     def find(self, digest: bytes) -> list | None:
-        """A filter hit, verified against the content; None for a miss or a false hit."""
+        """A filter hit, verified against the content; None for a miss or a false hit. The
+        mark may stand in either of its places, the content always lies at the first."""
         if digest not in self.filter:
             return None
         home = self.content.get(self.filter.places(digest)[1], ())
@@ -160,28 +159,30 @@ def better(points: int, doc_id: int | None, than_points: int, than_id: int | Non
 
 
 def digests(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, digest, n_points of every row, and its columns `more` of type long."""
-    blanks = common.SPACES.encode()
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "")
-            marks = [hashlib.sha256(x.translate(None, blanks)).digest() for x in texts.cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(marks, pa.binary()), pc.utf8_length(texts).cast(pa.int64()), *map(batch.column, more)],
-                names=["doc_id", "digest", "n_points", *more],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    return rows.mapInArrow(hashed, ", ".join([DIGESTS, *(f"{c} long" for c in more)]))
+    """doc_id, digest, n_points of every row, and its columns `more`."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    mark = F.unhex(F.sha2(F.translate(text, common.SPACES, ""), 256))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("digest"), F.length(text).cast("long").alias("n_points"), *more)
 
 
 def entries(hashed: DataFrame, buckets: int) -> DataFrame:
-    """Digests summed up within each batch, with the index bucket they belong to."""
+    """Digests summed up within each task, HELD distinct ones at a time, with the index
+    bucket they belong to."""
+
+    def packed(best: dict[bytes, list]) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "bucket": [int.from_bytes(d[-8:], "big") % buckets for d in best],
+                "digest": list(best),
+                "n": [x[0] for x in best.values()],
+                "points": [x[1] for x in best.values()],
+                "id": pd.array([x[2] for x in best.values()], dtype="Int64"),
+            }
+        )
 
     def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[bytes, list] = {}
         for frame in frames:
-            best: dict[bytes, list] = {}
             for doc_id, digest, points in zip(frame["doc_id"].astype("Int64"), frame["digest"], frame["n_points"], strict=True):
                 doc_id = None if doc_id is pd.NA else int(doc_id)
                 known = best.get(digest)
@@ -191,15 +192,10 @@ def entries(hashed: DataFrame, buckets: int) -> DataFrame:
                 known[0] += 1
                 if better(points, doc_id, known[1], known[2]):
                     known[1:] = points, doc_id
-            yield pd.DataFrame(
-                {
-                    "bucket": [int.from_bytes(d[-8:], "big") % buckets for d in best],
-                    "digest": list(best),
-                    "n": [x[0] for x in best.values()],
-                    "points": [x[1] for x in best.values()],
-                    "id": pd.array([x[2] for x in best.values()], dtype="Int64"),
-                }
-            )
+            if len(best) >= HELD:
+                yield packed(best)
+                best = {}
+        yield packed(best)
 
     return hashed.mapInPandas(summed, ENTRIES)
 
@@ -263,8 +259,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts. Of the rows that have the group's
     keep_id, the longest text stays, then the least row key; a row without an id stays only
     if its whole group has none."""
-    rows = docs.withColumn("__row", common.row_key(docs))
-    hashed = common.stored(digests(rows.select("doc_id", "text", F.col("__row").alias("row")), "row"), "digests")
+    rows = docs.select("doc_id", "text", common.row_key(docs).alias("row"))
+    hashed = common.stored(digests(rows, "row"), "digests")
     named = hashed.join(live_digests(hashed), "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     best = named.groupBy("digest").agg(F.min(F.struct((-F.col("n_points")).alias("shorter"), "row")).alias("best"))
     return common.one_row_each(docs, hashed, best.select("best.row"), "exact")
