@@ -4,7 +4,7 @@ A rule is a regular expression over host and path, with literal tokens that any
 matches must hold. The tokens of the distinct URLs are counted, each rule is indexed by
 its token with the lowest count, and the tokens of a URL fetch candidate rules by an
 equi-join; only candidates run their expression. Rules without a token are candidates of
-every URL. Site rules (host and path prefix) come before pattern rules, and within either
+every URL, over SALTS keys. Site rules (host and path prefix) come before pattern rules, and within either
 kind the longest wins.
 
 Defined results: a null URL, or one without "://", has an empty host and path, fits no
@@ -24,6 +24,10 @@ from loam.llm import common
 
 DEFAULT = "allow"
 TOKEN = r"[a-z0-9]+"
+#: A token of a path with its ends on both sides: a path that only begins alike holds it too.
+INNER = r"(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])"
+#: Keys over which rules without a token are spread.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -37,9 +41,9 @@ class Rule:
 
 def site_rule(host: str, path: str, verdict: str) -> Rule:
     """Fits the host and its subdomains where the path starts with path."""
+    host = host.lower()
     pattern = rf"^([^/]*\.)?{re.escape(host)}{re.escape(path)}".replace(r"\-", "-").replace(r"\/", "/")
-    parts = re.findall(TOKEN, host)
-    parts += re.findall(rf"(?<=[^a-z0-9]){TOKEN}(?=[^a-z0-9])", path)
+    parts = re.findall(TOKEN, host) + re.findall(INNER, path.lower())
     return Rule(host + path, verdict, pattern, tuple(dict.fromkeys(parts)), True)
 
 
@@ -74,33 +78,62 @@ def parts(url: Column) -> tuple[Column, Column]:
     return common.lower_ascii(host), path
 
 
-def index(spark, rules: tuple[Rule, ...], url_tokens: DataFrame) -> DataFrame:
-    """The rules, each with the one of its tokens that fewest URLs hold."""
-    table = spark.createDataFrame(
-        [(r.name, r.verdict, r.pattern, r.site, len(r.name) if r.site else len(r.pattern), list(r.tokens)) for r in rules],
-        "rule string, verdict string, pattern string, site boolean, size int, tokens array<string>",
+RULES = "rule string, verdict string, pattern string, site boolean, size int, tokens array<string>"
+
+
+def rule_table(spark, rules: tuple[Rule, ...]) -> DataFrame:
+    return spark.createDataFrame([(r.name, r.verdict, r.pattern, r.site, len(r.name) if r.site else len(r.pattern), list(r.tokens)) for r in rules], RULES)
+
+
+def site_rules(rows: DataFrame) -> DataFrame:
+    """Rules of a table (host, path, verdict) of any size, as site_rule() makes them."""
+    host, path = common.lower_ascii(F.col("host")), F.col("path")
+    found = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    name = F.concat(host, path)
+    return rows.select(
+        name.alias("rule"),
+        "verdict",
+        F.concat(F.lit(r"^([^/]*\.)?\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")).alias("pattern"),
+        F.lit(True).alias("site"),
+        F.length(name).alias("size"),
+        F.array_distinct(F.concat(found(host, TOKEN), found(common.lower_ascii(path), INNER))).alias("tokens"),
     )
-    held = table.select("rule", "verdict", "pattern", "site", "size", F.explode_outer("tokens").alias("token"))
+
+
+def pattern_rules(rows: DataFrame) -> DataFrame:
+    """Rules of a table (name, verdict, pattern, tokens) of any size; tokens as in
+    pattern_rule()."""
+    return rows.select(F.col("name").alias("rule"), "verdict", "pattern", F.lit(False).alias("site"), F.length("pattern").alias("size"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+
+
+def every(salt: Column) -> Column:
+    """The key of the URLs with that salt, for rules without a token."""
+    return F.concat(F.lit("*"), salt.cast("string"))
+
+
+def index(rules: DataFrame, url_tokens: DataFrame) -> DataFrame:
+    """The rules, each with the one of its tokens that fewest URLs hold; those without a
+    token once for each salt."""
+    held = rules.select(*(c for c in rules.columns if c != "tokens"), F.explode_outer("tokens").alias("token"))
     counts = url_tokens.join(held.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
     rarity = F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")
-    return (
-        held.join(counts, "token", "left")
-        .groupBy("rule", "verdict", "pattern", "site", "size")
-        .agg(F.min_by("token", rarity).alias("token"))
-        .withColumn("token", F.coalesce("token", F.lit("")))
-    )
+    rarest = held.join(counts, "token", "left").groupBy("rule", "verdict", "pattern", "site", "size").agg(F.min_by("token", rarity).alias("token"))
+    all_salts = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), every)
+    return rarest.withColumn("token", F.explode(F.when(F.col("token").isNull(), all_salts).otherwise(F.array("token"))))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + PATTERN_RULES) -> DataFrame:
-    """page_id, host, path, rule (of a site), verdict, pattern_rule."""
+def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = SITE_RULES + PATTERN_RULES) -> DataFrame:
+    """page_id, host, path, rule (of a site), verdict, pattern_rule. rules: a tuple, or a
+    table as site_rules() and pattern_rules() make it."""
+    table = rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules)
     rows = pages.select("page_id", "url")
     host, path = parts(F.col("url"))
     urls = common.stored(rows.where("url IS NOT NULL").select("url").distinct().select("url", F.concat(host, path).alias("subject")), "urls")
     tokens = F.array_distinct(F.regexp_extract_all(common.lower_ascii(F.col("subject")), F.lit(f"({TOKEN})"), F.lit(1)))
-    if any(not r.tokens for r in rules):
-        tokens = F.concat(tokens, F.array(F.lit("")))
+    if not table.where(F.size("tokens") == 0).isEmpty():
+        tokens = F.concat(tokens, F.array(every(F.pmod(F.xxhash64("url"), F.lit(SALTS)))))
     held = urls.select("url", "subject", F.explode(tokens).alias("token"))
-    candidates = held.join(index(pages.sparkSession, rules, held.select("token")), "token")
+    candidates = held.join(index(table, held.select("token")), "token")
     hits = candidates.where(F.rlike(F.col("subject"), F.col("pattern")))
     first = F.struct("site", "size", "rule")
     best = hits.groupBy("url").agg(F.max_by(F.struct("rule", "verdict", "site"), first).alias("hit"))
