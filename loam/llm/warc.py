@@ -4,9 +4,11 @@ write() sums up the payloads (length and SHA-1) without moving them; of equal pa
 record with the largest page_id is a response and the others revisit it. Records are
 plain WARC/1.1 text, each one ended by a blank line pair, and go out through Spark's text
 writer with the last line feed as the line separator: files in any file system Spark
-writes to, of at most RECORDS_PER_FILE records.
+writes to. Payloads of a size class go together, as many to a file as keep it within
+ARCHIVE_BYTES, so that a reader's task can hold an archive whatever the pages' sizes.
 
-read() parses whole archives, plain or in gzip members of a record or more. Of a member's
+read() parses whole archives (an archive is one row of Spark's reader of binary files, which
+holds 2 GB at most, and has to fit a task: that is read()'s limit), plain or in gzip members of a record or more. Of a member's
 rows the first has its length in the archive and the others 0. Blocks are taken apart as
 HTTP where their content type says so, or where none is given and they begin so. Payload
 digests are checked where a record has one of a known algorithm. Where a record fails its
@@ -26,14 +28,17 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import common
 
-RECORDS_PER_FILE = 500
+#: Upper bytes of a class of payloads with their URLs, and of an archive of such records
+#: (headers come on top); a larger payload has an archive of its own.
+CLASSES = tuple(1 << k for k in (12, 15, 18, 21, 24))
+ARCHIVE_BYTES = 1 << 24
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
@@ -47,18 +52,21 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def payload_digest(html: str):
-    def digests(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: base32_sha1((x or "").encode("utf-8", "surrogatepass")))
-
-    return F.pandas_udf(digests, "string")(html)
+def payload_digest(html: Column) -> Column:
+    """base32_sha1() of a string's bytes: 20 bits of the hexadecimal form are four digits."""
+    hashed, digits = F.sha1(html), []
+    for k in range(0, 40, 5):
+        bits = F.conv(F.substring(hashed, k + 1, 5), 16, 10).cast("int")
+        digits += [F.substring(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(31) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
+    return F.concat(*digits)
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Archives of the pages under path."""
+    """Archives of the pages under path, in a folder for each size class of payloads."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", payload_digest("html")).withColumn("n", F.octet_length("html"))
-    facts = common.stored(rows.select("page_id", "digest", "n"), "payloads")
+    size = F.octet_length("html") + F.octet_length("url")
+    rows = rows.withColumn("n", F.octet_length("html")).withColumn("class", F.coalesce(*(F.when(size <= most, k) for k, most in enumerate(CLASSES)), F.lit(len(CLASSES))))
+    facts = common.stored(rows.select("page_id", payload_digest(F.col("html")).alias("digest"), "n", "class"), "payloads")
     best = facts.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"))
     revisits = common.stored(
         facts.join(best, "digest")
@@ -67,6 +75,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-0
         .distinct(),
         "revisits",
     )
+    rows = rows.withColumn("digest", payload_digest(F.col("html")))
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left")
     again = F.col("of_digest").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -93,7 +102,10 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-0
         F.when(again, "").otherwise(F.col("html")),
         F.lit("\r\n\r"),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # At most len(CLASSES) + 1 values, and as many passes over the pages.
+    for k in sorted(r["class"] for r in facts.select("class").distinct().collect()) or [0]:
+        each = max(1, ARCHIVE_BYTES // CLASSES[k]) if k < len(CLASSES) else 1
+        rows.where(F.col("class") == k).select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", each).text(f"{path}/class-{k}")
 
 
 class Bad(ValueError):
@@ -199,7 +211,7 @@ def salvage(data: bytes) -> Iterator[dict]:
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records and gaps of the archives under path."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path", "content")
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
