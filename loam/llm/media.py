@@ -3,8 +3,8 @@
 store() turns payloads into media (8-bit grey PNG, WIDTH samples a row) and writes them
 with their digests. sequences() parses HTML into an ordered array of structs: text, or a
 reference to media by digest with its caption. resolve() joins references to what is known
-of each stored payload by digest and puts the sequence together again, each item at its
-own position with its own caption.
+of each stored payload by digest, each item at its own position with its own caption;
+assembled() puts the sequence together again.
 
 Payloads never move: a media row is decoded where it is stored, and what the join carries
 by digest is its description.
@@ -118,7 +118,8 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 class Interleaved(HTMLParser):
-    """Text and media references of an HTML page in their order."""
+    """Text and media references of an HTML page in their order. A figure's caption goes to
+    all media of the figure, whether it stands before or behind them."""
 
     HIDDEN = ("script", "style")
     BREAKS = ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "figure", "article", "section", "figcaption")
@@ -128,9 +129,8 @@ class Interleaved(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.hidden = 0
-        self.figure = 0
         self.caption: list[str] | None = None
-        self.open: list[dict] = []
+        self.figures: list[tuple[list[dict], list[str]]] = []  # open ones: media and captions
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -138,36 +138,52 @@ class Interleaved(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def _end_caption(self) -> None:
+        if self.caption is None:
+            return
+        caption, self.caption = " ".join("".join(self.caption).split()), None
+        if caption and self.figures:
+            self.figures[-1][1].append(caption)
+        elif caption:
+            self.text.append(caption)
+
+    def _end_figure(self) -> None:
+        self._end_caption()
+        self._flush()
+        media, captions = self.figures.pop()
+        caption = " ".join(captions)
+        for item in media if caption else ():
+            item["caption"] = caption
+        if caption and not media:  # nothing to stand at
+            self.text.append(caption)
+            self._flush()
+
     def handle_starttag(self, tag, attrs):
         if tag in self.HIDDEN:
             self.hidden += 1
-        if tag in self.BREAKS:
+        if tag in self.BREAKS and self.caption is None:
             self._flush()
         if tag == "figure":
-            self.figure += 1
-            self.open = []
+            self.figures.append(([], []))
         elif tag == "figcaption":
+            self._end_caption()
             self.caption = []
         elif tag in ("img", "audio", "video", "source"):
             known = dict(attrs)
             self._flush()
             item = {"kind": "media", "text": None, "digest": known.get("src"), "caption": known.get("alt")}
             self.items.append(item)
-            if self.figure:
-                self.open.append(item)
+            if self.figures:
+                self.figures[-1][0].append(item)
 
     def handle_endtag(self, tag):
         if tag in self.HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.open:
-                item["caption"] = caption
-            if not self.open and caption:
-                self.text.append(caption)
-        elif tag == "figure":
-            self.figure, self.open = max(0, self.figure - 1), []
-        if tag in self.BREAKS:
+        elif tag == "figcaption":
+            self._end_caption()
+        elif tag == "figure" and self.figures:
+            self._end_figure()
+        if tag in self.BREAKS and self.caption is None:
             self._flush()
 
     def handle_data(self, data):
@@ -179,8 +195,9 @@ class Interleaved(HTMLParser):
         self = cls()
         self.feed(html or "")
         self.close()
-        if self.caption:
-            self.text.extend(self.caption)
+        while self.figures:
+            self._end_figure()
+        self._end_caption()
         self._flush()
         return [{"pos": k} | item for k, item in enumerate(self.items)]
 
@@ -214,19 +231,27 @@ def descriptions(media: DataFrame) -> DataFrame:
     return media.select("digest", "media").mapInArrow(described, ABOUT).dropDuplicates(["digest"])
 
 
-def resolve(sequences_: DataFrame, key: str, about: DataFrame) -> DataFrame:
-    """key, pos, kind, text, caption and the description of each item's media."""
-    items = sequences_.select(key, F.explode("items").alias("i")).select(key, "i.*")
+def resolve(sequences_: DataFrame, keys: str | list[str], about: DataFrame) -> DataFrame:
+    """keys, pos, kind, text, caption and the description of each item's media: a row for
+    each item, at its own position and with its own caption."""
+    keys = [keys] if isinstance(keys, str) else keys
+    items = sequences_.select(*keys, F.explode("items").alias("i")).select(*keys, "i.*")
     return items.join(about, "digest", "left")
 
 
+def assembled(resolved: DataFrame, keys: str | list[str]) -> DataFrame:
+    """keys and `items`, the sequence put together again from the rows of resolve(), in order
+    of position; a page's items meet in one row, as they did in its HTML."""
+    keys = [keys] if isinstance(keys, str) else keys
+    item = F.struct("pos", *(c for c in resolved.columns if c not in (*keys, "pos")))
+    return resolved.groupBy(*keys).agg(F.array_sort(F.collect_list(item), lambda a, b: a["pos"] - b["pos"]).alias("items"))
+
+
 def documents_with_media(docs: DataFrame) -> DataFrame:
-    """A document of one figure for each row: its payload by reference, its size as caption."""
+    """A document of one figure for each row, whose payload is a reference."""
     media = store(docs)
-    html = F.concat(
-        F.lit("<article><p>document</p><figure><img src='"), "digest", F.lit("'><figcaption>"), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure></article>")
-    )
-    pages = sequences(media.select("doc_id", html.alias("html")))
+    html = F.concat(F.lit("<article><p>document</p><figure><img src='"), "digest", F.lit("'><figcaption>payload</figcaption></figure></article>"))
+    pages = sequences(media.select("doc_id", "n_bytes", html.alias("html")))
     # Written out first: the join then meets two plain sides, whose hot digests Spark can split.
     about = common.stored(descriptions(media), "media-descriptions")
-    return resolve(pages, "doc_id", about).where("kind = 'media'")
+    return resolve(pages, ["doc_id", "n_bytes"], about).where("kind = 'media'")

@@ -57,7 +57,7 @@ def op8_media(spark, sf_dir):
     shown = media.documents_with_media(common.read(spark, sf_dir, "documents"))
     return shown.select(
         "doc_id",
-        F.col("caption").cast("long").alias("n_bytes"),
+        "n_bytes",
         "payload_bytes",
         "payload_sha256",
         "tail_crc32",
