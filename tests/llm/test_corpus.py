@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and held-out labels."""
 
+import functools
 import gzip
 import hashlib
 import math
@@ -122,6 +123,18 @@ def test_cuckoo_filter_grows_and_forgets():
     assert bucket.find(keys[1])[1:] == [3, 2, 1]
 
 
+def test_equal_fingerprints_are_verified():
+    bucket = exact_dedup.Bucket(4)
+    # Digests of one mark and one place, which the filter cannot tell apart.
+    keys = [b"\x01\x02" + b"\0" * 8 + bytes([k]) * 22 for k in range(6)]
+    for k, key in enumerate(keys):
+        assert bucket.find(key) is None
+        bucket.insert(key, 1, k, k)
+    assert all(bucket.find(key)[1:] == [1, k, k] for k, key in enumerate(keys))
+    bucket.delete(keys[2])
+    assert bucket.find(keys[2]) is None and all(bucket.find(k) for k in keys[3:])
+
+
 def test_index_takes_insertions_and_deletions(spark, docs):
     hashed = exact_dedup.digests(docs)
     index = exact_dedup.update(exact_dedup.empty_index(spark), exact_dedup.entries(hashed, 4))
@@ -163,6 +176,17 @@ def test_mixing_meets_its_targets(spark, rows, docs):
     assert mixed.count() == sum(r.copies for r in got)
 
 
+def test_mixing_leaves_clashing_columns_alone(spark):
+    names = ["__copy", "__source", "__rate", "__number", "__one", "__row"]
+    docs = spark.createDataFrame([(1, "a b", "s", *range(6)), (2, "c d e", "t", *range(6))], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    mixed = mixing.mix(docs).collect()
+    assert mixed and {tuple(r[n] for n in names) for r in mixed} == {(0, 1, 2, 3, 4, 5)}
+    kept = exact_dedup.drop_copies(docs.unionByName(docs))
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r) for r in docs.collect())
+    encoded = pieces.encode(docs.withColumn("variant", F.lit("old")).withColumn("piece_ids", F.lit("old")))
+    assert sorted(encoded.columns) == sorted({*docs.columns, "variant", "piece_ids"} - {"text"}) and encoded.first()["__row"] == 5
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.net/en/x", "HTTP://A.EXAMPLE.NET/de", "https://net", "http://x.org/fr/?q", "http://xorg/fr/", "no scheme", "", None, "http://b.example.com/de/1", "http://b.example.com/de",
             "https://www.casino-win.example.org/en/1", "https://spam-farm.example.org/", "http://example.net/en/x", "http://example.net/en/x", "a://b://c/d#e", "ftp://q.adult/adult/x"]
@@ -182,6 +206,15 @@ def test_url_rules(spark):
     assert got == {k: by_hand(u) for k, u in enumerate(urls)}
     assert got[0][2:] == ("example.net/en/", "allow") and got[2][2] is None and got[3][2:] == ("org/fr/", "allow") and got[4][2] is None
     assert all(r.tokens for r in url_filter.SITE_RULES + url_filter.PATTERN_RULES)
+    # A rule's path is met as it is written, its tokens in lower case.
+    upper = spark.createDataFrame([("Example.NET", "/En/x", "block"), ("a.b", "/q.*[\\E/", "block"), ("org", "/", "block")], "host string, path string, verdict string")
+    urls = spark.createDataFrame([(1, "http://w.example.net/En/x/y"), (2, "http://w.example.net/en/x"), (3, "x://a.b/q.*[\\E/1"), (4, "x://a.b/qq"), (5, "x://q.ORG/1")], "page_id long, url string")
+    for table in (url_filter.site_rules(upper), tuple(url_filter.site_rule(*r) for r in upper.collect())):
+        assert {r.page_id for r in url_filter.judge(urls, table).where("verdict = 'block'").collect()} == {1, 3, 5}
+    listed = spark.createDataFrame([("digit", "block", "[0-9]x", None), ("far", "allow", "far", ["far"])], "name string, verdict string, pattern string, tokens array<string>")
+    more = url_filter.site_rules(upper).unionByName(url_filter.pattern_rules(listed))
+    found = spark.createDataFrame([(1, "x://h/1x"), (2, "x://far.y/"), (3, "x://a.b/q")], "page_id long, url string")
+    assert [(r.verdict, r.pattern_rule) for r in url_filter.judge(found, more).orderBy("page_id").collect()] == [("block", "digit"), ("allow", "far"), ("allow", None)]
     loose = (url_filter.pattern_rule("any digit", "block", r"[0-9]"),)
     assert loose[0].tokens == ()
     assert {r.page_id for r in url_filter.judge(pages, loose).where("verdict = 'block'").collect()} == {8, 10}
@@ -202,6 +235,21 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert payloads["<urn:page:7>"] == "z" * 100000
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (1 << 10, 1 << 13))
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 14)
+    sizes = [10] * 40 + [5000] * 7 + [30000] * 2
+    rows = [(k, f"u{k}", f"{k:06}" + "x" * n) for k, n in enumerate(sizes)]
+    path = str(tmp_path / "bounded")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    records = warc.read(spark, path).collect()
+    assert sorted((r.record_id, bytes(r.payload).decode()) for r in records) == sorted((f"<urn:page:{k}>", h) for k, _, h in rows)
+    held = Counter()
+    for r in records:
+        held[r.archive] += r.payload_bytes
+    assert len(held) == 3 + 4 + 2 and all(n <= 1 << 14 or n > 30000 for n in held.values())
+
+
 def record(n, payload):
     http = f"HTTP/1.1 200 OK\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nWARC-Payload-Digest: sha1:{warc.base32_sha1(payload)}\r\nContent-Length: {len(http) + len(payload)}\r\n\r\n".encode()
@@ -245,46 +293,60 @@ def test_warc_reads_long_headers_members_and_other_types(spark, tmp_path):
     assert [r.kind for r in warc.read(spark, path).collect()] == ["record"]
 
 
-def test_katz_matches_the_recursion(rows, docs):
+@pytest.mark.parametrize(("order", "min_count", "heavy_share"), [(2, 2, katz.HEAVY), (2, 1, 64), (3, 1, 16), (3, 2, 1), (1, 1, 16)])
+def test_katz_matches_the_recursion(rows, docs, order, min_count, heavy_share):
+    """With a small heavy_share most keys go through the shuffle."""
     got = defaultdict(list)
-    for r in katz.score_documents(docs).collect():
+    for r in katz.score_documents(docs, min_count, order, heavy_share).collect():
         got[r.doc_id].append(r)
     tokens = lambda t: [*(t or "").encode().lower().split(), "</s>"]
-    words, pairs, texts = Counter(), Counter(), 0
+    seen, texts = [Counter() for _ in range(order + 1)], 0
     for i, t, _ in rows:
         if not katz.held_out(i):
-            w = tokens(t)
-            words.update(w)
-            pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
+            w = ["<s>", *tokens(t)]
+            seen[1].update(w[1:])
+            for n in range(2, order + 1):
+                seen[n].update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
             texts += 1
+    words = seen[1]
     n, v = sum(words.values()), len(words)
-    d1, d2 = katz.discounts(Counter(words.values())), katz.discounts(Counter(pairs.values()))
-    part = lambda c, d: c * d[c - 1] if c <= katz.K else c
-    kept = sum(part(c, d1) for c in words.values())
+    ratios = [None, *(katz.discounts(Counter(c.values())) for c in seen[1:])]
+    part = lambda c, level: c * ratios[level][c - 1] if c <= katz.K else c
+    kept = sum(part(c, 1) for c in words.values())
     over = n if n - kept > 1e-6 else n + 1
-    p1, unknown = {w: part(c, d1) / over for w, c in words.items()}, 1 - kept / over
+    p1, unknown = {w: part(c, 1) / over for w, c in words.items()}, 1 - kept / over
     after = defaultdict(list)
-    for (a, b), c in pairs.items():
-        if c >= katz.MIN_COUNT:
-            after[a].append((b, c))
-    total, alpha = {}, {}
-    for a, held in after.items():
-        mass, size = sum(part(c, d2) for _, c in held), texts if a == "<s>" else words[a]
-        total[a] = size if size - mass > 1e-6 else size + 1
-        alpha[a] = (1 - mass / total[a]) / (1 - sum(p1[b] for b, _ in held))
-
-    def p(a, b):
-        if pairs[a, b] >= katz.MIN_COUNT:
-            return part(pairs[a, b], d2) / total[a]
-        return alpha.get(a, 1.0) * p1.get(b, unknown)
-
-    for a in list(after)[:20]:
-        assert sum(p(a, b) for b in words) + alpha[a] * unknown == pytest.approx(1)
+    for level in range(2, order + 1):
+        for gram, c in seen[level].items():
+            if c >= min_count:
+                after[gram[:-1]].append((gram[-1], c))
+
+    def total(h):
+        size = texts if h == ("<s>",) else seen[len(h)][h if len(h) > 1 else h[0]]
+        return size if size - sum(part(c, len(h) + 1) for _, c in after[h]) > 1e-6 else size + 1
+
+    @functools.cache
+    def alpha(h):
+        if h not in after:
+            return 1.0
+        return (1 - sum(part(c, len(h) + 1) for _, c in after[h]) / total(h)) / (1 - sum(p(h[1:], w) for w, _ in after[h]))
+
+    @functools.cache
+    def p(h, w):
+        if not h:
+            return p1.get(w, unknown)
+        c = seen[len(h) + 1][*h, w]
+        return part(c, len(h) + 1) / total(h) if c >= min_count else alpha(h) * p(h[1:], w)
+
+    for h in list(after)[:20] + list(after)[-20:]:
+        assert sum(p(h, w) for w in words) + p(h, "never seen") == pytest.approx(1)
     for i, t, _ in rows:
         w = tokens(t)
         r = got[i][0]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in words for x in w), n, katz.held_out(i))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True)), rel=1e-7)
+        padded = ["<s>", *w]
+        logs = [math.log10(p(tuple(padded[max(0, k + 2 - order) : k + 1]) if order > 1 else (), x)) for k, x in enumerate(w)]
+        assert r.score == pytest.approx(sum(logs), rel=1e-7)
         assert r.base_score == pytest.approx(sum(math.log10((words[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
     assert sum(map(len, got.values())) == len(rows)
 
@@ -321,11 +383,48 @@ def test_toxicity_without_labels(spark, docs, rows):
     assert toxicity.drop_toxic(docs, model).count() == len(rows)
 
 
-def test_scorer_finds_the_terms_of_terms():
+def test_scorer_matches_the_double_loop():
     text = "Abcdef abcdxx abcdyy ABCDzz ab 12 été"
-    chosen = np.array(sorted(toxicity.terms(text)))
-    model = toxicity.Model(0.0, chosen, np.ones(len(chosen)), np.zeros((len(chosen), 2)))
-    assert toxicity.Scorer(model).score(text) == pytest.approx(1 / (1 + math.exp(-len(chosen))))
+    rng = np.random.default_rng(1)
+    chosen = np.array(sorted(toxicity.terms(text) | {7, 8}))
+    w, v = rng.normal(size=len(chosen)), rng.normal(size=(len(chosen), 3))
+    there = [k for k, t in enumerate(chosen) if t not in (7, 8)]
+    z = 0.5 + sum(w[k] for k in there) + sum(v[a] @ v[b] for a in there for b in there if a < b)
+    assert toxicity.Scorer(toxicity.Model(0.5, chosen, w, v)).score(text) == pytest.approx(1 / (1 + math.exp(-z)))
+    assert toxicity.Scorer(toxicity.Model(0.5, chosen, w, v)).score(None) == pytest.approx(1 / (1 + math.exp(-0.5)))
+
+
+def test_toxicity_learns_what_no_single_term_says(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for k in range(1600):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.choices([f"common{j}" for j in range(40)], k=12) + ["aaa"] * one + ["bbb"] * two
+        rows.append((k, " ".join(words), "a"))
+        labels.append((k, int(one != two)))
+    rows += [(None, "aaa", "a"), (1601, None, "a"), (1602, "", "a"), (1603, "aaa " * 50000, "a"), (1603, "aaa " * 50000, "a")]
+    docs, marks = frame(spark, rows), spark.createDataFrame([*labels, (1601, 0), (1602, 0), (1603, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    got = defaultdict(list)
+    for r in toxicity.score(docs, model).collect():
+        got[r.doc_id].append(r.score)
+    held = [k for k in range(1600) if zlib.crc32(str(k).encode()) % 4 == 2]
+    right = sum((got[k][0] >= 0.5) == bool(labels[k][1]) for k in held) / len(held)
+    # Any sum of weights gets at most three of the four cases right.
+    assert right > 0.95 and sum(map(len, got.values())) == len(rows) and got[1601] == got[1602] and len(got[1603]) == 2
+    folds = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held")).collect()
+    assert {r.held for r in folds if r.doc_id is None} == {False}
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns
+
+
+def test_toxicity_sample_is_bounded_by_rows_and_terms(spark):
+    rows = [(1, "same words here", "a")] * 50 + [(k, f"word{k} other{k}", "a") for k in range(2, 60)]
+    marks = spark.createDataFrame([(k, k % 2) for k in range(1, 60)], "doc_id long, toxic int")
+    hashed = spark.createDataFrame([(i, 1, list(range(5))) for i, _, _ in rows], "doc_id long, toxic int, terms array<int>")
+    assert toxicity.sampled(hashed, 10, 1000).count() == 10 and toxicity.sampled(hashed, 1000, 22).count() == 4
+    assert toxicity.sampled(hashed, 1000, 1000).count() == 59 and toxicity.sampled(hashed, 10, 2).count() == 0
+    assert toxicity.train(frame(spark, rows), marks, sample=20).base != 0
 
 
 def test_media_round_trip(rows, docs):
@@ -339,7 +438,7 @@ def test_media_round_trip(rows, docs):
         r = got[i][0]
         stored = media.encode(payload)
         assert media.decode(stored).tobytes() == payload
-        assert (int(r.caption), r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
@@ -354,6 +453,19 @@ def test_sequences_keep_places_and_captions(spark):
     ]
 
 
+def test_captions_stand_at_their_media_and_sequences_are_put_together(spark):
+    parse = lambda html: [(x["pos"], x["text"] or x["digest"], x["caption"]) for x in media.Interleaved.parse(html)]
+    assert parse("<figure><figcaption>cap</figcaption><img src=a><img src=b alt=x></figure>t") == [(0, "a", "cap"), (1, "b", "cap"), (2, "t", None)]
+    assert parse("a<figure><figcaption>only</figcaption></figure>b") == [(0, "a", None), (1, "only", None), (2, "b", None)]
+    assert parse("<figure><img src=a alt=own><figure><figcaption>in<p>ner</p></figcaption><img src=b></figure></figure>") == [(0, "a", "own"), (1, "b", "inner")]
+    assert parse("<figure><img src=a><figcaption>open") == [(0, "a", "open")] and parse("<figcaption>no figure</figcaption>") == [(0, "no figure", None)]
+    html = "<p>one</p><img src='sha256:a'><figure><figcaption>c</figcaption><img src='sha256:b'></figure><p>two</p>" * 6
+    pages = spark.createDataFrame([(1, 5, html)], "id long, n int, html string")
+    about = spark.createDataFrame([("sha256:a", 7), ("sha256:b", 8)], "digest string, payload_bytes long")
+    whole = media.assembled(media.resolve(media.sequences(pages), ["id", "n"], about).repartition(5), ["id", "n"]).first()
+    assert [(x.pos, x.text or x.payload_bytes, x.caption) for x in whole["items"]] == [(4 * k + j, *x) for k in range(6) for j, x in enumerate([("one", None), (7, None), (8, "c"), ("two", None)])]
+
+
 def test_damaged_media_are_noticed():
     stored = bytearray(media.encode(media.padded(b"abc")))
     stored[60] ^= 1
@@ -553,6 +665,19 @@ def test_links_join_all_that_is_linked(spark, run):
     assert {frozenset(g) for g in got.values()} == wanted
 
 
+def test_longer_keys_join_what_a_run_links():
+    rng = random.Random(6)
+    for _ in range(400):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randint(0, 4)):
+            b ^= 1 << bit
+        fps = np.array([a, b], np.uint64)
+        for key in set(simhash.chain_keys(fps)[0]) & set(simhash.chain_keys(fps)[1]):
+            keys = simhash.longer_keys(np.array([key, key]), fps)
+            assert set(keys[0]) & set(keys[1]) and {int(k) & 7 for k in keys.ravel()} == {int(key) & 7}
+
+
 def test_each_chain_keeps_every_pair_within_the_distance():
     rng = random.Random(4)
     for _ in range(300):
@@ -605,3 +730,32 @@ def test_pipeline_stages(spark, rows, docs, tmp_path):
                 assert len(left & set(ids)) == (1 if ids else 0)
     last = corpus_pipeline.run(spark, folder)
     assert last.count() > 0 and "piece_ids" in last.columns
+
+
+def test_pipeline_on_empty_tables_and_null_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    marks = "doc_id long, quality int, toxic int"
+    long_text = "one long text of many words " * 20000
+    for name, rows, labels in [
+        ("empty", [], []),
+        ("unlabelled", [(1, "a b c d e f", "en", "s", 11), (2, None, None, None, None), (None, "", "en", "s", 0), (3, long_text, "en", "t", 1)], [(1, 1, None), (None, 1, 1), (9, None, 1)]),
+    ]:
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, marks).write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        # The null text and the empty one are copies, of which the row with an id stays; its
+        # source has no words, so that the mix takes none of it.
+        assert Counter(r.doc_id for r in got).keys() <= {1, 3} and (not rows or len(got) > 0)
+        encoder = pieces.Encoder(pieces.load())
+        texts = {1: "a b c d e f", 3: long_text}
+        assert all(encoder.decode(r.piece_ids) == texts[r.doc_id].encode() for r in got)
+
+
+def test_long_urls_are_judged(spark):
+    url = "http://w.example.com/de/" + "x" * 300000
+    pages = spark.createDataFrame([(1, url), (1, url), (2, "http://" + "a." * 50000 + "example.net/en/")], "page_id long, url string")
+    got = Counter((r.page_id, r.rule, r.verdict, len(r.path)) for r in url_filter.judge(pages).collect())
+    assert got == {(1, "example.com/de/", "block", 300004): 2, (2, "example.net/en/", "allow", 4): 1}
