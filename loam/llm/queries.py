@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loam.llm import common, exact_dedup, katz, media, mixing, pieces, sharding, simhash, toxicity, url_filter, warc
+from loam.llm import common, exact_dedup, hard_negatives, katz, line_dedup, media, mixing, pieces, repair, sharding, simhash, toxicity, url_filter, warc
 
 
 def op1_sharding(spark, sf_dir):
@@ -75,6 +75,20 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_groups(common.read(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark, sf_dir):
+    turns = common.read(spark, sf_dir, "conversations")
+    return repair.repair(turns, repair.damaged(turns))
+
+
+def op12_line_dedup(spark, sf_dir):
+    kept = line_dedup.deduplicated(common.read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine(common.read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_katz": op2_katz,
@@ -86,6 +100,9 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_pieces": op9_pieces,
     "op10_simhash": op10_simhash,
+    "op11_repair": op11_repair,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
@@ -173,4 +190,85 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> keep THEN keep END AS refers_to
 FROM k""",
+    "op11_repair": r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(turn::VARCHAR, ' ') AS t, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text
+  FROM conversations),
+coded AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv || ':' || t, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS fault
+  FROM raw),
+turns AS (
+  SELECT conv, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, (SELECT unnest([1, 2]) AS copy) c WHERE fault <> 0 AND (copy = 1 OR fault = 3)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i,
+         trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM turns),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) AS times, left(role, 1) AS c FROM numbered),
+marked AS (
+  SELECT conv, turn, role, text, i, c, bare = '' OR times > 1 AS gone,
+         bare = '' AS blank, bare <> '' AND times > 1 AS duplicate,
+         bare <> '' AND times = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated,
+         lag(c) OVER (PARTITION BY conv ORDER BY i) || c NOT IN ('su', 'ua', 'au') AS illegal
+  FROM seen),
+counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n
+  FROM marked GROUP BY conv),
+steps AS (  -- the least (cost, audit) of each state before turn i, insertions included: empty, s, u, a
+  SELECT conv, 1::BIGINT AS i, {'c': 0::BIGINT, 'a': ''} AS e, {'c': 1000000000::BIGINT, 'a': ''} AS s,
+         {'c': 3::BIGINT, 'a': 'I'} AS u, {'c': 6::BIGINT, 'a': 'II'} AS a FROM counts
+  UNION ALL
+  SELECT conv, i, e, s, u1, list_min([a0, {'c': u1.c + 3, 'a': u1.a || 'I'}]) FROM (
+    SELECT *, list_min([u0, {'c': e.c + 3, 'a': e.a || 'I'}, {'c': s.c + 3, 'a': s.a || 'I'}, {'c': a0.c + 3, 'a': a0.a || 'I'}]) AS u1 FROM (
+      SELECT p.conv, p.i + 1 AS i,
+        {'c': p.e.c + 4, 'a': p.e.a || 'D'} AS e,
+        list_min([{'c': p.s.c + 4, 'a': p.s.a || 'D'}, {'c': p.e.c + CASE WHEN m.c = 's' AND NOT m.gone THEN cut ELSE 1000000000 END, 'a': p.e.a || 'K'}]) AS s,
+        list_min([{'c': p.u.c + 4, 'a': p.u.a || 'D'}] || list_transform([p.e, p.s, p.a], lambda x: list_min([
+          {'c': x.c + CASE WHEN m.c = 'u' AND NOT m.gone THEN cut ELSE 1000000000 END, 'a': x.a || 'K'},
+          {'c': x.c + CASE WHEN NOT m.gone THEN cut + 3 ELSE 1000000000 END, 'a': x.a || 'R'}]))) AS u0,
+        list_min([{'c': p.a.c + 4, 'a': p.a.a || 'D'},
+          {'c': p.u.c + CASE WHEN m.c = 'a' AND NOT m.gone THEN cut ELSE 1000000000 END, 'a': p.u.a || 'K'},
+          {'c': p.u.c + CASE WHEN NOT m.gone THEN cut + 3 ELSE 1000000000 END, 'a': p.u.a || 'R'}]) AS a0
+      FROM steps p JOIN (SELECT *, CASE WHEN truncated THEN 3 ELSE 0 END AS cut FROM marked) m ON p.conv = m.conv AND p.i = m.i))),
+best AS (SELECT s.conv, list_min([s.e, s.a]) AS b FROM steps s JOIN counts k ON s.conv = k.conv AND s.i = k.n + 1),
+letters AS (SELECT conv, b.c AS cost, b.a AS audit, unnest(range(1, length(b.a) + 1)) AS k FROM best),
+edits AS (
+  SELECT conv, audit, k, audit[k] AS edit, length(replace(audit[:k], 'I', '')) AS i, length(replace(audit[:k], 'D', '')) AS o FROM letters),
+written AS (
+  SELECT d.conv, d.o, d.edit, m.role, m.text, m.c,
+         max(CASE WHEN d.o = 1 AND d.edit = 'K' AND m.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY d.conv) AS lead
+  FROM edits d LEFT JOIN marked m ON d.conv = m.conv AND d.i = m.i AND d.edit <> 'I' WHERE d.edit <> 'D'),
+repaired AS (
+  SELECT conv, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY o) AS text
+  FROM written GROUP BY conv)
+SELECT r.conv_id, coalesce(k.gaps, 0)::BIGINT AS gaps, coalesce(k.blank, 0) AS blank, coalesce(k.duplicate, 0) AS duplicate,
+       coalesce(k.truncated, 0) AS truncated, coalesce(k.illegal, 0) AS illegal, coalesce(b.b.c, 0) AS cost, coalesce(b.b.a, '') AS audit,
+       sha256(coalesce(p.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM raw) r LEFT JOIN counts k USING (conv) LEFT JOIN best b USING (conv) LEFT JOIN repaired p USING (conv)""",
+    "op12_line_dedup": r"""
+WITH split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM split),
+common AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT s.*, c.keeper IS NOT NULL AND c.keeper <> s.doc_id AS dropped FROM keyed s LEFT JOIN common c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
