@@ -1,7 +1,7 @@
 """Python code inside posts: prompts, imports, assignments, names.
 
-The standard `ast` reads what parses; for what does not, line patterns stand in. Both run
-in Arrow UDFs over arrays of code blocks.
+The standard `ast` reads what parses, and of what does not the statements that do (islands).
+Both run in Arrow UDFs over arrays of code blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.text import CODE_WORDS
+from loam.operators import islands
 
 PROMPT = re.compile(r"In\s*\[\d*\]:(.*)|(Out\s*\[\d*\]:)|\s*>>>(.*)|\s*\.\.\.(.*)", re.S)
 IMPORTS = "array<struct<alias:string,module:string,ord:int>>"
@@ -52,27 +53,14 @@ def without_prompts(code: str | None) -> str:
     return "\n".join(x for x in kept if x)
 
 
-def _parse(code: str) -> ast.Module | None:
-    try:
-        return ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
-
-
-def _statements(code: str) -> list[ast.stmt]:
-    """Top statements; of code that does not parse, those lines that do by themselves."""
-    if (tree := _parse(code)) is not None:
-        return tree.body
-    found = []
-    for line in code.split("\n"):
-        if (tree := _parse(line.strip())) is not None:
-            found += tree.body
-    return found
-
-
 def _walk(code: str):
-    for statement in _statements(code):
-        yield from ast.walk(statement)
+    """All nodes, each before those inside it, in the order of the code."""
+    top, inner = islands.statements(code)
+    stack: list[ast.AST] = sorted(top + inner, key=lambda x: -x.lineno) if inner else top[::-1]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += [*ast.iter_child_nodes(node)][::-1]
 
 
 def imports(blocks: list[str] | None) -> list[dict]:
@@ -82,7 +70,7 @@ def imports(blocks: list[str] | None) -> list[dict]:
     for block in blocks if blocks is not None else ():
         code = without_prompts(block)
         stars, own = [], set()
-        for node in _statements(code):
+        for node in islands.statements(code)[0]:
             if isinstance(node, ast.Import):
                 for name in node.names:
                     found[name.asname or name.name, name.name] = None
@@ -142,7 +130,7 @@ def names_of_code(code: str | None) -> dict:
     neither parses nor has a word of code, its tokens count as the first two."""
     code = code or ""
     own = lambda names: [n for n in dict.fromkeys(names) if re.fullmatch(r"[a-zA-Z0-9_]+", n) and not n.isdigit()]
-    if _parse(code) is None and not CODE_WORD.search(code):
+    if islands.parsed(code) is None and not CODE_WORD.search(code):
         plain = own(_snippet_terms(code))
         return {"identifiers": plain, "assigned": plain, "parameters": [], "loop_targets": []}
     identifiers, assigned, parameters, targets = [], [], [], []

@@ -302,6 +302,23 @@ def c4_assignments(spark, folder):
     return code.assign_rows(views.part_code(spark, folder), "p_partkey")
 
 
+@query("""
+WITH w AS (SELECT p_partkey, p_partkey::VARCHAR AS k, lower(p_type) || '.core' AS m, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+SELECT p_partkey, unnest(['import', 'import', 'import', 'assign', 'assign', 'assign', 'parameter', 'parameter']) AS kind,
+       unnest([a, 's' || k, 'late' || k, 'y', 'z', 'w', 'q', 'r']) AS name,
+       unnest([m || '.' || a, m || '.' || b, 'late' || k, b, 'q.go', 'v' || k || '.get', '', '']) AS source FROM w""")
+def c1_c4_c6_broken_code(spark, folder):
+    """Imports, assignments and parameters of code that does not parse: one of four kinds of
+    broken line, a call, an import and a definition over several lines, older syntax, prose,
+    and a block whose header is lost."""
+    posts = views.broken_code(spark, folder)
+    row = lambda kind, name, source: F.struct(F.lit(kind).alias("kind"), name.alias("name"), source.alias("source"))
+    found = code.import_rows(posts, "p_partkey").select("p_partkey", row("import", F.col("alias"), F.col("module")).alias("r"))
+    found = found.unionByName(code.assign_rows(posts, "p_partkey").select("p_partkey", row("assign", F.col("variable"), F.col("source")).alias("r")))
+    names = posts.select("p_partkey", F.explode(code.names(F.get("code_blocks", F.lit(0)))["parameters"]).alias("name"))
+    return found.unionByName(names.select("p_partkey", row("parameter", F.col("name"), F.lit("")).alias("r"))).select("p_partkey", "r.*")
+
+
 @query("""
 WITH w AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, 'v' || p_partkey AS v FROM part)
 SELECT p_partkey, list_sort(list_distinct([v, a || '_t', 'helper', 'q', 'items', 'total', b])) AS identifiers, list_sort([v, a || '_t', 'total']) AS assigned,

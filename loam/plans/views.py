@@ -29,6 +29,27 @@ def part_code(spark, folder: str) -> DataFrame:
     return tables.read_table(spark, folder, "part").select("p_partkey", F.array(lines).alias("code_blocks"))
 
 
+def broken_code(spark, folder: str) -> DataFrame:
+    """A code block for each part that does not parse, broken in one of four ways and more."""
+    first, second = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    key = F.col("p_partkey").cast("string")
+    broken = F.get(F.array(F.concat(F.lit("print "), first), F.lit("Traceback (most recent call last):"), F.lit("..."), F.lit("x = foo(1, [2")), (F.col("p_partkey") % 4).cast("int"))
+    lines = F.concat_ws(
+        "\n",
+        broken,
+        F.concat(F.lit("y = "), second, F.lit("(\n    'a',")),
+        F.concat(F.lit("    "), F.col("p_size").cast("string"), F.lit(")")),
+        F.concat(F.lit("from "), F.lower("p_type"), F.lit(".core import ("), first, F.lit(",")),
+        F.concat(F.lit("    "), second, F.lit(" as s"), key, F.lit(")")),
+        F.lit("def f(q,\n      r, s=1):\n    print q\n    z = q.go(\n        1)\n    this is not code"),
+        F.concat(F.lit("if broken "), first, F.lit(" here:")),
+        F.concat(F.lit("    import hidden"), key),
+        F.concat(F.lit("    w = v"), key, F.lit(".get()")),
+        F.concat(F.lit("import late"), key),
+    )
+    return tables.read_table(spark, folder, "part").select("p_partkey", F.array(lines).alias("code_blocks"))
+
+
 def annotated_parts(spark, folder: str) -> DataFrame:
     """Annotated posts about parts, with the places of their labels."""
     key = F.col("p_partkey").cast("string")
