@@ -118,36 +118,39 @@ class Reader:
     def headed(self, line: Line) -> bool:
         return HEADER.search(self.physical[line.last]) is not None
 
-    def units(self, at: int, end: int) -> list[tuple[int, int]]:
-        """Ranges [a, b) of lines [at, end): a header with what is indented below it, or a line."""
+    def units(self, at: int, end: int) -> list[tuple[int, int, int]]:
+        """Ranges [a, b) of lines [at, end) and the line of each that may head the others: a
+        header, decorators before it, and what is indented below it; or a single line."""
         found = []
         while at < end:
-            b = at + 1
-            if self.headed(self.lines[at]):
-                while b < end and self.lines[b].indent > self.lines[at].indent:
+            head = at
+            while self.starts(head).startswith("@") and head + 1 < end and self.lines[head + 1].indent == self.lines[at].indent:
+                head += 1
+            b = head + 1
+            if self.headed(self.lines[head]):
+                while b < end and self.lines[b].indent > self.lines[head].indent:
                     b += 1
-            found.append((at, b))
+            found.append((at, head, b))
             at = b
         return found
 
+    def starts(self, line: int) -> str:
+        return self.physical[self.lines[line].first].lstrip(" ")
+
     def statements(self, at: int, end: int, depth: int = 0) -> list[ast.stmt]:
         if at >= end or depth > DEEPEST:
             return []
-        groups: list[list[tuple[int, int]]] = []
-        decorated = False
-        for a, b in self.units(at, end):
-            start = self.physical[self.lines[a].first].lstrip(" ")
-            follows = CLAUSE.match(start) and groups and self.lines[groups[-1][0][0]].indent == self.lines[a].indent
-            if groups and (decorated or follows):
-                groups[-1].append((a, b))
+        groups: list[list[tuple[int, int, int]]] = []
+        for unit in self.units(at, end):
+            if groups and CLAUSE.match(self.starts(unit[0])) and self.lines[groups[-1][0][0]].indent == self.lines[unit[0]].indent:
+                groups[-1].append(unit)
             else:
-                groups.append([(a, b)])
-            decorated = start.startswith("@")
+                groups.append([unit])
         found: list[ast.stmt] = []
         for group in groups:
-            head = self.lines[group[0][0]]
-            whole = self.moved(parsed(self.text(head, self.lines[group[-1][1] - 1])), head)
-            found += whole if whole is not None else [s for a, b in group for s in self.unit(a, b, depth)]
+            first = self.lines[group[0][0]]
+            whole = self.moved(parsed(self.text(first, self.lines[group[-1][2] - 1])), first)
+            found += whole if whole is not None else [s for unit in group for s in self.unit(*unit, depth)]
         return found
 
     @staticmethod
@@ -155,13 +158,13 @@ class Reader:
         """The statements with the line numbers of the whole code."""
         return None if tree is None else [ast.increment_lineno(s, line.first) for s in tree]
 
-    def unit(self, a: int, b: int, depth: int) -> list[ast.stmt]:
+    def unit(self, a: int, h: int, b: int, depth: int) -> list[ast.stmt]:
         """What is left of a range that may not parse."""
         head = self.lines[a]
-        text = self.text(head, head)
-        if not self.headed(head):
+        text = self.text(head, self.lines[h])
+        if not self.headed(self.lines[h]):
             return next((x for form in (text, *older(text)) if (x := self.moved(parsed(form), head)) is not None), [])
-        body = self.statements(a + 1, b, depth + 1)
+        body = self.statements(h + 1, b, depth + 1)
         for form in (text, *older(text)):
             if (tree := self.moved(parsed(opened(form)), head)) is not None and len(tree) == 1:
                 holder = tree[0].handlers[0] if isinstance(tree[0], ast.Try) and tree[0].handlers else tree[0]
