@@ -28,7 +28,6 @@ DEEPEST = 100
 OLDER = (
     (re.compile(r"print[ \t]*>>[ \t]*([^,\n]+),(.*)\Z", re.S), r"print(\1,\2)"),
     (re.compile(r"print[ \t]+(.*?),?[ \t]*\Z", re.S), r"print(\1)"),
-    (re.compile(r"print[ \t]*\Z"), "print()"),
     (re.compile(r"exec[ \t]+(.*)\Z", re.S), r"exec(\1)"),
     (re.compile(r"raise[ \t]+([\w.]+)[ \t]*,[ \t]*(.*)\Z", re.S), r"raise \1(\2)"),
     (re.compile(r"except[ \t]+([^:\n]+?)[ \t]*,[ \t]*(\w+)[ \t]*:"), r"except (\1) as \2:"),
