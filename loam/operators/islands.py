@@ -26,7 +26,6 @@ DEEPEST = 100
 
 #: Older forms and what stands for them today.
 OLDER = (
-    (re.compile(r"print[ \t]*>>[ \t]*([^,\n]+),(.*)\Z", re.S), r"print(\1,\2)"),
     (re.compile(r"print[ \t]+(.*?),?[ \t]*\Z", re.S), r"print(\1)"),
     (re.compile(r"exec[ \t]+(.*)\Z", re.S), r"exec(\1)"),
     (re.compile(r"raise[ \t]+([\w.]+)[ \t]*,[ \t]*(.*)\Z", re.S), r"raise \1(\2)"),

@@ -2,41 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators import ordinals
 
 FIRST = 5
 
 
-def organise(snippets: DataFrame, linked: DataFrame, completions: DataFrame, key: str) -> DataFrame:
+def organise(snippets: DataFrame, linked: DataFrame, completions: DataFrame, key: str, slab: int = ordinals.SLAB) -> DataFrame:
     """key, snippet_idx, api, snippet: one row for each linked mention.
 
-    snippets: key, snippet_idx, html with red and blue mentions. linked: key, mention_idx,
-    fqn. completions: key, completion_idx, entity, context. Mentions and completions are
-    met by their order over the thread, which running counts of the snippets give. All three
-    are dealt by key once, and a thread's snippets take their slices of its names and notes;
-    rows without a key have no thread and go.
+    snippets: key, snippet_idx (from 0), html with red and blue mentions. linked: key,
+    mention_idx, fqn. completions: key, completion_idx, entity, context. A mention or
+    completion belongs to the snippet in which the thread's running count of red or blue
+    mentions reaches its index; mentions without a linked name stay as they are, and of
+    several names of an index the least counts.
+
+    A thread is cut into slabs of snippets, so it may be as long as it likes: names and notes
+    are put to their slab by the slabs' totals, and meet its snippets by key and slab. Rows
+    without a key have no thread and go.
     """
-    row = lambda rows, kind, at, value: rows.where(F.col(key).isNotNull()).select(key, F.lit(kind).alias("kind"), F.col(at).cast("long").alias("at"), value.alias("value"))
+    count = lambda found: F.size(found).cast("long")
+    sums = {"reds": F.col("red"), "blues": F.col("blue")}
+    rows = snippets.where(F.col(key).isNotNull()).select(key, F.col("snippet_idx").cast("long").alias("at"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumns({"red": count(T.red_mentions(F.col("html"))), "blue": count(T.blue_mentions(F.col("html")))})
+    before = ordinals.starts(rows, [key], "at", sums, slab)
+
+    def dealt(items: DataFrame, index: str, value: Column, name: str) -> DataFrame:
+        items = items.where(F.col(key).isNotNull()).select(key, F.col(index).cast("long").alias("at"), value.alias("value"))
+        held = F.array_sort(F.collect_list(F.struct("at", "value"))).alias(f"{name}_held")
+        return ordinals.slab_of(items, [key], "at", name, before, slab).groupBy(key, "slab_").agg(held)
+
     note = F.concat(F.lit("\n'"), "entity", F.lit("' refers to "), "context")
-    rows = row(snippets, 0, "snippet_idx", F.col("html")).unionByName(row(linked, 1, "mention_idx", F.col("fqn"))).unionByName(row(completions, 2, "completion_idx", note))
-    held = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "value"))))
-    threads = rows.groupBy(key).agg(held(0).alias("snippets"), held(1).alias("names"), held(2).alias("notes"))
-    count = lambda found: F.transform("snippets", lambda s: F.coalesce(F.size(found(s["value"])), F.lit(0)))
-    threads = threads.withColumn("reds", count(T.red_mentions)).withColumn("blues", count(T.blue_mentions))
-
-    def own(values: str, counts: str, k) -> Column:
-        before = F.aggregate(F.slice(counts, F.lit(1), k), F.lit(0), lambda a, n: a + n)
-        return F.transform(F.slice(values, before + 1, F.get(counts, k)), lambda v: v["value"])
-
-    taken = F.transform("snippets", lambda s, k: F.struct(s["at"].alias("at"), s["value"].alias("html"), own("names", "reds", k).alias("names"), own("notes", "blues", k).alias("notes")))
-    each = threads.select(key, F.explode(taken).alias("s")).select(key, "s.*")
+    names, notes = dealt(linked, "mention_idx", F.col("fqn"), "reds"), dealt(completions, "completion_idx", note, "blues")
+    met = ordinals.running(rows, [key], "at", sums, before, slab).join(names, [key, "slab_"], "left").join(notes, [key, "slab_"], "left")
+
+    def own(held: str, first: str, n: str) -> Column:
+        """The values of a snippet's indexes, null where there is none."""
+        at = lambda i: F.get(F.filter(held, lambda x: x["at"] == F.col(first) + i), F.lit(0))["value"]
+        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), at)).otherwise(F.array().cast("array<string>"))
+
+    each = met.select(key, "at", "html", own("reds_held", "reds", "red").alias("names"), own("blues_held", "blues", "blue").alias("notes"))
     shown = T.without_highlights(T.replace_red(F.col("html"), F.col("names")))
     shown = F.concat(shown, F.array_join("notes", ""))
     index = F.col("at").cast(snippets.schema["snippet_idx"].dataType).alias("snippet_idx")
-    return each.select(key, index, F.explode("names").alias("api"), shown.alias("snippet"))
+    each = each.select(key, index, F.array_compact("names").alias("names"), shown.alias("snippet"))
+    return each.select(key, "snippet_idx", F.explode("names").alias("api"), "snippet")
 
 
 def storable(rows: DataFrame) -> DataFrame:
@@ -58,7 +71,8 @@ def by_keyword(knowledge: DataFrame, word: str, first: int = FIRST, literal: boo
 
 
 def feedback_rows(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """new (feedback) with the ids that follow the stored ones and the time."""
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    at = F.row_number().over(Window.orderBy("feedback")).cast("long")
-    return new.withColumn("k", at).join(F.broadcast(top)).select((F.col("k") + F.col("top")).alias("id"), F.current_timestamp().alias("ts"), "feedback")
+    """new (feedback) with the ids that follow the stored ones, in the order of their text, and
+    the time. Ids come from range partitions and their lengths, never from one task."""
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top"))
+    rows = ordinals.numbered(ordinals.placed(new.select("feedback"), ["feedback"]), [])
+    return rows.join(F.broadcast(top)).select((F.col("ordinal") + 1 + F.col("top")).alias("id"), F.current_timestamp().alias("ts"), "feedback")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.similarity import PREFIX_MOST, PREFIX_WEIGHT, jaro_winkler
+from loam.functions.similarity import PREFIX_MOST, PREFIX_WEIGHT, jaro_winkler, jaro_winkler_similarity
+from loam.sources.tables import stored
 
 TOP = 20
-#: Names of the gazetteer, and mentions, that a task holds against each other.
-BLOCK, DEAL = 2000, 500
-LETTERS = 64
+#: Places of a score; the similarity at which names are fetched first.
+PLACES, LEVEL = 12, 0.8
+#: Letters in order from rare to common; all others are rarer.
+COMMON_LETTERS = "jqxzwvkfybhgmpudclotnraise"
 
 
 def gazetteer(names: DataFrame, name: str = "fqn") -> DataFrame:
@@ -41,103 +45,124 @@ def same_block(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return mentions.withColumn("block", block("mention")).join(names.select("fqn", block("fqn").alias("block")), "block").drop("block")
 
 
-class Terms:
-    """The components of a block of names: what each may at most score against a mention's
-    component, and what it does score."""
-
-    def __init__(self, names: list[list[str]], cached: dict[tuple[str, str], float]):
-        self.number: dict[str, int] = {}
-        self.depth = np.array([len(p) for p in names])
-        # By place from the end: the number of each name's component, -1 beyond its first.
-        self.places = [np.array([self.number.setdefault(p[-k], len(self.number)) if len(p) >= k else -1 for p in names]) for k in range(1, int(self.depth.max()) + 1)]
-        self.terms, self.cached = list(self.number), cached
-        self.letters = np.stack([self._letters(t) for t in self.terms])
-        self.sizes = np.array([max(1, len(t)) for t in self.terms])
-        self.bounds: dict[str, np.ndarray] = {}
-        self.scores: dict[tuple[str, int], float] = {}
-
-    @staticmethod
-    def _letters(term: str) -> np.ndarray:
-        return np.bincount([ord(c) % LETTERS for c in term], minlength=LETTERS).astype(np.int32)
-
-    def bound(self, part: str) -> np.ndarray:
-        """No similarity exceeds what all shared letters in their places would give."""
-        if part not in self.bounds:
-            shared = np.minimum(self.letters, self._letters(part)).sum(axis=1)
-            jaro = np.where(shared > 0, (shared / self.sizes + shared / max(1, len(part)) + 1) / 3, 0.0)
-            most = jaro + np.where(shared > 0, PREFIX_WEIGHT * PREFIX_MOST * np.maximum(0, 1 - jaro), 0.0)
-            for k, term in enumerate(self.terms):
-                if (term, part) in self.cached:
-                    most[k] = self.cached[term, part]
-            self.bounds[part] = most
-        return self.bounds[part]
-
-    def score(self, part: str, k: int) -> float:
-        if (part, k) not in self.scores:
-            pair = self.terms[k], part
-            self.scores[part, k] = self.cached[pair] if pair in self.cached else jaro_winkler(*pair)
-        return self.scores[part, k]
-
-    def best(self, parts: list[str], top: int) -> list[tuple[int, float]]:
-        """(name, score) of the `top` highest distinct scores: names in order of their bound,
-        until that is below the last of these."""
-        k = len(parts)
-        if k > len(self.places):
-            return []
-        fit = np.flatnonzero(self.depth >= k)
-        bound = sum(self.bound(parts[-j - 1])[self.places[j][fit]] for j in range(k)) / k
-        levels, found, least = set(), [], -1.0
-        for at in np.argsort(-bound, kind="stable").tolist():
-            if len(levels) >= top and bound[at] < least - 1e-9:
-                break
-            name = int(fit[at])
-            score = round(sum(self.score(parts[j], int(self.places[k - j - 1][name])) for j in range(k)) / k, 12)
-            found.append((name, score))
-            levels.add(score)
-            if len(levels) > top:
-                levels.discard(min(levels))
-            least = min(levels)
-        return [(name, score) for name, score in found if score >= least]
-
-
-def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
-    """mention, fqn, score: the names whose score is among a mention's `top` highest distinct
-    scores (to 12 places). The score of a name at least as deep as the mention is the mean similarity of
-    its last components to the mention's.
-
-    Distinct mentions are a query set held against the gazetteer: a task meets a deal of
-    mentions with a block of names, scores each pair of components once, leaves names alone
-    whose bound is below the top so far, and emits only the block's top scores; the blocks
-    of a mention are then merged by dense rank. known (a, b, sim): similarities of a
-    name's component to a mention's that come before the measure, met by joins.
+def similarities(asked: DataFrame, terms_: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """part, term, sim of the distinct pairs whose similarity reaches the part's floor (and 0 is
+    reached by none). asked: part, floor. known (a, b, sim): what a term's similarity to a
+    part is instead of the measure.
+
+    A pair of similarity s has a Jaro value of (s - w) / (1 - w) or more, where w is the most
+    that the prefix adds, and that takes a number of shared letters. So among so many of the
+    part's rarest letters that fewer than this number are left, one is in the term: an equi-join
+    on (letter, its how-manieth), and each pair is scored once.
     """
-    asked = mentions.select("mention").where("mention IS NOT NULL").distinct()
-    n, deals = max(1, -(-names.count() // block)), max(1, -(-asked.count() // DEAL))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = asked.withColumn("deal", F.pmod(F.xxhash64("mention"), F.lit(deals)).cast("int"))
-    held = names.select("fqn", F.pmod(F.xxhash64("fqn"), F.lit(n)).cast("int").alias("block"))
-    queries = asked.select("mention", "deal", every(n).alias("block"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("sim"))
+    w = PREFIX_WEIGHT * PREFIX_MOST
+
+    def numbered(text: str) -> list[str]:
+        seen: Counter[str] = Counter()
+        out = []
+        for c in text:
+            out.append(f"{c}{seen[c]}")
+            seen[c] += 1
+        return sorted(out, key=lambda x: (COMMON_LETTERS.find(x[0]), x))
+
+    @F.pandas_udf("array<string>")
+    def every(texts: pd.Series) -> pd.Series:
+        return texts.map(numbered)
+
+    @F.pandas_udf("array<string>")
+    def rarest(texts: pd.Series, floors: pd.Series) -> pd.Series:
+        def of(text: str, floor: float) -> list[str]:
+            jaro = (floor - w) / (1 - w) - 1e-9
+            shortest = max(1, math.ceil((3 * jaro - 2) * len(text)))
+            shared = max(1, math.ceil((3 * jaro - 1) * len(text) * shortest / max(1, len(text) + shortest) - 1e-9))
+            return numbered(text)[: len(text) - shared + 1]
+
+        return pd.Series([of(*x) for x in zip(texts, floors, strict=True)])
+
+    left = asked.select("part", "floor", F.explode(rarest("part", "floor")).alias("letter"))
+    right = terms_.select("term", F.explode(every("term")).alias("letter"))
+    shorter, longer = F.least(F.length("part"), F.length("term")), F.greatest(F.length("part"), F.length("term"))
+    near = left.join(right, "letter").where(shorter >= (3 * ((F.col("floor") - w) / (1 - w)) - 2) * longer - 1e-6)
+    pairs = near.select("part", "floor", "term").distinct()
     if known is not None:
-        wanted = asked.select("deal", F.explode(F.split("mention", r"\.", -1)).alias("b")).distinct()
-        terms_ = held.select("block", F.explode(F.split("fqn", r"\.", -1)).alias("a")).distinct()
-        met = known.select("a", "b", F.col("sim").cast("double").alias("sim")).join(wanted, "b").join(terms_, "a")
-        queries = queries.unionByName(met.select(F.col("b").alias("mention"), "deal", "block", F.col("a").alias("term"), "sim"))
-
-    def compared(asked_: pd.DataFrame, held_: pd.DataFrame) -> pd.DataFrame:
-        fqns = sorted(held_["fqn"])
-        cached = asked_["term"].notna()
-        rows = []
-        if len(fqns):
-            pairs = asked_[cached]
-            block_ = Terms([x.split(".") for x in fqns], dict(zip(zip(pairs["term"], pairs["mention"], strict=True), pairs["sim"], strict=True)))
-            for mention in asked_["mention"][~cached]:
-                rows += [(mention, fqns[k], score) for k, score in block_.best(mention.split("."), top)]
-        return pd.DataFrame(rows, columns=["mention", "fqn", "score"])
-
-    dealt = held.select("fqn", "block", every(deals).alias("deal"))
-    best = queries.groupBy("block", "deal").cogroup(dealt.groupBy("block", "deal")).applyInPandas(compared, "mention string, fqn string, score double")
-    rank = F.dense_rank().over(Window.partitionBy("mention").orderBy(F.desc("score")))
-    return best.withColumn("rank", rank).where(F.col("rank") <= top)
+        pairs = pairs.join(known.select(F.col("a").alias("term"), F.col("b").alias("part")), ["term", "part"], "left_anti")
+    pairs = pairs.select("part", "floor", "term", jaro_winkler_similarity("term", "part").alias("sim"))
+    if known is not None:
+        met = known.select(F.col("a").alias("term"), F.col("b").alias("part"), F.col("sim").cast("double").alias("sim"))
+        pairs = pairs.unionByName(met.join(asked, "part").join(terms_, "term", "left_semi").select("part", "floor", "term", "sim"))
+    return pairs.where("sim > 0 AND sim >= floor").select("part", "term", "sim")
+
+
+def _tails(names: DataFrame, lengths: DataFrame) -> DataFrame:
+    """fqn, k, tail: the last k components of every name, for each wanted k."""
+    tails = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.struct(k.alias("k"), F.slice(F.col("parts"), -k, k).alias("tail")))
+    return names.select("fqn", F.explode(tails).alias("t")).select("fqn", "t.*").join(lengths, "k", "left_semi")
+
+
+def _fetched(asked: DataFrame, tails: DataFrame, known: DataFrame | None) -> DataFrame:
+    """mention, tail, score: the tails of which a component reaches the mention's floor
+    (mention, k, parts, floor), by posting lists of components in their places."""
+    places = asked.select("mention", "k", "parts", "floor", F.posexplode("parts").alias("place", "part"))
+    wanted = places.groupBy("part").agg(F.min("floor").alias("floor"))
+    lists = tails.select("k", "tail", F.posexplode("tail").alias("place", "term"))
+    pairs = similarities(wanted, lists.select("term").distinct(), known)
+    reached = places.join(pairs, "part").where(F.col("sim") >= F.col("floor"))
+    met = reached.join(lists, ["k", "place", "term"]).select("mention", "parts", "tail").distinct()
+    if known is None:
+        return met.select("mention", "tail", _mean_similarity("tail", "parts").alias("score"))
+    each = met.select("mention", "tail", F.explode(F.arrays_zip(F.col("tail").alias("a"), F.col("parts").alias("b"))).alias("p")).select("mention", "tail", "p.*")
+    sims = each.select("a", "b").distinct().join(known.select("a", "b", F.col("sim").cast("double").alias("sim")), ["a", "b"], "left")
+    sims = sims.select("a", "b", F.coalesce("sim", jaro_winkler_similarity("a", "b")).alias("sim"))
+    return each.join(sims, ["a", "b"]).groupBy("mention", "tail").agg(F.round(F.avg("sim"), PLACES).alias("score"))
+
+
+def _mean_similarity(tail: str, parts: str) -> Column:
+    def means(tails: pd.Series, mentions: pd.Series) -> pd.Series:
+        memory: dict[tuple[str, str], float] = {}
+
+        def sim(pair: tuple[str, str]) -> float:
+            if pair not in memory:
+                memory[pair] = jaro_winkler(*pair)
+            return memory[pair]
+
+        return pd.Series([round(sum(map(sim, zip(a, b, strict=True))) / len(a), PLACES) for a, b in zip(tails, mentions, strict=True)], dtype="float64")
+
+    return F.pandas_udf(means, "double")(tail, parts)
+
+
+def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, known: DataFrame | None = None, level: float = LEVEL) -> DataFrame:
+    """mention, fqn, score, rank: the names whose score is among a mention's `top` highest
+    distinct scores (to 12 places). The score of a name at least as deep as the mention is the
+    mean similarity of its last components to the mention's. known (a, b, sim, from 0 to 1):
+    similarities of a name's component to a mention's that come before the measure.
+
+    A threshold algorithm over posting lists. A name none of whose components reaches x
+    scores below x. So first the names with a component at `level` are fetched; the last of a
+    mention's `top` scores among them, where it is below the level, is what one component of
+    any better name has to reach, and the names that have one are fetched. Names that share
+    their last components are one tail until the end. Only mentions that find fewer than `top`
+    scores above 0 take all other names, whose score is 0.
+    """
+    asked = mentions.select("mention").where("mention IS NOT NULL").distinct().withColumn("parts", F.split("mention", r"\.", -1))
+    asked = stored(asked.withColumn("k", F.size("parts")), "mentions")
+    named = _tails(names, asked.select("k").distinct())
+    tails = stored(named.select("k", "tail").distinct(), "tails")
+    place = F.dense_rank().over(Window.partitionBy("mention").orderBy(F.desc("score")))
+    best = lambda rows: rows.withColumn("rank", place).where(F.col("rank") <= top)
+    first = stored(best(_fetched(asked.withColumn("floor", F.lit(level)), tails, known)), "near")
+    last = first.groupBy("mention").agg(F.max("rank").alias("levels"), F.min("score").alias("least"))
+    floor = F.when(F.col("levels") >= top, F.col("least")).otherwise(0.0)
+    rest = asked.join(last, "mention", "left").select("mention", "k", "parts", floor.alias("floor")).where(F.col("floor") < level)
+    rest = stored(rest, "open")
+    found = first
+    if not rest.isEmpty():
+        second = stored(best(_fetched(rest, tails, known)), "far")
+        found = first.join(rest, "mention", "left_anti").unionByName(second)
+        lacking = rest.where("floor = 0").join(second.groupBy("mention").agg(F.max("rank").alias("levels")), "mention", "left")
+        lacking = lacking.withColumn("levels", F.coalesce("levels", F.lit(0))).where(F.col("levels") < top)
+        none = lacking.select("mention", "k", (F.col("levels") + 1).alias("rank")).join(tails, "k").join(second, ["mention", "tail"], "left_anti")
+        found = found.unionByName(none.select("mention", "tail", F.lit(0.0).alias("score"), "rank"))
+    return found.join(named.select("fqn", "tail"), "tail").select("mention", "fqn", "score", "rank")
 
 
 def nearness(tokens: DataFrame, mentions: DataFrame, candidates: DataFrame, key: str | list[str]) -> DataFrame:

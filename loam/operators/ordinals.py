@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loam.sources.tables import stored
 
 #: Places of a slab where the order is a number.
-SLAB = 4096
+SLAB = 256
 #: monotonically_increasing_id() has the partition above these bits, the row's place below.
 PLACE_BITS = 33
 
@@ -45,17 +45,43 @@ def numbered(rows: DataFrame, keys: list[str], at: str = "at", name: str = "ordi
     return met.withColumn(name, F.col(at) + F.col("before_")).drop("slab_", "before_")
 
 
-def running(rows: DataFrame, keys: list[str], at: str, sums: Mapping[str, Column], slab: int = SLAB) -> DataFrame:
-    """rows with, for each name in sums, the sum of its column over the key's rows before.
+def starts(rows: DataFrame, keys: list[str], at: str, sums: Mapping[str, Column], slab: int = SLAB) -> DataFrame | None:
+    """keys, slab_ and, for each name in sums, what its column adds up to before the slab (n) and
+    with it (n_end), of keys with rows at `slab` or beyond; None if there are none.
 
-    at: a whole number that orders a key's rows (rows of equal numbers count in any order);
-    a slab holds `slab` of its values. Rows are shuffled once, by key and slab.
+    at: a whole number from 0 that orders a key's rows; a slab holds `slab` of its values.
     """
+    long = rows.where(F.col(at) >= slab).select(*keys).distinct()
     stretch = F.floor(F.col(at) / slab).alias("slab_")
-    totals = rows.groupBy(*keys, stretch).agg(*(F.sum(c).alias(f"{n}_") for n, c in sums.items()))
-    earlier = Window.partitionBy(*keys).orderBy("slab_").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "slab_", *(F.coalesce(F.sum(f"{n}_").over(earlier), F.lit(0)).alias(f"{n}_") for n in sums))
+    totals = rows.join(long, keys, "left_semi").groupBy(*keys, stretch).agg(*(F.sum(c).alias(f"{n}_end") for n, c in sums.items()))
+    so_far = Window.partitionBy(*keys).orderBy("slab_")
+    totals = totals.withColumns({f"{n}_end": F.sum(f"{n}_end").over(so_far) for n in sums})
+    before = {n: F.coalesce(F.lag(f"{n}_end").over(so_far), F.lit(0)) for n in sums}
+    found = stored(totals.withColumns(before), "starts")
+    return None if found.isEmpty() else found
+
+
+def running(rows: DataFrame, keys: list[str], at: str, sums: Mapping[str, Column], before: DataFrame | None, slab: int = SLAB) -> DataFrame:
+    """rows with slab_ and, for each name in sums, the sum of its column over the key's rows
+    before. before: what starts() gives. Rows are shuffled once, by key and slab; rows of
+    equal numbers count in any order."""
     own = Window.partitionBy(*keys, "slab_").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     met = rows.withColumn("slab_", F.floor(F.col(at) / slab))
-    met = met.withColumns({n: F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()}).join(totals, [*keys, "slab_"])
-    return met.withColumns({n: F.col(n) + F.col(f"{n}_") for n in sums}).drop("slab_", *(f"{n}_" for n in sums))
+    met = met.withColumns({n: F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()})
+    if before is None:
+        return met
+    offsets = before.select(*keys, "slab_", *(F.col(n).alias(f"{n}_") for n in sums))
+    met = met.join(offsets, [*keys, "slab_"], "left")
+    return met.withColumns({n: F.col(n) + F.coalesce(f"{n}_", F.lit(0)) for n in sums}).drop(*(f"{n}_" for n in sums))
+
+
+def slab_of(rows: DataFrame, keys: list[str], ordinal: str, name: str, before: DataFrame | None, slab: int = SLAB) -> DataFrame:
+    """rows with slab_: the slab in which the running sum `name` reaches their ordinal. Slabs
+    and rows meet by the stretches of `slab` ordinals that they are in."""
+    if before is None:
+        return rows.withColumn("slab_", F.lit(0).cast("long"))
+    near = lambda c: F.floor(c / slab)
+    held = before.where(F.col(f"{name}_end") > F.col(name)).select(*keys, "slab_", F.col(name).alias("low_"), F.col(f"{name}_end").alias("high_"))
+    held = held.withColumn("near_", F.explode(F.sequence(near(F.col("low_")), near(F.col("high_") - 1))))
+    met = rows.withColumn("near_", near(F.col(ordinal))).alias("r").join(held.alias("h"), [F.col(f"r.{k}") == F.col(f"h.{k}") for k in [*keys, "near_"]] + [F.col(ordinal) >= F.col("low_"), F.col(ordinal) < F.col("high_")], "left")
+    return met.select(*(F.col(f"r.{c}") for c in rows.columns), F.coalesce("slab_", F.lit(0)).cast("long").alias("slab_"))

@@ -777,21 +777,27 @@ def a6_in_full(spark, folder):
     return found.groupBy("p_partkey").agg(of("variable"), of("direct"))
 
 
+_CACHED = "CASE WHEN substr({a}, 1, 1) = substr({b}, 1, 1) THEN CASE WHEN {a} = {b} THEN 1.0 ELSE 0.25 END ELSE " + _JW + " END"
+
+
 @query(f"""
 WITH g AS (SELECT DISTINCT {NAME_SQL} AS fqn FROM part),
 m AS (SELECT DISTINCT replace(p_name, ' ', '.') AS mention FROM part),
-s AS (SELECT mention, fqn, round((CASE WHEN split_part(fqn, '.', 2) = split_part(mention, '.', 1) THEN 1.0 ELSE 0 END + CASE WHEN split_part(fqn, '.', 3) = split_part(mention, '.', 2) THEN 1.0 ELSE 0 END) / 2, 12) AS score FROM m, g),
-r AS (SELECT mention, fqn, score, dense_rank() OVER (PARTITION BY mention ORDER BY score DESC) AS rank FROM s)
-SELECT mention, fqn, score, rank::INT AS rank FROM r WHERE rank <= 2""")
+p AS (SELECT mention, fqn, split_part(fqn, '.', 2) AS a1, split_part(mention, '.', 1) AS b1, split_part(fqn, '.', 3) AS a2, split_part(mention, '.', 2) AS b2 FROM m, g),
+s AS (SELECT mention, fqn, round(({_CACHED.format(a="a1", b="b1")} + {_CACHED.format(a="a2", b="b2")}) / 2, 12) AS score FROM p),
+r AS (SELECT mention, fqn, round(score, 9) AS score, dense_rank() OVER (PARTITION BY mention ORDER BY score DESC) AS rank FROM s)
+SELECT mention, fqn, score, rank::INT AS rank FROM r WHERE rank <= 5""")
 def j3_cached_similarity(spark, folder):
-    """Fuzzy candidates whose components' similarities all come from a table: 1 if equal, else 0."""
+    """Fuzzy candidates whose components' similarities come from a table where they begin alike
+    (there 1 if equal, else a quarter), and from the measure elsewhere."""
     parts = views.named_parts(spark, folder)
     names = linking.gazetteer(parts)
     mentions = parts.select(F.translate("p_name", " ", ".").alias("mention")).distinct()
-    terms = linking.terms(names)
-    asked = mentions.select(F.explode(F.split("mention", r"\.")).alias("b")).distinct()
-    known = terms.select(F.col("term").alias("a")).join(asked).select("a", "b", (F.col("a") == F.col("b")).cast("double").alias("sim"))
-    return linking.fuzzy(mentions, names, top=2, known=known)
+    begin = lambda c: F.substring(c, 1, 1).alias("begin")
+    terms = linking.terms(names).select(F.col("term").alias("a"), begin("term"))
+    asked = mentions.select(F.explode(F.split("mention", r"\.")).alias("b")).distinct().select("b", begin("b"))
+    known = terms.join(asked, "begin").select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.25).alias("sim"))
+    return linking.fuzzy(mentions, names, top=5, known=known).withColumn("score", F.round("score", 9))
 
 
 @query(f"""

@@ -1,11 +1,16 @@
 """Operators on small tables, with nulls, empty and repeated rows."""
 
+import contextlib
+import io
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loam.operators import aliases, code, completer, entities, knowledge, linking, metrics, replies, segments, spans, tagging
+from loam.functions import similarity
+from loam.operators import aliases, code, completer, entities, knowledge, linking, metrics, ordinals, replies, segments, spans, tagging
 from loam.sources import tables
 from loam.streaming import ingest
 
@@ -119,12 +124,91 @@ def test_linking(spark):
 
 def test_all_ties_of_the_last_level_stay(spark):
     names = linking.gazetteer(spark.createDataFrame([(f"x.{'ab'[k % 2]}{k:02}",) for k in range(25)], "fqn string"))
-    for block in (3, 2000):
-        got = linking.fuzzy(spark.createDataFrame([("ab",)], "mention string"), names, top=2, block=block)
+    for level in (0.99, 0.1):
+        got = linking.fuzzy(spark.createDataFrame([("ab",)], "mention string"), names, top=2, level=level)
         levels = sorted({r.score for r in got.collect()}, reverse=True)
         assert len(levels) == 2 and got.count() > 2
 
 
+@pytest.mark.parametrize("top", [3, 40])
+@pytest.mark.parametrize("cached", [False, True])
+def test_fuzzy_matches_all_pairs(spark, top, cached):
+    rng = random.Random(top)
+    words = ["".join(rng.choices("abcdé漢", k=rng.randint(0, 6))) for _ in range(30)] + ["load", "laod", "loads", "x", "é" * 40]
+    pick = lambda: ".".join(rng.choices(words, k=rng.randint(1, 4)))
+    fqns = {pick() for _ in range(120)}
+    mentions = {pick() for _ in range(25)} | {"load", "laod.x", "a.b.c.d.e.f.g", ""}
+    known = {(rng.choice(words), rng.choice(words)): rng.choice([0.0, 0.5, 0.93, 1.0]) for _ in range(60)} if cached else {}
+    wanted = set()
+    for mention in mentions:
+        parts, scores = mention.split("."), {}
+        for fqn in fqns:
+            tail = fqn.split(".")[-len(parts) :]
+            if len(tail) == len(parts):
+                sims = [known.get(pair, similarity.jaro_winkler(*pair)) for pair in zip(tail, parts, strict=True)]
+                scores[fqn] = round(sum(sims) / len(sims), 12)
+        levels = sorted(set(scores.values()), reverse=True)[:top]
+        wanted |= {(mention, fqn, round(score, 9), levels.index(score) + 1) for fqn, score in scores.items() if score in levels}
+    names = linking.gazetteer(spark.createDataFrame([(x,) for x in fqns], "fqn string"))
+    table = spark.createDataFrame([(*k, v) for k, v in known.items()], "a string, b string, sim double") if cached else None
+    asked = spark.createDataFrame([(x,) for x in [*mentions, None]], "mention string")
+    got = linking.fuzzy(asked, names, top, known=table)
+    assert {(r.mention, r.fqn, round(r.score, 9), r["rank"]) for r in got.collect()} == wanted
+
+
+def test_fuzzy_meets_no_mention_with_all_names(spark):
+    names = linking.gazetteer(spark.createDataFrame([(f"x.name{k}",) for k in range(30)], "fqn string"))
+    got = linking.fuzzy(spark.createDataFrame([("name1",)], "mention string"), names, top=1)
+    with contextlib.redirect_stdout(shown := io.StringIO()):
+        got.explain()
+    assert "Cartesian" not in shown.getvalue() and "NestedLoop" not in shown.getvalue()
+
+
+@pytest.mark.parametrize("slab", [3, 256])
+def test_a_threads_names_meet_its_snippets_by_index(spark, slab):
+    red, blue = lambda x: f'<strong><span style="color:red">{x}</span></strong>', lambda x: f'<span style="color:blue">{x}</span>'
+    rng = random.Random(slab)
+    snippets, linked, notes, wanted = [], [], [], []
+    for thread, length in ((1, 40), (2, 1), (3, 700), (4, 0)):
+        reds = blues = 0
+        for k in range(length):
+            r, b = rng.randint(0, 3), rng.randint(0, 2)
+            snippets.append((thread, k, "".join(f"{red(f'm{i}')} and " for i in range(r)) + "".join(f"{blue('it')}." for _ in range(b))))
+            names = [None if rng.random() < 0.2 else f"n{reds + i}" for i in range(r)]
+            linked += [(thread, reds + i, n) for i, n in enumerate(names) if n]
+            said = [i for i in range(blues, blues + b) if rng.random() < 0.8]
+            notes += [(thread, i, "it", f"c{i}") for i in said]
+            text = "".join(f"{n or f'm{i}'} and " for i, n in enumerate(names)) + "it." * b + "".join(f"\n'it' refers to c{i}" for i in said)
+            wanted += [(thread, k, n, text) for n in names if n]
+            reds, blues = reds + r, blues + b
+    linked += [(3, 10**6, "beyond"), (None, 0, "x"), (9, 0, "nowhere")]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(3)
+    got = knowledge.organise(
+        frame([*snippets, (None, 0, red("x")), (5, 0, None)], "k int, snippet_idx int, html string"),
+        frame(linked, "k int, mention_idx int, fqn string"),
+        frame(notes, "k int, completion_idx int, entity string, context string"),
+        "k",
+        slab,
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
+
+
+def test_ids_follow_the_stored_ones(spark):
+    new = spark.createDataFrame([(f"f{k:03}",) for k in range(200)] + [(None,), ("f000",)], "feedback string").repartition(7)
+    got = knowledge.feedback_rows(spark.createDataFrame([(4, "x")], "id long, feedback string"), new)
+    rows = sorted((r.id, r.feedback or "") for r in got.collect())
+    assert rows == list(zip(range(5, 207), ["", *sorted([f"f{k:03}" for k in range(200)] + ["f000"])], strict=True))
+    assert knowledge.feedback_rows(spark.createDataFrame([], "id long, feedback string"), new.where("false")).count() == 0
+
+
+def test_numbers_within_keys(spark):
+    rows = spark.createDataFrame([(k % 5 if k < 300 else 7, k // 3) for k in range(900)], "k int, v int").repartition(5)
+    got = ordinals.numbered(ordinals.placed(rows, ["k", "v"]), ["k"]).collect()
+    for key in {r.k for r in got}:
+        mine = sorted((r.ordinal, r.v) for r in got if r.k == key)
+        assert [o for o, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
+
+
 def test_nearness(spark):
     tokens = spark.createDataFrame([(1, 0, "load"), (1, 1, "a.x"), (1, 3, "b")], "k int, pos int, token string")
     mentions = spark.createDataFrame([(1, 0, 0)], "k int, mention_idx int, pos int")
