@@ -9,9 +9,9 @@ name, two stems harmless alone) beside what each means by itself.
 It is fitted on at most SAMPLE labelled rows of the training fold with SAMPLE_TERMS terms
 in all, those with the lowest hashes (rows alike count once): a documented bound that keeps
 the driver's part fixed. Of that sample's terms the machine takes all that are significant
-by chi-square (ALONE), and both terms of all pairs whose joint presence is (TOGETHER) beyond
-what either says alone: such terms may say nothing by themselves. Pairs are tried among
-terms of at least a COMMON share of the sample, on PAIR_ROWS of its rows. Everything else covers every row: scoring
+by chi-square (ALONE), and both terms of all pairs that say more together than either does
+alone (CHANCE), however rare: such terms may say nothing by themselves. All pairs that LEAST
+rows hold are tried, in tasks by their rarer term. Everything else covers every row: scoring
 runs where the texts are, with the model sent along.
 
 Only texts are inputs of a score. Defined results: a null text is an empty one and gets
@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import common
@@ -41,11 +41,10 @@ SAMPLE = 20_000
 DIM = 1 << 22
 #: Terms of the sampled rows together.
 SAMPLE_TERMS = 1 << 23
-#: Rows that a term or pair needs, and chi-squares above which it counts (by chance 1 in
-#: 10**4 for a term, 1 in 10**7 for a pair, as there are many of these).
-LEAST, ALONE, TOGETHER, COMMON = 3, 15.1, 28.0, 0.1
-#: Rows of the sample on which pairs are counted.
-PAIR_ROWS = 1 << 12
+#: Rows that a term or pair needs; the chi-square above which a term counts (by chance 1 in
+#: 10**4); the chance that any pair at all is chosen where none says anything.
+LEAST, ALONE, CHANCE = 3, 15.1, 0.01
+PAIR_TASKS = 24
 FACTORS = 8
 STEPS = 120
 THRESHOLD = 0.3
@@ -140,33 +139,117 @@ def chi_square(hits, n, rows: int, toxic: int):
     return (hits - expected) ** 2 / (spread + 1e-9)
 
 
-def choose(hashed: DataFrame, rows: int, toxic: int) -> tuple[np.ndarray, np.ndarray]:
-    """(significant terms, common terms), hashed and sorted; hashed has toxic and terms of
-    `rows` rows."""
-    counted = hashed.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(
-        F.count("*").cast("double").alias("n"), F.sum("toxic").cast("double").alias("hits")
-    )
-    found = counted.where(F.col("n") >= LEAST).withColumn("alone", chi_square(F.col("hits"), F.col("n"), rows, toxic) > ALONE).withColumn("common", F.col("n") >= COMMON * rows)
-    found = found.where("alone OR common").toPandas()
-    of = lambda name: np.sort(found["term"][found[name]].to_numpy(np.int64))
-    return of("alone"), of("common")
-
-
-def paired(rows: list[np.ndarray], labels: np.ndarray, common: np.ndarray, step: int = 2048) -> np.ndarray:
-    """The common terms (places in `common`) of pairs that say more together than either
-    does alone. rows: the places of each row's common terms."""
-    both, hits = (np.zeros((len(common), len(common)), np.float32) for _ in range(2))
-    for k in range(0, len(rows), step):
-        present = np.zeros((len(rows[k : k + step]), len(common)), np.float32)
-        for j, held in enumerate(rows[k : k + step]):
-            present[j, held] = 1
-        both += present.T @ present
-        present = present[labels[k : k + step] > 0]
-        hits += present.T @ present
-    chi = chi_square(hits, both, len(rows), float((labels > 0).sum()))
-    own = np.diag(chi)
-    more = (chi - np.maximum(own[:, None], own[None, :]) > TOGETHER) & (both >= LEAST)
-    return np.flatnonzero(more.any(axis=1))
+@dataclass
+class Sample:
+    """The sampled rows' terms. Terms that LEAST rows have are numbered by how many have them,
+    rarest first; places[offsets[r] : offsets[r + 1]] are row r's numbers, in order."""
+
+    terms: np.ndarray
+    offsets: np.ndarray
+    places: np.ndarray
+    toxic: np.ndarray
+    n: np.ndarray
+    hits: np.ndarray
+
+    @classmethod
+    def of(cls, offsets: np.ndarray, values: np.ndarray, toxic: np.ndarray) -> Sample:
+        row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(offsets))
+        found, place, n = np.unique(values, return_inverse=True, return_counts=True)
+        order = np.argsort(n, kind="stable")
+        order = order[n[order] >= LEAST]
+        rank = np.full(len(found), -1, np.int32)
+        rank[order] = np.arange(len(order))
+        place, kept = rank[place], rank[place] >= 0
+        place, row = place[kept], row[kept]
+        by_row = np.lexsort((place, row))
+        place, row = place[by_row], row[by_row]
+        hits = np.bincount(place[toxic[row]], minlength=len(order))
+        return cls(found[order], np.searchsorted(row, np.arange(len(toxic) + 1)), place, toxic, n[order], hits)
+
+    @property
+    def least_surprise(self) -> float:
+        """What a pair has to reach, as so many pairs as LEAST rows may hold are tried."""
+        lengths, terms_ = np.diff(self.offsets).astype(float), float(len(self.n))
+        pairs = min(terms_ * (terms_ - 1) / 2, float((lengths * (lengths - 1) / 2).sum()) / LEAST)
+        return float(np.log(max(pairs, 1.0) / CHANCE))
+
+    def alone(self) -> np.ndarray:
+        """Numbers of the terms that are significant by themselves."""
+        return np.flatnonzero(chi_square(self.hits, self.n, len(self.toxic), int(self.toxic.sum())) > ALONE)
+
+
+def surprise(hits: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """n times the divergence of hits / n from a share: by Chernoff's bound, chance gives as
+    much or more with a probability of exp(-surprise) at most."""
+    share = np.clip(share, 1e-9, 1 - 1e-9)
+    some, none = hits / n, 1 - hits / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = np.where(some > 0, some * np.log(some / share), 0.0) + np.where(none > 0, none * np.log(none / (1 - share)), 0.0)
+    return n * parts
+
+
+def pairs_with(sample: Sample, a: int, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Numbers b > a of the terms that say more together with a than either does alone: the
+    rows with both are toxic more, or less, often than those of a, of b and all.
+    at, row: where a stands in the sample's places, and in which rows."""
+    ends = sample.offsets[row + 1]
+
+    def behind(which: np.ndarray) -> np.ndarray:
+        lengths = (ends - at - 1)[which]
+        begins = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
+        return sample.places[np.repeat((at + 1)[which] - begins, lengths) + np.arange(int(lengths.sum()))]
+
+    toxic = sample.toxic[row]
+    found = behind(np.ones(len(at), bool))
+    if len(found) > len(sample.n) // 8:
+        n = np.bincount(found, minlength=len(sample.n))
+        others = np.flatnonzero(n >= LEAST)
+        n, hits = n[others], np.bincount(behind(toxic), minlength=len(sample.n))[others]
+    else:
+        others, n = np.unique(found, return_counts=True)
+        others, n = others[n >= LEAST], n[n >= LEAST]
+        held, counts = np.unique(behind(toxic), return_counts=True)
+        hits = np.zeros(len(others), np.int64)
+        places = np.searchsorted(held, others)
+        met = places < len(held)
+        met[met] = held[places[met]] == others[met]
+        hits[met] = counts[places[met]]
+    share = sample.toxic.mean()
+    own, other = sample.hits[a] / sample.n[a], sample.hits[others] / sample.n[others]
+    more = np.maximum(np.maximum(share, own), other)
+    less = np.minimum(np.minimum(share, own), other)
+    rate = hits / np.maximum(n, 1)
+    say = (rate > more) & (surprise(hits, n, more) > sample.least_surprise) | (rate < less) & (surprise(hits, n, less) > sample.least_surprise)
+    return others[say]
+
+
+def paired(spark: SparkSession, sample: Sample, tasks: int = PAIR_TASKS) -> np.ndarray:
+    """Numbers of both terms of all pairs that say more together than either alone.
+
+    Terms are dealt to tasks; each gets the sample, whose size SAMPLE_TERMS bounds, and goes
+    through the rows of its terms, so every pair that some row holds is counted, by its rarer term.
+    """
+    by_term = np.argsort(sample.places, kind="stable").astype(np.int32)
+    begins = np.searchsorted(sample.places[by_term], np.arange(len(sample.n) + 1))
+    row = np.repeat(np.arange(len(sample.toxic), dtype=np.int32), np.diff(sample.offsets))
+    sent = spark.sparkContext.broadcast((sample, by_term, begins, row))
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, by_term, begins, row = sent.value
+        said = np.zeros(len(held.n), bool)
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                for a in range(k, len(held.n), tasks):
+                    at = by_term[begins[a] : begins[a + 1]]
+                    others = pairs_with(held, a, at, row[at])
+                    said[others] = True
+                    said[a] |= len(others) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(said))], names=["place"])
+
+    # A row for each chosen term at most.
+    found = spark.range(0, tasks, 1, tasks).mapInArrow(tested, "place long").distinct().toPandas()
+    sent.destroy()
+    return np.sort(found["place"].to_numpy(np.int64))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, seed: int = 7) -> Model:
@@ -255,17 +338,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_terms
     rows, toxic = hashed.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < rows:
         return fit([], np.full(1, float(toxic > 0)), np.empty(0, np.int64))
-    alone, often = choose(hashed, rows, toxic)
-    wanted = np.union1d(alone, often)
-    held = F.array_intersect("terms", F.lit([int(x) for x in wanted]).cast("array<int>")) if len(wanted) else F.array().cast("array<int>")
-    known = hashed.select("h", "toxic", held.alias("terms")).orderBy("h").collect()
-    found, truth = [np.array(r["terms"], np.int64) for r in known], np.array([r["toxic"] for r in known], np.float64)
-
-    def places(of: np.ndarray) -> list[np.ndarray]:
-        return [np.sort(np.searchsorted(of, x[np.isin(x, of)])) for x in found]
-
-    chosen = np.union1d(alone, often[paired(places(often)[:PAIR_ROWS], truth[:PAIR_ROWS], often)]) if len(often) else alone
-    return fit(places(chosen), truth, chosen)
+    table = hashed.select("h", "toxic", "terms").orderBy("h").toArrow()  # SAMPLE_TERMS terms at most
+    lists = table["terms"].combine_chunks()
+    sample_ = Sample.of(lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), table["toxic"].to_numpy() > 0)
+    chosen = np.union1d(sample_.alone(), paired(docs.sparkSession, sample_))
+    # The machine has its terms in order of their hashes.
+    chosen = chosen[np.argsort(sample_.terms[chosen])]
+    place = np.full(len(sample_.n), -1)
+    place[chosen] = np.arange(len(chosen))
+    rows_ = [np.sort(x[x >= 0]) for x in np.split(place[sample_.places], sample_.offsets[1:-1])]
+    return fit(rows_, sample_.toxic.astype(float), sample_.terms[chosen])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
