@@ -14,7 +14,9 @@ HTTP where their content type says so, or where none is given and they begin so.
 digests are checked where a record has one of a known algorithm. Where a record fails its
 checks (header, length, end marks, payload digest) the reader searches for the next
 member or version line from which a record passes, recovers what follows, and logs the
-bytes between as a gap.
+bytes between as a gap. A gzip member that is cut, broken or has a wrong checksum gives the
+records before the fault; its gap begins where the last of them had been read. All of this
+is linear in the archive.
 
 Defined results: null html is an empty payload; a null page_id is below all others; rows
 that repeat page_id and html share a verdict; line breaks in a URL become blanks; an empty
@@ -42,6 +44,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
+#: Bytes of a gzip member that are inflated at a time.
+WINDOW = 1 << 16
 RECORDS = (
     "archive string, offset long, length long, kind string, reason string, type string, record_id string, "
     "refers_to string, uri string, payload_digest string, payload_bytes long, payload binary"
@@ -127,12 +131,16 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     head_end = data.find(END, at) if data.startswith(VERSION, at) else -1
     if head_end < 0:
         raise Bad("header")
-    fields = {}
+    fields, name = {}, None
     for row in data[at:head_end].split(b"\r\n")[1:]:
+        if row[:1] in (b" ", b"\t") and name is not None:  # a folded line goes on with the field
+            fields[name] = f"{fields[name]} {row.strip().decode('utf-8', 'replace')}".strip()
+            continue
         name, colon, value = row.partition(b":")
         if not colon:
             raise Bad("header")
-        fields[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+        name = name.strip().lower()
+        fields[name] = value.strip().decode("utf-8", "replace")
     if not fields.get(b"content-length", "").isdigit() or b"warc-type" not in fields:
         raise Bad("header")
     body = head_end + len(END)
@@ -158,29 +166,81 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         "refers_to": fields.get(b"warc-refers-to"),
         "uri": fields.get(b"warc-target-uri"),
         "payload_digest": digest and digest.removeprefix("sha1:"),
-        "payload_bytes": int(sizes[0]) if sizes and sizes[0].isdigit() else len(payload),
+        # A revisit has no payload of its own; the size of the one it means is what HTTP says.
+        "payload_bytes": int(sizes[0]) if fields[b"warc-type"] == "revisit" and sizes and sizes[0].isdigit() else len(payload),
         "payload": payload,
     }
     return record, end + len(END)
 
 
-def parse_at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The rows of the record or gzip member at `at`, and where it ends."""
+def member_body(data: bytes, at: int) -> int:
+    """Where the deflated bytes of the gzip member at `at` begin."""
+    flags, k = data[at + 3] if at + 10 <= len(data) else 0xE0, at + 10
+    if flags & 0xE0:
+        raise Bad("gzip")
+    if flags & 4:
+        k += 2 + int.from_bytes(data[k : k + 2], "little")
+    for flag in (8, 16):  # a name, a comment
+        if flags & flag:
+            k = data.find(b"\0", k) + 1
+            if not k:
+                raise Bad("gzip")
+    return k + 2 * bool(flags & 2)
+
+
+def inflated(data: bytes, at: int) -> tuple[bytes, list[tuple[int, int]], int, str | None]:
+    """(content of the gzip member at `at`, marks (bytes of it, place they are read at), where the
+    member ends, what is wrong with it). A member that breaks off gives what comes before.
+
+    The member is fed in windows, and the window that breaks in ever smaller ones.
+    """
+    k, out, marks, length = member_body(data, at), [], [], 0
+    decoder, crc, step, broken = zlib.decompressobj(-15), 0, WINDOW >> 4, False
+    view = memoryview(data)
+    while not decoder.eof and k < len(data):
+        before = decoder.copy()
+        try:
+            part = decoder.decompress(view[k : k + step])
+        except zlib.error:
+            decoder, broken = before, True
+            if step == 1:
+                return b"".join(out), marks, k, "gzip"
+            step = max(1, step // 16)
+            continue
+        k = min(k + step, len(data))
+        step = step if broken else min(WINDOW, 2 * step)
+        crc, length = zlib.crc32(part, crc), length + len(part)
+        out.append(part)
+        marks.append((length, k))
+    if not decoder.eof:
+        return b"".join(out), marks, k, "gzip ends early"
+    k -= len(decoder.unused_data)
+    sums = (crc.to_bytes(4, "little") + (length & 0xFFFFFFFF).to_bytes(4, "little"), data[k : k + 8])
+    return b"".join(out), marks, min(k + 8, len(data)), None if sums[0] == sums[1] else "gzip checksum"
+
+
+def parse_at(data: bytes, at: int) -> tuple[list[dict], int, tuple[int, int, str] | None]:
+    """(rows of the record or gzip member at `at`, where it ends, what of it is lost).
+
+    What is lost of a member: from where, at least to where, and why.
+    """
     if not data.startswith(GZIP, at):
         record, end = parse_record(data, at)
-        return [{"kind": "record", "offset": at, "length": end - at} | record], end
-    member = zlib.decompressobj(31)
-    try:
-        inner = member.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Bad("gzip") from e
-    if not member.eof:
-        raise Bad("gzip")
+        return [{"kind": "record", "offset": at, "length": end - at} | record], end, None
+    inner, marks, end, fault = inflated(data, at)
     rows = list(salvage(inner))
-    if not any(x["kind"] == "record" for x in rows):
-        raise Bad(rows[0]["reason"] if rows else "header")
-    end = len(data) - len(member.unused_data)
-    return [x | {"offset": at, "length": 0 if k else end - at} for k, x in enumerate(rows)], end
+    records = [x for x in rows if x["kind"] == "record"]
+    if not records:
+        raise Bad(fault or (rows[0]["reason"] if rows else "header"))
+    lost = None
+    if fault == "gzip checksum":
+        lost = (max(at, end - 8), end, fault)
+    elif fault:
+        # Records end with the last of them; the member's gap is that of the archive.
+        last = max(k for k, x in enumerate(rows) if x["kind"] == "record")
+        rows, whole = rows[: last + 1], records[-1]["offset"] + records[-1]["length"]
+        lost = (next(place for size, place in marks if size >= whole), at + 1, fault)
+    return [x | {"offset": at, "length": 0 if k else end - at} for k, x in enumerate(rows)], end, lost
 
 
 def next_start(data: bytes, at: int) -> int:
@@ -194,17 +254,22 @@ def salvage(data: bytes) -> Iterator[dict]:
     at, gap, reason = 0, None, ""
     while at < len(data):
         try:
-            rows, end = parse_at(data, at)
+            rows, end, lost = parse_at(data, at)
         except Bad as e:
             if gap is None:
                 gap, reason = at, str(e)
             at = next_start(data, at + 1)
             continue
         if gap is not None:
-            yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": reason}
+            yield {"kind": "gap", "offset": min(gap, at), "length": max(0, at - gap), "reason": reason}
             gap = None
         yield from rows
-        at = end
+        if lost is None:
+            at = end
+        else:
+            gap, at, reason = lost
+            if at < len(data) and not data.startswith((VERSION, GZIP), at):
+                at = next_start(data, at)
     if gap is not None:
         yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": reason}
 
