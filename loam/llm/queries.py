@@ -137,7 +137,8 @@ k AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM k""",
     "op4_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS text_md5,
+         row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1 AS number
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight,
@@ -152,11 +153,11 @@ r AS (
 l AS (SELECT min_by(level, ratio) AS level FROM r WHERE level <= ratio),
 t AS (SELECT source, source_size, least(bound::DOUBLE, l.level * weight) AS target FROM r, l),
 c AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, d.text_md5, d.number, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0
+       (size * (floor(rate) + CASE WHEN ('0x' || substr(md5(concat_ws(':', 'mix-1', coalesce(doc_id::VARCHAR, ''), text_md5, number)), 1, 8))::BIGINT / 4294967296.0
                                         < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c""",
     "op5_url_filter": r"""
