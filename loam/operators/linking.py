@@ -15,6 +15,8 @@ from loam.sources.tables import stored
 TOP = 20
 #: Places of a score; the similarity at which names are fetched first.
 PLACES, LEVEL = 12, 0.8
+#: Mentions times tails up to which the first, pruning pass costs more than it saves.
+DIRECT = 1 << 18
 #: Letters in order from rare to common; all others are rarer.
 COMMON_LETTERS = "jqxzwvkfybhgmpudclotnraise"
 
@@ -139,8 +141,8 @@ def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, known: DataFram
     A threshold algorithm over posting lists. A name none of whose components reaches x
     scores below x. So first the names with a component at `level` are fetched; the last of a
     mention's `top` scores among them, where it is below the level, is what one component of
-    any better name has to reach, and the names that have one are fetched. Names that share
-    their last components are one tail until the end. Only mentions that find fewer than `top`
+    any better name has to reach, and the names that have one are fetched (at once, of small
+    tables). Names that share their last components are one tail until the end. Only mentions that find fewer than `top`
     scores above 0 take all other names, whose score is 0.
     """
     asked = mentions.select("mention").where("mention IS NOT NULL").distinct().withColumn("parts", F.split("mention", r"\.", -1))
@@ -149,19 +151,20 @@ def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, known: DataFram
     tails = stored(named.select("k", "tail").distinct(), "tails")
     place = F.dense_rank().over(Window.partitionBy("mention").orderBy(F.desc("score")))
     best = lambda rows: rows.withColumn("rank", place).where(F.col("rank") <= top)
-    first = stored(best(_fetched(asked.withColumn("floor", F.lit(level)), tails, known)), "near")
-    last = first.groupBy("mention").agg(F.max("rank").alias("levels"), F.min("score").alias("least"))
-    floor = F.when(F.col("levels") >= top, F.col("least")).otherwise(0.0)
-    rest = asked.join(last, "mention", "left").select("mention", "k", "parts", floor.alias("floor")).where(F.col("floor") < level)
-    rest = stored(rest, "open")
-    found = first
-    if not rest.isEmpty():
-        second = stored(best(_fetched(rest, tails, known)), "far")
-        found = first.join(rest, "mention", "left_anti").unionByName(second)
-        lacking = rest.where("floor = 0").join(second.groupBy("mention").agg(F.max("rank").alias("levels")), "mention", "left")
-        lacking = lacking.withColumn("levels", F.coalesce("levels", F.lit(0))).where(F.col("levels") < top)
-        none = lacking.select("mention", "k", (F.col("levels") + 1).alias("rank")).join(tails, "k").join(second, ["mention", "tail"], "left_anti")
-        found = found.unionByName(none.select("mention", "tail", F.lit(0.0).alias("score"), "rank"))
+    first, rest = None, asked.withColumn("floor", F.lit(0.0))
+    if asked.count() * tails.count() > DIRECT:
+        first = stored(best(_fetched(asked.withColumn("floor", F.lit(level)), tails, known)), "near")
+        last = first.groupBy("mention").agg(F.max("rank").alias("levels"), F.min("score").alias("least"))
+        floor = F.when(F.col("levels") >= top, F.col("least")).otherwise(0.0)
+        rest = asked.join(last, "mention", "left").select("mention", "k", "parts", floor.alias("floor")).where(F.col("floor") < level)
+        rest = stored(rest, "open")
+    found = stored(best(_fetched(rest, tails, known)), "far")
+    lacking = rest.where("floor = 0").join(found.groupBy("mention").agg(F.max("rank").alias("levels")), "mention", "left")
+    lacking = lacking.withColumn("levels", F.coalesce("levels", F.lit(0))).where(F.col("levels") < top)
+    none = lacking.select("mention", "k", (F.col("levels") + 1).alias("rank")).join(tails, "k").join(found, ["mention", "tail"], "left_anti")
+    found = found.unionByName(none.select("mention", "tail", F.lit(0.0).alias("score"), "rank"))
+    if first is not None:
+        found = found.unionByName(first.join(rest, "mention", "left_anti"))
     return found.join(named.select("fqn", "tail"), "tail").select("mention", "fqn", "score", "rank")
 
 

@@ -122,7 +122,8 @@ def test_linking(spark):
     assert {(r.mention, r.constraint) for r in got.collect()} == {("b.zz.load", "b.load"), ("q", "")}
 
 
-def test_all_ties_of_the_last_level_stay(spark):
+def test_all_ties_of_the_last_level_stay(spark, monkeypatch):
+    monkeypatch.setattr(linking, "DIRECT", 0)
     names = linking.gazetteer(spark.createDataFrame([(f"x.{'ab'[k % 2]}{k:02}",) for k in range(25)], "fqn string"))
     for level in (0.99, 0.1):
         got = linking.fuzzy(spark.createDataFrame([("ab",)], "mention string"), names, top=2, level=level)
@@ -131,8 +132,9 @@ def test_all_ties_of_the_last_level_stay(spark):
 
 
 @pytest.mark.parametrize("top", [3, 40])
-@pytest.mark.parametrize("cached", [False, True])
-def test_fuzzy_matches_all_pairs(spark, top, cached):
+@pytest.mark.parametrize(("cached", "direct"), [(False, 0), (True, 0), (True, 1 << 18)])
+def test_fuzzy_matches_all_pairs(spark, monkeypatch, top, cached, direct):
+    monkeypatch.setattr(linking, "DIRECT", direct)
     rng = random.Random(top)
     words = ["".join(rng.choices("abcdé漢", k=rng.randint(0, 6))) for _ in range(30)] + ["load", "laod", "loads", "x", "é" * 40]
     pick = lambda: ".".join(rng.choices(words, k=rng.randint(1, 4)))
