@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
@@ -70,6 +70,22 @@ class FirstQuote:
         return json.dumps([{"NP": p, "Value": first} for p in phrases.split(", ") if p])
 
 
+@dataclass
+class Unsteady:
+    """Offline: what stands in brackets; fails once for messages that say "] 1", and always for
+    those that say "] 2"."""
+
+    failed: set = field(default_factory=set)
+
+    def complete(self, messages: list[dict]) -> str:
+        text = messages[-1]["content"]
+        if "] 2" in text or "] 1" in text and text not in self.failed:
+            self.failed.add(text)
+            raise ConnectionError("down")
+        self.failed.discard(text)
+        return text[text.index("[") : text.index("]") + 1]
+
+
 @dataclass(frozen=True)
 class Retrying:
     """Calls again after an error that passes, waiting as long as `wait` says for it (None:
@@ -103,29 +119,69 @@ def messages(template: str, **columns: Column) -> Column:
     return F.array(entry("system", F.lit(system)), entry("user", content))
 
 
-def completed(prompts: DataFrame, completer: Completer, column: str = "messages", concurrency: int | None = None) -> DataFrame:
-    """prompts with `reply`; a failed call is null and the others go on."""
+@dataclass
+class Bucket:
+    """Lets `rate` calls a second pass, one at a time: a call waits for its turn, and turns
+    that nobody took are lost. None: no limit."""
+
+    rate: float | None
+    clock: Callable[[], float] = time.monotonic
+    sleep: Callable[[float], None] = time.sleep
+    turn: float = float("-inf")
+
+    def wait(self) -> None:
+        if self.rate is not None:
+            now = self.clock()
+            self.turn = max(now, self.turn + 1 / self.rate)
+            if self.turn > now:
+                self.sleep(self.turn - now)
+
+
+def _talk(sent) -> list[dict]:
+    return [dict(m.asDict() if hasattr(m, "asDict") else m) for m in sent]
+
+
+def completed(
+    prompts: DataFrame, completer: Completer, column: str = "messages", concurrency: int | None = None, rate: float | None = None, retries: int = 0, report: bool = False
+) -> DataFrame:
+    """prompts with `reply`; a failed call is null and the others go on.
+
+    rate: calls a second of all tasks together, retries among them. It takes a concurrency: that
+    many tasks share it evenly, so no more than it go out whatever number of them runs. retries:
+    how often a failed call is made again. report: also `attempts` and `error`, the last one's.
+    """
+    if rate is not None and not concurrency:
+        raise ValueError("a rate is shared by a number of tasks: give the concurrency too")
     rows = prompts.repartition(concurrency) if concurrency else prompts
-    schema = T.StructType([*rows.schema, T.StructField("reply", T.StringType())])
+    added = [T.StructField("reply", T.StringType())]
+    if report:
+        added += [T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())]
 
     def called(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = Bucket(rate / concurrency if rate is not None else None)
         for frame in frames:
-            replies = []
+            found = []
             for sent in frame[column]:
-                try:
-                    replies.append(completer.complete([dict(m.asDict() if hasattr(m, "asDict") else m) for m in sent]))
-                except Exception:  # noqa: BLE001
-                    replies.append(None)
-            yield frame.assign(reply=replies)
+                reply = error = None
+                for attempt in range(1, 2 + retries):
+                    bucket.wait()
+                    try:
+                        reply, error = completer.complete(_talk(sent)), None
+                        break
+                    except Exception as e:  # noqa: BLE001
+                        error = f"{type(e).__name__}: {e}"
+                found.append((reply, attempt, error))
+            yield frame.assign(**{f.name: [x[k] for x in found] for k, f in enumerate(added)})
 
-    return rows.mapInPandas(called, schema)
+    return rows.mapInPandas(called, T.StructType([*rows.schema, *added]))
 
 
 def constrained(prompts: DataFrame, completer: Completer, known: str = "known", retries: int = RETRIES) -> DataFrame:
     """prompts (messages, mentions, constraints, known) with predicted and verdict: a reply
     that breaks a constraint is called again, with the reason, up to `retries` times. known:
     a column with the names that a reply may hold, such as the prompt's candidates that are
-    in the gazetteer (known_candidates())."""
+    in the gazetteer (known_candidates()). A call that fails gives a null and the verdict
+    "failed", and the others go on."""
     schema = T.StructType([*prompts.schema, T.StructField("predicted", T.ArrayType(T.StringType())), T.StructField("verdict", T.StringType())])
 
     def judge(found: list | None, mentions, constraints, names: set) -> str:
@@ -142,9 +198,13 @@ def constrained(prompts: DataFrame, completer: Completer, known: str = "known",
             out = []
             for sent, mentions, constraints, names in zip(frame["messages"], frame["mentions"], frame["constraints"], frame[known], strict=True):
                 names = set(names if names is not None else ())
-                talk = [dict(m.asDict() if hasattr(m, "asDict") else m) for m in sent]
+                talk, found, why = _talk(sent), None, "failed"
                 for _ in range(1 + retries):
-                    reply = completer.complete(talk)
+                    try:
+                        reply = completer.complete(talk)
+                    except Exception:  # noqa: BLE001
+                        found, why = None, "failed"
+                        break
                     found = parse_list(reply)[0]
                     if (why := judge(found, mentions, constraints, names)) == "pass":
                         break

@@ -872,6 +872,18 @@ def s13_feedback(spark, folder):
     return knowledge.feedback_rows(stored, read(spark, folder, "customer").select(F.col("c_name").alias("feedback"))).select("id", "feedback")
 
 
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN '[' || p_name || ']' END AS reply, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS attempts,
+       CASE WHEN p_size % 3 = 2 THEN 'ConnectionError: down' END AS error FROM part""")
+def l2_l3_paced_calls(spark, folder):
+    """Calls under a shared rate, some of which fail once and some always; each says how often
+    it was made and what it failed of last."""
+    parts = read(spark, folder, "part")
+    prompts = parts.select("p_partkey", completer.messages("coreference", marked=F.concat(F.lit("1. ["), "p_name", F.lit("] "), (F.col("p_size") % 3).cast("string"))).alias("messages"))
+    called = completer.completed(prompts, completer.Unsteady(), concurrency=4, rate=1e6, retries=2, report=True)
+    return called.select("p_partkey", "reply", "attempts", "error")
+
+
 @query("""
 SELECT p_size AS epoch, round(avg(CASE WHEN p_retailprice > 1000 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS f1 FROM part GROUP BY p_size
 UNION ALL SELECT -1, 0.5""")

@@ -64,7 +64,7 @@ def asked(sentences: DataFrame, mentions: DataFrame, ranked: DataFrame, names: D
         part("constraint").alias("constraints"),
         F.array_distinct(F.flatten(part("fqns"))).alias("known"),  # candidates come from the gazetteer
     )
-    answered = completer.constrained(prompts, linker).where("verdict <> 'count'")
+    answered = completer.constrained(prompts, linker).where("verdict NOT IN ('count', 'failed')")
     return answered.select(key, "known", F.posexplode("predicted").alias("mention_idx", "fqn")).where(F.array_contains("known", F.col("fqn"))).drop("known")
 
 

@@ -211,6 +211,47 @@ def test_numbers_within_keys(spark):
         assert [o for o, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
 
 
+def test_a_bucket_keeps_its_rate():
+    now, calls = [0.0], []
+    bucket = completer.Bucket(4.0, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    rng = random.Random(1)
+    for _ in range(200):
+        bucket.wait()
+        calls.append(now[0])
+        now[0] += rng.choice([0.0, 0.01, 0.3, 2.0])
+    assert all(b - a >= 0.25 - 1e-9 for a, b in zip(calls, calls[1:], strict=False))
+    free = completer.Bucket(None, clock=None, sleep=None)
+    free.wait()
+
+
+class Clock:
+    """A completer that replies with the time."""
+
+    def complete(self, messages):
+        import time
+
+        return repr(time.time())
+
+
+def test_all_tasks_together_keep_the_rate(spark):
+    prompts = spark.createDataFrame([([("user", f"{k}")],) for k in range(40)], f"messages {completer.MESSAGES}")
+    times = sorted(float(r.reply) for r in completer.completed(prompts, Clock(), concurrency=4, rate=20.0).collect())
+    # Four tasks of five a second each; each may begin with a call.
+    assert all(sum(t <= x < t + 1 for x in times) <= 20 + 4 for t in times)
+    with pytest.raises(ValueError):
+        completer.completed(prompts, Clock(), rate=1.0)
+
+
+def test_failing_calls_leave_the_others_alone(spark):
+    prompts = spark.createDataFrame([(k, [("user", f"1. [a{k}] {k % 3}")]) for k in range(9)], f"k int, messages {completer.MESSAGES}")
+    rows = completer.completed(prompts, completer.Unsteady(), retries=1, report=True).collect()
+    assert {r.k: (r.reply, r.attempts) for r in rows} == {k: ((f"[a{k}]", 1 + k % 3) if k % 3 < 2 else (None, 2)) for k in range(9)}
+    assert {r.error for r in rows} == {None, "ConnectionError: down"}
+    judged = prompts.selectExpr("k", "messages", "array('x') mentions", "array('') constraints", "array(concat('a', k)) known")
+    got = {r.k: (r.predicted, r.verdict) for r in completer.constrained(judged, completer.Unsteady()).collect()}
+    assert got == {k: ([f"a{k}"], "pass") if k % 3 == 0 else (None, "failed") for k in range(9)}
+
+
 def test_nearness(spark):
     tokens = spark.createDataFrame([(1, 0, "load"), (1, 1, "a.x"), (1, 3, "b")], "k int, pos int, token string")
     mentions = spark.createDataFrame([(1, 0, 0)], "k int, mention_idx int, pos int")
