@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import similarity, text, tokenizer
-from loam.operators import aliases, code, completer, entities, knowledge, linking, metrics, replies, segments, spans, tagging
+from loam.operators import abbreviations, aliases, code, completer, entities, knowledge, linking, metrics, replies, segments, spans, tagging
 from loam.plans import extraction, views
 from loam.sources import tables
 
@@ -64,6 +64,44 @@ def t3_sentences(spark, folder):
     return segments.sentences(found, "page_id")
 
 
+_NOTES = "'See e.g. ' || p_name || ' in Fig. ' || p_size || ' of it. It is v. ' || p_size || ' by J. ' || p_brand || '. ' || p_type || ' ends here. the rest!'"
+_TYPES = r"""
+n AS (SELECT p_partkey AS k, {notes} AS text FROM part),
+w AS (SELECT lower(regexp_replace(unnest(regexp_split_to_array(text, '\s+')), '^[\"''(\[{{<]+|[\"'')\]}}>,;:!?]+$', '', 'g')) AS w FROM (SELECT text FROM n UNION ALL SELECT text FROM benchmark)),
+c AS (SELECT CASE WHEN suffix(w, '.') THEN left(w, length(w) - 1) ELSE w END AS word, count(*) FILTER (suffix(w, '.')) AS a, count(*) FILTER (NOT suffix(w, '.')) AS b
+      FROM w WHERE regexp_matches(w, '\p{{L}}') GROUP BY 1),
+p AS (SELECT sum(a)::DOUBLE / sum(a + b) AS p FROM c),
+s AS (SELECT word, a AS with_period, b AS without, length(word) - length(replace(word, '.', '')) AS inner_, length(replace(word, '.', '')) AS letters,
+             -2 * (a * ln(p / 0.99) + b * ln((1 - p) / 0.01)) AS ratio FROM c, p WHERE a > 0),
+k AS (SELECT word, with_period, without, round(ratio * exp(-letters) * (inner_ + 1) * pow(letters::DOUBLE, -without), 9) AS score FROM s
+      WHERE round(ratio * exp(-letters) * (inner_ + 1) * pow(letters::DOUBLE, -without), 9) >= 0.3)"""
+
+
+def _notes(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(notes about parts, counts of the words of these and of the benchmark's texts)."""
+    size = F.col("p_size").cast("string")
+    text_ = F.concat(
+        F.lit("See e.g. "), "p_name", F.lit(" in Fig. "), size, F.lit(" of it. It is v. "), size, F.lit(" by J. "), "p_brand", F.lit(". "), "p_type", F.lit(" ends here. the rest!")
+    )
+    notes = read(spark, folder, "part").select("p_partkey", text_.alias("text"))
+    return notes, abbreviations.counted(notes.select("text").unionByName(read(spark, folder, "benchmark").select("text")))
+
+
+@query("WITH " + _TYPES.format(notes=_NOTES) + " SELECT word, with_period, without, round(score, 6) AS score FROM k")
+def t2_abbreviations(spark, folder):
+    """Words that the texts show to be abbreviations, with their counts."""
+    _, counts = _notes(spark, folder)
+    return abbreviations.abbreviations(counts).join(counts, "word").select("word", "with_period", "without", F.round("score", 6).alias("score"))
+
+
+@query("""
+SELECT p_partkey, unnest([0, 1, 2]) AS sent_idx, unnest(['See e.g. ' || p_name || ' in Fig. ' || p_size || ' of it.', 'It is v. ' || p_size || ' by J. ' || p_brand || '.', p_type || ' ends here. the rest!']) AS content FROM part""")
+def t2_sentence_ends(spark, folder):
+    """Sentences that do not end at learned abbreviations, initials, or before lower case."""
+    notes, counts = _notes(spark, folder)
+    return abbreviations.sentences(notes, ["p_partkey"], abbreviations.abbreviations(counts))
+
+
 @query()
 def t11_tokens(spark, folder):
     turns = read(spark, folder, "conversations").select("conv_id", "turn", F.explode(tokenizer.tokenized("text")).alias("t"))

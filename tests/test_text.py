@@ -87,3 +87,22 @@ def test_tokens_lie_in_the_cleaned_text(t):
     for token in tokenizer.tokens(t):
         assert 0 <= token["start"] <= token["end"]
         assert token["token"] in cleaned or not token["token"].strip()
+
+
+def test_sentences_do_not_end_at_learned_abbreviations(spark):
+    from loam.operators import abbreviations
+
+    corpus = ["Use e.g. this one. Then go.", "It is v. 2 now. Go on.", "See Fig. 3 here. It works.", "A thing (Fig. 4) fits. Now stop."] * 12 + ["We go and they go on and it is this that they see here and now when it fits or works as one thing and so they stop it. "] * 40
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate([*corpus, None, "", "..."])], "k int, text string")
+    known = abbreviations.abbreviations(abbreviations.counted(texts))
+    words = {r.word for r in known.collect()}
+    assert {"e.g", "v", "fig"} <= words and not words & {"go", "this", "now", "it"}
+    rows = [(1, "Use e.g. this. See Fig. 3 of v. 2. J. Doe wrote it! Why? then so. it goes on."), (2, None), (3, ""), (4, "One"), (5, "  A bee.  \n Cee dee. "), (6, "x. " * 2000)]
+    asked = spark.createDataFrame(rows, "k int, text string")
+    got = {}
+    for r in abbreviations.sentences(asked, ["k"], known).orderBy("k", "sent_idx").collect():
+        got.setdefault(r.k, []).append(r.content.strip())
+    assert got[1] == ["Use e.g. this.", "See Fig. 3 of v. 2.", "J. Doe wrote it!", "Why?", "then so. it goes on."]
+    assert got[4] == ["One"] and got[5] == ["A bee.", "Cee dee."] and 2 not in got and 3 not in got
+    assert len(got[6]) == 1
+    assert abbreviations.abbreviations(abbreviations.counted(texts.limit(0))).count() == 0
