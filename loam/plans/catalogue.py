@@ -893,14 +893,15 @@ def s5_dictionary(spark, folder):
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'stored' WHEN o_orderstatus = 'O' THEN 'called' ELSE 'replaced' END AS result FROM orders""")
 def s8_resumed(spark, folder):
-    """Results that are stored already are not called for again, and new ones replace old ones of their key."""
+    """Results that are stored already are not called for again, and new ones replace old ones of
+    their key, in a table that readers see before or after but never between."""
     orders = read(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
-    path = tables.new_path(spark, "results")
-    tables.replace_results(orders.where("o_orderstatus <> 'O'").select("o_orderkey", F.lit("stored").alias("result")), path)
-    stored = spark.read.parquet(path)
-    called = completer.not_done(orders, stored, "o_orderkey").select("o_orderkey", F.lit("called").alias("result"))
+    results = tables.Versions(spark, tables.new_path(spark, "results"))
+    results.write(orders.where("o_orderstatus <> 'O'").select("o_orderkey", F.lit("stored").alias("result")))
+    called = completer.not_done(orders, results.read(), "o_orderkey").select("o_orderkey", F.lit("called").alias("result"))
     again = orders.where("o_orderstatus NOT IN ('F', 'O')").select("o_orderkey", F.lit("replaced").alias("result"))
-    return tables.upserted(stored, called.unionByName(again), "o_orderkey")
+    results.upsert(called.unionByName(again), "o_orderkey")
+    return results.read()
 
 
 @query("""

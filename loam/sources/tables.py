@@ -113,3 +113,75 @@ def replace_results(rows: DataFrame, path: str) -> None:
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new in place of those of the same key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+class Versions:
+    """A table whose contents are replaced as a whole: each version is a folder of its own, and
+    a pointer file names the one that counts.
+
+    A version is written in full first; then the pointer is written aside and renamed over the
+    old one, which file systems do at once. So readers see the old rows or the new, a write
+    that dies leaves the old version, and rows may be made from the table that they replace. Of
+    writers at the same time the last to rename wins. Older versions stay until vacuum().
+    On object stores without a rename this holds as far as their Hadoop client's rename does.
+    """
+
+    POINTER = "_current"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._root = self._path(self.path)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._files = self._root.getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._root.toUri(), conf)
+        self._overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+
+    def current(self) -> str | None:
+        """The name of the version that counts; None before the first."""
+        pointer = self._path(f"{self.path}/{self.POINTER}")
+        if not self._files.exists(pointer):
+            return None
+        stream = self._files.open(pointer)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def read(self) -> DataFrame:
+        if (name := self.current()) is None:
+            raise FileNotFoundError(f"no version of {self.path} has been written yet")
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def write(self, rows: DataFrame) -> str:
+        """Puts rows in place of the table's; the name of their version."""
+        name = f"version-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        self._point_to(name)
+        return name
+
+    def _point_to(self, name: str) -> None:
+        aside = self._path(f"{self.path}/{self.POINTER}-{uuid.uuid4().hex}")
+        stream = self._files.create(aside, False)
+        try:
+            stream.write(bytearray(name.encode()))
+        finally:
+            stream.close()
+        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._overwrite
+        self._context.rename(aside, self._path(f"{self.path}/{self.POINTER}"), options)
+
+    def upsert(self, new: DataFrame, key: str) -> str:
+        """new in place of the table's rows of the same keys."""
+        return self.write(new if self.current() is None else upserted(self.read(), new, key))
+
+    def vacuum(self) -> list[str]:
+        """Deletes all versions but the current one; readers of older ones have to be done."""
+        kept, gone = self.current(), []
+        for status in self._files.listStatus(self._root):
+            name = status.getPath().getName()
+            if name.startswith("version-") and name != kept:
+                self._files.delete(status.getPath(), True)
+                gone.append(name)
+        return gone
