@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -166,7 +167,15 @@ class Sample:
         hits = np.bincount(place[toxic[row]], minlength=len(order))
         return cls(found[order], np.searchsorted(row, np.arange(len(toxic) + 1)), place, toxic, n[order], hits)
 
-    @property
+    @cached_property
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each term stands in places, term by term; where each term's begin; the rows of
+        places), made where they are used: only the places are sent."""
+        by_term = np.argsort(self.places, kind="stable").astype(np.int32)
+        begins = np.searchsorted(self.places[by_term], np.arange(len(self.n) + 1))
+        return by_term, begins, np.repeat(np.arange(len(self.toxic), dtype=np.int32), np.diff(self.offsets))
+
+    @cached_property
     def least_surprise(self) -> float:
         """What a pair has to reach, as so many pairs as LEAST rows may hold are tried."""
         lengths, terms_ = np.diff(self.offsets).astype(float), float(len(self.n))
@@ -229,13 +238,11 @@ def paired(spark: SparkSession, sample: Sample, tasks: int = PAIR_TASKS) -> np.n
     Terms are dealt to tasks; each gets the sample, whose size SAMPLE_TERMS bounds, and goes
     through the rows of its terms, so every pair that some row holds is counted, by its rarer term.
     """
-    by_term = np.argsort(sample.places, kind="stable").astype(np.int32)
-    begins = np.searchsorted(sample.places[by_term], np.arange(len(sample.n) + 1))
-    row = np.repeat(np.arange(len(sample.toxic), dtype=np.int32), np.diff(sample.offsets))
-    sent = spark.sparkContext.broadcast((sample, by_term, begins, row))
+    sent = spark.sparkContext.broadcast(sample)
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, by_term, begins, row = sent.value
+        held = sent.value
+        by_term, begins, row = held.lists
         said = np.zeros(len(held.n), bool)
         for batch in batches:
             for k in batch.column("id").to_pylist():
