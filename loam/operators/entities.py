@@ -14,39 +14,44 @@ from loam.operators.completer import Completer, completed, messages
 
 CHUNKS = "array<struct<start:int,end:int,text:string>>"
 STOPS = frozenset("is are was were be been has have had do does did can could will would should may might must and or but if of to in on at by for with from as than then so not when while because which who whom whose that's it's".split())
-HEADS = frozenset(DEMONSTRATIVES) | {"the", "a", "an"}
-
-
-def noun_chunks(sentence: str | None) -> list[dict]:
-    """Phrases by rule: a demonstrative, article or possessive with the words behind it up to
-    a stop word or punctuation, three words at most; other names with = or [ stand alone."""
-    found, open_ = [], None
+ARTICLES = frozenset(("the", "a", "an"))
+HEADS = frozenset(DEMONSTRATIVES) | ARTICLES
+
+
+def noun_chunks(sentence: str | None, verbs: list[str] | None = None) -> list[dict]:
+    """Phrases by a finite automaton over words: a demonstrative or article with all words behind
+    it up to a stop word, another head, a word that acts as a verb (lexicon.with_verbs()), or
+    a mark; other names with = or [ stand alone. Behind an article the first word is no verb.
+    """
+    acting = frozenset(verbs if verbs is not None else ())
+    found: list[tuple[int, int]] = []
+    begin = end = bare = None  # of the open phrase; whether an article is all of it
     for m in re.finditer(r"\S+", sentence or ""):
         word = m[0].strip(".,;:!?")
-        low = word.lower()
-        if open_ is not None and (low in STOPS or low in HEADS or open_[2] >= 3):
-            found.append(open_)
-            open_ = None
-        end = m.start() + len(m[0].rstrip(".,;:!?"))
-        if open_ is not None:
-            open_ = (open_[0], end, open_[2] + 1)
+        low, at = word.lower(), m.start() + len(m[0].rstrip(".,;:!?"))
+        verb = low in acting and not bare
+        if begin is not None and (low in STOPS or low in HEADS or verb):
+            found.append((begin, end))
+            begin = None
+        if begin is not None:
+            end, bare = at, False
         elif low in HEADS:
-            open_ = (m.start(), end, 0)
-        elif low not in STOPS and re.fullmatch(r"[A-Za-z_]\w*(?:[=\[].*)?", word):
-            found.append((m.start(), end, 0))
-        if open_ is not None and m[0] != word and end < m.end():
-            found.append(open_)
-            open_ = None
-    if open_ is not None:
-        found.append(open_)
-    return [{"start": a, "end": b, "text": sentence[a:b]} for a, b, _ in sorted(found)]
-
-
-def chunked(sentence) -> Column:
-    def of_rows(rows: pd.Series) -> pd.Series:
-        return rows.map(noun_chunks)
-
-    return F.pandas_udf(of_rows, CHUNKS)(sentence)
+            begin, end, bare = m.start(), at, low in ARTICLES
+        elif low not in STOPS and not verb and re.fullmatch(r"[A-Za-z_]\w*(?:[=\[].*)?", word):
+            found.append((m.start(), at))
+        if begin is not None and at < m.end():
+            found.append((begin, end))
+            begin = None
+    if begin is not None:
+        found.append((begin, end))
+    return [{"start": a, "end": b, "text": sentence[a:b]} for a, b in sorted(found)]
+
+
+def chunked(sentence, verbs: Column | str | None = None) -> Column:
+    def of_rows(rows: pd.Series, acting: pd.Series) -> pd.Series:
+        return pd.Series([noun_chunks(*x) for x in zip(rows, acting, strict=True)])
+
+    return F.pandas_udf(of_rows, CHUNKS)(sentence, F.array().cast("array<string>") if verbs is None else verbs)
 
 
 def _keys(key: str | list[str]) -> list[str]:

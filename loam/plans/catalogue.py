@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import similarity, text, tokenizer
-from loam.operators import abbreviations, aliases, code, completer, entities, knowledge, linking, metrics, replies, segments, spans, tagging
+from loam.operators import abbreviations, aliases, code, completer, entities, knowledge, lexicon, linking, metrics, replies, segments, spans, tagging
 from loam.plans import extraction, views
 from loam.sources import tables
 
@@ -532,6 +532,23 @@ def s9_questions(spark, folder):
     return found.select("id.conv_id", "id.turn", F.col("body").alias("question"))
 
 
+@query("""
+WITH q AS (SELECT conv_id, role, text FROM conversations WHERE turn = 0)
+SELECT c.conv_id, c.turn, [coalesce(q.role, ''), 'p ' || c.turn || ' ' || length(c.text)] AS text_blocks, ['x = ' || c.turn] AS code_blocks
+FROM conversations c JOIN q ON c.conv_id = q.conv_id""")
+def s10_s11_threads(spark, folder):
+    """Questions and answers from one table of posts, joined to threads and taken apart to
+    blocks of text, of which the thread's title is the first, and code."""
+    turns = read(spark, folder, "conversations")
+    number = F.col("turn").cast("string")
+    html = F.concat(F.lit("p "), number, F.lit(" "), F.length("text").cast("string"), F.lit("<pre><code>x = "), number, F.lit("</code></pre>"))
+    place = lambda turn: F.struct(F.col("conv_id"), turn.cast("long").alias("turn"))
+    first = F.col("turn") == 0
+    posts = turns.select(place(F.col("turn")).alias("id"), F.when(~first, place(F.lit(0))).alias("parent_id"), F.when(first, 1).otherwise(2).alias("kind"), F.col("role").alias("title"), html.alias("body"), F.lit("t").alias("tags"))
+    blocks = segments.thread_blocks(tables.threads(posts), "post_id", "html", "title")
+    return blocks.select("post_id.conv_id", "post_id.turn", F.transform("text_blocks", F.trim).alias("text_blocks"), "code_blocks")
+
+
 @query("""
 SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS snippet_idx, 'part.' || l_partkey AS api,
        'Line part.' || l_partkey || ' of it' || chr(10) || '''it'' refers to order ' || l_orderkey AS snippet
@@ -601,9 +618,31 @@ def e2_candidates(spark, folder):
     return found.select("p_partkey", "start", "end", "text")
 
 
+_ACTS = "chr((97 + p_partkey % 7)::INT) || 'arks'"
+
+
+@query(f"""
+SELECT p_partkey, unnest(['the very large new ' || p_name, 'those old ' || lower(p_type) || ' items', 'p_' || p_partkey || '[0]']) AS text,
+       unnest([0, length('the very large new ' || p_name || ' ' || {_ACTS} || ' '), length('the very large new ' || p_name || ' ' || {_ACTS} || ' those old ' || lower(p_type) || ' items, ')]) AS start FROM part""")
+def e3_long_chunks(spark, folder):
+    """Phrases of any length in sentences about parts, which end at words that the corpus shows
+    to be verbs: three of them stand behind "it" or "can" somewhere, the others end like them."""
+    parts = read(spark, folder, "part")
+    acts = F.concat(F.chr(97 + F.col("p_partkey") % 7), F.lit("arks"))
+    shown = F.when(F.col("p_partkey") % 7 < 3, F.concat(F.lit("It "), acts, F.lit(" now. They can "), acts, F.lit(" too.")))
+    sentence = F.concat(
+        F.lit("the very large new "), "p_name", F.lit(" "), acts, F.lit(" those old "), F.lower("p_type"), F.lit(" items, p_"), F.col("p_partkey").cast("string"), F.lit("[0].")
+    )
+    known = lexicon.lexicon(parts.select(F.explode(F.array(shown, sentence)).alias("text")))
+    rows = lexicon.with_verbs(parts.select("p_partkey", sentence.alias("content")), ["p_partkey"], "content", known)
+    return rows.select("p_partkey", F.explode(entities.chunked("content", "verbs")).alias("c")).select("p_partkey", "c.text", "c.start")
+
+
 @query()
 def e3_chunks(spark, folder):
-    turns = read(spark, folder, "conversations").select("conv_id", "turn", F.explode(entities.chunked("text")).alias("c"))
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "text")
+    known = lexicon.lexicon(turns)
+    turns = lexicon.with_verbs(turns, ["conv_id", "turn"], "text", known).select("conv_id", "turn", F.explode(entities.chunked("text", "verbs")).alias("c"))
     return turns.select("conv_id", "turn", "c.*")
 
 

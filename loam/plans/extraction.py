@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text, tokenizer
-from loam.operators import aliases, code, completer, entities, knowledge, linking, replies, segments, spans, tagging
+from loam.operators import aliases, code, completer, entities, knowledge, lexicon, linking, replies, segments, spans, tagging
 from loam.sources.tables import stored
 
 
@@ -72,7 +72,8 @@ def context_marks(sentences: DataFrame, blocks: DataFrame, names: DataFrame, key
     """key, sent_idx, start, end, entity: phrases that depend on context, but for those that
     corefer to something else in their sentence."""
     shown = sentences.where("kind = 'Text'").withColumn("content", tokenizer.cleaned("content"))
-    chunks = shown.select(key, "sent_idx", F.explode(entities.chunked("content")).alias("c")).select(key, "sent_idx", "c.*")
+    shown = lexicon.with_verbs(shown, [key, "sent_idx"], "content", stored(lexicon.lexicon(shown, "content"), "lexicon"))
+    chunks = shown.select(key, "sent_idx", F.explode(entities.chunked("content", "verbs")).alias("c")).select(key, "sent_idx", "c.*")
     assigned = code.assign_rows(blocks, key).select(key, F.col("variable").alias("name"))
     variables = entities.own_variables(assigned, linking.terms(names).select(F.col("term").alias("name")), key)
     found = entities.candidates(chunks, variables, key).groupBy(key, "sent_idx").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("found"))

@@ -97,9 +97,33 @@ def questions_of(answers: DataFrame, posts: DataFrame) -> DataFrame:
     return a.join(q, "parent_id")
 
 
-def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of a database; credentials come in as options and are stored nowhere."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def jdbc(spark: SparkSession, url: str, table: str, ids: tuple[str, int] | None = None, **options: str) -> DataFrame:
+    """A table of a database; credentials come in as options and are stored nowhere.
+
+    ids: a whole-number column and a number of tasks: each reads a range of it, between the
+    least and greatest that the database has. Filters and columns go to the database.
+    """
+    source = lambda name, **more: spark.read.format("jdbc").options(url=url, dbtable=name, **options, **more).load()
+    if ids is None:
+        return source(table)
+    column, tasks = ids
+    # An alias with any letters in it would be folded as the database likes.
+    low, high = source(f"(SELECT min({column}) AS LOW_, max({column}) AS HIGH_ FROM {table}) b").first()
+    if low is None:
+        return source(table)
+    return source(table, partitionColumn=column, lowerBound=str(int(low)), upperBound=str(int(high) + 1), numPartitions=str(tasks))
+
+
+def threads(posts: DataFrame, id_: str = "id", parent: str = "parent_id", kinds: tuple[str, int, int] = ("kind", 1, 2)) -> DataFrame:
+    """Questions with their answers from one table of posts (id, parent_id, kind, title, body,
+    tags): thread, post_id, title, tags and html, a row for each post of a thread, the
+    question first by its null parent. Answers whose question is missing are left out.
+    kinds: the column that tells questions from answers, and its values."""
+    column, question, answer = kinds
+    asked = posts.where(F.col(column) == question).select(F.col(id_).alias("thread"), "title", "tags", F.col("body").alias("html"))
+    given = posts.where(F.col(column) == answer).select(F.col(parent).alias("thread"), F.col(id_).alias("post_id"), F.col("body").alias("html"))
+    answers = given.join(asked.select("thread", "title", "tags"), "thread").select("thread", "post_id", "title", "tags", "html")
+    return asked.select("thread", F.col("thread").alias("post_id"), "title", "tags", "html").unionByName(answers)
 
 
 def append(rows: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loam.functions import similarity
-from loam.operators import aliases, code, completer, entities, knowledge, linking, metrics, ordinals, replies, segments, spans, tagging
+from loam.operators import aliases, code, completer, entities, knowledge, lexicon, linking, metrics, ordinals, replies, segments, spans, tagging
 from loam.sources import tables
 from loam.streaming import ingest
 
@@ -252,6 +252,21 @@ def test_failing_calls_leave_the_others_alone(spark):
     assert got == {k: ([f"a{k}"], "pass") if k % 3 == 0 else (None, "failed") for k in range(9)}
 
 
+def test_long_phrases_stay_whole(spark):
+    text = lambda *x: [c["text"] for c in entities.noun_chunks(*x)]
+    assert text("the very large new data frame, and it") == ["the very large new data frame", "it"]
+    assert text("the very large new data frame fails here", ["fails"])[0] == "the very large new data frame"
+    assert text("the load fails", ["load", "fails"])[0] == "the load"
+    assert text("this fails", ["fails"]) == ["this"] and text(None) == [] and text("") == []
+    corpus = ["It fails. They can fail and we load it.", "it fails, you load the file", "it breaks and it bakes and it takes", "in the file of the frame", None, ""]
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(corpus)], "k int, text string")
+    known = {(r.form, r.ending): r.verb for r in lexicon.lexicon(texts).collect()}
+    assert known["fails", False] and known["load", False] and not known["file", False]
+    asked = spark.createDataFrame([(1, "the big old data frame shakes those files"), (2, None)], "k int, text string")
+    got = {r.k: r.verbs for r in lexicon.with_verbs(asked, ["k"], "text", lexicon.lexicon(texts)).collect()}
+    assert got[1] == ["shakes"] and got[2] == []
+
+
 def test_nearness(spark):
     tokens = spark.createDataFrame([(1, 0, "load"), (1, 1, "a.x"), (1, 3, "b")], "k int, pos int, token string")
     mentions = spark.createDataFrame([(1, 0, 0)], "k int, mention_idx int, pos int")
