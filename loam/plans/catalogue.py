@@ -546,7 +546,7 @@ def s10_s11_threads(spark, folder):
     first = F.col("turn") == 0
     posts = turns.select(place(F.col("turn")).alias("id"), F.when(~first, place(F.lit(0))).alias("parent_id"), F.when(first, 1).otherwise(2).alias("kind"), F.col("role").alias("title"), html.alias("body"), F.lit("t").alias("tags"))
     blocks = segments.thread_blocks(tables.threads(posts), "post_id", "html", "title")
-    return blocks.select("post_id.conv_id", "post_id.turn", F.transform("text_blocks", F.trim).alias("text_blocks"), "code_blocks")
+    return blocks.select("post_id.conv_id", "post_id.turn", F.transform("text_blocks", lambda x: F.trim(x)).alias("text_blocks"), "code_blocks")
 
 
 @query("""

@@ -45,6 +45,6 @@ def test_filters_and_columns_go_to_the_database(spark, database):
 
 
 def test_an_empty_table_is_read(spark, database):
-    spark.createDataFrame([], "ID long, BODY string").write.format("jdbc").options(url=database, dbtable="NONE", driver=DRIVER).save()
-    assert tables.jdbc(spark, database, "NONE", ids=("ID", 4), driver=DRIVER).count() == 0
+    spark.createDataFrame([], "ID long, BODY string").write.format("jdbc").options(url=database, dbtable="EMPTY_POSTS", driver=DRIVER).save()
+    assert tables.jdbc(spark, database, "EMPTY_POSTS", ids=("ID", 4), driver=DRIVER).count() == 0
     assert tables.jdbc(spark, database, "POSTS", driver=DRIVER).count() == 41
