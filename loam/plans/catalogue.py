@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import similarity, text, tokenizer
-from loam.operators import abbreviations, aliases, code, completer, entities, knowledge, lexicon, linking, metrics, replies, segments, spans, tagging
+from loam.operators import abbreviations, aliases, code, completer, entities, knowledge, lexicon, linking, metrics, replies, segments, sequence, spans, tagging
 from loam.plans import extraction, views
 from loam.sources import tables
 
@@ -820,6 +820,21 @@ def e6_completions(spark, folder):
     return pairs.select("conv_id", "turn", F.col("c.NP").alias("np"), F.md5("c.Value").alias("value"))
 
 
+@query("""
+WITH h AS (SELECT p_size % 2 = 0 AS called FROM part WHERE p_partkey % 5 = 0)
+SELECT count(*) FILTER (called) AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn FROM h""")
+def n5_sentence_tagger(spark, folder):
+    """Held-out counts of a tagger that reads sentences: a part's word is an API where "call" is
+    before it, and the same word is none behind "the"."""
+    called = F.col("p_size") % 2 == 0
+    word = F.substring_index("p_name", " ", 1)
+    tokens = F.array(F.when(called, "call").otherwise("the"), word, F.lower("p_type"), F.lit("now"))
+    labels = F.array(F.lit(0), called.cast("int"), F.lit(0), F.lit(0))
+    samples = read(spark, folder, "part").select("p_partkey", tokens.alias("tokens"), labels.alias("labels"))
+    held = F.col("p_partkey") % 5 == 0
+    return sequence.counts(sequence.tagged(samples.where(held), sequence.train(samples.where(~held))))
+
+
 @query()
 def n5_trained_tagger(spark, folder):
     """A tagger that learns which tokens are names, on tokens of parts and their types."""
