@@ -144,3 +144,22 @@ def counts(samples: DataFrame, tags: str = "tags", labels: str = "labels") -> Da
         return F.count(F.when(F.expr(condition), 1))
 
     return pairs.agg(times("tag = 1 AND label = 1").alias("tp"), times("tag = 1 AND label <> 1").alias("fp"), times("tag <> 1 AND label = 1").alias("fn"))
+
+
+def rows_of(weights: Weights, spark: SparkSession) -> DataFrame:
+    """The weights other than 0 as a table (place, weight), to be stored like any other; the
+    row of place -1 has the number of tags."""
+    flat = weights.flat()
+    at = np.flatnonzero(flat)
+    frame = pd.DataFrame({"place": np.append(at, -1), "weight": np.append(flat[at], weights.emit.shape[1]).astype(float)})
+    return spark.createDataFrame(frame, "place long, weight double")
+
+
+def weights_of(rows: DataFrame) -> Weights:
+    """Weights of the table that rows_of() made; DIM times the tags bound its rows."""
+    frame = rows.toPandas()
+    place, weight = frame["place"].to_numpy(), frame["weight"].to_numpy()
+    tags = int(weight[place < 0][0])
+    flat = np.zeros(DIM * tags + (tags + 1) * tags)
+    flat[place[place >= 0]] = weight[place >= 0]
+    return Weights.of(flat, tags)

@@ -66,3 +66,29 @@ def test_nothing_to_learn_from(spark):
     assert not weights.flat().any()
     asked = spark.createDataFrame([(["a"],), (None,), ([],)], "tokens array<string>")
     assert sorted(str(r.tags) for r in sequence.tagged(asked, weights).collect()) == ["None", "[0]", "[]"]
+
+
+def test_taggers_are_stored_and_read_again(spark, tmp_path):
+    """Weights and alphabet as tables, the tagger of single tokens as a pipeline of Spark's."""
+    from pyspark.ml import PipelineModel
+
+    samples = spark.createDataFrame([(["call", f"w{k % 5}"], [0, 1]) for k in range(20)] + [(["the", f"w{k % 5}"], [0, 0]) for k in range(20)], "tokens array<string>, labels array<int>")
+    weights = sequence.train(samples, tasks=2)
+    sequence.rows_of(weights, spark).write.parquet(f"{tmp_path}/weights")
+    again = sequence.weights_of(spark.read.parquet(f"{tmp_path}/weights"))
+    assert np.array_equal(weights.emit, again.emit) and np.array_equal(weights.move, again.move)
+    tokens = samples.selectExpr("explode(arrays_zip(tokens, labels)) t").selectExpr("t.tokens token", "t.labels label")
+    letters = tagging.alphabet(tokens)
+    letters.write.parquet(f"{tmp_path}/alphabet")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/alphabet").collect())) == sorted(map(tuple, letters.collect()))
+    model = tagging.train(tokens)
+    model.save(f"{tmp_path}/single")
+    asked = tokens.distinct()
+    both = [sorted(map(tuple, tagging.predict(asked, m).collect())) for m in (model, PipelineModel.load(f"{tmp_path}/single"))]
+    assert both[0] == both[1]
+
+
+def test_optional_columns_are_left_out(spark):
+    row = spark.createDataFrame([(["a"], [1], ["a.b"], ["x"], ["y"], ["z"])], "tokens array<string>, ner_tags array<int>, full_names array<string>, mention_morphological array<string>, mention_common array<string>, api_common array<string>")
+    assert tagging.required_columns(row).columns == ["tokens", "ner_tags"]
+    assert tagging.required_columns(row.select("tokens")).columns == ["tokens"]
