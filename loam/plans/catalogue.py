@@ -6,6 +6,7 @@ from parts, code and replies from part names, spans from events, snippets from l
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -965,6 +966,23 @@ def s13_feedback(spark, folder):
     return knowledge.feedback_rows(stored, read(spark, folder, "customer").select(F.col("c_name").alias("feedback"))).select("id", "feedback")
 
 
+def _filled(template: str) -> str:
+    """A template's user message in SQL, each field filled with the part's name and its own."""
+    quoted = completer.TEMPLATES[template][1].replace("'", "''")
+    return "'" + re.sub(r"\{(\w+)\}", r"' || p_name || ' \1' || '", quoted).replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(" UNION ALL ".join(f"SELECT p_partkey, '{name}' AS template, md5({_filled(name)}) AS content FROM part" for name in completer.TEMPLATES))
+def l5_prompts(spark, folder):
+    """Every template, its fields filled from columns of the parts."""
+    parts = read(spark, folder, "part")
+    rows = []
+    for name, (_, user) in completer.TEMPLATES.items():
+        fields = {f: F.concat("p_name", F.lit(f" {f}")) for f in re.findall(r"\{(\w+)\}", user)}
+        rows.append(F.struct(F.lit(name).alias("template"), F.md5(completer.messages(name, **fields)[1]["content"]).alias("content")))
+    return parts.select("p_partkey", F.explode(F.array(*rows)).alias("r")).select("p_partkey", "r.*")
+
+
 @query("""
 SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN '[' || p_name || ']' END AS reply, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS attempts,
        CASE WHEN p_size % 3 = 2 THEN 'ConnectionError: down' END AS error FROM part""")
