@@ -153,19 +153,47 @@ class Sample:
     hits: np.ndarray
 
     @classmethod
-    def of(cls, offsets: np.ndarray, values: np.ndarray, toxic: np.ndarray) -> Sample:
-        row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(offsets))
-        found, place, n = np.unique(values, return_inverse=True, return_counts=True)
-        order = np.argsort(n, kind="stable")
-        order = order[n[order] >= LEAST]
-        rank = np.full(len(found), -1, np.int32)
-        rank[order] = np.arange(len(order))
-        place, kept = rank[place], rank[place] >= 0
-        place, row = place[kept], row[kept]
-        by_row = np.lexsort((place, row))
-        place, row = place[by_row], row[by_row]
-        hits = np.bincount(place[toxic[row]], minlength=len(order))
-        return cls(found[order], np.searchsorted(row, np.arange(len(toxic) + 1)), place, toxic, n[order], hits)
+    def of(cls, hashed: DataFrame) -> Sample:
+        """The sample of rows (h, toxic, terms), in order of h. Counts and numbers are made where
+        the rows are; the driver gets the numbers once, 4 bytes each, and sorts nothing."""
+        counted = hashed.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").cast("long").alias("hits"))
+        found = counted.where(F.col("n") >= LEAST).toPandas()
+        found = found.sort_values(["n", "term"], ignore_index=True)
+        terms_ = found["term"].to_numpy(np.int32)
+        by_term = np.argsort(terms_, kind="stable").astype(np.int32)
+        sent = hashed.sparkSession.sparkContext.broadcast((terms_[by_term], by_term))
+
+        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, rank = sent.value
+            for batch in batches:
+                places = []
+                for held in batch.column("terms"):
+                    held = held.values.to_numpy(zero_copy_only=False)
+                    at = np.minimum(np.searchsorted(known, held), max(0, len(known) - 1))
+                    places.append(np.sort(rank[at[known[at] == held]]) if len(known) else np.empty(0, np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("toxic"), pa.array(places, pa.list_(pa.int32()))], names=["h", "toxic", "places"])
+
+        table = hashed.select("h", "toxic", "terms").mapInArrow(numbered, "h long, toxic int, places array<int>").orderBy("h").select("toxic", "places").toArrow()
+        toxic = table["toxic"].to_numpy() > 0
+        lists = table["places"]
+        sizes = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in lists.chunks] or [np.zeros(0, np.int64)])
+        places = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists.chunks] or [np.zeros(0, np.int32)])
+        sent.destroy()
+        return cls(terms_, np.concatenate(([0], np.cumsum(sizes))), places, toxic, found["n"].to_numpy(), found["hits"].to_numpy())
+
+    def alone(self) -> np.ndarray:
+        """Numbers of the terms that are significant by themselves."""
+        return np.flatnonzero(chi_square(self.hits, self.n, len(self.toxic), int(self.toxic.sum())) > ALONE)
+
+    def rows_of(self, chosen: np.ndarray) -> list[np.ndarray]:
+        """Each row's chosen terms, as places in `chosen`, in order."""
+        place = np.full(len(self.n), -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        out = []
+        for a, b in zip(self.offsets, self.offsets[1:], strict=False):
+            held = place[self.places[a:b]]
+            out.append(np.sort(held[held >= 0]))
+        return out
 
     @cached_property
     def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,10 +210,6 @@ class Sample:
         pairs = min(terms_ * (terms_ - 1) / 2, float((lengths * (lengths - 1) / 2).sum()) / LEAST)
         return float(np.log(max(pairs, 1.0) / CHANCE))
 
-    def alone(self) -> np.ndarray:
-        """Numbers of the terms that are significant by themselves."""
-        return np.flatnonzero(chi_square(self.hits, self.n, len(self.toxic), int(self.toxic.sum())) > ALONE)
-
 
 def surprise(hits: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
     """n times the divergence of hits / n from a share: by Chernoff's bound, chance gives as
@@ -273,14 +297,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, seed: in
     filled = np.bincount(row, minlength=len(rows)) > 0
 
     def over_rows(values: np.ndarray) -> np.ndarray:
-        """Sums of the terms' values by row."""
-        out = np.zeros((len(rows), *values.shape[1:]))
-        out[filled] = np.add.reduceat(values[term], at_row[filled], axis=0)
+        """Sums of the terms' values by row, a factor at a time: all are not copied at once."""
+        if values.ndim > 1:
+            return np.stack([over_rows(v) for v in values.T], axis=1)
+        out = np.zeros(len(rows))
+        out[filled] = np.add.reduceat(values[term], at_row[filled])
         return out
 
     def over_terms(values: np.ndarray) -> np.ndarray:
         """Sums of the rows' values by term; every chosen term is in some row."""
-        return np.add.reduceat(values[row_of], at_term, axis=0)
+        if values.ndim > 1:
+            return np.stack([over_terms(v) for v in values.T], axis=1)
+        return np.add.reduceat(values[row_of], at_term)
 
     rng = np.random.default_rng(seed)
     state = [np.array([np.log(share / (1 - share))]), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS))]
@@ -345,16 +373,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_terms
     rows, toxic = hashed.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < rows:
         return fit([], np.full(1, float(toxic > 0)), np.empty(0, np.int64))
-    table = hashed.select("h", "toxic", "terms").orderBy("h").toArrow()  # SAMPLE_TERMS terms at most
-    lists = table["terms"].combine_chunks()
-    sample_ = Sample.of(lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), table["toxic"].to_numpy() > 0)
+    sample_ = Sample.of(hashed)
     chosen = np.union1d(sample_.alone(), paired(docs.sparkSession, sample_))
     # The machine has its terms in order of their hashes.
     chosen = chosen[np.argsort(sample_.terms[chosen])]
-    place = np.full(len(sample_.n), -1)
-    place[chosen] = np.arange(len(chosen))
-    rows_ = [np.sort(x[x >= 0]) for x in np.split(place[sample_.places], sample_.offsets[1:-1])]
-    return fit(rows_, sample_.toxic.astype(float), sample_.terms[chosen])
+    return fit(sample_.rows_of(chosen), sample_.toxic.astype(float), sample_.terms[chosen].astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

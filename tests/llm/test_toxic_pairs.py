@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from loam.llm import toxicity
 
 
-def sample_of(rows, toxic):
-    values = np.concatenate([np.array(r, np.int64) for r in rows])
-    return toxicity.Sample.of(np.cumsum([0, *map(len, rows)]), values, np.array(toxic, bool))
+def sample_of(spark, rows, toxic):
+    frame = [(k, int(x), r) for k, (r, x) in enumerate(zip(rows, toxic, strict=True))]
+    return toxicity.Sample.of(spark.createDataFrame(frame, "h long, toxic int, terms array<int>").repartition(3))
 
 
 def planted(rng, n):
@@ -33,7 +33,7 @@ def test_pairs_match_a_count_of_all_pairs(spark, rare):
     if rare:  # many terms, so that rare ones are counted by sorting
         rows = [r + [1000 + k % 300] for k, r in enumerate(rows)]
         toxic = [x or {3, 1007} <= set(r) or (1009 in r and 5 in r) for r, x in zip(rows, toxic, strict=True)]
-    sample = sample_of(rows, toxic)
+    sample = sample_of(spark, rows, toxic)
     share, wanted = np.mean(toxic), set()
     stats = {t: (sum(t in r for r in rows), sum(x and t in r for r, x in zip(rows, toxic, strict=True))) for t in set(itertools.chain(*rows))}
     both = Counter(pair for r in rows for pair in itertools.combinations(r, 2))
@@ -69,7 +69,7 @@ def test_a_rare_pair_of_harmless_terms_is_learned(spark):
 def test_no_pair_is_chosen_from_noise(spark):
     rng = random.Random(8)
     rows = [sorted(rng.sample(range(60), 8)) for _ in range(3000)]
-    sample = sample_of(rows, [rng.random() < 0.3 for _ in rows])
+    sample = sample_of(spark, rows, [rng.random() < 0.3 for _ in rows])
     assert len(toxicity.paired(spark, sample)) == 0
 
 
