@@ -38,9 +38,9 @@ def between(text: Column, left: str, right: str) -> Column:
 
 
 def without_highlights(text: Column) -> Column:
-    for pattern in (r"</?strong>", r'<span style="color:[^"]+">', r"</span>"):
+    for pattern in (r"</?strong>", r'<span style="color:[^"]+">'):
         text = F.regexp_replace(text, pattern, "")
-    return text
+    return F.replace(text, F.lit("</span>"), F.lit(""))
 
 
 def first_red(html: Column) -> Column:
@@ -63,11 +63,20 @@ def blue_mentions(html: Column) -> Column:
 
 def replace_red(html: Column, names: Column) -> Column:
     """The k-th red mention replaced by names[k]; mentions without a name stay."""
-    outside = F.split(html, rf"(?d)\Q{RED_OPEN}\E.*?</span>", -1)
-    inside = F.zip_with(red_mentions(html), names, lambda old, new: F.coalesce(new, old))
-    inside = F.slice(inside, F.lit(1), F.size(outside) - 1)
-    spans = F.concat(F.transform(inside, lambda x: F.concat(F.lit(RED_OPEN), x, F.lit(SPAN_CLOSE))), F.array(F.lit("")))
-    return F.array_join(F.zip_with(outside, spans, lambda a, b: F.concat(a, b)), "")
+    pattern = rf"(?d)\Q{RED_OPEN}\E.*?</span>"
+    outside, inside = F.split(html, pattern, -1), red_mentions(html)
+
+    def joined(text: Column) -> Column:
+        name = lambda k: F.coalesce(F.get(text["names"], k), F.get(text["inside"], k))
+        mention = lambda k: F.when(k < F.size(text["inside"]), F.concat(F.lit(RED_OPEN), name(k), F.lit(SPAN_CLOSE))).otherwise("")
+        return F.array_join(F.transform(text["outside"], lambda x, k: F.concat(x, mention(k))), "")
+
+    # as an array of one, so that both patterns are run once a text
+    text = F.array(F.struct(outside.alias("outside"), inside.alias("inside"), names.alias("names")))
+    several = F.get(F.transform(text, joined), F.lit(0))
+    quoted = F.regexp_replace(F.get(names, F.lit(0)), r"[\\$]", r"\\$0")
+    only = F.coalesce(F.regexp_replace(html, F.lit(pattern), F.concat(F.lit(RED_OPEN), quoted, F.lit(SPAN_CLOSE))), html)
+    return F.when(F.size(inside) == 0, html).when(F.size(inside) == 1, only).otherwise(several)
 
 
 def normalised_mention(mention: Column) -> Column:

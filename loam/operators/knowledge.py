@@ -32,7 +32,7 @@ def organise(snippets: DataFrame, linked: DataFrame, completions: DataFrame, key
 
     def dealt(items: DataFrame, index: str, value: Column, name: str) -> DataFrame:
         items = items.where(F.col(key).isNotNull()).select(key, F.col(index).cast("long").alias("at"), value.alias("value"))
-        held = F.array_sort(F.collect_list(F.struct("at", "value"))).alias(f"{name}_held")
+        held = F.sort_array(F.collect_set(F.struct("at", "value"))).alias(f"{name}_held")
         return ordinals.slab_of(items, [key], "at", name, before, slab).groupBy(key, "slab_").agg(held)
 
     note = F.concat(F.lit("\n'"), "entity", F.lit("' refers to "), "context")

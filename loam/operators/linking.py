@@ -15,7 +15,7 @@ from loam.sources.tables import stored
 TOP = 20
 #: Places of a score; the similarity at which names are fetched first.
 PLACES, LEVEL = 12, 0.8
-#: Mentions times tails up to which the first, pruning pass costs more than it saves.
+#: Mentions times tails up to which finding the near ones costs more than scoring them all.
 DIRECT = 1 << 18
 #: Letters in order from rare to common; all others are rarer.
 COMMON_LETTERS = "jqxzwvkfybhgmpudclotnraise"
@@ -132,7 +132,7 @@ def _mean_similarity(tail: str, parts: str) -> Column:
     return F.pandas_udf(means, "double")(tail, parts)
 
 
-def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, known: DataFrame | None = None, level: float = LEVEL) -> DataFrame:
+def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, known: DataFrame | None = None, level: float = LEVEL, direct: int = DIRECT) -> DataFrame:
     """mention, fqn, score, rank: the names whose score is among a mention's `top` highest
     distinct scores (to 12 places). The score of a name at least as deep as the mention is the
     mean similarity of its last components to the mention's. known (a, b, sim, from 0 to 1):
@@ -141,9 +141,10 @@ def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, known: DataFram
     A threshold algorithm over posting lists. A name none of whose components reaches x
     scores below x. So first the names with a component at `level` are fetched; the last of a
     mention's `top` scores among them, where it is below the level, is what one component of
-    any better name has to reach, and the names that have one are fetched (at once, of small
-    tables). Names that share their last components are one tail until the end. Only mentions that find fewer than `top`
-    scores above 0 take all other names, whose score is 0.
+    any better name has to reach, and the names that have one are fetched. Names that share
+    their last components are one tail until the end. Only mentions that find fewer than
+    `top` scores above 0 take all other names, whose score is 0. Both tables are counted
+    first: of at most `direct` mentions times tails, all are scored at once.
     """
     asked = mentions.select("mention").where("mention IS NOT NULL").distinct().withColumn("parts", F.split("mention", r"\.", -1))
     asked = stored(asked.withColumn("k", F.size("parts")), "mentions")
@@ -152,7 +153,11 @@ def fuzzy(mentions: DataFrame, names: DataFrame, top: int = TOP, known: DataFram
     place = F.dense_rank().over(Window.partitionBy("mention").orderBy(F.desc("score")))
     best = lambda rows: rows.withColumn("rank", place).where(F.col("rank") <= top)
     first, rest = None, asked.withColumn("floor", F.lit(0.0))
-    if asked.count() * tails.count() > DIRECT:
+    small = asked.count() * tails.count() <= direct
+    if small and known is None:
+        every = asked.join(tails, "k").select("mention", "tail", _mean_similarity("tail", "parts").alias("score"))
+        return best(every).join(named.select("fqn", "tail"), "tail").select("mention", "fqn", "score", "rank")
+    if not small:
         first = stored(best(_fetched(asked.withColumn("floor", F.lit(level)), tails, known)), "near")
         last = first.groupBy("mention").agg(F.max("rank").alias("levels"), F.min("score").alias("least"))
         floor = F.when(F.col("levels") >= top, F.col("least")).otherwise(0.0)

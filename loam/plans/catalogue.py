@@ -251,19 +251,30 @@ _SAME = "len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i
 _JW = "(jaro_similarity({a}, {b}) + CASE WHEN jaro_similarity({a}, {b}) > 0 THEN 0.1 * least(4, " + _SAME + ") * (1 - jaro_similarity({a}, {b})) ELSE 0 END)"
 
 
-@query(f"""
+_TOPK_SQL = f"""
 WITH g AS (SELECT DISTINCT {NAME_SQL} AS fqn FROM part),
 m AS (SELECT DISTINCT replace(replace(p_name, 'i', 'e'), ' ', '.') AS mention FROM part),
 p AS (SELECT mention, fqn, split_part(mention, '.', 1) AS a1, split_part(mention, '.', 2) AS a2, split_part(fqn, '.', 2) AS b1, split_part(fqn, '.', 3) AS b2 FROM m, g),
 s AS (SELECT mention, fqn, round(({_JW.format(a="a1", b="b1")} + {_JW.format(a="a2", b="b2")}) / 2, 12) AS score FROM p),
 r AS (SELECT mention, fqn, round(score, 9) AS score, dense_rank() OVER (PARTITION BY mention ORDER BY score DESC) AS rank FROM s)
-SELECT mention, fqn, score, rank::INT AS rank FROM r WHERE rank <= 20""")
+SELECT mention, fqn, score, rank::INT AS rank FROM r WHERE rank <= 20"""
+
+
+@query(_TOPK_SQL)
 def j2_topk_distinct(spark, folder):
     parts = views.named_parts(spark, folder)
     mentions = parts.select(F.translate(F.replace(F.col("p_name"), F.lit("i"), F.lit("e")), " ", ".").alias("mention"))
     return linking.fuzzy(mentions, linking.gazetteer(parts)).withColumn("score", F.round("score", 9))
 
 
+@query(_TOPK_SQL)
+def j2_by_posting_lists(spark, folder):
+    """The same by posting lists, as large tables take it."""
+    parts = views.named_parts(spark, folder)
+    mentions = parts.select(F.translate(F.replace(F.col("p_name"), F.lit("i"), F.lit("e")), " ", ".").alias("mention"))
+    return linking.fuzzy(mentions, linking.gazetteer(parts), direct=0).withColumn("score", F.round("score", 9))
+
+
 @query(f"""
 WITH g AS (SELECT DISTINCT {NAME_SQL} AS fqn FROM part), m AS (SELECT DISTINCT 'x.' || split_part(p_name, ' ', 2) AS mention FROM part)
 SELECT mention, fqn FROM m, g WHERE lower(substr(split_part(mention, '.', 2), 1, 2)) = lower(substr(split_part(fqn, '.', 3), 1, 2))""")

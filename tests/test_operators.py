@@ -122,19 +122,17 @@ def test_linking(spark):
     assert {(r.mention, r.constraint) for r in got.collect()} == {("b.zz.load", "b.load"), ("q", "")}
 
 
-def test_all_ties_of_the_last_level_stay(spark, monkeypatch):
-    monkeypatch.setattr(linking, "DIRECT", 0)
+def test_all_ties_of_the_last_level_stay(spark):
     names = linking.gazetteer(spark.createDataFrame([(f"x.{'ab'[k % 2]}{k:02}",) for k in range(25)], "fqn string"))
     for level in (0.99, 0.1):
-        got = linking.fuzzy(spark.createDataFrame([("ab",)], "mention string"), names, top=2, level=level)
+        got = linking.fuzzy(spark.createDataFrame([("ab",)], "mention string"), names, top=2, level=level, direct=0)
         levels = sorted({r.score for r in got.collect()}, reverse=True)
         assert len(levels) == 2 and got.count() > 2
 
 
 @pytest.mark.parametrize("top", [3, 40])
-@pytest.mark.parametrize(("cached", "direct"), [(False, 0), (True, 0), (True, 1 << 18)])
-def test_fuzzy_matches_all_pairs(spark, monkeypatch, top, cached, direct):
-    monkeypatch.setattr(linking, "DIRECT", direct)
+@pytest.mark.parametrize(("cached", "direct"), [(False, 0), (False, 1 << 18), (True, 0), (True, 1 << 18)])
+def test_fuzzy_matches_all_pairs(spark, top, cached, direct):
     rng = random.Random(top)
     words = ["".join(rng.choices("abcdé漢", k=rng.randint(0, 6))) for _ in range(30)] + ["load", "laod", "loads", "x", "é" * 40]
     pick = lambda: ".".join(rng.choices(words, k=rng.randint(1, 4)))
@@ -154,13 +152,13 @@ def test_fuzzy_matches_all_pairs(spark, monkeypatch, top, cached, direct):
     names = linking.gazetteer(spark.createDataFrame([(x,) for x in fqns], "fqn string"))
     table = spark.createDataFrame([(*k, v) for k, v in known.items()], "a string, b string, sim double") if cached else None
     asked = spark.createDataFrame([(x,) for x in [*mentions, None]], "mention string")
-    got = linking.fuzzy(asked, names, top, known=table)
+    got = linking.fuzzy(asked, names, top, known=table, direct=direct)
     assert {(r.mention, r.fqn, round(r.score, 9), r["rank"]) for r in got.collect()} == wanted
 
 
 def test_fuzzy_meets_no_mention_with_all_names(spark):
     names = linking.gazetteer(spark.createDataFrame([(f"x.name{k}",) for k in range(30)], "fqn string"))
-    got = linking.fuzzy(spark.createDataFrame([("name1",)], "mention string"), names, top=1)
+    got = linking.fuzzy(spark.createDataFrame([("name1",)], "mention string"), names, top=1, direct=0)
     with contextlib.redirect_stdout(shown := io.StringIO()):
         got.explain()
     assert "Cartesian" not in shown.getvalue() and "NestedLoop" not in shown.getvalue()

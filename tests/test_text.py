@@ -37,6 +37,10 @@ def test_red_mentions_are_replaced_in_order(spark):
     html = 'a <span style="color:red">x</span> b <span style="color:red">y</span>'
     got = value(spark, text.replace_red(F.col("t"), F.array(F.lit("new"))), t=html)
     assert got == html.replace(">x<", ">new<")
+    red = lambda *x: " and ".join(f"{text.RED_OPEN}{y}</span>" for y in x)
+    for old, names, new in [(["a"], ["$1\\"], ["$1\\"]), (["a"], [None], ["a"]), (["a"], [], ["a"]), (["a", "b", "c"], [None, "$0"], ["a", "$0", "c"]), (["a"], ["x", "y"], ["x"])]:
+        given = F.array(*map(F.lit, names)).cast("array<string>")
+        assert value(spark, text.replace_red(F.col("t"), given), t=red(*old)) == red(*new)
     assert value(spark, text.replace_red(F.col("t"), F.array(F.lit("new"))), t="plain") == "plain"
 
 
