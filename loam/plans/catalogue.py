@@ -120,6 +120,17 @@ def t11_part_tokens(spark, folder):
     return read(spark, folder, "part").select("p_partkey", F.transform(tokenizer.tokenized(text_), lambda t: t["token"]).alias("tokens"))
 
 
+@query("""
+WITH t AS (SELECT p_partkey, [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), ',', 'é漢', 'np.' || lower(p_type) || '()', '<', p_size::VARCHAR, '.'] AS tokens, [0, 1, 0, 1, 1, 1, 1, 1] AS gaps FROM part),
+u AS (SELECT p_partkey, unnest(tokens) AS token, unnest(gaps) AS gap, generate_subscripts(tokens, 1) - 1 AS pos FROM t),
+e AS (SELECT *, sum(gap + length(token)) OVER (PARTITION BY p_partkey ORDER BY pos) AS "end" FROM u)
+SELECT p_partkey, pos::INT AS pos, token, ("end" - length(token))::INT AS start, "end"::INT AS "end" FROM e""")
+def t12_places(spark, folder):
+    """Places of tokens in the cleaned text: white space and entities shrink, letters beyond ASCII count once."""
+    text_ = F.concat("p_name", F.lit(",  é漢\n np."), F.lower("p_type"), F.lit("() &lt; "), F.col("p_size").cast("string"), F.lit(" ."))
+    return read(spark, folder, "part").select("p_partkey", F.explode(tokenizer.tokenized(text_)).alias("t")).select("p_partkey", "t.*")
+
+
 @query(r"""
 SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS squeezed FROM documents""")
 def t13_squeeze(spark, folder):
