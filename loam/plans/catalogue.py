@@ -372,12 +372,14 @@ def c1_c4_c6_broken_code(spark, folder):
     """Imports, assignments and parameters of code that does not parse: one of four kinds of
     broken line, a call, an import and a definition over several lines, older syntax, prose,
     and a block whose header is lost."""
-    posts = views.broken_code(spark, folder)
+    found = code.read(views.broken_code(spark, folder), "p_partkey", names=True)
     row = lambda kind, name, source: F.struct(F.lit(kind).alias("kind"), name.alias("name"), source.alias("source"))
-    found = code.import_rows(posts, "p_partkey").select("p_partkey", row("import", F.col("alias"), F.col("module")).alias("r"))
-    found = found.unionByName(code.assign_rows(posts, "p_partkey").select("p_partkey", row("assign", F.col("variable"), F.col("source")).alias("r")))
-    names = posts.select("p_partkey", F.explode(code.names(F.get("code_blocks", F.lit(0)))["parameters"]).alias("name"))
-    return found.unionByName(names.select("p_partkey", row("parameter", F.col("name"), F.lit("")).alias("r"))).select("p_partkey", "r.*")
+    rows = F.concat(
+        F.transform("code.imports", lambda x: row("import", x["alias"], x["module"])),
+        F.transform("code.assigns", lambda x: row("assign", x["variable"], x["source"])),
+        F.transform(F.get("code.names", F.lit(0))["parameters"], lambda x: row("parameter", x, F.lit(""))),
+    )
+    return found.select("p_partkey", F.explode(rows).alias("r")).select("p_partkey", "r.*")
 
 
 @query("""

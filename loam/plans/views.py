@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from loam.sources import tables
 
 
+def dealt_parts(spark, folder: str) -> DataFrame:
+    """The parts dealt to all cores by their key. A million of them fit one file of a few MB,
+    which a single task would read; here Python works on each row for far longer than that."""
+    return tables.dealt(tables.read_table(spark, folder, "part"), "p_partkey")
+
+
 def named_parts(spark, folder: str) -> DataFrame:
     """Parts with a qualified name: type, then the words of the name."""
     name = F.concat(F.lower("p_type"), F.lit("."), F.translate("p_name", " ", "."))
@@ -26,7 +32,7 @@ def part_code(spark, folder: str) -> DataFrame:
         F.concat(F.lit("y, z = "), second, F.lit("("), F.col("p_size").cast("string"), F.lit(")")),
         F.lit("def f(a, b=1):\n    return a"),
     )
-    return tables.read_table(spark, folder, "part").select("p_partkey", F.array(lines).alias("code_blocks"))
+    return dealt_parts(spark, folder).select("p_partkey", F.array(lines).alias("code_blocks"))
 
 
 def broken_code(spark, folder: str) -> DataFrame:
@@ -47,7 +53,7 @@ def broken_code(spark, folder: str) -> DataFrame:
         F.concat(F.lit("    w = v"), key, F.lit(".get()")),
         F.concat(F.lit("import late"), key),
     )
-    return tables.read_table(spark, folder, "part").select("p_partkey", F.array(lines).alias("code_blocks"))
+    return dealt_parts(spark, folder).select("p_partkey", F.array(lines).alias("code_blocks"))
 
 
 def annotated_parts(spark, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from loam.operators import code, islands
 
@@ -74,3 +75,25 @@ def test_odd_and_long_texts_end(text):
     code.imports([text])
     code.names_of_code(text)
     assert time.perf_counter() - began < 20
+
+
+BLOCKS = ["import a as b\nx = b.f()\ndef g(q):\n    return q", "print x\ny, z = load(\n  1)\nif no no:\n    w = k.go()\ndef h(r, s=1):\n    pass", "# note\n...\nfor i, j in k:\n    m[0] = f()\nfrom n import *\nown()", "plain words", "", None]
+
+
+def test_one_reading_finds_what_separate_ones_do():
+    whole = code.everything(BLOCKS)
+    assert whole == {"imports": code.imports(BLOCKS), "assigns": code.assignments(BLOCKS), "names": [code.names_of_code(b) for b in BLOCKS]}
+    assert whole["imports"] and whole["assigns"] and whole["names"][1]["parameters"] == ["r"]
+    assert code.everything(None) == {"imports": [], "assigns": [], "names": []}
+
+
+def test_code_is_read_once_and_by_all_cores(spark, tmp_path):
+    """A small file is one task's; its rows are dealt before they go to Python."""
+    from loam.plans import catalogue
+
+    rows = spark.range(40).selectExpr("id AS p_partkey", "'ab cd' AS p_name", "'TIN' AS p_type", "CAST(id % 7 AS int) AS p_size", "'Brand#1' AS p_brand")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = catalogue.QUERIES["c1_c4_c6_broken_code"](spark, str(tmp_path))
+    assert found.count() == 8 * 40
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
