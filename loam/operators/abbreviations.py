@@ -52,7 +52,9 @@ def abbreviations(counts: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
 def sentences(texts: DataFrame, keys: list[str], known: DataFrame, text: str = "text") -> DataFrame:
     """keys, sent_idx, content: texts split behind [.!?] and white space, unless the word before
     a period is a known abbreviation (word) or a single letter, or what follows begins in lower
-    case. Keys tell the texts apart; a null text has no sentences.
+    case. Keys tell the texts apart; a null text has no sentences. A known word with a digit
+    is a name or a number that ends sentences: its score grows with the corpus, however long
+    the word, and would pass for that of an abbreviation.
 
     The parts of one text are numbered in one window, so a task holds a text at a time.
     """
@@ -60,7 +62,8 @@ def sentences(texts: DataFrame, keys: list[str], known: DataFrame, text: str = "
     rows = texts.select(*keys, F.posexplode(parts).alias("part", "piece"))
     own = Window.partitionBy(*keys).orderBy("part")
     last = F.lower(F.regexp_replace(F.regexp_extract("piece", r"(?U)(\S+)\.\z", 1), AROUND, ""))
-    rows = rows.withColumn("word", last).join(known.select("word", F.lit(True).alias("known")), "word", "left")
+    shortened = known.where(~F.rlike("word", F.lit(r"\p{N}")))
+    rows = rows.withColumn("word", last).join(shortened.select("word", F.lit(True).alias("known")), "word", "left")
     goes_on = F.col("piece").endswith(".") & (F.col("known").isNotNull() | F.rlike("word", F.lit(r"^\p{L}\z")) | F.rlike(F.lead("piece").over(own), F.lit(r"^\p{Ll}")))
     rows = rows.withColumn("ends", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
     rows = rows.withColumn("sent", F.coalesce(F.sum("ends").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -378,3 +378,15 @@ def test_stream_of_posts(spark, tmp_path):
     spark.createDataFrame([(1, "u", "<p>hi</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "in"))
     ingest.segment_stream(ingest.posts(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().content == "hi"
+
+
+def test_names_with_digits_end_sentences_in_large_corpora_too(spark):
+    """Eight letters that always stand before a period score above the least from some 300 on."""
+    from loam.operators import abbreviations
+
+    texts = spark.range(2000).selectExpr("id", "'It is in Fig. 2 by J. Brand#12. STANDARD ends it' AS text")
+    counts = abbreviations.counted(texts)
+    known = abbreviations.abbreviations(counts)
+    assert "brand#12" in {r["word"] for r in known.collect()}
+    found = abbreviations.sentences(texts.where("id = 7"), ["id"], known)
+    assert [r["content"] for r in found.orderBy("sent_idx").collect()] == ["It is in Fig. 2 by J. Brand#12.", "STANDARD ends it"]
