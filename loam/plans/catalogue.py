@@ -392,7 +392,7 @@ def c13_names(spark, folder):
     block = F.concat(
         own, F.lit(" = len("), second, F.lit(")\n"), first, F.lit("_t['x'] = "), own, F.lit("\ndef helper(q, r=1):\n  for "), own, F.lit("i, "), own, F.lit("j in items:\n    total = "), own, F.lit("i\n"),
     )
-    posts = read(spark, folder, "part").select("p_partkey", code.names(block).alias("n"))
+    posts = views.dealt_parts(spark, folder).select("p_partkey", code.names(block).alias("n"))
     sorted_ = lambda c: F.array_sort(F.array_distinct(f"n.{c}")).alias(c)
     return posts.select("p_partkey", sorted_("identifiers"), sorted_("assigned"), F.col("n.parameters").alias("parameters"), F.col("n.loop_targets").alias("loop_targets"))
 

@@ -97,3 +97,15 @@ def test_code_is_read_once_and_by_all_cores(spark, tmp_path):
     assert found.count() == 8 * 40
     assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("name", ["c13_names", "c2_star_imports", "c4_assignments", "a4_variables", "c1_imports", "t11_part_tokens", "e3_long_chunks", "e2_candidates", "t12_places", "t9_prompts"])
+def test_python_works_on_parts_in_several_tasks(spark, tmp_path, name):
+    from loam.plans import catalogue
+
+    rows = spark.range(40).selectExpr("id AS p_partkey", "'ab cd' AS p_name", "'TIN' AS p_type", "CAST(id % 7 AS int) AS p_size", "'Brand#1' AS p_brand")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = catalogue.QUERIES[name](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("RepartitionByExpression [p_partkey")
+    assert plan.count("ArrowEvalPython") <= 2
