@@ -733,7 +733,7 @@ UNION ALL SELECT p_partkey, 'known', 'kept.known' FROM part""")
 def c2_star_imports(spark, folder):
     first = F.substring_index("p_name", " ", 1)
     block = F.concat(F.lit("from kept import known\nfrom "), F.lower("p_type"), F.lit(".all import *\ndef own(): pass\n"), first, F.lit("(1)\nown()\nknown()\na.b()\n"))
-    posts = read(spark, folder, "part").select("p_partkey", F.array(block).alias("code_blocks"))
+    posts = views.dealt_parts(spark, folder).select("p_partkey", F.array(block).alias("code_blocks"))
     return code.alias_map(code.import_rows(posts, "p_partkey"), "p_partkey").select("p_partkey", "alias", F.element_at("modules", 1).alias("module"))
 
 
