@@ -51,6 +51,17 @@ def source_chain(imports: DataFrame, assigns: DataFrame, key: str) -> DataFrame:
     return a.unionByName(b).groupBy(key, "name").agg(F.max_by(F.struct("source", "index"), "at").alias("s")).select(key, "name", "s.source", "s.index")
 
 
+def source_chain_of(found: DataFrame, key: str) -> DataFrame:
+    """source_chain() of what code.read() gives, so that the code is read once."""
+    row = lambda name, source, index, kind, x: F.struct(name.alias("name"), source.alias("source"), index.alias("index"), F.struct(F.lit(kind).alias("kind"), x["ord"].alias("ord")).alias("at"))
+    rows = F.concat(
+        F.transform("code.imports", lambda x: row(x["alias"], x["module"], F.lit(None).cast("int"), 0, x)),
+        F.transform("code.assigns", lambda x: row(x["variable"], x["source"], x["index"], 1, x)),
+    )
+    each = found.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+    return each.groupBy(key, "name").agg(F.max_by(F.struct("source", "index"), "at").alias("s")).select(key, "name", "s.source", "s.index")
+
+
 def _at(kind: str | list, index: int) -> str:
     if isinstance(kind, str):
         return kind

@@ -401,8 +401,7 @@ def c13_names(spark, folder):
 SELECT p_partkey, lower(p_type) || '.core.load.head' AS x, lower(p_type) || '.' || replace(p_name, ' ', '.') || '.tail' AS y, 'm' || p_partkey AS name,
        lower(p_type) || '.core' AS source FROM part""")
 def a4_variables(spark, folder):
-    posts = views.part_code(spark, folder)
-    chain = aliases.source_chain(code.import_rows(posts, "p_partkey"), code.assign_rows(posts, "p_partkey"), "p_partkey")
+    chain = aliases.source_chain_of(code.read(views.part_code(spark, folder), "p_partkey"), "p_partkey")
     maps = chain.groupBy("p_partkey").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("source", "index")))).alias("chain"))
     name = F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
     return maps.select(
