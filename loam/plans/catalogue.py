@@ -117,7 +117,7 @@ def t11_part_tokens(spark, folder):
     text_ = F.concat(
         F.col("p_name"), F.lit(", np."), F.lower(F.substring_index("p_type", " ", 1)), F.lit("() &lt;= "), F.col("p_size").cast("string"), F.lit(".5  and (more) :) http://x.com/"), F.col("p_partkey").cast("string"), F.lit(" !"),
     )
-    return read(spark, folder, "part").select("p_partkey", F.transform(tokenizer.tokenized(text_), lambda t: t["token"]).alias("tokens"))
+    return views.dealt_parts(spark, folder).select("p_partkey", F.transform(tokenizer.tokenized(text_), lambda t: t["token"]).alias("tokens"))
 
 
 @query("""
@@ -128,7 +128,7 @@ SELECT p_partkey, pos::INT AS pos, token, ("end" - length(token))::INT AS start,
 def t12_places(spark, folder):
     """Places of tokens in the cleaned text: white space and entities shrink, letters beyond ASCII count once."""
     text_ = F.concat("p_name", F.lit(",  é漢\n np."), F.lower("p_type"), F.lit("() &lt; "), F.col("p_size").cast("string"), F.lit(" ."))
-    return read(spark, folder, "part").select("p_partkey", F.explode(tokenizer.tokenized(text_)).alias("t")).select("p_partkey", "t.*")
+    return views.dealt_parts(spark, folder).select("p_partkey", F.explode(tokenizer.tokenized(text_)).alias("t")).select("p_partkey", "t.*")
 
 
 @query(r"""
