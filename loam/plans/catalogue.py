@@ -723,7 +723,7 @@ def t9_prompts(spark, folder):
     size = F.col("p_size").cast("string")
     session = F.concat(F.lit("In [1]: "), "p_type", F.lit(" = "), size, F.lit("\nOut[1]: 5\nnoise\n>>> for x in y:\n...   print(x)\n\n1"))
     plain = F.concat(F.lit("x = "), size, F.lit("  # note\n\n"))
-    return read(spark, folder, "part").select("p_partkey", code.cleaned(session).alias("session"), code.cleaned(plain).alias("plain"))
+    return views.dealt_parts(spark, folder).select("p_partkey", code.cleaned(session).alias("session"), code.cleaned(plain).alias("plain"))
 
 
 @query("""
@@ -884,7 +884,7 @@ def a6_in_full(spark, folder):
     ordered = counted.withColumn("ord", F.row_number().over(Window.partitionBy("alias").orderBy(F.desc("freq"), "fqn")))
     best = aliases.best_alias(ordered, linking.terms(linking.gazetteer(parts)))
     block = F.concat(F.lit("x = "), "p_brand", F.lit(".read(1)"))
-    assigned = code.assign_rows(parts.select("p_partkey", F.array(block).alias("code_blocks")), "p_partkey")
+    assigned = code.assign_rows(tables.dealt(parts, "p_partkey").select("p_partkey", F.array(block).alias("code_blocks")), "p_partkey")
     chain = assigned.select("p_partkey", F.create_map("variable", F.struct("source", "index")).alias("chain"))
     rows = parts.select("p_partkey", "p_brand").join(chain, "p_partkey")
     names = F.array(F.struct(F.lit("variable").alias("form"), F.lit("x.head").alias("mention")), F.struct(F.lit("direct").alias("form"), F.concat("p_brand", F.lit(".plot")).alias("mention")))
