@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from loam.operators.replies import parse_list
 
 RETRIES = 5
+#: Calls whose replies a task hands on together.
+CALLS = 256
 MESSAGES = "array<struct<role:string,content:string>>"
 TEMPLATES = {
     "link_candidates": ("You link API mentions to fully qualified names.", "Post:\n{post}\nMentions: {mentions}\nCandidates:\n{candidates}\nAnswer with one list, an entry for each mention, None where no name fits."),
@@ -157,23 +160,25 @@ def completed(
     if report:
         added += [T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())]
 
-    def called(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def called(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket(rate / concurrency if rate is not None else None)
-        for frame in frames:
+        # The rows' other columns, which may hold whole posts, are passed on as they came.
+        for batch in (b.slice(at, CALLS) for b in batches for at in range(0, b.num_rows, CALLS)):
             found = []
-            for sent in frame[column]:
+            for sent in batch.column(column):
                 reply = error = None
                 for attempt in range(1, 2 + retries):
                     bucket.wait()
                     try:
-                        reply, error = completer.complete(_talk(sent)), None
+                        reply, error = completer.complete(_talk(sent.as_py())), None
                         break
                     except Exception as e:  # noqa: BLE001
                         error = f"{type(e).__name__}: {e}"
                 found.append((reply, attempt, error))
-            yield frame.assign(**{f.name: [x[k] for x in found] for k, f in enumerate(added)})
+            columns = [pa.array([x[k] for x in found], pa.int32() if f.name == "attempts" else pa.string()) for k, f in enumerate(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *(f.name for f in added)])
 
-    return rows.mapInPandas(called, T.StructType([*rows.schema, *added]))
+    return rows.mapInArrow(called, T.StructType([*rows.schema, *added]))
 
 
 def constrained(prompts: DataFrame, completer: Completer, known: str = "known", retries: int = RETRIES) -> DataFrame:

@@ -390,3 +390,13 @@ def test_names_with_digits_end_sentences_in_large_corpora_too(spark):
     assert "brand#12" in {r["word"] for r in known.collect()}
     found = abbreviations.sentences(texts.where("id = 7"), ["id"], known)
     assert [r["content"] for r in found.orderBy("sent_idx").collect()] == ["It is in Fig. 2 by J. Brand#12.", "STANDARD ends it"]
+
+
+def test_other_columns_pass_by_python_as_they_came(spark):
+    from loam.operators import completer
+
+    rows = spark.range(600, numPartitions=1).selectExpr("id", "array(id, null) AS ids", "map('k', id) AS m", "array(named_struct('role', 'user', 'content', concat('Quotes:\nq', id, '\nPhrases: p'))) AS messages")
+    done = completer.completed(rows, completer.FirstQuote(), report=True)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    found = {r["id"]: r for r in done.collect()}
+    assert len(found) == 600 and all(r["ids"] == [k, None] and r["m"] == {"k": k} and r["attempts"] == 1 and r["error"] is None and f"q{k}" in r["reply"] for k, r in found.items())
