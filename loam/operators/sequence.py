@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 DIM = 1 << 18
 PASSES, TASKS = 4, 8
+#: Sentences whose features and tags are kept at hand for when they come again.
+KEPT = 1000
 
 
 def shape(token: str) -> str:
@@ -77,12 +79,21 @@ def corrected(start: Weights, sentences: Iterator[tuple[list[str], list[int]]])
     # Sums of each change times when it was made, so that averages cost nothing in between.
     late = Weights(np.zeros_like(now.emit), np.zeros_like(now.move))
     n = 0
+    seen: dict[tuple, list[np.ndarray]] = {}
+    done: dict[tuple, list[int]] = {}  # valid until the weights change
     for tokens, labels in sentences:
         n += 1
-        found = features(tokens)
-        got = now.decode(found)
+        key = tuple(tokens)
+        if (found := seen.get(key)) is None:
+            if len(seen) >= KEPT:
+                seen.clear()
+                done.clear()
+            found = seen[key] = features(tokens)
+        if (got := done.get(key)) is None:
+            got = done[key] = now.decode(found)
         if got == labels:
             continue
+        done.clear()
         for tags, sign in ((labels, 1.0), (got, -1.0)):
             before = -1
             for held, tag in zip(found, tags, strict=True):
@@ -131,7 +142,16 @@ def tagged(samples: DataFrame, weights: Weights, tokens: str = "tokens", name: s
     sent = samples.sparkSession.sparkContext.broadcast(weights)
 
     def of_rows(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: sent.value.decode(features(list(r))) if r is not None else None)
+        done: dict[tuple, list[int]] = {}
+
+        def tags(row) -> list[int]:
+            if (key := tuple(row)) not in done:
+                if len(done) >= KEPT:
+                    done.clear()
+                done[key] = sent.value.decode(features(list(row)))
+            return done[key]
+
+        return rows.map(lambda r: tags(r) if r is not None else None)
 
     return samples.withColumn(name, F.pandas_udf(of_rows, "array<int>")(tokens))
 

@@ -854,7 +854,7 @@ def n5_sentence_tagger(spark, folder):
     word = F.substring_index("p_name", " ", 1)
     tokens = F.array(F.when(called, "call").otherwise("the"), word, F.lower("p_type"), F.lit("now"))
     labels = F.array(F.lit(0), called.cast("int"), F.lit(0), F.lit(0))
-    samples = read(spark, folder, "part").select("p_partkey", tokens.alias("tokens"), labels.alias("labels"))
+    samples = views.dealt_parts(spark, folder).select("p_partkey", tokens.alias("tokens"), labels.alias("labels"))
     held = F.col("p_partkey") % 5 == 0
     return sequence.counts(sequence.tagged(samples.where(held), sequence.train(samples.where(~held))))
 

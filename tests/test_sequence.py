@@ -92,3 +92,15 @@ def test_optional_columns_are_left_out(spark):
     row = spark.createDataFrame([(["a"], [1], ["a.b"], ["x"], ["y"], ["z"])], "tokens array<string>, ner_tags array<int>, full_names array<string>, mention_morphological array<string>, mention_common array<string>, api_common array<string>")
     assert tagging.required_columns(row).columns == ["tokens", "ner_tags"]
     assert tagging.required_columns(row.select("tokens")).columns == ["tokens"]
+
+
+def test_equal_sentences_are_read_once(monkeypatch):
+    """Features are made once for each different sentence, and the weights are the same."""
+    calls, features = [], sequence.features
+    monkeypatch.setattr(sequence, "features", lambda tokens: calls.append(tokens) or features(tokens))
+    pairs = [(["call", "np"], [0, 1]), (["the", "np"], [0, 0])] * 200
+    kept, n = sequence.corrected(sequence.Weights.none(2), iter(pairs))
+    assert n == 400 and len(calls) == 2
+    monkeypatch.setattr(sequence, "KEPT", 1)
+    plain, _ = sequence.corrected(sequence.Weights.none(2), iter(pairs))
+    assert len(calls) > 300 and (kept.emit == plain.emit).all() and (kept.move == plain.move).all()
