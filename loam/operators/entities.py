@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions.rows import by_rows
 from loam.functions.text import DEMONSTRATIVES
 from loam.operators import replies
 from loam.operators.completer import Completer, completed, messages
 
 CHUNKS = "array<struct<start:int,end:int,text:string>>"
+CHUNKS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
 STOPS = frozenset("is are was were be been has have had do does did can could will would should may might must and or but if of to in on at by for with from as than then so not when while because which who whom whose that's it's".split())
 ARTICLES = frozenset(("the", "a", "an"))
 HEADS = frozenset(DEMONSTRATIVES) | ARTICLES
@@ -48,10 +50,7 @@ def noun_chunks(sentence: str | None, verbs: list[str] | None = None) -> list[di
 
 
 def chunked(sentence, verbs: Column | str | None = None) -> Column:
-    def of_rows(rows: pd.Series, acting: pd.Series) -> pd.Series:
-        return pd.Series([noun_chunks(*x) for x in zip(rows, acting, strict=True)])
-
-    return F.pandas_udf(of_rows, CHUNKS)(sentence, F.array().cast("array<string>") if verbs is None else verbs)
+    return by_rows(noun_chunks, CHUNKS, CHUNKS_ARROW, sentence, F.array().cast("array<string>") if verbs is None else verbs)
 
 
 def _keys(key: str | list[str]) -> list[str]:

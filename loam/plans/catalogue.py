@@ -631,7 +631,7 @@ SELECT p_partkey, t.start, t."end", t.entity AS text FROM part,
 def e2_candidates(spark, folder):
     """Chunks of sentences about parts: one with a demonstrative, one that is the post's own
     variable, one that is no candidate."""
-    parts = read(spark, folder, "part")
+    parts = views.dealt_parts(spark, folder)
     own = F.concat(F.lit("v"), F.col("p_partkey").cast("string"))
     sentence = F.concat(F.lit("those "), F.substring_index("p_name", " ", 1), F.lit(" were fine; "), own, F.lit("[0] is new to "), F.substring_index("p_name", " ", -1), F.lit("."))
     chunks = parts.select("p_partkey", F.lit(0).alias("sent_idx"), F.explode(entities.chunked(sentence)).alias("c")).select("p_partkey", "sent_idx", "c.*")
@@ -651,7 +651,7 @@ SELECT p_partkey, unnest(['the very large new ' || p_name, 'those old ' || lower
 def e3_long_chunks(spark, folder):
     """Phrases of any length in sentences about parts, which end at words that the corpus shows
     to be verbs: three of them stand behind "it" or "can" somewhere, the others end like them."""
-    parts = read(spark, folder, "part")
+    parts = views.dealt_parts(spark, folder)
     acts = F.concat(F.chr(97 + F.col("p_partkey") % 7), F.lit("arks"))
     shown = F.when(F.col("p_partkey") % 7 < 3, F.concat(F.lit("It "), acts, F.lit(" now. They can "), acts, F.lit(" too.")))
     sentence = F.concat(
