@@ -714,7 +714,7 @@ def t4_thread_blocks(spark, folder):
 SELECT p_partkey, [p_type || ' < 2'] AS codes, ['Text: ' || p_name || ' x', 'Code: ' || p_type || ' < 2'] AS blocks FROM part""")
 def t5_t6_html_blocks(spark, folder):
     page = F.concat(F.lit("<p>"), "p_name", F.lit(" <code>x</code></p>\n<pre><code>"), "p_type", F.lit(" &lt; 2</code></pre>"))
-    return read(spark, folder, "part").select("p_partkey", segments.codes(page).alias("codes"), segments.blocks(page).alias("blocks"))
+    return views.dealt_parts(spark, folder).select("p_partkey", segments.codes(page).alias("codes"), segments.blocks(page).alias("blocks"))
 
 
 @query("""
@@ -1050,7 +1050,8 @@ def s16_extracted(spark, folder):
     counted = parts.groupBy(F.col("p_brand").alias("alias"), "fqn").agg(F.count("*").alias("freq")).withColumn("ord", F.lit(0))
     names = linking.gazetteer(parts)
     best = aliases.best_alias(counted, linking.terms(names))
-    return extraction.extract(parts.select("p_partkey", html.alias("html")), names, "p_partkey", best=best, linker=completer.FirstCandidate(), explainer=completer.FirstQuote())
+    posts = tables.dealt(parts, "p_partkey").select("p_partkey", html.alias("html"))
+    return extraction.extract(posts, names, "p_partkey", best=best, linker=completer.FirstCandidate(), explainer=completer.FirstQuote())
 
 
 # Flagship

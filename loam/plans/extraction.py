@@ -27,18 +27,20 @@ def mentions_of(tokens: DataFrame, key: str, tagger: tagging.Tagger) -> DataFram
     )
 
 
-def source_maps(blocks: DataFrame, key: str) -> DataFrame:
-    """key, chain (where each name of a post's code comes from) and modules (of each import)."""
-    imports = code.import_rows(blocks, key)
-    chain = aliases.source_chain(imports, code.assign_rows(blocks, key), key)
+def source_maps(found: DataFrame, key: str) -> DataFrame:
+    """key, chain (where each name of a post's code comes from) and modules (of each import), of
+    what code.read() gives."""
+    imports = found.select(key, F.explode("code.imports").alias("i")).select(key, "i.*")
+    chain = aliases.source_chain_of(found, key)
     chains = chain.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("source", "index")))).alias("chain"))
     modules = code.alias_map(imports, key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("alias", "modules"))).alias("modules"))
     return chains.join(modules, key, "left")
 
 
-def in_full(mentions: DataFrame, blocks: DataFrame, key: str, best: DataFrame | None) -> DataFrame:
-    """mentions by their post's imports, then by its assignments and the global aliases."""
-    rows = mentions.join(source_maps(blocks, key), key, "left").withColumn("mention", aliases.with_imports(F.col("mention"), F.col("modules")))
+def in_full(mentions: DataFrame, found: DataFrame, key: str, best: DataFrame | None) -> DataFrame:
+    """mentions by their post's imports, then by its assignments and the global aliases; found:
+    what code.read() gives."""
+    rows = mentions.join(source_maps(found, key), key, "left").withColumn("mention", aliases.with_imports(F.col("mention"), F.col("modules")))
     if best is None:
         rows = rows.withColumn("mention", aliases.resolved("mention", "chain"))
     else:
@@ -68,13 +70,13 @@ def asked(sentences: DataFrame, mentions: DataFrame, ranked: DataFrame, names: D
     return answered.select(key, "known", F.posexplode("predicted").alias("mention_idx", "fqn")).where(F.array_contains("known", F.col("fqn"))).drop("known")
 
 
-def context_marks(sentences: DataFrame, blocks: DataFrame, names: DataFrame, key: str, explainer: completer.Completer) -> DataFrame:
+def context_marks(sentences: DataFrame, found: DataFrame, names: DataFrame, key: str, explainer: completer.Completer) -> DataFrame:
     """key, sent_idx, start, end, entity: phrases that depend on context, but for those that
     corefer to something else in their sentence."""
     shown = sentences.where("kind = 'Text'").withColumn("content", tokenizer.cleaned("content"))
     shown = lexicon.with_verbs(shown, [key, "sent_idx"], "content", stored(lexicon.lexicon(shown, "content"), "lexicon"))
     chunks = shown.select(key, "sent_idx", F.explode(entities.chunked("content", "verbs")).alias("c")).select(key, "sent_idx", "c.*")
-    assigned = code.assign_rows(blocks, key).select(key, F.col("variable").alias("name"))
+    assigned = found.select(key, F.explode("code.assigns").alias("a")).select(key, F.col("a.variable").alias("name"))
     variables = entities.own_variables(assigned, linking.terms(names).select(F.col("term").alias("name")), key)
     found = entities.candidates(chunks, variables, key).groupBy(key, "sent_idx").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("found"))
     marked = found.join(shown.select(key, "sent_idx", "content"), [key, "sent_idx"])
@@ -123,10 +125,10 @@ def extract(
     sentences = stored(segments.sentences(segments.segments(posts, key, html), key), "sentences")
     tokens = segments.tokens(sentences, key)
     tokens = stored(tokens.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("sent_idx", "pos")) - 1), "tokens")
-    blocks = segments.thread_blocks(posts, key, html)
+    read = stored(code.read(segments.thread_blocks(posts, key, html), key), "code")
     mentions = mentions_of(tokens, key, tagger or tagging.RuleTagger())
     if alias:
-        mentions = in_full(mentions, blocks, key, best)
+        mentions = in_full(mentions, read, key, best)
     mentions = stored(mentions, "mentions")
 
     found = mentions.select(key, "mention_idx", "mention", F.col("at").alias("pos")).join(linking.link(mentions, names, typo, known=similarities), "mention")
@@ -146,7 +148,7 @@ def extract(
     mark = lambda rows, kind, entity: rows.select(key, "sent_idx", F.struct("start", "end", F.lit(kind).alias("type"), entity.alias("entity")).alias("mark"))
     marks = mark(mentions, "API", F.lit(None).cast("string"))
     if explainer is not None:
-        marks = marks.unionByName(mark(context_marks(sentences, blocks, names, key, explainer), "context", F.col("entity")))
+        marks = marks.unionByName(mark(context_marks(sentences, read, names, key, explainer), "context", F.col("entity")))
     marks = stored(marks.groupBy(key, "sent_idx").agg(spans.outermost(F.array_sort(F.collect_list("mark"))).alias("marks")), "marks")
     shown = sentences.where("kind = 'Text'").withColumn("content", tokenizer.cleaned("content")).join(marks, [key, "sent_idx"])
     snippets = shown.select(key, F.col("sent_idx").alias("snippet_idx"), spans.coloured(F.col("content"), F.col("marks")).alias("html"))
