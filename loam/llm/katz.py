@@ -52,7 +52,7 @@ from loam.llm import common
 
 K = 5
 ORDER = 2
-MIN_COUNT = 2
+MIN_COUNT = 1
 HEAVY = 1 << 21
 FOLDS, HELD_OUT = 7, 2
 BLOCK_TOKENS = 1_500_000

@@ -43,3 +43,12 @@ def test_rows_without_an_id_of_their_own_draw_apart(spark, text, doc_id):
     assert both[0] == both[1]
     mixed = mixing.mix(docs)
     assert mixed.count() == sum(r[-1] for r in both[0]) and mixed.columns == docs.columns
+
+
+def test_the_language_model_of_the_query_keeps_every_pair(spark):
+    from loam.llm import katz
+
+    ids = [k for k in range(200) if not katz.held_out(k)][:20]
+    docs = spark.createDataFrame([(k, f"a b c d{k}") for k in ids], "doc_id long, text string")
+    kept = katz.counts(docs, 4).where("level = 2")
+    assert kept.where("c = 1").count() == 2 * 20
