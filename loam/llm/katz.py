@@ -18,7 +18,16 @@ kept, so a text's score is the sum over the kept grams that its tokens end of
 the first three terms being log P(w) for a word. So each gram has one value, and scoring is
 one join of occurrences with the table of values.
 
-Both joins of this module move occurrences as packed arrays: a map task turns blocks of
+Grams of the top order, by far the most, have no table of values. P*(w|h) being the
+discounted count c by the history's total, theirs is
+    log c  +  (- log total(h) - log alpha(h))  +  (- log P*(w|h')),
+of which the middle belongs to the history and the last to the ending, both a word shorter
+and in the table of values. A bucket that gets all occurrences of a gram counts those of
+training texts itself, which gives log c. Where all grams are kept, those of a training
+text are, so the other terms are summed up with its shorter grams; for other texts the
+bucket asks for them once it has found the gram.
+
+All shuffles of texts move occurrences as packed arrays: a map task turns blocks of
 texts into hashed grams, deals them to buckets by key, and ships one row for a block and
 bucket (where there are more of these than grams, one row for a gram at most). Counting
 sums equal keys within a block first. In scoring, keys with at least 1 / HEAVY of all
@@ -38,7 +47,7 @@ import math
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -65,8 +74,17 @@ PACKED = "bucket int, kind int, block long, keys binary, more binary, counts bin
 COUNTED = "level int, key long, prev long, cur long, c long"
 DOC = np.dtype([("doc_id", "<i8"), ("null", "?"), ("held", "?"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 PART = np.dtype([("doc", "<u2"), ("known", "<i4"), ("base", "<f8"), ("score", "<f8")])
-#: Kinds of packed rows: the order of a model's grams, LOOKUP more for occurrences, DOCS.
-LOOKUP, DOCS = 100, 200
+SHORT = np.dtype([("doc", "<u2"), ("score", "<f8")])
+#: Kinds of packed rows: the order of a model's grams, LOOKUP more for occurrences; of those
+#: a word below the top order also ALL (value, history's and ending's term), HISTORY and
+#: ENDING (one of these terms).
+LOOKUP, ALL, HISTORY, ENDING = 100, 150, 160, 161
+#: Occurrences of the top order: in training texts that keep all, in others, in held-out ones.
+DOCS, TOP, TOP_UNSURE, TOP_HELD = 200, 300, 301, 302
+#: Kinds of results: sums by document with word counts, without.
+WIDE_PART, SHORT_PART = 400, 401
+#: Rows of a table that a task works on at a time.
+GATHERED = 1 << 19
 
 
 class Hasher(dict):
@@ -178,12 +196,12 @@ def count_blocks(batches: Iterator[pa.RecordBatch], buckets: int, order: int) ->
         yield _packed(rows)
 
 
-def runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[list[dict]]:
-    """Rows of sorted input, gathered while the columns `by` stay the same."""
+def runs(batches: Iterator[pa.RecordBatch], by) -> Iterator[list[dict]]:
+    """Rows of sorted input, gathered while by(row) stays the same."""
     held, last = [], None
     for batch in batches:
         for row in batch.to_pylist():
-            key = tuple(row[c] for c in by)
+            key = by(row)
             if key != last and held:
                 yield held
                 held = []
@@ -197,25 +215,31 @@ def _joined(rows: list[dict], column: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(r[column] for r in rows), kind)
 
 
-def sum_counts(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+def sum_counts(batches: Iterator[pa.RecordBatch], min_count: int, order: int) -> Iterator[pa.RecordBatch]:
     """Counts by key; level 1 words, 2 and more kept grams, below 0 counts of counts (by key)."""
     names = [x.split()[0] for x in COUNTED.split(", ")]
-    for rows in runs(batches, "bucket", "kind"):
+    for rows in runs(batches, lambda r: (r["bucket"], r["kind"])):
         level = rows[0]["kind"]
         prev, c = _joined(rows, "keys", "<u8"), _joined(rows, "counts", "<u4").astype(np.int64)
         cur = prev if level == 1 else _joined(rows, "more", "<u8")
         keys = prev if level == 1 else pair_keys(prev, cur)
-        order = np.argsort(keys)
-        keys, prev, cur, c = keys[order], prev[order], cur[order], c[order]
+        sort = np.argsort(keys)
+        keys, prev, cur, c = keys[sort], prev[sort], cur[sort], c[sort]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         c = np.add.reduceat(c, first)
         of_counts = np.bincount(np.minimum(c, K + 2))[1 : K + 2]
         known = np.flatnonzero(of_counts)
         kept = c >= (1 if level == 1 else min_count)
-        first = first[kept]
-        columns = [np.full(len(first), level, np.int32), keys[first].view(np.int64), prev[first].view(np.int64), cur[first].view(np.int64), c[kept]]
+        first, c = first[kept], c[kept]
+        top = level == order > 1
+        if top:  # equal histories side by side pack well; keys follow from the other columns
+            sort = np.argsort(prev[first], kind="stable")
+            first, c = first[sort], c[sort]
+        columns = [np.full(len(first), level, np.int32), keys[first].view(np.int64), prev[first].view(np.int64), cur[first].view(np.int64), c]
         extra = [np.full(len(known), -level, np.int32), known + 1, known * 0, known * 0, of_counts[known]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((x, y.astype(x.dtype)))) for x, y in zip(columns, extra, strict=True)], names=names)
+        columns = [np.concatenate((x, y.astype(x.dtype))) for x, y in zip(columns, extra, strict=True)]
+        no_key = (columns[0] == level) & top
+        yield pa.RecordBatch.from_arrays([pa.array(x, mask=no_key if name == "key" else None) for name, x in zip(names, columns, strict=True)], names=names)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -234,9 +258,9 @@ def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
 
 def counts(docs: DataFrame, buckets: int, min_count: int = MIN_COUNT, order: int = ORDER) -> DataFrame:
     """The partitioned table of counts: level, key, prev (the history's key), cur (the
-    ending's), c."""
+    ending's), c. Grams of the top order leave key null."""
     packed = _texts(docs).mapInArrow(lambda x: count_blocks(x, buckets, order), PACKED)
-    summed = by_bucket(packed, buckets).mapInArrow(lambda x: sum_counts(x, min_count), COUNTED)
+    summed = by_bucket(packed, buckets).mapInArrow(lambda x: sum_counts(x, min_count, order), COUNTED)
     spark = docs.sparkSession
     path = common.new_path(spark, "ngram-counts")
     summed.write.partitionBy("level").option("compression", "zstd").parquet(path)
@@ -263,71 +287,178 @@ def _discounted(c: Column, ratios: list[float]) -> Column:
     return out
 
 
+@dataclass
+class Terms:
+    """Sorted keys, and of each the value, the logarithm of its count for the base, and what it
+    adds as a history and as an ending of a gram of the top order."""
+
+    keys: np.ndarray
+    value: np.ndarray
+    base: np.ndarray
+    history: np.ndarray
+    ending: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, value, base, history, ending) -> Terms:
+        order = np.argsort(keys)
+        return cls(keys[order], *(x[order] for x in (value, base, history, ending)))
+
+
+NO_TERMS = Terms(np.empty(0, np.uint64), *(np.empty(0) for _ in range(4)))
+
+
 @dataclass
 class Model:
-    """The table of values (level, key, value, c) and the numbers that go with it."""
+    """The table of values (level, key, value, c, history, ending) of grams below the top order
+    (of words, if that is 1), heavy grams by order, and the numbers that go with them. Heavy
+    ones of the top order have their logarithm of the discounted count as value and the whole
+    value as base."""
 
     values: DataFrame
+    heavy: list[Terms]
+    ratios: list[float]
     order: int
+    min_count: int
     tokens: int
     types: int
     log_unknown: float
     start_value: float
+    least: float
+
+
+def gathered(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[np.ndarray]]:
+    """The named columns of GATHERED rows or some more at a time."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append([batch.column(x).to_numpy(zero_copy_only=False) for x in names])
+        rows += batch.num_rows
+        if rows >= GATHERED:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, rows = [], 0
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def discounted_counts(c: np.ndarray, ratios: list[float]) -> np.ndarray:
+    return np.where(c <= len(ratios), c * np.array([0.0, *ratios])[np.minimum(c, len(ratios))], c)
+
+
+def history_sums(batches: Iterator[pa.RecordBatch], ratios: list[float], keys: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """prev, dc, p: the discounted counts of grams and the chances of those endings that are
+    among keys, summed up by history as far as rows are at hand together."""
+    for prev, cur, c in gathered(batches, "prev", "cur", "c"):
+        order = np.argsort(prev, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(prev[order]) != 0)))
+        hit, at = found_in(cur.view(np.uint64), keys)
+        mine = np.zeros(len(cur))
+        mine[hit] = p[at[hit]]
+        sums = [np.add.reduceat(x[order], first) for x in (discounted_counts(c, ratios), mine)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (prev[order][first], *sums)], names=["prev", "dc", "p"])
+
+
+def light_endings(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """prev and cur of the grams whose ending is not among keys."""
+    for prev, cur in gathered(batches, "prev", "cur"):
+        light = ~found_in(cur.view(np.uint64), keys)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(prev[light]), pa.array(cur[light])], names=["prev", "cur"])
+
 
+def _unsigned(frame: pd.DataFrame, name: str) -> np.ndarray:
+    return frame[name].to_numpy(np.int64).view(np.uint64)
 
-def fit(counted: DataFrame, order: int = ORDER) -> Model:
-    """Values of all grams from the table of counts."""
+
+def fit(counted: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, heavy_share: int = HEAVY) -> Model:
+    """Values of all grams below the top order, and the heavy ones of it, from the table of counts."""
     spark = counted.sparkSession
     of_counts: dict[int, dict[int, int]] = {n: {} for n in range(1, order + 1)}
     for row in counted.where("level < 0").groupBy("level", "key").agg(F.sum("c").alias("c")).collect():  # order * (K + 1) rows at most
         of_counts[-row["level"]][row["key"]] = row["c"]
-    discounted = lambda n: _discounted(F.col("c"), discounts(of_counts[n]))
+    ratios = {n: discounts(of_counts[n]) for n in of_counts}
+    discounted = lambda n: _discounted(F.col("c"), ratios[n])
     words = counted.where("level = 1").select("key", "c", discounted(1).alias("dc"))
     n, types, kept, texts = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum("dc"), F.lit(0.0)), F.max(F.when(F.col("key") == int(END), F.col("c")))
     ).first()
     over = n if n - kept > 1e-6 else n + 1
+    least = n / heavy_share
     begin = spark.range(1).select(F.lit(int(START)).alias("prev"), F.lit(texts or 0).cast("long").alias("n"))
     below = words.select("key", "c", (F.col("dc") / over).alias("p"), F.log10(F.col("dc") / over).alias("value"))
-    values, start = None, None
+    none, values, start = F.lit(0.0), None, None
     for level in range(2, order + 1):
-        grams = counted.where(F.col("level") == level).select("key", "prev", "cur", "c")
-        grams = common.stored(grams.join(below.select(F.col("key").alias("cur"), "p"), "cur").drop("cur"), "grams")
-        common.release_shuffles(spark)
+        top = level == order
+        grams = counted.where(F.col("level") == level)
         seen = below.select(F.col("key").alias("prev"), F.col("c").alias("n"))
         seen = seen.unionByName(begin) if level == 2 else seen
-        histories = grams.groupBy("prev").agg(F.sum(discounted(level)).alias("dc"), F.sum("p").alias("p")).join(seen, "prev")
+        if top:
+            known = below.where(F.col("c") >= least).select("key", "p").toPandas().sort_values("key", key=lambda x: x.to_numpy(np.int64).view(np.uint64))  # heavy_share rows at most
+            sent = spark.sparkContext.broadcast((_unsigned(known, "key"), known["p"].to_numpy(np.float64)))
+            parts = grams.select("prev", "cur", "c").mapInArrow(lambda x: history_sums(x, ratios[order], *sent.value), "prev long, dc double, p double")
+            light = grams.select("prev", "cur").mapInArrow(lambda x: light_endings(x, sent.value[0]), "prev long, cur long")
+            light = light.join(below.where(F.col("c") < least).select(F.col("key").alias("cur"), "p"), "cur").select("prev", none.alias("dc"), "p")
+            parts = parts.unionByName(light)
+        else:
+            grams = grams.select("key", "prev", "cur", "c").join(below.select(F.col("key").alias("cur"), "p"), "cur").drop("cur")
+            grams = common.stored(grams, "grams")
+            common.release_shuffles(spark)
+            parts = grams.select("prev", discounted(level).alias("dc"), "p")
+        histories = parts.groupBy("prev").agg(F.sum("dc").alias("dc"), F.sum("p").alias("p")).join(seen, "prev")
         total = F.when(F.col("n") - F.col("dc") > 1e-6, F.col("n")).otherwise(F.col("n") + 1).cast("double")
         histories = common.stored(
             histories.select("prev", total.alias("total"), F.log10((1 - F.col("dc") / total) / (1 - F.col("p"))).alias("alpha")), "histories"
         )
         common.release_shuffles(spark)
         if level == 2:
-            start = histories.where(F.col("prev") == int(START)).select("alpha").first()
-        done = below.join(histories.select(F.col("prev").alias("key"), "alpha"), "key", "left")
-        done = done.select(F.lit(level - 1).alias("level"), "key", (F.col("value") + F.coalesce("alpha", F.lit(0.0))).alias("value"), "c")
+            start = histories.where(F.col("prev") == int(START)).select("alpha", "total").first()
+        done = below.join(histories.select(F.col("prev").alias("key"), "alpha", "total"), "key", "left")
+        terms = (F.coalesce(-F.log10("total") - F.col("alpha"), none), -F.log10("p")) if top else (none, none)
+        done = done.select(F.lit(level - 1).alias("level"), "key", (F.col("value") + F.coalesce("alpha", none)).alias("value"), "c", terms[0].alias("history"), terms[1].alias("ending"))
         values = done if values is None else values.unionByName(done)
-        chance = discounted(level) / F.col("total")
-        below = grams.join(histories, "prev").select("key", "c", chance.alias("p"), (F.log10(chance) - F.col("alpha") - F.log10("p")).alias("value"))
-        if level < order:
+        if not top:
+            chance = discounted(level) / F.col("total")
+            below = grams.join(histories, "prev").select("key", "c", chance.alias("p"), (F.log10(chance) - F.col("alpha") - F.log10("p")).alias("value"))
             below = common.stored(below, "chances")
             common.release_shuffles(spark)
-    top = below.select(F.lit(order).alias("level"), "key", "value", "c")
-    values = common.stored(values.unionByName(top) if values is not None else top, "ngram-values")
+    if values is None:
+        values = below.select(F.lit(1).alias("level"), "key", "value", "c", none.alias("history"), none.alias("ending"))
+    values = common.stored(values, "ngram-values")
+    common.release_shuffles(spark)
+    heavy = _heavy(values, counted, order, ratios[order], least, start)
     unknown = 1 - kept / over if over else 1.0
-    return Model(values, order, n, types, math.log10(unknown), start[0] if start else 0.0)
+    return Model(values, heavy, ratios[order], order, min_count, n, types, math.log10(unknown), start[0] if start else 0.0, least)
+
+
+def _heavy(values: DataFrame, counted: DataFrame, order: int, ratios: list[float], least: float, start) -> list[Terms]:
+    """The grams with `least` occurrences by order, not more than heavy_share of each. START has
+    its term as a history among the words."""
+    rows = values.where(F.col("c") >= least).toPandas()
+    found = []
+    for level in range(1, max(order, 2)):
+        mine = rows[rows["level"] == level]
+        columns = [mine["value"].to_numpy(np.float64), np.log10(mine["c"].to_numpy(np.float64) + 1), *(mine[x].to_numpy(np.float64) for x in ("history", "ending"))]
+        keys = _unsigned(mine, "key")
+        if level == 1 and order == 2 and start:
+            keys = np.append(keys, START)
+            columns = [np.append(x, y) for x, y in zip(columns, (0.0, 0.0, -math.log10(start[1]) - start[0], 0.0), strict=True)]
+        found.append(Terms.of(keys, *columns))
+    if order > 1:
+        # A heavy gram's history and ending are at least as frequent, so they are heavy too.
+        grams = counted.where((F.col("level") == order) & (F.col("c") >= least)).select("prev", "cur", "c").toPandas()
+        below, prev, cur = found[-1], _unsigned(grams, "prev"), _unsigned(grams, "cur")
+        own = np.log10(discounted_counts(grams["c"].to_numpy(np.int64), ratios))
+        whole = own + below.history[found_in(prev, below.keys)[1]] + below.ending[found_in(cur, below.keys)[1]] if len(own) else own
+        found.append(Terms.of(pair_keys(prev, cur), own, whole, own, own))
+    return found
 
 
 def pack_values(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        level, key, value, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("level", "key", "value", "c"))
+    for level, key, value, c, history, ending in gathered(batches, "level", "key", "value", "c", "history", "ending"):
         rows = []
         for n in np.unique(level).tolist():
             mine = level == n
-            for b, k, v, times in dealt(key[mine].view(np.uint64), buckets, value[mine], c[mine]):
-                rows.append((b, n, 0, k.tobytes(), v.tobytes(), times.tobytes() if n == 1 else None))
-        if rows:
-            yield _packed(rows)
+            columns = (x[mine] for x in (key.view(np.uint64), value, history, ending, c))
+            for b, k, v, h, e, times in dealt(next(columns), buckets, *columns):
+                rows.append((b, n, 0, k.tobytes(), np.column_stack((v, h, e)).tobytes(), times.tobytes() if n == 1 else None))
+        yield _packed(rows)
 
 
 def found_in(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,9 +468,8 @@ def found_in(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (table[at] == keys if len(table) else np.zeros(len(keys), bool)), at
 
 
-def lookup_blocks(batches: Iterator[pa.RecordBatch], buckets: int, heavy: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Each block's documents with what the heavy keys give them, and the other keys packed.
-    heavy: keys, values and logarithms of counts by order."""
+def lookup_blocks(batches: Iterator[pa.RecordBatch], buckets: int, order: int, min_count: int, heavy: list[Terms]) -> Iterator[pa.RecordBatch]:
+    """Each block's documents with what the heavy keys give them, and the other keys packed."""
     task = TaskContext.get().partitionId() if TaskContext.get() else 0
     for number, block in enumerate(blocks(batches, lambda _: True)):
         about = np.zeros(len(block.sizes), DOC)
@@ -347,75 +477,147 @@ def lookup_blocks(batches: Iterator[pa.RecordBatch], buckets: int, heavy: list[t
         about["null"] = [x is None for x in block.doc_ids]
         about["held"] = [held_out(x) for x in block.doc_ids]
         about["n"] = block.sizes
+        sure = ~about["held"] & (min_count == 1)
         rows, name = [], task << 24 | number
         sums = lambda docs, x: np.bincount(docs, x, len(about))
-        for n, keys, _, _, doc in block.grams(len(heavy)):
-            known, values, logs = heavy[n - 1]
-            hit, at = found_in(keys, known)
-            about["score"] += sums(doc[hit], values[at[hit]])
+
+        def ship(kind, keys, doc):
+            rows.extend((b, kind, name, k.tobytes(), d.tobytes(), None) for b, k, d in dealt(keys, buckets, doc))  # noqa: B023
+
+        for n, keys, history, low, doc in block.grams(order):
+            known = heavy[n - 1]
+            hit, at = found_in(keys, known.keys)
+            light = ~hit
+            if n == order > 1:
+                about["score"] += sums(doc[hit], np.where(sure[doc[hit]], known.value[at[hit]], known.base[at[hit]]))
+                certain = sure[doc]
+                ship(TOP, keys[light & certain], doc[light & certain])
+                for kind, which in ((TOP_UNSURE, ~about["held"]), (TOP_HELD, about["held"])):
+                    mine = light & ~certain & which[doc]
+                    for b, k, d, h, w in dealt(keys[mine], buckets, doc[mine], history[mine], low[mine]):
+                        rows.append((b, kind, name, k.tobytes(), d.tobytes(), h.tobytes() + w.tobytes()))
+                continue
+            about["score"] += sums(doc[hit], known.value[at[hit]])
             if n == 1:
                 about["known"] = np.bincount(doc[hit], minlength=len(about))
-                about["base"] = sums(doc[hit], logs[at[hit]])
-            for b, k, d in dealt(keys[~hit], buckets, doc[~hit]):
-                rows.append((b, LOOKUP + n, name, k.tobytes(), d.tobytes(), None))
+                about["base"] = sums(doc[hit], known.base[at[hit]])
+            if n < order - 1 or order == 1:
+                ship(LOOKUP + n, keys[light], doc[light])
+                continue
+            # A sure text keeps all its grams of the top order: these end at each of its grams
+            # but the first (at all its words, of pairs), and go on from each but the last.
+            inner = doc[1:] == doc[:-1]
+            begins, ends = sure[doc] & np.append(inner, False), sure[doc] & (np.insert(inner, 0, False) | (n == 1))
+            for flag, term in ((begins, known.history), (ends, known.ending)):
+                mine = hit & flag
+                about["score"] += sums(doc[mine], term[at[mine]])
+            both = light & begins & ends
+            parts = ((ALL, both), (LOOKUP + n, light & ~both), (HISTORY, light & begins & ~both), (ENDING, light & ends & ~both))
+            for kind, mine in parts:
+                ship(kind, keys[mine], doc[mine])
+            if n == 1:
+                at_start, at = found_in(np.array([START]), known.keys)
+                about["score"] += sure * (known.history[at[0]] if at_start[0] else 0.0)
         rows.append((name % buckets, DOCS, name, about.tobytes(), None, None))
         yield _packed(rows)
 
 
-def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def part_rows(kind: int, block: np.ndarray, doc: np.ndarray, **sums: np.ndarray) -> Iterator[tuple]:
+    """Packed rows of what documents get, summed up while neighbours are of one document."""
+    if not len(doc):
+        return
+    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (block[1:] != block[:-1]))))
+    part = np.zeros(len(first), PART if kind == WIDE_PART else SHORT)
+    part["doc"] = doc[first]
+    for name, x in sums.items():
+        part[name] = np.add.reduceat(x, first)
+    block = block[first]
+    cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    for a, b in zip(cuts, [*cuts[1:], len(block)], strict=True):
+        yield 0, kind, int(block[a]), part[a:b].tobytes(), None, None
+
+
+def count_top(rows: list[dict], model: Model, below: Terms, buckets: int) -> Iterator[tuple]:
+    """Of all occurrences of a bucket's grams of the top order: what they add by their count,
+    and, where the text need not keep them, the terms of heavy histories and endings and
+    requests for those of the others."""
+    keys, doc = _joined(rows, "keys", "<u8"), _joined(rows, "more", "<u2")
+    sizes = [len(r["keys"]) // 8 for r in rows]
+    per_row = lambda x, kind: np.repeat(np.array(x, kind), sizes)
+    block, train = per_row([r["block"] for r in rows], np.int64), per_row([r["kind"] != TOP_HELD for r in rows], bool)
+    order = np.argsort(keys)
+    new = np.concatenate(([True], np.diff(keys[order]) != 0))
+    c = np.empty(len(keys), np.int64)
+    c[order] = np.bincount(np.cumsum(new) - 1, train[order]).astype(np.int64)[np.cumsum(new) - 1]
+    found = c >= model.min_count
+    value = np.zeros(len(keys))
+    value[found] = np.log10(discounted_counts(c[found], model.ratios))
+    unsure = np.flatnonzero(found & per_row([r["kind"] != TOP for r in rows], bool))
+    if len(unsure):
+        place = np.cumsum(per_row([r["kind"] != TOP for r in rows], bool))[unsure] - 1
+        halves = [(np.frombuffer(r["counts"], "<u8"), n) for r, n in zip(rows, sizes, strict=True) if r["kind"] != TOP]
+        for kind, terms, asked in (
+            (HISTORY, below.history, np.concatenate([x[:n] for x, n in halves])[place]),
+            (ENDING, below.ending, np.concatenate([x[n:] for x, n in halves])[place]),
+        ):
+            hit, at = found_in(asked, below.keys)
+            value[unsure[hit]] += terms[at[hit]]
+            light = unsure[~hit]
+            for b, k, d, origin in dealt(asked[~hit], buckets, doc[light], block[light]):
+                yield b, kind, 0, k.tobytes(), d.tobytes(), origin.tobytes()
+    yield from part_rows(SHORT_PART, block[found], doc[found], score=value[found])
+
+
+def look_up(batches: Iterator[pa.RecordBatch], model: Model, heavy: list[Terms], buckets: int) -> Iterator[pa.RecordBatch]:
     """Packed keys against the bucket's values: sums by document, packed by block."""
-    none = np.empty(0, np.uint64), np.empty(0), np.empty(0)
     table, bucket = {}, None
-    names = ["block", "kind", "data"]
-    for rows in runs(batches, "bucket", "kind"):
+    for rows in runs(batches, lambda r: (r["bucket"], min(r["kind"], TOP))):
         kind = rows[0]["kind"]
         if rows[0]["bucket"] != bucket:
             table, bucket = {}, rows[0]["bucket"]
         if kind < LOOKUP:
-            keys, values = _joined(rows, "keys", "<u8"), _joined(rows, "more", "<f8")
-            order = np.argsort(keys)
-            logs = np.log10(_joined(rows, "counts", "<i8") + 1.0)[order] if kind == 1 else none[2]
-            table[kind] = keys[order], values[order], logs
+            keys, terms = _joined(rows, "keys", "<u8"), _joined(rows, "more", "<f8").reshape(-1, 3)
+            base = np.log10(_joined(rows, "counts", "<i8") + 1.0) if kind == 1 else np.zeros(len(keys))
+            table[kind] = Terms.of(keys, terms[:, 0], base, terms[:, 1], terms[:, 2])
             continue
-        out = []
         if kind == DOCS:
-            out = [(r["block"], DOCS, r["keys"]) for r in rows]
+            out = [(0, DOCS, r["block"], r["keys"], None, None) for r in rows]
+        elif kind >= TOP:
+            out = list(count_top(rows, model, heavy[model.order - 2], buckets))
         else:
-            keys, values, logs = table.get(kind - LOOKUP, none)
-            for row in rows:
-                hit, at = found_in(np.frombuffer(row["keys"], "<u8"), keys)
-                if not hit.any():
-                    continue
-                doc, at = np.frombuffer(row["more"], "<u2")[hit], at[hit]
-                n = np.bincount(doc)
-                part = np.zeros(np.count_nonzero(n), PART)
-                some = part["doc"] = np.flatnonzero(n)
-                part["score"] = np.bincount(doc, values[at])[some]
-                if kind == LOOKUP + 1:
-                    part["known"], part["base"] = n[some], np.bincount(doc, logs[at])[some]
-                out.append((row["block"], kind, part.tobytes()))
+            level = model.order - 1 if kind >= ALL else kind - LOOKUP
+            terms = table.get(level, NO_TERMS)
+            value = {ALL: terms.value + terms.history + terms.ending, HISTORY: terms.history, ENDING: terms.ending}.get(kind, terms.value)
+            keys, doc = _joined(rows, "keys", "<u8"), _joined(rows, "more", "<u2")
+            block = np.concatenate([np.frombuffer(r["counts"], "<i8") if r["counts"] else np.full(len(r["keys"]) // 8, r["block"], np.int64) for r in rows])
+            hit, at = found_in(keys, terms.keys)
+            at = at[hit]
+            wide = {"known": np.ones(len(at), np.int64), "base": terms.base[at]} if level == 1 and kind < HISTORY else {}
+            out = list(part_rows(WIDE_PART if wide else SHORT_PART, block[hit], doc[hit], score=value[at], **wide))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
+            yield _packed(out)
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, model: Model, buckets: int, heavy_share: int = HEAVY) -> DataFrame:
+def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
     """Every row's doc_id, fold, token counts, base score and score."""
     spark = docs.sparkSession
-    least = model.tokens / heavy_share
-    heavy = model.values.where(F.col("c") >= least).toPandas()  # at most heavy_share rows of a level
-    tables = []
-    for level in range(1, model.order + 1):
-        rows = heavy[heavy["level"] == level]
-        keys = rows["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        tables.append((keys[order], rows["value"].to_numpy(np.float64)[order], np.log10(rows["c"].to_numpy(np.float64) + 1)[order]))
-    sent = spark.sparkContext.broadcast([t if k == 0 else (*t[:2], None) for k, t in enumerate(tables)])
-    shipped = _texts(docs).mapInArrow(lambda x: lookup_blocks(x, buckets, sent.value), PACKED)
-    values = model.values.where(F.col("c") < least).mapInArrow(lambda x: pack_values(x, buckets), PACKED)
-    parts = by_bucket(shipped.unionByName(values), buckets).mapInArrow(look_up, "block long, kind int, data binary")
+    light = model.values.where(F.col("c") < model.least).mapInArrow(lambda x: pack_values(x, buckets), PACKED)
+    order, min_count = model.order, model.min_count
+    sent = spark.sparkContext.broadcast(model.heavy)
+    # Tasks get the numbers only; the heavy keys go by the broadcast.
+    plain = replace(model, values=None, heavy=None)
+    shipped = _texts(docs).mapInArrow(lambda x: lookup_blocks(x, buckets, order, min_count, sent.value), PACKED)
+    looked_up = lambda rows: by_bucket(rows.unionByName(light), buckets).mapInArrow(lambda x: look_up(x, plain, sent.value, buckets), PACKED)
+    parts = looked_up(shipped)
+    if order > 1:
+        first = common.stored(parts, "ngram-parts")
+        common.release_shuffles(spark)
+        asked = first.where(F.col("kind").isin(HISTORY, ENDING))
+        parts = first.where(F.col("kind") >= DOCS).unionByName(looked_up(asked))
+    parts = parts.select("block", "kind", F.col("keys").alias("data"))
     tokens, over = model.tokens, math.log10(model.tokens + model.types + 1)
     log_unknown, start_value = model.log_unknown, model.start_value
 
@@ -423,10 +625,10 @@ def score(docs: DataFrame, model: Model, buckets: int, heavy_share: int = HEAVY)
         whole = frame["kind"] == DOCS
         about = np.frombuffer(frame["data"][whole].iloc[0], DOC).copy()
         # In a fixed order, so that reruns add up the same numbers the same way.
-        for data in sorted(frame["data"][~whole]):
-            part = np.frombuffer(data, PART)
-            for name in ("known", "base", "score"):
-                about[name][part["doc"]] += part[name]
+        for kind, data in sorted(zip(frame["kind"][~whole], frame["data"][~whole], strict=True)):
+            part = np.frombuffer(data, PART if kind == WIDE_PART else SHORT)
+            for name in part.dtype.names[1:]:
+                np.add.at(about[name], part["doc"], part[name])
         unknown = about["n"] - about["known"]
         ids = pd.Series(about["doc_id"], dtype="Int64").mask(about["null"])
         return pd.DataFrame(
@@ -449,7 +651,7 @@ def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, order: int = OR
     buckets = n_buckets(docs)
     counted = counts(docs, buckets, min_count, order)
     common.release_shuffles(docs.sparkSession)
-    model = fit(counted, order)
+    model = fit(counted, order, min_count, heavy_share)
     common.discard(counted)
     common.release_shuffles(docs.sparkSession)
-    return score(docs, model, buckets, heavy_share)
+    return score(docs, model, buckets)

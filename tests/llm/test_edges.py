@@ -52,3 +52,14 @@ def test_the_language_model_of_the_query_keeps_every_pair(spark):
     docs = spark.createDataFrame([(k, f"a b c d{k}") for k in ids], "doc_id long, text string")
     kept = katz.counts(docs, 4).where("level = 2")
     assert kept.where("c = 1").count() == 2 * 20
+
+
+def test_pairs_of_the_language_model_have_no_table_of_values(spark):
+    """Pairs are counted where they are scored; what is stored of each is two words and a count."""
+    from loam.llm import katz
+
+    ids = [k for k in range(200) if not katz.held_out(k)][:20]
+    docs = spark.createDataFrame([(k, f"a b c d{k}") for k in ids], "doc_id long, text string")
+    counted = katz.counts(docs, 4)
+    assert counted.where("level = 2 AND key IS NULL").count() == 2 * 20 + 3
+    assert {r.level for r in katz.fit(counted).values.select("level").distinct().collect()} == {1}
