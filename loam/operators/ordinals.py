@@ -51,14 +51,16 @@ def starts(rows: DataFrame, keys: list[str], at: str, sums: Mapping[str, Column]
 
     at: a whole number from 0 that orders a key's rows; a slab holds `slab` of its values.
     """
-    long = rows.where(F.col(at) >= slab).select(*keys).distinct()
+    # Few keys are long, mostly none: the sums of all rows are only needed if there are some.
+    long = stored(rows.where(F.col(at) >= slab).select(*keys).distinct(), "long")
+    if long.isEmpty():
+        return None
     stretch = F.floor(F.col(at) / slab).alias("slab_")
     totals = rows.join(long, keys, "left_semi").groupBy(*keys, stretch).agg(*(F.sum(c).alias(f"{n}_end") for n, c in sums.items()))
     so_far = Window.partitionBy(*keys).orderBy("slab_")
     totals = totals.withColumns({f"{n}_end": F.sum(f"{n}_end").over(so_far) for n in sums})
     before = {n: F.coalesce(F.lag(f"{n}_end").over(so_far), F.lit(0)) for n in sums}
-    found = stored(totals.withColumns(before), "starts")
-    return None if found.isEmpty() else found
+    return stored(totals.withColumns(before), "starts")
 
 
 def running(rows: DataFrame, keys: list[str], at: str, sums: Mapping[str, Column], before: DataFrame | None, slab: int = SLAB) -> DataFrame:

@@ -400,3 +400,12 @@ def test_other_columns_pass_by_python_as_they_came(spark):
     assert done._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     found = {r["id"]: r for r in done.collect()}
     assert len(found) == 600 and all(r["ids"] == [k, None] and r["m"] == {"k": k} and r["attempts"] == 1 and r["error"] is None and f"q{k}" in r["reply"] for k, r in found.items())
+
+
+def test_sums_are_not_worked_out_where_no_key_is_long(spark, monkeypatch):
+    """Only the list of long keys is stored, which is empty."""
+    names, stored = [], ordinals.stored
+    monkeypatch.setattr(ordinals, "stored", lambda df, name: names.append(name) or stored(df, name))
+    rows = spark.range(50).select((F.col("id") % 5).alias("k"), F.floor(F.col("id") / 5).alias("at"))
+    assert ordinals.starts(rows, ["k"], "at", {"n": F.col("at")}, 16) is None
+    assert names == ["long"]
